@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, langid, licences, pagetext, quality, toxicity
+from lodestrata.llm import decontaminate, langid, licences, neardup, pagetext, quality, toxicity
 from lodestrata.llm.common import is_fold, table
 
 
@@ -36,11 +36,16 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.score(docs, labels)
     return found.select("doc_id", is_fold(F.col("doc_id"), 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op5_page_text, op6_toxicity, op7_licences, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op5_page_text, op6_toxicity, op7_licences, op9_near_duplicates, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle(), "op7_licences": licences.oracle()}
