@@ -83,7 +83,7 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
     start, size = F.col("pos") - F.col("off"), F.size("win_words")
     near = rows.join(_bounded(probe), "word").filter((start >= 0) & (start + size <= F.size("w")))
     near = near.filter(F.get("w", start + F.col("off2")) == F.col("word2"))
-    held = near.filter(F.slice("w", start + 1, size) == F.col("win_words"))
+    held = near.filter(F.slice("w", F.greatest(start + 1, F.lit(1)), size) == F.col("win_words"))
     return held.select("doc_id", "row", start.alias("start"), size.alias("length"), "win")
 
 
