@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, langid, licences, neardup, pagetext, quality, toxicity
+from lodestrata.llm import decontaminate, langid, licences, neardup, pagetext, quality, topk, toxicity
 from lodestrata.llm.common import is_fold, table
 
 
@@ -21,6 +21,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_fold(F.col("doc_id"), 4, 2).alias("held_out"), "language.lang_pred", "language.score", "language.bits_per_byte")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract(table(spark, sf_dir, "pages"))
 
@@ -47,5 +51,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_fold(F.col("doc_id"), 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op5_page_text, op6_toxicity, op7_licences, op9_near_duplicates, op10_quality)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle(), "op7_licences": licences.oracle()}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op4_top_k, op5_page_text, op6_toxicity, op7_licences, op9_near_duplicates, op10_quality)}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle(), "op4_top_k": topk.oracle(), "op7_licences": licences.oracle()}
