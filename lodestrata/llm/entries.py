@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import decontaminate, langid, licences, neardup, pagetext, quality, topk, toxicity
+from lodestrata.llm import bytebpe, decontaminate, langid, licences, neardup, pagetext, quality, topk, toxicity
 from lodestrata.llm.common import is_fold, table
 
 
@@ -15,6 +15,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(bytebpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs)
@@ -51,5 +57,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_fold(F.col("doc_id"), 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op4_top_k, op5_page_text, op6_toxicity, op7_licences, op9_near_duplicates, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_language, op4_top_k, op5_page_text, op6_toxicity, op7_licences, op9_near_duplicates, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle(), "op4_top_k": topk.oracle(), "op7_licences": licences.oracle()}
