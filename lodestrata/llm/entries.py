@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bytebpe, decontaminate, langid, licences, neardup, pagetext, quality, topk, toxicity
+from lodestrata.llm import bytebpe, decontaminate, langid, licences, neardup, pagetext, quality, repair, topk, toxicity
 from lodestrata.llm.common import is_fold, table
 
 
@@ -46,6 +46,10 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -57,5 +61,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_fold(F.col("doc_id"), 5, 0).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_language, op4_top_k, op5_page_text, op6_toxicity, op7_licences, op9_near_duplicates, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op3_language, op4_top_k, op5_page_text, op6_toxicity, op7_licences, op8_token_files, op9_near_duplicates, op10_quality)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.oracle(), "op4_top_k": topk.oracle(), "op7_licences": licences.oracle()}
