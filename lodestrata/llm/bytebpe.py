@@ -1,22 +1,21 @@
-"""Byte-level BPE encoding and decoding by higher-order functions.
-
-A text is cut by a pattern into pieces; a piece starts as its single
-bytes, and a fold merges, one at a time and leftmost first, the
-neighbours whose joined bytes have the lowest rank, until no neighbours join
-to a known token.  The rank map is a literal: an array of small maps, found by
-a hash of the joined bytes.
-
-The fold runs once for each of the corpus's distinct words as far as they are
-frequent: a literal dictionary holds the ``DICTIONARY`` most frequent pieces,
-a bound that doesn't grow with the corpus.  Rarer pieces are folded where they
-stand; no piece's result depends on which of the two happens.  Pieces of over
-``LONG_PIECE`` bytes, for which the fold's quadratic cost tells, are merged by
-the same rule with a heap, in an Arrow function.  Nothing but the piece counts
-is shuffled; texts stay where they are.
-
-Decoding looks each identifier up in a literal array of binary pieces (as
-Latin-1 characters, one for each byte), joins them, and encodes the result
-back to bytes.
+"""Byte-level BPE encoding and decoding.
+
+A text is cut by a pattern into pieces; a piece starts as its single bytes,
+and a fold merges, one at a time and leftmost first, the neighbours whose
+joined bytes have the lowest rank, until no neighbours join to a known token.
+Decoding joins the identifiers' binary pieces.
+
+There are two forms with equal results.  ``Codec`` folds each distinct piece
+once in a Python worker that remembers results (a bounded number of them), and
+is what ``encode``, the query and the pipeline use.  ``encode_native`` does the
+same with Spark's higher-order functions and a literal rank map (an array of
+small maps, found by a hash of the joined bytes), after a literal dictionary of
+the ``DICTIONARY`` most frequent pieces; it takes several times the time that
+the README's limits allow on texts with many rare words, since such words are
+folded where they stand.  Neither shuffles texts.
+
+Pieces of over ``LONG_PIECE`` bytes, for which the fold's quadratic cost tells,
+are merged by the same rule with a heap.
 
 Defined results: a null text counts as empty, and encodes to no identifiers;
 repeated rows get equal results; text that looks like a special token is
@@ -26,12 +25,15 @@ ordinary text.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 DICTIONARY = 131_072
 BUCKETS = 65_536
 LONG_PIECE = 192
+#: Pieces that a worker remembers.
+MEMO = 1_000_000
+
+_PIECE = regex.compile(public_tokenizers.PATTERN)
 
 
 @lru_cache(2)
@@ -51,6 +57,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ranked merges by a fold over the byte parts of one piece."""
+    if (rank := ranks.get(piece)) is not None:
+        return [rank]
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    known = ranks.get
+    pairs = [known(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+    while True:
+        best, at = None, -1
+        for i, rank in enumerate(pairs):
+            if rank is not None and (best is None or rank < best):
+                best, at = rank, i
+        if best is None:
+            return [ranks[p] for p in parts]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = known(parts[at] + parts[at + 1])
+        if at:
+            pairs[at - 1] = known(parts[at - 1] + parts[at])
+
+
 def merge_long(piece: bytes, path: str) -> list[int]:
     """The same merges with a heap of neighbours, for long pieces."""
     ranks, n = read_ranks(path), len(piece)
@@ -75,6 +103,77 @@ def merge_long(piece: bytes, path: str) -> list[int]:
     return out
 
 
+class Codec:
+    """Encodes and decodes texts; remembers the pieces that it has folded."""
+
+    def __init__(self, path: str):
+        self.path, self.memo, self.tokens = path, {}, None
+
+    def __getstate__(self):
+        return {"path": self.path, "memo": {}, "tokens": None}
+
+    def _new(self, piece: str) -> bytes:
+        data = piece.encode()
+        ids = merge_short(data, read_ranks(self.path)) if len(data) <= LONG_PIECE else merge_long(data, self.path)
+        packed = np.array(ids, "<u4").tobytes()
+        if len(data) <= LONG_PIECE:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[piece] = packed
+        return packed
+
+    def encode(self, text: str | None) -> np.ndarray:
+        known, new = self.memo.get, self._new
+        return np.frombuffer(b"".join([known(p) or new(p) for p in _PIECE.findall(text or "")]), "<u4")
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if self.tokens is None:
+            self.tokens = {rank: token for token, rank in read_ranks(self.path).items()}
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with a column ``ids``."""
+    codec = Codec(path or public_tokenizers.path(VOCABULARY))
+
+    @F.arrow_udf("array<int>")
+    def ids_of(texts: pa.Array) -> pa.Array:
+        found = [codec.encode(t.as_py()) for t in texts]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *found]).astype(np.int32)))
+
+    return docs.withColumn("ids", ids_of(F.col("text")))
+
+
+def decoder(path: str | None = None):
+    """A column function: a list of identifiers -> bytes."""
+    codec = Codec(path or public_tokenizers.path(VOCABULARY))
+
+    @F.arrow_udf("binary")
+    def decoded(lists: pa.Array) -> pa.Array:
+        return pa.array([codec.decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.binary())
+
+    return decoded
+
+
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: identifiers and decoded
+    bytes stay in the worker that makes them."""
+    codec = Codec(path or public_tokenizers.path(VOCABULARY))
+
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def digest(texts: pa.Array) -> pa.Array:
+        n, listed, decoded = [], [], []
+        for text in texts:
+            ids = codec.encode(text.as_py())
+            n.append(len(ids))
+            listed.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
 def _bucketed(entries: dict[str, object], buckets: int) -> str:
     """JSON of small maps, each at the place that the engine's hash gives its keys."""
     out: list[dict] = [{} for _ in range(buckets)]
@@ -142,7 +241,7 @@ def dictionary(docs: DataFrame, ranks: Column, size: int = DICTIONARY) -> Column
     return F.from_json(F.lit(_bucketed(held, BUCKETS)), "array<map<string,array<int>>>")
 
 
-def encode(docs: DataFrame, path: str | None = None, size: int = DICTIONARY) -> DataFrame:
+def encode_native(docs: DataFrame, path: str | None = None, size: int = DICTIONARY) -> DataFrame:
     """The rows of ``docs`` with a column ``ids``."""
     path = path or public_tokenizers.path(VOCABULARY)
     ranks = rank_map(path)
@@ -163,7 +262,7 @@ def encode(docs: DataFrame, path: str | None = None, size: int = DICTIONARY) ->
     return cut.withColumn("ids", F.flatten(F.transform("__pieces", ids_of))).drop("__pieces", "__long")
 
 
-def decode(ids: Column, path: str | None = None) -> Column:
+def decode_native(ids: Column, path: str | None = None) -> Column:
     """The bytes of a list of identifiers."""
     tokens = token_list(path or public_tokenizers.path(VOCABULARY))
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), ""), "ISO-8859-1")

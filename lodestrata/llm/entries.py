@@ -16,9 +16,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bytebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(bytebpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return bytebpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

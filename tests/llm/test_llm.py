@@ -90,12 +90,15 @@ def test_bpe_equals_the_library(spark):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(path), special_tokens={})
     texts = [*EDGE, "it's <|endoftext|> 12345 \U0001f600", "a" * 3000, "漢字" * 300, "x   y", "antidisestablishmentarianism" * 30]
     docs = frame(spark, texts, [*EDGE_IDS, 20, 21, 22, 23, 24])
-    for size in (0, 50):
-        rows = bytebpe.encode(docs.drop("ids"), size=size).select("text", "ids", bytebpe.decode(F.col("ids")).alias("back"))
-        for text, ids, back in rows.collect():
+    forms = [(bytebpe.encode(docs), bytebpe.decoder()(F.col("ids")))]
+    forms += [(bytebpe.encode_native(docs.drop("ids"), size=size), bytebpe.decode_native(F.col("ids"))) for size in (0, 50)]
+    for coded, decoded in forms:
+        for text, ids, back in coded.select("text", "ids", decoded.alias("back")).collect():
             assert list(ids) == library.encode_ordinary(text or "")
             assert bytes(back) == (text or "").encode()
-    assert bytebpe.encode(docs.drop("ids").limit(0)).count() == 0
+    for row in bytebpe.digests(docs).collect():
+        assert row["n_tokens"] is not None and len(row["ids_sha256"]) == len(row["decoded_sha256"]) == 64
+    assert bytebpe.encode(docs.limit(0)).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -106,6 +109,7 @@ def test_heap_merges_equal_the_library(text):
     path = public_tokenizers.path(bytebpe.VOCABULARY)
     library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=bytebpe.read_ranks(path), special_tokens={})
     assert bytebpe.merge_long(text.encode(), path) == library.encode_ordinary(text)
+    assert bytebpe.merge_short(text.encode(), bytebpe.read_ranks(path)) == library.encode_ordinary(text)
 
 
 # --------------------------------------------------------------- language ID
