@@ -136,6 +136,10 @@ def pattern(files: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).select(label.alias("pattern"), F.round(confidence, 2).alias("confidence"), F.col("layers").cast("int").alias("layers"))
 
 
+def _holds(word: str):
+    return lambda text: text.contains(word)
+
+
 def subsystem(path: Column) -> Column:
     """The first subsystem, in order, with a pattern in the path; null if there is none."""
     p = F.split(F.lower(path), "/")
@@ -145,7 +149,7 @@ def subsystem(path: Column) -> Column:
     for tier, ident, _, words in rules.SUBSYSTEMS:
         matched = F.lit(False)
         for w in words:
-            held = F.exists(dirs, lambda d, w=w: d.contains(w))
+            held = F.exists(dirs, _holds(w))
             # a guarded directory match isn't tried on the file's name
             matched = matched | (F.when(held, front).otherwise(name.contains(w)) if tier == "presentation" else held | name.contains(w))
         found = (F if found is None else found).when(matched, F.lit(ident))

@@ -27,7 +27,8 @@ def _rules(line: Column) -> dict[str, list[tuple[Column, str, str]]]:
         "secret-detection": [(line.rlike(p) & ~placeholder, t, s) for p, t, s in rules.SECRETS],
         "sql-injection": [(line.rlike(p), t, "high") for p, t in rules.SQL_INJECTION],
         "dangerous-function": [(line.contains(p) & ~_comment(line), t, s) for p, t, s in rules.DANGEROUS],
-        "weak-crypto": [(line.rlike(p) & ~_comment(line), t, "medium") for p, t in rules.WEAK_CRYPTO],
+        # word bounds as for any letters, whatever the Java version's default
+        "weak-crypto": [(line.rlike("(?U)" + p) & ~_comment(line), t, "medium") for p, t in rules.WEAK_CRYPTO],
         "misconfiguration": [(line.rlike(p), t, s) for p, t, s in rules.MISCONFIGURED],
     }
 

@@ -144,25 +144,30 @@ def cycles(edges: DataFrame, max_length: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select(F.col("path").alias("cycle"), F.size("path").alias("length"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, score): parallel edges count once, and nodes without edges out spread their score
-    evenly.  Stops when the scores' total change is below the tolerance, looked at every few
-    rounds; ``tolerance`` 0 runs all rounds."""
+    evenly.  Stops when the scores' total change is below the tolerance (0 runs all rounds).
+
+    A round is one join along the edges and one aggregation, which also carries the nodes
+    that nothing points to; what isn't sent along edges is what loose nodes spread, so that
+    share follows from one sum and needs no join."""
     plain = simple_edges(edges)
-    ids = nodes.select("id").distinct()
-    n = ids.count()
     out = plain.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out"))
-    state = cut(ids.join(out, "id", "left").select("id", "out", F.lit(1.0 / max(n, 1)).alias("score")), "ranks")
+    state = nodes.select("id").distinct().join(out, "id", "left")
+    n = nodes.select("id").distinct().count()
+    if not n:
+        return state.select("id", F.lit(0.0).alias("score"))
     plain = cut(plain, "rank-edges")
-    for k in range(rounds):
-        loose = state.filter("out is null").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("loose"))
-        sent = plain.join(state.select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("part")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
-        new = state.join(sent, "id", "left").join(F.broadcast(loose))  # one row
-        new = new.select("id", "out", (F.lit((1 - alpha) / max(n, 1)) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("score"), F.col("score").alias("before"))
-        if k % every == every - 1 or k == rounds - 1:
-            new = cut(new, "ranks")
-            if tolerance and new.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < tolerance:
-                return new.select("id", "score")
+    state = cut(state.select("id", "out", F.lit(1.0 / n).alias("score")), "ranks")
+    for _ in range(rounds):
+        sent = plain.join(state.select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("part")), "src")
+        rows = sent.select(F.col("dst").alias("id"), F.lit(None).cast("long").alias("out"), F.col("part"), F.lit(None).cast("double").alias("before"))
+        rows = rows.unionByName(state.select("id", "out", F.lit(0.0).alias("part"), F.col("score").alias("before")))
+        got = cut(rows.groupBy("id").agg(F.max("out").alias("out"), F.sum("part").alias("part"), F.max("before").alias("before")), "ranks")
+        loose = max(0.0, 1.0 - got.agg(F.sum("part")).first()[0])
+        new = got.select("id", "out", (F.lit((1 - alpha) / n + alpha * loose / n) + alpha * F.col("part")).alias("score"), "before")
+        if tolerance and new.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < tolerance:
+            return new.select("id", "score")
         state = new.select("id", "out", "score")
     return state.select("id", "score")
 

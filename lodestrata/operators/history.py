@@ -36,7 +36,8 @@ def co_changes(files: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b, n): files of a commit that stand up to ``distance`` apart in its sorted list.
     Each row looks at the next few of its commit, so no pairs of a whole commit are made."""
     order = Window.partitionBy("commit_id").orderBy("path")
-    ahead = files.select("commit_id", "path").distinct().select("path", F.explode(F.array_compact(F.array(*[F.lead("path", k).over(order) for k in range(1, distance + 1)]))).alias("b"))
+    ahead = files.select("commit_id", "path").distinct().select("path", F.array(*[F.lead("path", k).over(order) for k in range(1, distance + 1)]).alias("next"))
+    ahead = ahead.select("path", F.explode("next").alias("b")).filter("b is not null")
     return ahead.groupBy(F.col("path").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
 
 
