@@ -61,8 +61,8 @@ def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     with a word that no document has are left out."""
     vocabulary = materialize(wins.select(F.explode("words").alias("word")).distinct(), "window-words")
     held = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    counts = held.join(_bounded(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    placed = wins.select("win", "words", F.posexplode("words").alias("off", "word")).join(counts, "word", "left")
+    counts = materialize(held.join(_bounded(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    placed = wins.select("win", "words", F.posexplode("words").alias("off", "word")).join(_bounded(counts), "word", "left")
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "off")))
     rare = placed.groupBy("win", "words").agg(ranked.alias("r")).filter(F.col("r")[0]["n"] > 0)
     second = F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
