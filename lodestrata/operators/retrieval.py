@@ -82,8 +82,34 @@ def prompts(turns: DataFrame, key: str, order: str, role: str, text: str) -> Dat
 
 
 def clean_answer(text: Column) -> Column:
-    """An answer without Markdown's heading, emphasis and list marks."""
-    out = F.regexp_replace(text, r"(?m)^\s{0,3}#{1,6}\s*", "")
-    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "$1")
-    out = F.regexp_replace(out, r"(?m)^\s*[*]\s+", "• ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[*#]", ""), r"\n{3,}", "\n\n"))
+    """An answer without Markdown: headings become labels with a colon, emphasis goes."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^#{1,6}[ \t]+(.+?):?[ \t]*$", "$1:\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"\*\*([^*]+)\*\*", "$1"), r"\*([^*]+)\*", "$1")
+    out = F.regexp_replace(F.regexp_replace(out, "[#*]", ""), r"::\s*", ": ")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+MODELS = {"code": "code", "security": "code", "performance": "code", "architecture": "code"}
+
+
+def model_of(reasoning: Column) -> Column:
+    """The kind of model that answers a class of questions."""
+    return F.when(reasoning.isin(*MODELS), "code").otherwise("general")
+
+
+def temperature_of(reasoning: Column) -> Column:
+    return F.when(reasoning == "general", 0.3).otherwise(0.1)
+
+
+def messages(system: str, history: Column, cited: Column, question: Column) -> Column:
+    """A chat: the system's text, the history (role, content), and the question below its
+    numbered context, an array of texts."""
+    turn = lambda role, said: F.struct(F.lit(role).alias("role"), said.alias("content"))
+    context = F.array_join(F.transform(cited, lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c)), "\n")
+    asked = F.when(F.size(cited) > 0, F.concat(context, F.lit("\n\n"), question)).otherwise(question)
+    return F.concat(F.array(turn("system", F.lit(system))), F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), F.array(turn("user", asked)))
+
+
+def search_documents(files: DataFrame, repo_id: str) -> DataFrame:
+    """(id, path, name, content, language) of files, for a full-text index."""
+    return files.select(key_of(F.lit(repo_id), F.col("path"), length=32).alias("id"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), "content", "language")

@@ -54,6 +54,16 @@ QUESTIONS = ("question string", [
 NODES = ("id string, labels array<string>", [("r", ["Repository"]), ("f1", ["File"]), ("f2", ["File"]), ("c1", ["Class"]), ("m1", ["Method"]), ("x", ["Module"])])
 EDGES = ("src string, dst string, type string", [("r", "f1", "CONTAINS"), ("r", "f2", "CONTAINS"), ("f1", "c1", "DEFINES"), ("f2", "m1", "DEFINES"), ("c1", "m1", "HAS_METHOD"), ("m1", "c1", "CALLS"), ("f1", "x", "IMPORTS")])
 
+KINDS = ("raw string", [("class",), ("Type Alias",), ("type_alias",), ("REPO",), ("end-point",), ("endpoint",), ("author",), ("widget",), ("",), (None,)])
+ANSWERS = ("id int, text string", [(1, "# Title\n**bold** and *it*"), (2, "## Done:\n* one\n* two"), (3, "a::  b\n\n\n\nc #"), (4, ""), (5, None), (6, "plain")])
+SUBSYSTEMS = ("tier string, subsystem string, ord int", [("presentation", "ui_views", 0), ("api", "api_endpoints", 3), ("api", "api_security", 5), ("service", "service_ai", 9), ("data", "data_graph", 12)])
+SUBSYSTEM_EDGES = ("src string, dst string", [("api_security", "service_ai"), ("ui_views", "ui_views")])
+README = ("file_path string, line_no int, line string", [
+    ("README.md", 1, "# Name"), ("README.md", 2, ""), ("README.md", 3, "This is a paragraph that is long enough to be taken"), ("README.md", 4, "for the description, over two lines."), ("README.md", 5, ""), ("README.md", 6, "short"),
+    ("README.md", 7, "- a feature of some length"), ("README.md", 8, "* see http://example.com/x for more"), ("README.md", 9, "- tiny"), ("README.md", 10, "```"), ("README.md", 11, "pip install x"), ("README.md", 12, "```"),
+    ("README.md", 13, "```sh"), ("README.md", 14, "ls"), ("README.md", 15, "```"), ("b.md", 1, "nothing"),
+])
+
 
 def frame(spark: SparkSession, fixture: tuple[str, list[tuple]]) -> DataFrame:
     return spark.createDataFrame(fixture[1], fixture[0])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars
-from lodestrata.operators import discovery, findings, graph, history, retrieval
+from lodestrata.operators import discovery, explore, findings, graph, history, retrieval
 from lodestrata.plans import fixtures as fx
 from lodestrata.plans import rules
 
@@ -641,6 +641,94 @@ def event_windows(spark, d):
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "event_type", "n")
 
 
+# --------------------------------------------------------------- exploration
+
+
+@query(f"select raw, case when coalesce(raw, '') = '' then 'Unknown' else coalesce(case regexp_replace(lower(raw), '[\\s_-]+', '', 'g') {' '.join(f'when {_quote(k)} then {_quote(v)}' for k, v in explore.NODE_TYPES.items())} end, upper(substr(raw, 1, 1)) || substr(raw, 2)) end as node_type from {fx.sql(fx.KINDS)}")
+def node_types(spark, d):
+    return fx.frame(spark, fx.KINDS).select("raw", explore.node_type(F.col("raw")).alias("node_type"))
+
+
+@query(f"select handler, method, path from (select handler, {_METHODS} as method, coalesce(nullif(regexp_extract(decorator, '[\"'']([^\"'']+)[\"'']', 1), ''), '/' || handler) as path from {fx.sql(fx.DECORATORS)}) where method = 'PATCH' and contains(lower(path), 'p')")
+def endpoint_search(spark, d):
+    rows = fx.frame(spark, fx.DECORATORS).select(F.col("handler").alias("name"), F.array("decorator").alias("decorators"), F.lit("function").alias("type"), F.lit("a.y").alias("file_path"), F.lit(1).alias("line_start"), F.lit(None).cast("string").alias("docstring"))
+    return explore.find_endpoints(discovery.endpoints(rows), "P", "PATCH").select("handler", "method", "path")
+
+
+@query(f"select family, {', '.join(f'count(case when severity = {_quote(s)} then 1 end) as {s}' for s in explore.SEVERITIES)} from ({_family_sql(_CODE)}) group by family")
+def severity_pivot(spark, d):
+    return explore.by_severity(findings.security_findings(fx.frame(spark, fx.CODE_LINES)), "family")
+
+
+@query("select l_partkey as path, count(distinct l_orderkey) as changes, round(count(distinct l_orderkey) * 100.0::double / max(count(distinct l_orderkey)) over (), 2) as share from lineitem group by 1")
+def hotspot_share(spark, d):
+    return explore.with_share(_commit_files(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("changes")), "changes")
+
+
+@query("select * from (select strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as commits from orders group by 1) order by day desc limit 8")
+def recent_days(spark, d):
+    return explore.recent(history.frequency(_commits(spark, d)), "day", 8)
+
+
+@query(f"with {_SPARSE} select src as id, 'dependent' as side from sparse where dst = 1 union select dst, 'dependency' from sparse where src = 1")
+def module_sides(spark, d):
+    return explore.around(_sparse(spark, d), 1)
+
+
+@query(f"""with s as {fx.sql(fx.SUBSYSTEMS)}, e as {fx.sql(fx.SUBSYSTEM_EDGES)}, f as (select tier, arg_min(subsystem, ord) as first from s group by tier),
+flow(a, b, label) as (values {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in explore.TIER_FLOW)})
+select src, dst, 'imports' as label from e union all select x.first, y.first, label from flow join f x on x.tier = a join f y on y.tier = b
+where not exists (select 1 from e join s p on p.subsystem = e.src join s q on q.subsystem = e.dst where p.tier = a and q.tier = b)""")
+def tier_flow(spark, d):
+    return explore.flow_edges(fx.frame(spark, fx.SUBSYSTEM_EDGES), fx.frame(spark, fx.SUBSYSTEMS))
+
+
+@query("""select user_id, event_id, cast(i as integer) as i, round(20 + i::double / n * 15, 3) as progress from (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, count(*) over (partition by user_id) as n from events) where i % 40 = 0""")
+def progress_points(spark, d):
+    return explore.progress(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query(f"""with l as (select *, trim(line) as t, cast(starts_with(trim(line), '```') as integer) as fence from {fx.sql(fx.README)}), r as (select *, sum(fence) over w as fences, sum(cast(t = '' as integer)) over w as gap from l window w as (partition by file_path order by line_no)),
+p as (select file_path, gap, string_agg(t, ' ' order by line_no) as p from r where t <> '' and not regexp_matches(t, '^(#|---|```|!\\[|\\[!)') group by 1, 2),
+d as (select file_path, string_agg(p, chr(10) || chr(10) order by gap) as d from p where length(p) > 60 group by 1),
+b as (select file_path, string_agg(regexp_replace(t, '^[-* ]+', ''), ';' order by line_no) as f from r where regexp_matches(t, '^[-*] ') and length(t) > 15 and not regexp_matches(t, 'http|license|badge|npm install') group by 1),
+c as (select file_path, string_agg(c, ';' order by fences) as c from (select file_path, fences, string_agg(t, chr(10) order by line_no) as c from r where fences % 2 = 1 and fence = 0 group by 1, 2) where regexp_matches(c, 'npm |python |pip |yarn |docker|manage.py') group by 1)
+select file_path, coalesce(d, '') as description, coalesce(f, '') as features, coalesce(c, '') as commands from (select distinct file_path from l) left join d using (file_path) left join b using (file_path) left join c using (file_path)""")
+def readme_context(spark, d):
+    found = explore.readme(fx.frame(spark, fx.README))
+    return found.select("file_path", "description", F.array_join("features", ";").alias("features"), F.array_join("commands", ";").alias("commands"))
+
+
+@query(f"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#{{1,6}}[ \\t]+(.+?):?[ \\t]*$', '\\1:' || chr(10), 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g'), '[#*]', '', 'g'), '::\\s*', ': ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as answer from {fx.sql(fx.ANSWERS)}""")
+def clean_answers(spark, d):
+    return fx.frame(spark, fx.ANSWERS).select("id", retrieval.clean_answer(F.col("text")).alias("answer"))
+
+
+@query(f"select question, case when reasoning in ('code', 'security', 'performance', 'architecture') then 'code' else 'general' end as model, case when reasoning = 'general' then 0.3::double else 0.1::double end as temperature from (select question, {_first_sql(rules.REASONING, 'general')} as reasoning from {_ASKED})")
+def model_choice(spark, d):
+    r = scalars.reasoning_type(F.col("question"))
+    return _asked(spark, d).select("question", retrieval.model_of(r).alias("model"), retrieval.temperature_of(r).alias("temperature"))
+
+
+@query("""select conv_id, 'system: S' || chr(10) || string_agg(role || ': ' || text, chr(10) order by turn) || chr(10) || 'user: [1] one' || chr(10) || '[2] two' || chr(10) || chr(10) || 'why' as chat from conversations group by conv_id""")
+def chat_messages(spark, d):
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda r: F.struct(r["role"].alias("role"), r["text"].alias("content")))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("h"))
+    said = retrieval.messages("S", F.col("h"), F.array(F.lit("one"), F.lit("two")), F.lit("why"))
+    return rows.select("conv_id", F.array_join(F.transform(said, lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("chat"))
+
+
+@query("select substr(sha256('repo:' || url), 1, 32) as id, url as path, string_split(url, '/')[-1] as name, md5(html) as content_md5 from pages")
+def search_documents(spark, d):
+    rows = table(spark, d, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"), F.lit("HTML").alias("language"))
+    return retrieval.search_documents(rows, "repo").select("id", "path", "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("select (select count(*) from documents) as documents, (select count(*) from pages) as pages, (select count(*) from events) as events")
+def result_summary(spark, d):
+    return explore.summary(documents=table(spark, d, "documents"), pages=table(spark, d, "pages"), events=table(spark, d, "events"))
+
+
 # ------------------------------------------------------------------ flagship
 
 
