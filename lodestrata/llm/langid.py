@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bounded_share, fold_of
+from lodestrata.llm.common import fold_of
 
 ORDER = 3
 #: Bounds of what training reads and keeps: labelled rows per language, byte
