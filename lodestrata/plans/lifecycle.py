@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars
 from lodestrata.operators import discovery, findings, graph, history, retrieval
-from lodestrata.session import cut
+from lodestrata.session import cut, ship
 from lodestrata.sources import files as sources
 from lodestrata.sources import gitlog, manifests, parsers
 
@@ -44,6 +44,7 @@ def module_links(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = False) -> Report:
     """All results of a source tree."""
+    ship(spark)
     report = Report()
     files = cut(sources.scan(spark, root, repo_id), "files")
     parsed = cut(parsers.parse(files), "parsed")

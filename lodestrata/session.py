@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,14 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for a context: they may start
+    where it can't be imported from."""
+    context = spark.sparkContext
+    if not getattr(context, "_lodestrata_shipped", False):
+        package = Path(__file__).resolve().parent
+        if package.parent.is_dir():  # not when it is imported from an archive
+            context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/lodestrata", "zip", package.parent, package.name))
+        context._lodestrata_shipped = True

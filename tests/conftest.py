@@ -20,5 +20,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from lodestrata.session import ship
+
+    ship(session)
     yield session
     session.stop()
