@@ -135,9 +135,10 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0)
     def added(parts: pd.Series) -> bytes:
         return sum(np.frombuffer(p, np.float64) for p in parts).tobytes()
 
-    # partitions meet in a few groups before the last sum
-    parts = train.select("stats", "label").mapInPandas(equations, "part binary")
-    total = sum(np.frombuffer(r["part"], np.float64) for r in parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("g")).agg(added("part").alias("part")).collect())
+    # partitions meet in groups, and these in fewer, before the last sum
+    parts = train.select("stats", "label").mapInPandas(equations, "part binary").select(F.pmod(F.spark_partition_id(), F.lit(4096)).alias("g"), "part")
+    parts = parts.groupBy("g").agg(added("part").alias("part")).groupBy(F.pmod("g", F.lit(32)).alias("g")).agg(added("part").alias("part"))
+    total = sum(np.frombuffer(r["part"], np.float64) for r in parts.collect())
     size = FEATURES + 1
     zz, zy = total[: size * size].reshape(size, size), total[size * size :]
     model.weights = np.linalg.solve(zz + RIDGE * n * np.eye(size) / size, zy)
