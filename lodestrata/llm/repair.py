@@ -47,7 +47,9 @@ MAGIC, VERSION = b"LSRP", 1
 SHARD_TOKENS = 1 << 20
 ROUNDS, RULES = 6, 4_096
 #: Distinct chunks of text that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 1_000_000, 64
+#: A private character, and how many chunks go to the library with it between them.
+MARK, MARKED = "\ue000", 1_000
 
 
 # ---------------------------------------------------------------- tokenising
@@ -65,34 +67,63 @@ def _tokenizer(path: str):
 
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk between spaces or
-    line feeds once: this tokenizer drops white space and never joins across it."""
+    line feeds once: this tokenizer drops white space and never joins across it.  New chunks
+    go to the library many at a time, with a mark between them that stands for itself."""
 
     def __init__(self, path: str):
         self.path, self.memo = path, {}
+        self.mark = self.library([MARK])[0]
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remember the chunks' identifiers."""
+        plain = [c for c in chunks if MARK not in c]
+        parts: list[np.ndarray] = []
+        for at in range(0, len(plain), MARKED):
+            some = plain[at : at + MARKED]
+            ids, k = self.library([f" {MARK} ".join(some)])[0], len(self.mark)
+            hit = np.ones(max(0, len(ids) - k + 1), bool)
+            for i, x in enumerate(self.mark.tolist()):
+                hit &= ids[i : len(hit) + i] == x
+            cuts = np.flatnonzero(hit)
+            if len(cuts) != len(some) - 1:
+                parts += self.library(some)
+                continue
+            parts += [ids[a:b] for a, b in zip([0, *(cuts + k).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        self.memo.update(zip(plain, [x.tobytes() for x in parts], strict=True))
+        rest = [c for c in chunks if MARK in c]
+        self.memo.update(zip(rest, [x.tobytes() for x in self.library(rest)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        memo, out = self.memo, []
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for chunks in split for c in chunks} - memo.keys())
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({c for chunks in split for c in chunks})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for chunk, found in zip(some, _tokenizer(self.path).encode_batch(some, add_special_tokens=False), strict=True):
-                memo[chunk] = np.array(found.ids, "<u4").tobytes()
-        for chunks in split:
-            out.append(np.frombuffer(b"".join([memo[c] for c in chunks]), "<u4"))
+        found = [list(map(self.memo.get, chunks)) for chunks in split]
+        open_texts = [i for i, parts in enumerate(found) if None in parts]
+        new = list({c for i in open_texts for c, part in zip(split[i], found[i], strict=True) if part is None})
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            open_texts, new = range(len(texts)), list(set().union(*split))
+        self.learn(new)
+        for i in open_texts:
+            found[i] = map(self.memo.__getitem__, split[i])
+        out = [np.frombuffer(b"".join(parts), "<u4") for parts in found]
         for chunk in new:
             if len(chunk) > MEMO_CHARS:
-                del memo[chunk]
+                del self.memo[chunk]
         return out
 
 
+@lru_cache(1)
+def _encoder(path: str) -> ChunkEncoder:
+    """A worker's own, for all its tasks."""
+    return ChunkEncoder(path)
+
+
 # ------------------------------------------------------------------- grammar
 
 
-def _chosen(code: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _chosen(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent pairs as (left, right), at most ``n``."""
     ordered = np.sort(code)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -102,7 +133,8 @@ def _chosen(code: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> tu
     if len(often) > n:
         often = often[np.argpartition(-count[often], n)[:n]]
     pairs = np.sort(ordered[first[often]])
-    return (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    half = code.itemsize * 4
+    return (pairs >> half).astype(np.uint32), (pairs & ((1 << half) - 1)).astype(np.uint32)
 
 
 def compress(ids: np.ndarray, terminals: int, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,14 +144,14 @@ def compress(ids: np.ndarray, terminals: int, end: int = END) -> tuple[np.ndarra
         if len(seq) < 64 or len(rules) >= RULES:
             break
         left, right = seq[:-1], seq[1:]
-        inside = np.flatnonzero((left != end) & (right != end))
-        if not len(inside):
+        size = terminals + len(rules)
+        code = left << 16 | right if size <= 1 << 16 else left.astype(np.uint64) << 32 | right
+        code = code[(left != end) & (right != end)]
+        if not len(code):
             break
-        code = left[inside].astype(np.uint64) << np.uint64(32) | right[inside]
-        a, b = _chosen(code, left, right, min(2_048, RULES - len(rules)))
+        a, b = _chosen(code, min(2_048, RULES - len(rules)))
         if not len(a):
             break
-        size = terminals + len(rules)
         rows, row = np.unique(a, return_inverse=True)
         columns, column = np.unique(b, return_inverse=True)
         by_left, by_right = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
@@ -154,29 +186,25 @@ def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return np.array(size, np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, size: np.ndarray, terminals: int) -> np.ndarray:
-    """The identifiers that symbols stand for."""
-    flat: list[np.ndarray] = []
+@lru_cache(1)
+def _terminal_bytes(terminals: int) -> list[bytes]:
+    whole = np.arange(terminals, dtype="<u4").tobytes()
+    return [whole[i : i + 4] for i in range(0, 4 * terminals, 4)]
+
+
+def expansions(rules: np.ndarray, terminals: int) -> list[bytes]:
+    """What each symbol stands for, as the bytes of its identifiers."""
+    out = list(_terminal_bytes(terminals))
     for a, b in rules.tolist():
-        flat.append(np.concatenate([np.array([x], np.uint32) if x < terminals else flat[x - terminals] for x in (a, b)]))
-    table = np.concatenate([np.zeros(0, np.uint32), *flat])
-    first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[: len(size)]
-    rule = symbols.astype(np.int64) - terminals
-    is_rule = rule >= 0
-    n = np.ones(len(symbols), np.int64)
-    n[is_rule] = size[rule[is_rule]]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    out = np.empty(total, np.uint32)
-    starts = ends - n
-    out[starts[~is_rule]] = symbols[~is_rule]
-    k = n[is_rule]
-    if len(k):
-        within = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-        out[np.repeat(starts[is_rule], k) + within] = table[np.repeat(first[rule[is_rule]], k) + within]
+        out.append(out[a] + out[b])
     return out
 
 
+def expand(symbols: np.ndarray, table: list[bytes]) -> np.ndarray:
+    """The identifiers that symbols stand for."""
+    return np.frombuffer(b"".join(map(table.__getitem__, symbols.tolist())), "<u4")
+
+
 def pack(ids: np.ndarray, sizes: np.ndarray, terminals: int, end: int = END) -> bytes:
     """A file of one shard: its identifiers, and how many each document has, end included."""
     symbols, rules, size = compress(ids, terminals, end)
@@ -208,12 +236,13 @@ class TokenFile:
         self.rules, self.size = read("<u4", 2 * n_rules).reshape(-1, 2), read("<u4", n_rules)
         self.places, self.tokens = read("<u8", self.n_docs + 1), read("<u8", self.n_docs + 1)
         self.symbols = read("<u4" if self.terminals + n_rules > 0xFFFF else "<u2", n_symbols)
+        self.table = expansions(self.rules, self.terminals)
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols.astype(np.uint32), self.rules, self.size, self.terminals)
+        return expand(self.symbols, self.table)
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols[int(self.places[i]) : int(self.places[i + 1])].astype(np.uint32), self.rules, self.size, self.terminals)
+        return expand(self.symbols[int(self.places[i]) : int(self.places[i + 1])], self.table)
 
 
 # ---------------------------------------------------------------- the tables
@@ -228,7 +257,7 @@ def write(docs: DataFrame, where: str, path: str | None = None) -> None:
     placed = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = ChunkEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         terminals = _tokenizer(path).get_vocab_size()
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -272,7 +301,7 @@ def read(spark: SparkSession, where: str) -> DataFrame:
         for batch in batches:
             for part, seq, doc_ids, data in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "doc_ids", "file")), strict=True):
                 own = TokenFile(data)
-                ids, at = own.ids().astype("<u4"), own.tokens.astype(np.int64)
+                ids, at = own.ids(), own.tokens.astype(np.int64)
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 n = len(doc_ids)
