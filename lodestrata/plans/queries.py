@@ -190,7 +190,7 @@ def pagerank(spark, d):
 
 
 @query(f"""{_RANKS}, deg as (select id, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree from (select src as id, 0 as i, 1 as o from links union all select dst, 1, 0 from links) group by id)
-select id, round(score, 4) as score, in_degree, out_degree from final join deg using (id) order by score desc, id limit 10""")
+select id, round(score, 4) as score, coalesce(in_degree, 0) as in_degree, coalesce(out_degree, 0) as out_degree from final left join deg using (id) order by score desc, id limit 10""")
 def hubs_topn(spark, d):
     nodes, edges = _ranked(spark, d)
     return graph.hubs(nodes, edges, 10, rounds=20, tolerance=0)
