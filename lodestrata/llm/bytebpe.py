@@ -45,7 +45,7 @@ DICTIONARY = 131_072
 BUCKETS = 65_536
 LONG_PIECE = 192
 #: Pieces that a worker remembers.
-MEMO = 1_000_000
+MEMO = 400_000
 
 _PIECE = regex.compile(public_tokenizers.PATTERN)
 
@@ -109,9 +109,6 @@ class Codec:
     def __init__(self, path: str):
         self.path, self.memo, self.tokens = path, {}, None
 
-    def __getstate__(self):
-        return {"path": self.path, "memo": {}, "tokens": None}
-
     def _new(self, piece: str) -> bytes:
         data = piece.encode()
         ids = merge_short(data, read_ranks(self.path)) if len(data) <= LONG_PIECE else merge_long(data, self.path)
@@ -132,12 +129,19 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
+@lru_cache(1)
+def _codec(path: str) -> Codec:
+    """A worker's own, for all its tasks."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of ``docs`` with a column ``ids``."""
-    codec = Codec(path or public_tokenizers.path(VOCABULARY))
+    path = path or public_tokenizers.path(VOCABULARY)
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
+        codec = _codec(path)
         found = [codec.encode(t.as_py()) for t in texts]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *found]).astype(np.int32)))
@@ -147,10 +151,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def decoder(path: str | None = None):
     """A column function: a list of identifiers -> bytes."""
-    codec = Codec(path or public_tokenizers.path(VOCABULARY))
+    path = path or public_tokenizers.path(VOCABULARY)
 
     @F.arrow_udf("binary")
     def decoded(lists: pa.Array) -> pa.Array:
+        codec = _codec(path)
         return pa.array([codec.decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.binary())
 
     return decoded
@@ -159,11 +164,11 @@ def decoder(path: str | None = None):
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: identifiers and decoded
     bytes stay in the worker that makes them."""
-    codec = Codec(path or public_tokenizers.path(VOCABULARY))
+    path = path or public_tokenizers.path(VOCABULARY)
 
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def digest(texts: pa.Array) -> pa.Array:
-        n, listed, decoded = [], [], []
+        codec, n, listed, decoded = _codec(path), [], [], []
         for text in texts:
             ids = codec.encode(text.as_py())
             n.append(len(ids))

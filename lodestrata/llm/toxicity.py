@@ -34,8 +34,8 @@ MAX_FEATURES = 4_096
 #: A feature must have this log-likelihood ratio against independence of the label.
 MIN_EVIDENCE = 15.0
 PENALTY, COUNTERFACTUAL = 1e-3, 1.0
-#: Texts are read in pieces of whole words, so that temporaries stay small.
-MEMO = 400_000
+#: Words whose weights a task remembers.
+MEMO = 200_000
 
 #: Identity terms (fixed values); each swaps with its neighbour on the line.
 IDENTITY_SWAPS = """
