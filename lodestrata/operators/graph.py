@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import key_of
@@ -163,8 +163,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: in
         sent = plain.join(state.select(F.col("id").alias("src"), (F.col("score") / F.col("out")).alias("part")), "src")
         rows = sent.select(F.col("dst").alias("id"), F.lit(None).cast("long").alias("out"), F.col("part"), F.lit(None).cast("double").alias("before"))
         rows = rows.unionByName(state.select("id", "out", F.lit(0.0).alias("part"), F.col("score").alias("before")))
-        got = cut(rows.groupBy("id").agg(F.max("out").alias("out"), F.sum("part").alias("part"), F.max("before").alias("before")), "ranks")
-        loose = max(0.0, 1.0 - got.agg(F.sum("part")).first()[0])
+        got, total = rows.groupBy("id").agg(F.max("out").alias("out"), F.sum("part").alias("part"), F.max("before").alias("before")), Observation()
+        got = cut(got.observe(total, F.sum("part").alias("sent")), "ranks")  # summed while it is written
+        loose = max(0.0, 1.0 - total.get["sent"])
         new = got.select("id", "out", (F.lit((1 - alpha) / n + alpha * loose / n) + alpha * F.col("part")).alias("score"), "before")
         if tolerance and new.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] < tolerance:
             return new.select("id", "score")
