@@ -22,6 +22,10 @@ of its links, never all pairs, so groups of copies cost no more than their
 size.  Components are joined from the forests by alternating star operations
 on (node, smaller neighbour) rows; nothing is collected by the driver.
 
+The pipeline's stage (``distinct_documents``) doesn't use the fingerprints: pairs
+of a shingle similarity of 0.8 differ in 10 bits and up to some 20, a radius at
+which no tree prunes.  See ``similar_documents``.
+
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a row with a null doc_id gets a fingerprint, but takes part in no link
 and has a null component; repeated rows get equal results; rows that share a
@@ -35,12 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import materialize
 
 WORDS, RADIUS, SEED = 4, 4, 42
+#: The pipeline's stage: words of a shingle, and the similarity of sets that links documents.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bands of least hashes, and hashes in each.  A pair at the similarity shares no band with a
+#: probability of (1 - 0.8 ** 6) ** 50, under 3 in 10 million.
+BANDS, BAND_ROWS = 50, 6
 #: Rows of a shard that one task searches; larger shards are split exactly.
 SHARD_ROWS = 4_096
 #: Fingerprints of a tree's leaf, whose pairs are compared directly.
@@ -296,10 +305,134 @@ def hexadecimal(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+# ------------------------------------------------------- word shingles, exactly
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted hashes of a text's distinct word shingles; of all its words if they are fewer."""
+    words = text.encode("utf-8", "replace").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[:-size]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
+
+
+_FACTORS, _MASKS, _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * BAND_ROWS), np.uint64)
+_FACTORS, _MIX = _FACTORS | np.uint64(1), _MIX | np.uint64(1)
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """A value for each band of the least hashes of a shingle set."""
+    low = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(own), 256):
+        low = np.minimum(low, ((own[at : at + 256, None] ^ _MASKS) * _FACTORS).min(axis=0))
+    return ((low ^ low >> np.uint64(29)) * _MIX).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+
+
+def linked_sets(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
+    """For each set the first of its component; sets are linked at a Jaccard similarity of
+    ``least``, exactly.  Each set in turn meets those after it, in order of size, that aren't
+    in its component yet and aren't too large."""
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, forest = size[order], Forest(len(sets))
+    tokens, token = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(tokens), bool)
+    for i in range(len(sets)):
+        far = int(np.searchsorted(size * least, size[i] + 1e-9, side="right"))
+        others = np.arange(i + 1, far)
+        others = others[forest.root[others] != forest.root[i]]
+        if not len(others):
+            continue
+        own = token[start[i] : start[i + 1]]
+        mark[own] = True
+        step = max(1, 4_000_000 // int(size[others[-1]] or 1))
+        for at in range(0, len(others), step):
+            some = others[at : at + step]
+            if not size[i]:  # empty sets are equal
+                both = np.zeros(len(some), np.int64)
+                near = size[some] == 0
+            else:
+                ends = np.cumsum(size[some])
+                place = np.arange(ends[-1]) + np.repeat(start[some] - ends + size[some], size[some])
+                both = np.add.reduceat(mark[token[place]], ends - size[some], dtype=np.int64)
+                near = both >= least * (size[i] + size[some] - both) - 1e-9
+            forest.link(np.full(int(near.sum()), i), some[near])
+        mark[own] = False
+    first = np.full(len(sets), len(sets))
+    np.minimum.at(first, forest.root, order)
+    out = np.empty(len(sets), np.int64)
+    out[order] = first[forest.root]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (root, node, text), sorted by root within the partition: links (a, b) of each root's
+    rows.  It holds the shingles of one root."""
+
+    def emit(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        node = np.array(nodes, np.int64)
+        low = node[linked_sets(sets)]
+        apart = node != low
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(node, low)[apart]), pa.array(np.minimum(node, low)[apart])], ["a", "b"])
+
+    now, nodes, sets = None, [], []
+    for batch in batches:
+        for root, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if root != now and nodes:
+                yield emit(nodes, sets)
+                nodes, sets = [], []
+            now = root
+            nodes.append(node)
+            sets.append(shingles(text.as_py()))
+    if nodes:
+        yield emit(nodes, sets)
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, component_id) of every row of ``docs``: documents are linked where the
+    Jaccard similarity of their shingle sets is ``SIMILARITY`` or more.
+
+    Equal sets are one node.  Nodes that share a band are candidates, and connected candidates
+    are one group; the texts of a group then meet in one place, where all links are exact."""
+
+    @F.arrow_udf("struct<key:long,bands:array<long>>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        sets = [shingles(t.as_py()) for t in texts]
+        keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        values = np.stack([bands(x) for x in sets]).view(np.int64).reshape(-1) if sets else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(values))
+        return pa.StructArray.from_arrays([pa.array(keys), lists], ["key", "bands"])
+
+    prints = materialize(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.key", "s.bands"), "sketches")
+    known = prints.filter(F.col("doc_id").isNotNull())
+    nodes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "set-nodes")
+    placed = nodes.select("node", F.explode("bands").alias("band"))
+    lowest = F.first("node").over(Window.partitionBy("band").orderBy("node"))
+    near = materialize(placed.select(F.col("node").alias("a"), lowest.alias("b")).filter("a <> b").distinct(), "candidates")
+    grouped = components(near)
+    members = materialize(grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct(), "candidate-groups")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members, "node").select("root", "node", "text")
+    found = texts.repartition("root").sortWithinPartitions("root").mapInArrow(_groups, "a long, b long")
+    # a document with several texts (a repeated id) links their sets
+    several = known.join(nodes.select("key", "node"), "key").filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    several = several.join(nodes.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
+    linked = components(materialize(found.unionByName(several).distinct(), "set-links"))
+    named = nodes.join(linked, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
+    joined = prints.select("doc_id", "key").join(named, "key", "left")
+    return joined.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns: one of each component, that of the smallest
-    doc_id; rows without an id stay."""
-    found = near_duplicates(docs)
+    doc_id; rows without an id stay.  Components are those of ``similar_documents``."""
+    found = materialize(similar_documents(docs), "similar-documents")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
     # rows repeated under the kept id: one of them, told by its text

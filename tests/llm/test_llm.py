@@ -421,6 +421,54 @@ def test_near_duplicates_of_edges(spark):
 # ------------------------------------------------------------------- pipeline
 
 
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def edited(words, changes, tag):
+    out = list(words)
+    for k in range(changes):
+        out[20 + 30 * k + 7 * tag] = f"changed{tag}x{k}"
+    return " ".join(out)
+
+
+def test_edited_copies_are_one_document(spark):
+    rng = random.Random(7)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(6)]
+    texts = [" ".join(b) for b in bases] + [edited(b, 1 + i % 4, i % 4) for i, b in enumerate(bases)]
+    far = [edited(b, 5, 2) for b in bases]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    sets = [plain_shingles(t) for t in texts + far]
+    assert all(0.8 <= jaccard(sets[i], sets[6 + i]) < 0.96 and jaccard(sets[i], sets[12 + i]) < 0.8 for i in range(6))
+    kept = {r["doc_id"] for r in neardup.distinct_documents(frame(spark, texts + far)).collect()}
+    want = list(range(18))
+    for a in range(18):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = want[a], want[b]
+                want = [min(x, y) if c in (x, y) else c for c in want]
+    assert kept == set(want) and not kept & set(range(6, 12))
+
+
+def test_linked_sets_against_brute_force():
+    rng = np.random.default_rng(3)
+    sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+    for _ in range(12):
+        base = rng.integers(0, 400, 40)
+        sets += [np.unique(np.concatenate([base[: 40 - k], rng.integers(0, 400, k)])).astype(np.uint64) for k in range(8)]
+    order = rng.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    want = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if len(x & y) >= 0.8 * len(x | y):
+                p, q = want[a], want[b]
+                want = [min(p, q) if c in (p, q) else c for c in want]
+    assert neardup.linked_sets(sets).tolist() == want
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     import corpus_pipeline
 
