@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import bounded_share, fold_of, materialize
@@ -124,14 +124,16 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "label")
 
 
-def _evidence(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+def _evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     """Log-likelihood ratios of 2 x 2 tables of texts with and without a feature."""
-    table = np.stack([pos, neg, n_pos - pos, n_neg - neg]).astype(float)
-    rows, total = np.array([n_pos, n_neg, n_pos, n_neg], float)[:, None], n_pos + n_neg
-    there = pos + neg
-    columns = np.stack([there, there, total - there, total - there]).astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return 2 * np.nansum(np.where(table > 0, table * np.log(table * total / (rows * columns)), 0), axis=0)
+
+    def bits(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+
+    p, n = pos.cast("double"), neg.cast("double")
+    a, b = F.lit(float(n_pos)), F.lit(float(n_neg))
+    cells = bits(p) + bits(n) + bits(a - p) + bits(b - n)
+    return 2 * (cells + bits(a + b) - bits(a) - bits(b) - bits(p + n) - bits(a + b - p - n))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_rows: int = MAX_ROWS) -> ToxicityModel:
@@ -156,9 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
     if not n_pos or not n_neg:
         return ToxicityModel({}, -np.inf if not n_pos else np.log(n_pos))
     rare = counts.filter((F.col("feature") != "") & (F.col("pos") >= 3) & (F.col("pos") * F.lit(n_neg) > F.lit(2.0 * n_pos) * F.col("neg")))
-    few = rare.orderBy(F.desc(F.col("pos") / (F.col("neg") + F.col("pos") + 1.0)), F.desc("pos"), "feature").limit(4 * MAX_FEATURES).toPandas()
-    few["evidence"] = _evidence(few["pos"].to_numpy(), few["neg"].to_numpy(), n_pos, n_neg)
-    few = few[few["evidence"] >= MIN_EVIDENCE].sort_values(["evidence", "feature"], ascending=[False, True]).head(MAX_FEATURES)
+    judged = rare.withColumn("evidence", _evidence(F.col("pos"), F.col("neg"), n_pos, n_neg)).filter(F.col("evidence") >= MIN_EVIDENCE)
+    few = judged.orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).toPandas()
     index = {f: i for i, f in enumerate(few["feature"])}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -252,6 +252,24 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels, model).count() == 0
 
 
+def test_features_are_chosen_by_their_evidence(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 2)
+    rare = [f"r{c}z" for c in "abcdefghijkl"]
+    texts, toxic = [], []
+    for i in range(600):
+        toxic.append(int(i < 200))
+        words = ["bad"] if i < 150 or 200 <= i < 240 else ["fox"]
+        texts.append(" ".join([*words, *([rare[i // 12]] if i < 144 else [])]))
+    labels = spark.createDataFrame([(i, x) for i, x in enumerate(toxic)], "doc_id long, toxic int")
+    assert "bad" in toxicity.fit(frame(spark, texts), labels).weights
+    got = spark.createDataFrame([(100, 40), (4, 0)], "p long, n long").select(toxicity._evidence(F.col("p"), F.col("n"), 1800, 14200)).collect()
+    want = []
+    for pos, neg in ((100, 40), (4, 0)):
+        cells = [(pos, 1800, pos + neg), (neg, 14200, pos + neg), (1800 - pos, 1800, 16000 - pos - neg), (14200 - neg, 14200, 16000 - pos - neg)]
+        want.append(2 * sum(x * np.log(x * 16000 / (r * c)) for x, r, c in cells if x))
+    assert np.allclose([r[0] for r in got], want)
+
+
 def test_counterfactual_penalty_levels_groups():
     """Labels blame one group; the penalty evens its score with the swapped text's."""
     data = pd.DataFrame({"label": [1, 0] * 50, "own": [[0, 1], [2]] * 50, "other": [[0, 2], [1]] * 50})
