@@ -43,9 +43,11 @@ from lodestrata.llm.common import shared_path
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 MAGIC, VERSION = b"LSRP", 1
-#: Identifiers of a shard, at least, unless the partition ends; rounds and rules of a grammar.
+#: Identifiers of a shard, at least, unless the partition ends; new rules of one round.
 SHARD_TOKENS = 1 << 20
-ROUNDS, RULES = 6, 4_096
+ROUND_RULES = 2_048
+#: Occurrences whose four bytes each exceed the twelve bytes of a rule.
+PAYS = 4
 #: Distinct chunks of text that a worker remembers, and the longest of them.
 MEMO, MEMO_CHARS = 1_000_000, 64
 #: A private character, and how many chunks go to the library with it between them.
@@ -128,8 +130,7 @@ def _chosen(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     ordered = np.sort(code)
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     count = np.diff(np.append(first, len(ordered)))
-    least = max(4, len(code) // 20_000)
-    often = np.flatnonzero(count >= least)
+    often = np.flatnonzero(count >= PAYS)
     if len(often) > n:
         often = often[np.argpartition(-count[often], n)[:n]]
     pairs = np.sort(ordered[first[often]])
@@ -138,18 +139,22 @@ def _chosen(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compress(ids: np.ndarray, terminals: int, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths): rule i is the pair that symbol ``terminals + i`` stands for."""
+    """(symbols, rules, lengths): rule i is the pair that symbol ``terminals + i`` stands for.
+    Rounds go on until no pair pays; the round whose file is the smallest is returned, since
+    symbols double their bytes where they no longer fit 16 bits."""
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 64 or len(rules) >= RULES:
-            break
+    best = None
+    while True:
+        cost = 12 * len(rules) + (4 if terminals + len(rules) > 0xFFFF else 2) * len(seq)
+        if best is None or cost <= best[0]:
+            best = cost, seq, rules
         left, right = seq[:-1], seq[1:]
         size = terminals + len(rules)
         code = left << 16 | right if size <= 1 << 16 else left.astype(np.uint64) << 32 | right
         code = code[(left != end) & (right != end)]
         if not len(code):
             break
-        a, b = _chosen(code, min(2_048, RULES - len(rules)))
+        a, b = _chosen(code, ROUND_RULES)
         if not len(a):
             break
         rows, row = np.unique(a, return_inverse=True)
@@ -175,6 +180,7 @@ def compress(ids: np.ndarray, terminals: int, end: int = END) -> tuple[np.ndarra
         keep[at + 1] = False
         seq = seq[keep]
         rules = np.concatenate([rules, np.stack([a[used], b[used]], axis=1)])
+    _, seq, rules = best
     return seq, rules, lengths(rules, terminals)
 
 

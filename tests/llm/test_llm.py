@@ -356,6 +356,16 @@ def test_grammar_compresses():
     assert len(symbols) < len(ids) / 8 and len(rules) and size.max() >= 8
 
 
+def test_grammar_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(2, 30_000, 1_000)
+    noise = rng.permutation(np.arange(2, 40_000))
+    ids = np.concatenate([np.concatenate([passage, [1]]) for _ in range(60)] + [noise, [1]]).astype(np.uint32)
+    symbols, rules, size = repair.compress(ids, 49_152)
+    assert size.max() > 64 and len(symbols) < len(noise) + 60 * 20
+    assert repair.expand(symbols, repair.expansions(rules, 49_152)).tolist() == ids.tolist()
+
+
 # ------------------------------------------------------------ near-duplicates
 
 
