@@ -61,6 +61,18 @@ def search(docs: DataFrame, key: str, text: str, words: list[str], k: int = 10)
     return scored.groupBy(key).agg(F.round(score, 4).alias("score"), F.count(F.lit(1)).alias("matched")).orderBy(F.desc("score"), key).limit(k)
 
 
+def first_places(rows: DataFrame, text: str, order: Column, k: int) -> DataFrame:
+    """(text, rank) of the first k distinct texts by their best place among all rows, repeats
+    counted; the minimum of each text's hash combines before the shuffle."""
+    placed = rows.select(F.col(text).alias("text"), order.alias("o"))
+    best = placed.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min("o").alias("o"))
+    top = best.orderBy("o").limit(k)
+    # k rows: how many rows stand before each, and its text
+    before = placed.select(F.col("o").alias("p")).join(F.broadcast(top), F.col("p") < F.col("o")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    texts = placed.withColumn("h", F.sha2(F.col("text").cast("binary"), 256)).join(F.broadcast(top.select("h", F.col("o").alias("first"))), "h").filter(F.col("o") == F.col("first"))
+    return texts.select("h", "text").dropDuplicates(["h"]).join(before, "h", "left").select("text", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("rank"))
+
+
 def fuse(sources: list[DataFrame], k: int = 12) -> DataFrame:
     """Ranked sources (text, score, rank) joined in order; a text counts once, where it first
     stands."""

@@ -588,9 +588,9 @@ u as (select text, 0 as source, rank, score from a union all select text, 1, ran
 select md5(text) as text_md5, source, rank, score from (select *, row_number() over (partition by text order by source, rank) as rn from u) where rn = 1 order by source, rank limit 12""")
 def retrieval_fusion(spark, d):
     docs = table(spark, d, "documents")
-    top = lambda df, *order: df.orderBy(*order).limit(40).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    a = top(docs.filter(F.col("text").contains("MIT")), "doc_id").select("text", F.lit(1.0).alias("score"), "rank")
-    b = top(docs, F.desc("n_chars"), "doc_id").select("text", F.lit(0.5).alias("score"), "rank")
+    # 12 texts of the first source, and as many of the second as those could repeat besides
+    a = retrieval.first_places(docs.filter(F.col("text").contains("MIT")), "text", F.struct("doc_id"), 12).withColumn("score", F.lit(1.0))
+    b = retrieval.first_places(docs, "text", F.struct(-F.col("n_chars").alias("n"), F.col("doc_id")), 24).withColumn("score", F.lit(0.5))
     return retrieval.fuse([a, b], 12).select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "source", F.col("rank").cast("long").alias("rank"), "score")
 
 

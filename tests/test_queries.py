@@ -28,6 +28,18 @@ def test_query(spark, duck, name):
     assert rows[0] == rows[1]
 
 
+def test_fusion_with_many_copies(spark, tmp_path):
+    texts = ["MIT copy " * 9] * 60 + ["the longest text of them all " * 9] * 50 + [f"MIT text {i}" for i in range(4)] + ["other " * i for i in range(1, 20)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["source", "rank", "text_md5", "score"]
+    got, want = queries.QUERIES["retrieval_fusion"](spark, str(tmp_path)).toPandas(), con.sql(queries.SQL["retrieval_fusion"]).df()
+    assert len(want) == 12
+    assert got[columns].sort_values(columns).to_numpy().tolist() == want[columns].sort_values(columns).to_numpy().tolist()
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
 
