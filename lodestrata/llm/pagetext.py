@@ -6,7 +6,7 @@ telling class or id words are kept).  All blocks of a path are judged
 together: the path's text length and its punctuation, each per block, are
 smoothed over the paths in page order, fused by multiplication and weighed by
 what the elements on the path say (an article or main element, or one of
-navigation, advertising and the like).  Paths above a share of the best
+navigation, advertising and the like); no block is left out before that.  Paths above a share of the best
 path's value are content; their blocks, in page order, are the text.
 
 Defined results: a null or empty page, and one without content, gives an empty
@@ -45,7 +45,9 @@ _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s/>=])|aria-hidden\s*=\s*["']?true|styl
 _PIECES = re.compile(r"[^a-z0-9]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
-PRIOR = {"article": 3.0, "plain": 1.0, "aside": 0.0}
+#: Weights by role: "hint" has a telling class word, "inner" has one within an article.  Only
+#: elements that hold no text of the page, and what is hidden, weigh nothing.
+PRIOR = {"article": 3.0, "plain": 1.0, "inner": 0.3, "hint": 0.1, "aside": 0.0}
 #: A path is content at this share of the best path's value.
 SHARE = 0.08
 
@@ -60,8 +62,10 @@ def _role(name: str, tag: str, inside: bool) -> tuple[str, str]:
             hint.update(value.split())
         if _HIDDEN.search(tag):
             return name + "!hidden", "aside"
-    if name in BOILERPLATE and not (name == "header" and inside) or hint & ASIDE and name not in ("html", "body") and not (name in SECTIONING and hint & BODY):
+    if name in BOILERPLATE and not (name == "header" and inside):
         return f"{name}.{'.'.join(sorted(hint & ASIDE))}", "aside"
+    if hint & ASIDE and name not in ("html", "body") and not (name in SECTIONING and hint & BODY):
+        return f"{name}.{'.'.join(sorted(hint & ASIDE))}", "inner" if inside else "hint"
     if name in SECTIONING or hint & BODY:
         return name + "+", "article"
     return name, "plain"
@@ -115,7 +119,7 @@ def blocks_of(page: str) -> list[tuple[str, str, str]]:
                 stack.pop()
             path, role = (stack[-1][1], stack[-1][2]) if stack else ("", "plain")
             added, own = _role(name, tag, role == "article")
-            path, role = f"{path}/{added}", role if role == "aside" or own == "plain" else own
+            path, role = f"{path}/{added}", role if role in ("aside", "hint", "inner") and own != "aside" or own == "plain" else own
             stack.append((name, path, role))
             continue
         if name in INLINE or name in VOID:
@@ -160,8 +164,6 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    if any(role == "article" for _, role, _ in blocks):  # a marked article is all of it
-        blocks = [b for b in blocks if b[1] == "article"]
     if not blocks:
         return ""
     value = path_values(blocks)

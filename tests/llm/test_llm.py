@@ -218,6 +218,14 @@ def test_page_text():
     assert len(pagetext.main_text("<article>" + "<p>word word, word.</p>" * 20_000).split("\n")) == 20_000
 
 
+def test_unmarked_text_beside_marked_teasers():
+    story = "".join(f"<p>Sentence {i} of the story, which is long, has commas, and goes on for a while, as stories do.</p>" for i in range(9))
+    cards = "".join(f'<article class="card"><h3>Teaser {i}</h3></article>' for i in range(4))
+    assert pagetext.main_text(f"<html><body><div>{story}</div>{cards}</body></html>").startswith("Sentence 0 of the story")
+    lead = "The lead, a paragraph with commas, which stands in a header of the entry, and is text."
+    assert lead in pagetext.main_text(f'<article><div class="entry-header"><p>{lead}</p></div>{story}</article>')
+
+
 def test_page_frame(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, None)], "page_id long, url string, html string, text int")
     rows = pagetext.extract(pages).collect()
