@@ -3,25 +3,31 @@
 Documents are dealt to shards in ascending order of doc_id, tokenised, and
 each shard's identifiers are written as one file: Re-Pair repeatedly replaces
 frequent neighbouring pairs by new symbols (nonterminals) until no pair pays
-for its rule.  A file holds the rules, each rule's expansion length, the
+for its rule, that is, until the symbols that it would save take no more bytes
+than the rule.  A file holds the rules, each rule's expansion length, the
 remaining symbols and, for each document, its place, so that one document can
 be decoded without the others.  Pairs never reach across documents, since the
 end identifier takes no part in any.
 
-Each round replaces all pairs above a falling threshold at once; where
-occurrences overlap, every other one from the left is taken.  Rounds are numpy
-passes over the shard, so their cost is linear in its size.
+A round replaces many pairs at once, and where occurrences overlap the more
+frequent pair.  Rounds are numpy passes over the places that can still matter.
 
 File format, little-endian.  Header: magic ``LSRP``, version, number of
 terminals, rules, symbols and documents as unsigned 32-bit integers.  Then the
-rules (left, right) and the expansion lengths as unsigned 32-bit integers, the
-documents' first symbols and first identifiers as unsigned 64-bit integers
-(one more than documents), and the symbols as unsigned integers of 16 or 32
-bits (16 if the symbols fit).
+terminals' identifiers as unsigned 32-bit integers (symbols count the
+identifiers that the shard uses, then its rules), the rules (left, right), the
+expansion lengths as unsigned 32-bit integers, the documents' first symbols
+and first identifiers as unsigned 64-bit integers (one more than documents),
+and the symbols.  Rules and symbols are unsigned integers of 16 bits, or of 32
+where terminals and rules are more than 65,536.
 
 Defined results: a null text counts as empty; an empty text has the end
-identifier alone.  Null doc_ids come first; rows of one doc_id are ordered by
-a hash of the text, and repeated rows stay repeated.
+identifier alone, and an empty table no rows; a very long text is encoded in
+blocks that end at white space, and is one document of its shard; strings that
+look like special tokens are what the library makes of them; ill-formed UTF-8
+counts as U+FFFD.  Null doc_ids come first; rows of one doc_id are ordered by
+a hash of the text, and repeated rows stay repeated.  Other columns than
+doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,14 +48,13 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import shared_path
 
 VOCABULARY, END = "word_bpe_49k.json", 1
-MAGIC, VERSION = b"LSRP", 1
-#: Identifiers of a shard, at least, unless the partition ends; new rules of one round.
+MAGIC, VERSION = b"LSRP", 2
+#: Identifiers of a shard, at least, unless the partition ends.
 SHARD_TOKENS = 1 << 20
-ROUND_RULES = 2_048
-#: Occurrences whose four bytes each exceed the twelve bytes of a rule.
-PAYS = 4
-#: Distinct chunks of text that a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 1_000_000, 64
+#: A round takes pairs of at least this part of the greatest count.
+FALL = 64
+#: Distinct pieces of text that a worker remembers, and bytes of text that it looks up at once.
+MEMO, BLOCK = 1 << 21, 1 << 20
 #: A private character, and how many chunks go to the library with it between them.
 MARK, MARKED = "\ue000", 1_000
 
@@ -62,126 +67,436 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(1)
+def _model(path: str):
+    """The library's tokenizer without its normaliser and pattern, for pieces that are already
+    normalised and cut (one to a line), and which of its identifiers end a piece."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
     found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    found.normalizer = normalizers.Sequence([])
+    found.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(found.get_vocab_size(), bool)
+    ends[[i for token, i in found.get_vocab().items() if token.endswith("</w>")]] = True
+    return found, ends
+
+
+#: Classes of bytes: white space, letters, digits, other marks; 4 leaves a chunk to the library as it is.
+_CLASS = np.full(256, 4, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[9, 10, 11, 12, 13, 32]] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... (sizes[i] of them) of all i, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not total or starts.max() < 1 << 31) else np.int64
+    out = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
-class ChunkEncoder:
-    """Encodes texts with the tokenizers library, each distinct chunk between spaces or
-    line feeds once: this tokenizer drops white space and never joins across it.  New chunks
-    go to the library many at a time, with a mark between them that stands for itself."""
+def cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, raw): the pieces that the tokenizer's normaliser and pattern make of
+    texts that lie one after another from ``begins``.  Chunks between white space that hold ASCII,
+    Latin-1 letters and dashes, quotes and dots from U+2010 to U+2027 are lower-cased and cut
+    here; a chunk with any other character, a control character or the beginning of a special
+    token stays whole, with its case, and is marked raw."""
+    n, kind = len(data), _CLASS[data]
+    low = np.empty(n + 24, np.uint8)
+    np.take(_LOWER, data, out=low[:n])
+    low[n:] = 0
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    if len(lead):
+        second = data[lead + 1]
+        letter = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+        lead, second = lead[letter], second[letter]
+        kind[lead] = kind[lead + 1] = 1
+        low[lead + 1] = second + np.where(second <= 0x9E, 0x20, 0).astype(np.uint8)
+    lead = np.flatnonzero(data[:-2] == 0xE2) if n > 2 else lead[:0]
+    if len(lead):
+        lead = lead[(data[lead + 1] == 0x80) & (data[lead + 2] >= 0x90) & (data[lead + 2] <= 0xA7)]
+        kind[lead] = kind[lead + 1] = kind[lead + 2] = 3
+    first = np.empty(n, bool)
+    first[0] = True
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    first[begins] = True
+    starts = np.flatnonzero(first)
+    ends, own = np.append(starts[1:], n), kind[starts]
+    keep = own != 0
+    starts, ends, own = starts[keep], ends[keep], own[keep]
+    if not len(starts):
+        return low, starts, ends, np.zeros(0, bool)
+    fresh = np.empty(len(starts), bool)  # the piece begins a chunk
+    fresh[0] = True
+    fresh[1:] = starts[1:] != ends[:-1]
+    at = np.searchsorted(starts, begins)
+    at = at[at < len(starts)]
+    fresh[at[np.isin(starts[at], begins)]] = True
+    odd = own == 4
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if len(special):
+        odd[np.searchsorted(starts, special, side="right") - 1] = True
+    raw = np.zeros(len(starts), bool)
+    if odd.any():
+        chunk = np.cumsum(fresh) - 1
+        bad = np.zeros(chunk[-1] + 1, bool)
+        bad[chunk[odd]] = True
+        head = np.flatnonzero(fresh)
+        last = np.append(head[1:], len(starts)) - 1
+        stop = ends[last]
+        whole = bad[chunk]
+        keep = ~whole | fresh
+        ends = np.where(whole, stop[chunk], ends)[keep]
+        starts, raw, own = starts[keep], whole[keep], own[keep]
+        at = ragged(starts[raw], (ends - starts)[raw])
+        low[at] = data[at]
+        fresh = fresh[keep]
+    # 's 't 'm 'd 're 've 'll take their letters from the piece after
+    mark = np.flatnonzero((ends - starts == 1) & (low[starts] == 39) & ~raw)
+    mark = mark[mark + 1 < len(starts)]
+    mark = mark[~fresh[mark + 1] & (own[mark + 1] == 1)]
+    if len(mark):
+        a, b = low[ends[mark]], np.where(ends[mark + 1] - starts[mark + 1] > 1, low[ends[mark] + 1], 0)
+        two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+        size = np.where(np.isin(a, (100, 109, 115, 116)), 1, np.where(two, 2, 0))
+        ends[mark] += size
+        starts[mark + 1] += size
+        keep = ends > starts
+        starts, ends, raw = starts[keep], ends[keep], raw[keep]
+    return low, starts, ends, raw
+
+
+class PieceEncoder:
+    """Encodes texts with the tokenizers library, each distinct piece once.  Pieces of up to 16
+    bytes are found in a hash table by their bytes (two 64-bit numbers), which whole blocks
+    of text look up at once; longer ones in a dictionary.  Entry 0 is the end identifier."""
 
     def __init__(self, path: str):
-        self.path, self.memo = path, {}
+        self.path = path
         self.mark = self.library([MARK])[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = np.full(2 * MEMO, -1, np.int32)
+        self.low, self.high = np.zeros(MEMO, np.uint64), np.zeros(MEMO, np.uint64)
+        self.at, self.size = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
+        self.size[0] = 1
+        self.n, self.used, self.ids = 1, 1, np.full(4 * MEMO, END, "<u4")
+        self.long: dict[bytes, int] = {}
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Remember the chunks' identifiers."""
-        plain = [c for c in chunks if MARK not in c]
-        parts: list[np.ndarray] = []
+    def raw_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Identifiers of whole chunks; many go to the library at a time, a mark between them."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        parts: list[np.ndarray | None] = [None] * len(texts)
+        plain = [i for i, c in enumerate(texts) if MARK not in c]
         for at in range(0, len(plain), MARKED):
             some = plain[at : at + MARKED]
-            ids, k = self.library([f" {MARK} ".join(some)])[0], len(self.mark)
+            ids, k = self.library([f" {MARK} ".join(texts[i] for i in some)])[0], len(self.mark)
             hit = np.ones(max(0, len(ids) - k + 1), bool)
             for i, x in enumerate(self.mark.tolist()):
                 hit &= ids[i : len(hit) + i] == x
             cuts = np.flatnonzero(hit)
-            if len(cuts) != len(some) - 1:
-                parts += self.library(some)
-                continue
-            parts += [ids[a:b] for a, b in zip([0, *(cuts + k).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
-        self.memo.update(zip(plain, [x.tobytes() for x in parts], strict=True))
-        rest = [c for c in chunks if MARK in c]
-        self.memo.update(zip(rest, [x.tobytes() for x in self.library(rest)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.memo.get, chunks)) for chunks in split]
-        open_texts = [i for i, parts in enumerate(found) if None in parts]
-        new = list({c for i in open_texts for c, part in zip(split[i], found[i], strict=True) if part is None})
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            open_texts, new = range(len(texts)), list(set().union(*split))
-        self.learn(new)
-        for i in open_texts:
-            found[i] = map(self.memo.__getitem__, split[i])
-        out = [np.frombuffer(b"".join(parts), "<u4") for parts in found]
-        for chunk in new:
-            if len(chunk) > MEMO_CHARS:
-                del self.memo[chunk]
+            if len(cuts) == len(some) - 1:
+                for i, a, b in zip(some, [0, *(cuts + k).tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                    parts[i] = ids[a:b]
+        rest = [i for i, x in enumerate(parts) if x is None]
+        for i, x in zip(rest, self.library([texts[i] for i in rest]), strict=True):
+            parts[i] = x
+        return parts
+
+    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of normalised pieces, one after another, and how many each has."""
+        model, is_end = _model(self.path)
+        parts, sizes = [], []
+        for at in range(0, len(words), MARKED):
+            some = words[at : at + MARKED]
+            ids = np.array(model.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            size = np.diff(np.flatnonzero(is_end[ids]), prepend=-1)
+            if len(size) != len(some) or size.sum() != len(ids):
+                each = self.library([w.decode() for w in some])
+                ids, size = np.concatenate(each), np.array([len(x) for x in each])
+            parts.append(ids)
+            sizes.append(size)
+        return np.concatenate(parts), np.concatenate(sizes)
+
+    def _remember(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New entries with these identifiers; their numbers."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        new = np.arange(self.n, self.n + len(sizes))
+        self.at[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
+        return new
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low ^ high * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((mixed ^ mixed >> np.uint64(32)) % np.uint64(len(self.table))).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entries of short pieces; -1 where there is none."""
+        slot, out = self._slots(low, high), np.full(len(low), -1, np.int64)
+        entry = self.table[slot]
+        hit = (entry >= 0) & (self.low[entry] == low) & (self.high[entry] == high)
+        out[hit] = entry[hit]
+        open_rows = np.flatnonzero(~hit & (entry >= 0))
+        while len(open_rows):
+            slot[open_rows] = (slot[open_rows] + 1) % len(self.table)
+            entry = self.table[slot[open_rows]]
+            hit = (entry >= 0) & (self.low[entry] == low[open_rows]) & (self.high[entry] == high[open_rows])
+            out[open_rows[hit]] = entry[hit]
+            open_rows = open_rows[~hit & (entry >= 0)]
         return out
 
+    def _place(self, entries: np.ndarray) -> None:
+        slot = self._slots(self.low[entries], self.high[entries])
+        while len(entries):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = entries[free]
+            lost = self.table[slot] != entries
+            entries, slot = entries[lost], (slot[lost] + 1) % len(self.table)
+
+    def block(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, texts): the pieces of texts that lie one after another from ``begins``, and
+        how many pieces come before each text."""
+        low, starts, ends, raw = cut(data, begins)
+        size = ends - starts
+        view = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+        a = view[starts] & _KEEP[np.minimum(size, 8)]
+        b = view[starts + 8 * (size > 8)] & _KEEP[np.clip(size - 8, 0, 8)]
+        long = size > 16
+        zero = np.flatnonzero(data == 0)
+        if len(zero):
+            long[np.searchsorted(starts, zero, side="right") - 1] = True
+        out = self.find(a, b)
+        out[long] = -1
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.long.get(low[starts[i] : ends[i]].tobytes(), -1)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            if self.n + len(new) > MEMO:
+                if len(new) >= MEMO:
+                    raise ValueError("a block of text has more pieces than an encoder remembers")
+                self.clear()
+                return self.block(data, begins)
+            self._learn(low, starts, ends, raw, a, b, long, new, out)
+        return out, np.searchsorted(starts, begins)
+
+    def _learn(self, low, starts, ends, raw, a, b, long, new, out) -> None:
+        short = new[~long[new]]
+        order = short[np.lexsort((b[short], a[short]))]
+        apart = np.ones(len(order), bool)
+        apart[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+        group = np.cumsum(apart) - 1
+        some = order[apart]
+        entry = np.zeros(len(some), np.int64)
+        is_raw = raw[some]
+        for chosen, learn in ((~is_raw, self.pieces), (is_raw, self._listed)):
+            if chosen.any():
+                rows = some[chosen]
+                entry[chosen] = self._remember(*learn([low[s:e].tobytes() for s, e in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]))
+        self.low[entry], self.high[entry] = a[some], b[some]
+        self._place(entry)
+        out[order] = entry[group]
+        rest = new[long[new]]
+        if len(rest):
+            said = [low[s:e].tobytes() for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            for wanted, learn in ((False, self.pieces), (True, self._listed)):
+                words = list(dict.fromkeys(w for w, r in zip(said, raw[rest].tolist(), strict=True) if r == wanted))
+                if words:
+                    self.long.update(zip(words, self._remember(*learn(words)).tolist(), strict=True))
+            out[rest] = [self.long[w] for w in said]
+
+    def _listed(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.raw_chunks(chunks)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers, sizes) of the texts of a string array, each with the end identifier;
+        null is empty.  Works on blocks of about ``BLOCK`` bytes, cut at white space."""
+        texts = texts.cast(pa.large_binary())
+        if texts.null_count:
+            texts = texts.fill_null(b"")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        ids, ends_at, total, a, text = [], [], 0, 0, 0
+        while text < len(texts):
+            b = self._edge(data, offsets, a)
+            last = int(np.searchsorted(offsets, b, side="right")) - 1  # texts before this one end in the block
+            begins = np.unique(np.concatenate([[a], offsets[text : last + 1]]).clip(a, b)) - a
+            if b > a:
+                entries, before = self.block(data[a:b], begins[begins < b - a])
+                places = np.append(before, len(entries))[np.searchsorted(begins[begins < b - a], offsets[text + 1 : last + 1] - a)]
+                entries = np.insert(entries, places, 0)
+            else:
+                entries, places = np.zeros(last - text, np.int64), np.zeros(last - text, np.int64)
+            size = self.size[entries]
+            ids.append(self.ids[ragged(self.at[entries], size)])
+            reach = total + np.cumsum(size)
+            ends_at += reach[places + np.arange(len(places))].tolist()
+            total += int(size.sum())
+            a, text = b, last
+        return np.concatenate(ids), np.diff(np.array(ends_at, np.int64), prepend=0)
+
+    @staticmethod
+    def _edge(data: np.ndarray, offsets: np.ndarray, a: int) -> int:
+        """Where a block that begins at ``a`` ends: after a text, or before white space in it."""
+        b = min(a + BLOCK, len(data))
+        if b == len(data):
+            return b
+        text = int(np.searchsorted(offsets, b, side="right")) - 1
+        if offsets[text] > a:
+            return int(offsets[text])
+        while b < offsets[text + 1]:
+            space = np.flatnonzero(_CLASS[data[b : min(b + BLOCK, offsets[text + 1])]] == 0)
+            if len(space):
+                return b + int(space[0])
+            b = min(b + BLOCK, int(offsets[text + 1]))
+        return b
+
 
 @lru_cache(1)
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str) -> PieceEncoder:
     """A worker's own, for all its tasks."""
-    return ChunkEncoder(path)
+    return PieceEncoder(path)
 
 
 # ------------------------------------------------------------------- grammar
 
 
-def _chosen(code: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs as (left, right), at most ``n``."""
-    ordered = np.sort(code)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    count = np.diff(np.append(first, len(ordered)))
-    often = np.flatnonzero(count >= PAYS)
-    if len(often) > n:
-        often = often[np.argpartition(-count[often], n)[:n]]
-    pairs = np.sort(ordered[first[often]])
-    half = code.itemsize * 4
-    return (pairs >> half).astype(np.uint32), (pairs & ((1 << half) - 1)).astype(np.uint32)
+def _turns(same: np.ndarray) -> np.ndarray:
+    """For rows that are marked where they overlap the row before: whether it is one to take,
+    every other one of a run from the left."""
+    turn = np.arange(len(same), dtype=np.int32)
+    return (turn - np.maximum.accumulate(np.where(same, 0, turn))) % 2 == 0
+
+
+def _grouped(left: np.ndarray, right: np.ndarray, place: np.ndarray, after: np.ndarray, pays: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, counts): the places of pairs that occur ``pays`` times or more, pair after pair,
+    and how many there are of each.  Of a symbol beside itself, occurrences that overlap count
+    as the number of them that can be replaced."""
+    symbol, where = int(max(left.max(), right.max())).bit_length(), int(place[-1]).bit_length()
+    if 2 * symbol + where <= 64:
+        packed = left.astype(np.uint64) << np.uint64(symbol + where) | right.astype(np.uint64) << np.uint64(where) | place.astype(np.uint64)
+        packed.sort()
+        place = (packed & np.uint64((1 << where) - 1)).astype(np.int32)
+        code = packed >> np.uint64(where)
+        twin = code >> np.uint64(symbol) == code & np.uint64((1 << symbol) - 1)
+    else:  # a shard of one very long text
+        code = left.astype(np.uint64) << np.uint64(32) | right
+        order = np.argsort(code, kind="stable")
+        code, place = code[order], place[order]
+        twin = code >> np.uint64(32) == code & np.uint64(0xFFFFFFFF)
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    count = np.diff(np.append(first, len(code)))
+    real = count.copy()
+    if twin.any():
+        at = np.flatnonzero(twin)
+        same = np.concatenate([[False], (code[at[1:]] == code[at[:-1]]) & (after[place[at[:-1]]] == place[at[1:]])])
+        group = np.searchsorted(first, at[_turns(same)], side="right") - 1
+        real = np.where(twin[first], np.bincount(group, minlength=len(first)), count)
+    often = real >= pays
+    return place[np.repeat(often, count)], count[often]
 
 
 def compress(ids: np.ndarray, terminals: int, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, lengths): rule i is the pair that symbol ``terminals + i`` stands for.
-    Rounds go on until no pair pays; the round whose file is the smallest is returned, since
-    symbols double their bytes where they no longer fit 16 bits."""
-    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint32)
-    best = None
+
+    Each round replaces the pairs of at least a ``FALL``-th of the greatest count, the more
+    frequent one where occurrences overlap, until no pair pays for its rule.  Symbols are a
+    linked list; after the first, a round looks only at places whose pair was frequent and
+    stayed, or has changed, since no other pair can have become frequent.  The round with the
+    smallest file is returned, since symbols double where they outgrow 16 bits."""
+    n = len(ids)
+    sym = ids.astype(np.uint32)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    alive, mark = np.ones(n, bool), np.zeros(n, bool)
+    rules: list[np.ndarray] = []
+    n_rules, n_symbols, best = 0, n, None
+    place = np.arange(n, dtype=np.int32)
     while True:
-        cost = 12 * len(rules) + (4 if terminals + len(rules) > 0xFFFF else 2) * len(seq)
-        if best is None or cost <= best[0]:
-            best = cost, seq, rules
-        left, right = seq[:-1], seq[1:]
-        size = terminals + len(rules)
-        code = left << 16 | right if size <= 1 << 16 else left.astype(np.uint64) << 32 | right
-        code = code[(left != end) & (right != end)]
-        if not len(code):
+        width = 2 if terminals + n_rules <= 1 << 16 else 4
+        cost = width * n_symbols + (2 * width + 4) * n_rules
+        if best is None or cost < best[0]:
+            best = cost, n_rules, sym.copy() if width == 4 else None, alive.copy() if width == 4 else None
+        elif width == 4 and best[2] is None:
+            break  # symbols have doubled, and a file of 16 bits is smaller
+        pays = (2 * width + 4) // width + 1
+        place = place[(after[place] < n) & (sym[place] != end)]
+        right = sym[after[place]]
+        place, right = place[right != end], right[right != end]
+        if not len(place):
             break
-        a, b = _chosen(code, ROUND_RULES)
-        if not len(a):
+        place, count = _grouped(sym[place], right, place, after, pays)
+        if not len(place):
             break
-        rows, row = np.unique(a, return_inverse=True)
-        columns, column = np.unique(b, return_inverse=True)
-        by_left, by_right = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        by_left[rows], by_right[columns] = np.arange(len(rows)), np.arange(len(columns))
-        table = np.full((len(rows), len(columns)), -1, np.int32)
-        table[row, column] = np.arange(len(a))
-        p, q = by_left[left], by_right[right]
-        at = np.flatnonzero((p >= 0) & (q >= 0))
-        symbol = table[p[at], q[at]]
-        at, symbol = at[symbol >= 0], symbol[symbol >= 0]
-        # runs of overlapping occurrences: every other one from the left
-        starts = np.concatenate([[True], np.diff(at) > 1])
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, symbol = at[take], symbol[take]
-        # rules that the overlaps left unused are dropped
-        used, symbol = np.unique(symbol, return_inverse=True)
-        seq = seq.copy()
-        seq[at] = (size + symbol).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules = np.concatenate([rules, np.stack([a[used], b[used]], axis=1)])
-    _, seq, rules = best
-    return seq, rules, lengths(rules, terminals)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        chosen = count >= count.max() / FALL
+        # places in order, with their pairs; the more frequent a pair, the higher its number
+        packed = place[np.repeat(chosen, count)].astype(np.uint64) << np.uint64(32) | np.repeat(rank[chosen], count[chosen]).astype(np.uint64)
+        packed.sort()
+        at, pair = (packed >> np.uint64(32)).astype(np.int32), (packed & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        beside = after[at[:-1]] == at[1:]
+        same = np.concatenate([[False], beside & (pair[1:] == pair[:-1])])
+        take = same | np.concatenate([[True], ~beside | (pair[1:] > pair[:-1])])
+        take &= np.concatenate([~beside | (pair[:-1] >= pair[1:]), [True]])
+        if same.any():  # of a run of one pair, every other one
+            take &= _turns(same)
+        at, pair = at[take], pair[take]
+        made = np.bincount(pair, minlength=len(count)) >= pays
+        keep = made[pair]
+        at, pair = at[keep], pair[keep]
+        names = np.flatnonzero(made)
+        number, sample = np.zeros(len(count), np.uint32), np.zeros(len(count), np.int32)
+        number[names] = terminals + n_rules + np.arange(len(names))
+        sample[pair] = at
+        gone = after[at]
+        rules.append(np.stack([sym[sample[names]], sym[after[sample[names]]]], axis=1))
+        sym[at] = number[pair]
+        alive[gone] = False
+        then = after[gone]
+        after[at] = then
+        before[then[then < n]] = at[then < n]
+        n_rules, n_symbols = n_rules + len(names), n_symbols - len(at)
+        mark[:] = False
+        mark[place] = True
+        mark[at] = True
+        mark[before[at][before[at] >= 0]] = True
+        place = np.flatnonzero(mark & alive).astype(np.int32)
+    if best[2] is None and best[1] < n_rules:  # the rounds in wide symbols are undone
+        return _undone(sym[alive], np.concatenate(rules), terminals, best[1])
+    made = np.concatenate(rules)[: best[1]] if rules else np.zeros((0, 2), np.uint32)
+    symbols = sym[alive] if best[2] is None else best[2][best[3]]
+    return symbols, made, lengths(made, terminals)
+
+
+def _undone(symbols: np.ndarray, rules: np.ndarray, terminals: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A grammar with its first ``n`` rules only."""
+    while (symbols >= terminals + n).any():
+        late = symbols >= terminals + n
+        size = 1 + late
+        out = np.repeat(symbols, size)
+        at = np.cumsum(size)[late] - 2
+        out[at], out[at + 1] = rules[symbols[late].astype(np.int64) - terminals].T
+        symbols = out
+    return symbols, rules[:n], lengths(rules[:n], terminals)
 
 
 def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -192,43 +507,44 @@ def lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     return np.array(size, np.uint32)
 
 
-@lru_cache(1)
-def _terminal_bytes(terminals: int) -> list[bytes]:
-    whole = np.arange(terminals, dtype="<u4").tobytes()
-    return [whole[i : i + 4] for i in range(0, 4 * terminals, 4)]
-
-
-def expansions(rules: np.ndarray, terminals: int) -> list[bytes]:
-    """What each symbol stands for, as the bytes of its identifiers."""
-    out = list(_terminal_bytes(terminals))
+def expansions(rules: np.ndarray, terminals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(identifiers, starts, sizes): what each symbol stands for, one after another."""
+    whole = terminals.astype("<u4").tobytes()
+    out = [whole[i : i + 4] for i in range(0, len(whole), 4)]
     for a, b in rules.tolist():
         out.append(out[a] + out[b])
-    return out
+    sizes = np.array([len(x) // 4 for x in out], np.int64)
+    return np.frombuffer(b"".join(out), "<u4"), np.cumsum(sizes) - sizes, sizes
 
 
-def expand(symbols: np.ndarray, table: list[bytes]) -> np.ndarray:
+def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The identifiers that symbols stand for."""
-    return np.frombuffer(b"".join(map(table.__getitem__, symbols.tolist())), "<u4")
+    ids, starts, sizes = table
+    return ids[ragged(starts[symbols], sizes[symbols])]
 
 
-def pack(ids: np.ndarray, sizes: np.ndarray, terminals: int, end: int = END) -> bytes:
+def pack(ids: np.ndarray, sizes: np.ndarray, end: int = END) -> bytes:
     """A file of one shard: its identifiers, and how many each document has, end included."""
-    symbols, rules, size = compress(ids, terminals, end)
+    used = np.zeros(int(ids.max()) + 1, bool)
+    used[ids] = True
+    terminals = np.flatnonzero(used)
+    own = np.cumsum(used, dtype=np.uint32) - 1
+    symbols, rules, size = compress(own[ids], len(terminals), int(own[end]) if end < len(used) and used[end] else 0xFFFFFFFF)
     n = np.ones(len(symbols), np.int64)
-    is_rule = symbols >= terminals
-    n[is_rule] = size[symbols[is_rule].astype(np.int64) - terminals]
+    is_rule = symbols >= len(terminals)
+    n[is_rule] = size[symbols[is_rule].astype(np.int64) - len(terminals)]
     tokens = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
     places = np.searchsorted(np.concatenate([[0], np.cumsum(n)]), tokens.astype(np.int64)).astype("<u8")
-    wide = terminals + len(rules) > 0xFFFF
-    head = struct.pack("<4s5I", MAGIC, VERSION, terminals, len(rules), len(symbols), len(sizes))
-    return b"".join([head, rules.astype("<u4").tobytes(), size.astype("<u4").tobytes(), places.tobytes(), tokens.tobytes(), symbols.astype("<u4" if wide else "<u2").tobytes()])
+    kind = "<u2" if len(terminals) + len(rules) <= 1 << 16 else "<u4"
+    head = struct.pack("<4s5I", MAGIC, VERSION, len(terminals), len(rules), len(symbols), len(sizes))
+    return b"".join([head, terminals.astype("<u4").tobytes(), rules.astype(kind).tobytes(), size.astype("<u4").tobytes(), places.tobytes(), tokens.tobytes(), symbols.astype(kind).tobytes()])
 
 
 class TokenFile:
     """Reads a file, whole or one document at a time."""
 
     def __init__(self, data: bytes):
-        magic, version, self.terminals, n_rules, n_symbols, self.n_docs = struct.unpack_from("<4s5I", data)
+        magic, version, n_terminals, n_rules, n_symbols, self.n_docs = struct.unpack_from("<4s5I", data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file")
         at = 24
@@ -239,9 +555,10 @@ class TokenFile:
             at += out.nbytes
             return out
 
-        self.rules, self.size = read("<u4", 2 * n_rules).reshape(-1, 2), read("<u4", n_rules)
+        kind = "<u2" if n_terminals + n_rules <= 1 << 16 else "<u4"
+        self.terminals, self.rules, self.size = read("<u4", n_terminals), read(kind, 2 * n_rules).reshape(-1, 2), read("<u4", n_rules)
         self.places, self.tokens = read("<u8", self.n_docs + 1), read("<u8", self.n_docs + 1)
-        self.symbols = read("<u4" if self.terminals + n_rules > 0xFFFF else "<u2", n_symbols)
+        self.symbols = read(kind, n_symbols)
         self.table = expansions(self.rules, self.terminals)
 
     def ids(self) -> np.ndarray:
@@ -264,29 +581,27 @@ def write(docs: DataFrame, where: str, path: str | None = None) -> None:
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
-        terminals = _tokenizer(path).get_vocab_size()
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
-        sizes: list[int] = []
+        sizes: list[np.ndarray] = []
         total = 0
-        end = np.array([END], "<u4")
 
         def flush() -> pa.RecordBatch:
-            blob = pack(np.concatenate(held), np.array(sizes, np.int64), terminals)
+            blob = pack(np.concatenate(held), np.concatenate(sizes))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_tokens": pa.array([total], pa.int64()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "file": pa.array([blob], pa.binary())})
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 500):
-                for name, ids in zip(names[at : at + 500], encoder.encode(texts.slice(at, 500).to_pylist()), strict=True):
-                    doc_ids.append(name)
-                    held += [ids, end]
-                    sizes.append(len(ids) + 1)
-                    total += len(ids) + 1
-                    if total >= SHARD_TOKENS:
-                        yield flush()
-                        doc_ids, held, sizes, total = [], [], [], 0
-                        seq += 1
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                ids, size = encoder.encode(some.column(1))
+                doc_ids += some.column(0).to_pylist()
+                held.append(ids)
+                sizes.append(size)
+                total += len(ids)
+                if total >= SHARD_TOKENS:
+                    yield flush()
+                    doc_ids, held, sizes, total = [], [], [], 0
+                    seq += 1
         if doc_ids:
             yield flush()
 

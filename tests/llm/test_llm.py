@@ -334,9 +334,8 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path(repair.VOCABULARY))
-    library.encode_special_tokens = True
-    texts = [*EDGE, "A\tb　c é é <|endoftext|> don't", "the cat sat on the mat " * 50]
-    ids = [*EDGE_IDS, -5, 50]
+    texts = [*EDGE, "A\tb　c é é <|endoftext|> don't", "the cat sat on the mat " * 50, "hello<|startoftext|>you <|ENDOFTEXT|>"]
+    ids = [*EDGE_IDS, -5, 50, 51]
     rows = repair.round_trip(frame(spark, texts, ids)).collect()
     order = sorted(zip(ids, texts), key=lambda r: (r[0] is not None, r[0]))
     assert len(rows) == len(texts)
@@ -353,7 +352,7 @@ def test_token_files(spark):
 def test_grammar_round_trip(lists):
     ids = np.array([x for own in lists for x in [*own, 1]], np.uint32)
     sizes = np.array([len(own) + 1 for own in lists])
-    file = repair.TokenFile(repair.pack(ids, sizes, 10))
+    file = repair.TokenFile(repair.pack(ids, sizes))
     assert file.ids().tolist() == ids.tolist()
     assert [file.document(i).tolist() for i in range(len(lists))] == [[*own, 1] for own in lists]
 
@@ -371,7 +370,63 @@ def test_grammar_goes_on_until_no_pair_pays():
     ids = np.concatenate([np.concatenate([passage, [1]]) for _ in range(60)] + [noise, [1]]).astype(np.uint32)
     symbols, rules, size = repair.compress(ids, 49_152)
     assert size.max() > 64 and len(symbols) < len(noise) + 60 * 20
-    assert repair.expand(symbols, repair.expansions(rules, 49_152)).tolist() == ids.tolist()
+    assert repair.expand(symbols, repair.expansions(rules, np.arange(49_152))).tolist() == ids.tolist()
+
+
+def test_grammar_stops_where_no_pair_pays():
+    """Nine or more bytes are saved by five occurrences of two bytes each; a rule takes eight."""
+    rng = np.random.default_rng(4)
+    ids = np.append(rng.integers(2, 40, 20_000), 1).astype(np.uint32)
+    symbols, rules, _ = repair.compress(ids, 40)
+    plain = {}
+    last = None
+    for a, b in zip(symbols.tolist(), symbols[1:].tolist()):
+        if 1 in (a, b) or (last == (a, b) and a == b):
+            last = None
+            continue
+        last = (a, b)
+        plain[last] = plain.get(last, 0) + 1
+    assert max(plain.values()) <= 4 and len(rules) > 100
+    assert repair.expand(symbols, repair.expansions(rules, np.arange(40))).tolist() == ids.tolist()
+
+
+def test_grammar_of_wide_symbols():
+    rng = np.random.default_rng(9)
+    words = rng.integers(2, 70_000, (20_000, 2))
+    ids = np.append(words[rng.integers(0, len(words), 300_000)].reshape(-1), 1).astype(np.uint32)
+    file = repair.TokenFile(repair.pack(ids, np.array([len(ids)])))
+    assert (file.ids() == ids).all() and len(file.symbols) < 0.6 * len(ids)
+    symbols, rules, size = repair.compress(ids, 70_000)
+    back, kept, _ = repair._undone(symbols, rules, 70_000, 50)
+    assert len(kept) == 50 and (repair.expand(back, repair.expansions(kept, np.arange(70_000))) == ids).all()
+
+
+PIECES = ["it's", "I'LL", "'st", "''s", "x's", "you're'd", "'rest", "<|endoftext|>", "<|", "a<|startoftext|>b", "é", "É", "İ", "ΣΑΣ", "12", "½", "\0", "a\0", "\x01", "漢字", "A" * 20, "É" * 20, "!?", "-'s", "ß", "ẞ", "x\u0085y", "“x”", "’s", "e\u0301", "=\u0338", "×", "ñO"]
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 20])
+def test_pieces_equal_the_library(monkeypatch, block):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(repair, "BLOCK", block)
+    library = Tokenizer.from_file(public_tokenizers.path(repair.VOCABULARY))
+    rng = random.Random(2)
+    texts = [None, "", "   ", "a", LONG] + ["".join(rng.choice(PIECES) + rng.choice(["", " ", "\n", "\t", "  ", "\x0b"]) for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    ids, sizes = repair.PieceEncoder(public_tokenizers.path(repair.VOCABULARY)).encode(pa.array(texts, pa.string()))
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_forgets_when_full(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repair, "MEMO", 64)
+    monkeypatch.setattr(repair, "BLOCK", 128)
+    encoder = repair.PieceEncoder(public_tokenizers.path(repair.VOCABULARY))
+    texts = [" ".join(f"word{i}x{k}" for k in "abcdef") for i in range(300)]
+    first, _ = encoder.encode(pa.array(texts))
+    assert (first == repair.PieceEncoder(public_tokenizers.path(repair.VOCABULARY)).encode(pa.array(texts))[0]).all()
 
 
 # ------------------------------------------------------------ near-duplicates
