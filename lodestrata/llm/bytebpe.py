@@ -5,21 +5,23 @@ and a fold merges, one at a time and leftmost first, the neighbours whose
 joined bytes have the lowest rank, until no neighbours join to a known token.
 Decoding joins the identifiers' binary pieces.
 
-There are two forms with equal results.  ``Codec`` folds each distinct piece
-once in a Python worker that remembers results (a bounded number of them), and
-is what ``encode``, the query and the pipeline use.  ``encode_native`` does the
-same with Spark's higher-order functions and a literal rank map (an array of
-small maps, found by a hash of the joined bytes), after a literal dictionary of
-the ``DICTIONARY`` most frequent pieces; it takes several times the time that
-the README's limits allow on texts with many rare words, since such words are
-folded where they stand.  Neither shuffles texts.
+There are two forms with equal results.  ``Codec`` cuts blocks of texts by numpy
+passes, looks all their pieces up at once in a bounded memory, and folds each
+new piece in a Python worker; ``encode``, the query and the pipeline use it.
+``encode_native`` does the same with Spark's higher-order functions and a
+literal rank map (an array of small maps, found by a hash of the joined bytes),
+after a literal dictionary of the ``DICTIONARY`` most frequent pieces; it takes
+several times the time that the README's limits allow on texts with many rare
+words, since such words are folded where they stand.  Neither shuffles texts.
 
 Pieces of over ``LONG_PIECE`` bytes, for which the fold's quadratic cost tells,
 are merged by the same rule with a heap.
 
 Defined results: a null text counts as empty, and encodes to no identifiers;
-repeated rows get equal results; text that looks like a special token is
-ordinary text.
+repeated rows get equal results, and an empty table none; a very long text is
+encoded in blocks that end before white space, with the same result; text that
+looks like a special token is ordinary text; ill-formed UTF-8 counts as U+FFFD.
+``encode`` keeps the rows' columns but replaces one that has its ``name``.
 """
 
 from __future__ import annotations
@@ -38,14 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm import pieces
 from lodestrata.llm.common import materialize
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 DICTIONARY = 131_072
 BUCKETS = 65_536
 LONG_PIECE = 192
-#: Pieces that a worker remembers.
-MEMO = 400_000
 
 _PIECE = regex.compile(public_tokenizers.PATTERN)
 
@@ -103,30 +104,97 @@ def merge_long(piece: bytes, path: str) -> list[int]:
     return out
 
 
+def cut(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces start that the pattern makes of texts that lie one after another from
+    ``begins``; pieces leave nothing out.  ASCII, Latin-1 letters and common punctuation are cut
+    by kinds of bytes, a text with any other character by the pattern itself."""
+    n, kind = len(data), pieces.kinds(data)
+    start, fresh = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    start[begins] = fresh[begins] = True
+    fresh[n] = True
+    space = kind == pieces.SPACE
+    change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    change = change[~fresh[change]]
+    into = change[space[change]]
+    out_of = change[space[change - 1]]
+    start[change] = True
+    start[out_of] = data[out_of - 1] != 32  # one space goes with what follows it
+    start[out_of - 1] = True
+    start[into] = True
+    # 's 't 'm 'd 're 've 'll at the start of a piece
+    mark = np.flatnonzero(start[:-1] & np.append(data == 39, False)[:n])
+    mark = mark[mark + 1 < n]
+    mark = mark[(kind[mark + 1] == pieces.LETTER) & ~fresh[mark + 1]]
+    if len(mark):
+        a = data[mark + 1]
+        b = np.where(fresh[np.minimum(mark + 2, n)], 0, data[np.minimum(mark + 2, n - 1)])
+        size = np.where(np.isin(a, (100, 109, 115, 116)), 1, np.where(((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108), 2, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        start[mark + 1] = False
+        start[mark + 1 + size] = True
+    foreign = np.flatnonzero(kind == pieces.FOREIGN)
+    if len(foreign):
+        ends = np.append(begins[1:], n)
+        for i in np.unique(np.searchsorted(begins, foreign, side="right") - 1).tolist():
+            a, b = int(begins[i]), int(ends[i])
+            size = [len(p.encode()) for p in _PIECE.findall(data[a:b].tobytes().decode())]
+            start[a:b] = False
+            start[a + np.cumsum([0, *size[:-1]])] = True
+    return np.flatnonzero(start[:n])
+
+
 class Codec:
     """Encodes and decodes texts; remembers the pieces that it has folded."""
 
     def __init__(self, path: str):
-        self.path, self.memo, self.tokens = path, {}, None
-
-    def _new(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = merge_short(data, read_ranks(self.path)) if len(data) <= LONG_PIECE else merge_long(data, self.path)
-        packed = np.array(ids, "<u4").tobytes()
-        if len(data) <= LONG_PIECE:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = packed
-        return packed
-
-    def encode(self, text: str | None) -> np.ndarray:
-        known, new = self.memo.get, self._new
-        return np.frombuffer(b"".join([known(p) or new(p) for p in _PIECE.findall(text or "")]), "<u4")
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        if self.tokens is None:
-            self.tokens = {rank: token for token, rank in read_ranks(self.path).items()}
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        ranks = read_ranks(path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.path, self.memo = path, pieces.PieceMemo(self.learn, [], pieces.MEMO)
+        self.tokens = pieces.Arena(tokens)
+        self.digits = pieces.Arena([b"%d " % i for i in range(len(tokens))])
+
+    def learn(self, words: list[bytes], _: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        ranks = read_ranks(self.path)
+        found = [merge_short(w, ranks) if len(w) <= LONG_PIECE else merge_long(w, self.path) for w in words]
+        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers, sizes) of the texts of a string array; null is empty."""
+        data, offsets = pieces.columns(texts)
+        ids, ends_at, total = [np.zeros(0, "<u4")], [], 0
+        for block, begins, stops in pieces.blocks(data, offsets, pieces.BLOCK):
+            starts, reach = np.zeros(0, np.int64), np.zeros(1, np.int64)
+            if len(block):
+                starts = cut(block, begins)
+                low = np.zeros(len(block) + 24, np.uint8)
+                low[: len(block)] = block
+                own, size = self.memo.gather(self.memo.look_up(low, starts, np.append(starts[1:], len(block)), np.zeros(len(starts), bool)))
+                ids.append(own)
+                reach = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            ends_at += (total + reach[np.searchsorted(starts, stops)]).tolist()
+            total += int(reach[-1])
+        return np.concatenate(ids), np.diff(np.array(ends_at, np.int64), prepend=0)
+
+    def digested(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """(sizes, hashes of the identifiers as decimals, hashes of the decoded bytes) of texts."""
+        ids, sizes = self.encode(texts)
+        ends = np.cumsum(sizes)
+        out: tuple[list[str], list[str]] = ([], [])
+        for arena, hashes, less in ((self.digits, out[0], 1), (self.tokens, out[1], 0)):
+            if len(ids) <= pieces.BLOCK * 2:
+                all_bytes = arena.gather(ids).data
+                reach = np.concatenate([[0], np.cumsum(arena.sizes[ids], dtype=np.int64)])[np.concatenate([[0], ends])].tolist()
+                hashes += [hashlib.sha256(all_bytes[a : max(a, b - less)]).hexdigest() for a, b in zip(reach, reach[1:], strict=False)]
+                continue
+            for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+                digest = hashlib.sha256()
+                for at in range(a, b, pieces.BLOCK):
+                    some = arena.gather(ids[at : min(b, at + pieces.BLOCK)])
+                    digest.update(some[: len(some) - less * (at + pieces.BLOCK >= b)].data)
+                hashes.append(digest.hexdigest())
+        return sizes, *out
 
 
 @lru_cache(1)
@@ -135,28 +203,34 @@ def _codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with a column ``ids``."""
+def _text() -> Column:
+    return F.make_valid_utf8(F.col("text"))
+
+
+def encode(docs: DataFrame, path: str | None = None, name: str = "ids") -> DataFrame:
+    """The rows of ``docs`` with a column ``name``, which takes the place of one so named."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        codec = _codec(path)
-        found = [codec.encode(t.as_py()) for t in texts]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *found]).astype(np.int32)))
+        codec, ids, sizes = _codec(path), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for some in pieces.slices(texts):
+            own, size = codec.encode(some)
+            ids.append(own.astype(np.int32))
+            sizes.append(size)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
 
-    return docs.withColumn("ids", ids_of(F.col("text")))
+    return docs.withColumn(name, ids_of(_text()))
 
 
 def decoder(path: str | None = None):
-    """A column function: a list of identifiers -> bytes."""
+    """A column function: a list of identifiers -> bytes; null for null."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     @F.arrow_udf("binary")
     def decoded(lists: pa.Array) -> pa.Array:
-        codec = _codec(path)
-        return pa.array([codec.decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.binary())
+        tokens = _codec(path).tokens
+        return pa.array([tokens.gather(x.values.to_numpy()).tobytes() if x.is_valid else None for x in lists], pa.binary())
 
     return decoded
 
@@ -169,14 +243,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def digest(texts: pa.Array) -> pa.Array:
         codec, n, listed, decoded = _codec(path), [], [], []
-        for text in texts:
-            ids = codec.encode(text.as_py())
-            n.append(len(ids))
-            listed.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
-            decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        for some in pieces.slices(texts):
+            sizes, a, b = codec.digested(some)
+            n += sizes.tolist()
+            listed += a
+            decoded += b
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", digest(F.col("text")).alias("d")).select("doc_id", "d.*")
+    return docs.select("doc_id", digest(_text()).alias("d")).select("doc_id", "d.*")
 
 
 def _bucketed(entries: dict[str, object], buckets: int) -> str:

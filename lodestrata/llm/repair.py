@@ -45,6 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm import pieces
 from lodestrata.llm.common import shared_path
 
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -53,8 +54,8 @@ MAGIC, VERSION = b"LSRP", 2
 SHARD_TOKENS = 1 << 20
 #: A round takes pairs of at least this part of the greatest count.
 FALL = 64
-#: Distinct pieces of text that a worker remembers, and bytes of text that it looks up at once.
-MEMO, BLOCK = 1 << 21, 1 << 20
+#: Distinct pieces of text that a worker remembers.
+MEMO = 1 << 21
 #: A private character, and how many chunks go to the library with it between them.
 MARK, MARKED = "\ue000", 1_000
 
@@ -84,25 +85,10 @@ def _model(path: str):
     return found, ends
 
 
-#: Classes of bytes: white space, letters, digits, other marks; 4 leaves a chunk to the library as it is.
-_CLASS = np.full(256, 4, np.uint8)
-_CLASS[33:127] = 3
-_CLASS[[9, 10, 11, 12, 13, 32]] = 0
-_CLASS[[*range(65, 91), *range(97, 123)]] = 1
-_CLASS[48:58] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-
-
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places starts[i], starts[i] + 1, ... (sizes[i] of them) of all i, one after another."""
-    ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if total < 1 << 31 and (not total or starts.max() < 1 << 31) else np.int64
-    out = np.repeat((starts - ends + sizes).astype(kind), sizes)
-    out += np.arange(total, dtype=kind)
-    return out
+_MARKS = np.zeros(256, bool)
+_MARKS[[*range(9), *range(14, 32), 127]] = True
 
 
 def cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,29 +96,20 @@ def cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     texts that lie one after another from ``begins``.  Chunks between white space that hold ASCII,
     Latin-1 letters and dashes, quotes and dots from U+2010 to U+2027 are lower-cased and cut
     here; a chunk with any other character, a control character or the beginning of a special
-    token stays whole, with its case, and is marked raw."""
-    n, kind = len(data), _CLASS[data]
-    low = np.empty(n + 24, np.uint8)
+    token stays whole, with its case, and is marked raw.  24 zero bytes follow the bytes."""
+    n, kind = len(data), pieces.kinds(data)
+    kind[_MARKS[data]] = pieces.FOREIGN
+    low = np.zeros(n + 24, np.uint8)
     np.take(_LOWER, data, out=low[:n])
-    low[n:] = 0
-    lead = np.flatnonzero(data[:-1] == 0xC3)
-    if len(lead):
-        second = data[lead + 1]
-        letter = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
-        lead, second = lead[letter], second[letter]
-        kind[lead] = kind[lead + 1] = 1
-        low[lead + 1] = second + np.where(second <= 0x9E, 0x20, 0).astype(np.uint8)
-    lead = np.flatnonzero(data[:-2] == 0xE2) if n > 2 else lead[:0]
-    if len(lead):
-        lead = lead[(data[lead + 1] == 0x80) & (data[lead + 2] >= 0x90) & (data[lead + 2] <= 0xA7)]
-        kind[lead] = kind[lead + 1] = kind[lead + 2] = 3
+    accented = np.flatnonzero((data[1:] >= 0x80) & (data[:-1] == 0xC3) & (kind[1:] == pieces.LETTER)) + 1
+    low[accented] += np.where(data[accented] <= 0x9E, 0x20, 0).astype(np.uint8)
     first = np.empty(n, bool)
     first[0] = True
-    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == pieces.DIGIT)
     first[begins] = True
     starts = np.flatnonzero(first)
     ends, own = np.append(starts[1:], n), kind[starts]
-    keep = own != 0
+    keep = own != pieces.SPACE
     starts, ends, own = starts[keep], ends[keep], own[keep]
     if not len(starts):
         return low, starts, ends, np.zeros(0, bool)
@@ -142,7 +119,7 @@ def cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     at = np.searchsorted(starts, begins)
     at = at[at < len(starts)]
     fresh[at[np.isin(starts[at], begins)]] = True
-    odd = own == 4
+    odd = own == pieces.FOREIGN
     special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
     if len(special):
         odd[np.searchsorted(starts, special, side="right") - 1] = True
@@ -158,17 +135,15 @@ def cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         keep = ~whole | fresh
         ends = np.where(whole, stop[chunk], ends)[keep]
         starts, raw, own = starts[keep], whole[keep], own[keep]
-        at = ragged(starts[raw], (ends - starts)[raw])
+        at = pieces.ragged(starts[raw], (ends - starts)[raw])
         low[at] = data[at]
         fresh = fresh[keep]
     # 's 't 'm 'd 're 've 'll take their letters from the piece after
     mark = np.flatnonzero((ends - starts == 1) & (low[starts] == 39) & ~raw)
     mark = mark[mark + 1 < len(starts)]
-    mark = mark[~fresh[mark + 1] & (own[mark + 1] == 1)]
+    mark = mark[~fresh[mark + 1] & (own[mark + 1] == pieces.LETTER)]
     if len(mark):
-        a, b = low[ends[mark]], np.where(ends[mark + 1] - starts[mark + 1] > 1, low[ends[mark] + 1], 0)
-        two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
-        size = np.where(np.isin(a, (100, 109, 115, 116)), 1, np.where(two, 2, 0))
+        size = contracted(low, ends[mark], ends[mark + 1] - starts[mark + 1])
         ends[mark] += size
         starts[mark + 1] += size
         keep = ends > starts
@@ -176,27 +151,43 @@ def cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return low, starts, ends, raw
 
 
+def contracted(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many of the letters at ``at`` belong to an apostrophe before them: s t m d re ve ll."""
+    a, b = data[at], np.where(length > 1, data[np.minimum(at + 1, len(data) - 1)], 0)
+    two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+    return np.where(np.isin(a, (100, 109, 115, 116)), 1, np.where(two, 2, 0))
+
+
 class PieceEncoder:
-    """Encodes texts with the tokenizers library, each distinct piece once.  Pieces of up to 16
-    bytes are found in a hash table by their bytes (two 64-bit numbers), which whole blocks
-    of text look up at once; longer ones in a dictionary.  Entry 0 is the end identifier."""
+    """Encodes texts with the tokenizers library, each distinct piece once while it is remembered."""
 
     def __init__(self, path: str):
         self.path = path
         self.mark = self.library([MARK])[0]
-        self.clear()
-
-    def clear(self) -> None:
-        self.table = np.full(2 * MEMO, -1, np.int32)
-        self.low, self.high = np.zeros(MEMO, np.uint64), np.zeros(MEMO, np.uint64)
-        self.at, self.size = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
-        self.size[0] = 1
-        self.n, self.used, self.ids = 1, 1, np.full(4 * MEMO, END, "<u4")
-        self.long: dict[bytes, int] = {}
+        self.memo = pieces.PieceMemo(self.learn, [END], MEMO)
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in _tokenizer(self.path).encode_batch(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[bytes], raw: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of pieces, one after another, and how many each has.  Normalised ones
+        need the library's model only, raw chunks all of it."""
+        if any(raw):
+            found = self.raw_chunks(words)
+            return np.concatenate(found), np.array([len(x) for x in found])
+        model, is_end = _model(self.path)
+        parts, sizes = [], []
+        for at in range(0, len(words), MARKED):
+            some = words[at : at + MARKED]
+            ids = np.array(model.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            size = np.diff(np.flatnonzero(is_end[ids]), prepend=-1)
+            if len(size) != len(some) or size.sum() != len(ids):
+                each = self.library([w.decode() for w in some])
+                ids, size = np.concatenate(each), np.array([len(x) for x in each])
+            parts.append(ids)
+            sizes.append(size)
+        return np.concatenate(parts), np.concatenate(sizes)
+
     def raw_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
         """Identifiers of whole chunks; many go to the library at a time, a mark between them."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
@@ -217,159 +208,36 @@ class PieceEncoder:
             parts[i] = x
         return parts
 
-    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers of normalised pieces, one after another, and how many each has."""
-        model, is_end = _model(self.path)
-        parts, sizes = [], []
-        for at in range(0, len(words), MARKED):
-            some = words[at : at + MARKED]
-            ids = np.array(model.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            size = np.diff(np.flatnonzero(is_end[ids]), prepend=-1)
-            if len(size) != len(some) or size.sum() != len(ids):
-                each = self.library([w.decode() for w in some])
-                ids, size = np.concatenate(each), np.array([len(x) for x in each])
-            parts.append(ids)
-            sizes.append(size)
-        return np.concatenate(parts), np.concatenate(sizes)
-
-    def _remember(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """New entries with these identifiers; their numbers."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        new = np.arange(self.n, self.n + len(sizes))
-        self.at[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.n, self.used = self.n + len(sizes), self.used + len(ids)
-        return new
-
-    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        mixed = (low ^ high * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return ((mixed ^ mixed >> np.uint64(32)) % np.uint64(len(self.table))).astype(np.int64)
-
-    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Entries of short pieces; -1 where there is none."""
-        slot, out = self._slots(low, high), np.full(len(low), -1, np.int64)
-        entry = self.table[slot]
-        hit = (entry >= 0) & (self.low[entry] == low) & (self.high[entry] == high)
-        out[hit] = entry[hit]
-        open_rows = np.flatnonzero(~hit & (entry >= 0))
-        while len(open_rows):
-            slot[open_rows] = (slot[open_rows] + 1) % len(self.table)
-            entry = self.table[slot[open_rows]]
-            hit = (entry >= 0) & (self.low[entry] == low[open_rows]) & (self.high[entry] == high[open_rows])
-            out[open_rows[hit]] = entry[hit]
-            open_rows = open_rows[~hit & (entry >= 0)]
-        return out
-
-    def _place(self, entries: np.ndarray) -> None:
-        slot = self._slots(self.low[entries], self.high[entries])
-        while len(entries):
-            free = self.table[slot] < 0
-            self.table[slot[free]] = entries[free]
-            lost = self.table[slot] != entries
-            entries, slot = entries[lost], (slot[lost] + 1) % len(self.table)
-
-    def block(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, texts): the pieces of texts that lie one after another from ``begins``, and
-        how many pieces come before each text."""
-        low, starts, ends, raw = cut(data, begins)
-        size = ends - starts
-        view = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
-        a = view[starts] & _KEEP[np.minimum(size, 8)]
-        b = view[starts + 8 * (size > 8)] & _KEEP[np.clip(size - 8, 0, 8)]
-        long = size > 16
-        zero = np.flatnonzero(data == 0)
-        if len(zero):
-            long[np.searchsorted(starts, zero, side="right") - 1] = True
-        out = self.find(a, b)
-        out[long] = -1
-        for i in np.flatnonzero(long).tolist():
-            out[i] = self.long.get(low[starts[i] : ends[i]].tobytes(), -1)
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            if self.n + len(new) > MEMO:
-                if len(new) >= MEMO:
-                    raise ValueError("a block of text has more pieces than an encoder remembers")
-                self.clear()
-                return self.block(data, begins)
-            self._learn(low, starts, ends, raw, a, b, long, new, out)
-        return out, np.searchsorted(starts, begins)
-
-    def _learn(self, low, starts, ends, raw, a, b, long, new, out) -> None:
-        short = new[~long[new]]
-        order = short[np.lexsort((b[short], a[short]))]
-        apart = np.ones(len(order), bool)
-        apart[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-        group = np.cumsum(apart) - 1
-        some = order[apart]
-        entry = np.zeros(len(some), np.int64)
-        is_raw = raw[some]
-        for chosen, learn in ((~is_raw, self.pieces), (is_raw, self._listed)):
-            if chosen.any():
-                rows = some[chosen]
-                entry[chosen] = self._remember(*learn([low[s:e].tobytes() for s, e in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]))
-        self.low[entry], self.high[entry] = a[some], b[some]
-        self._place(entry)
-        out[order] = entry[group]
-        rest = new[long[new]]
-        if len(rest):
-            said = [low[s:e].tobytes() for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
-            for wanted, learn in ((False, self.pieces), (True, self._listed)):
-                words = list(dict.fromkeys(w for w, r in zip(said, raw[rest].tolist(), strict=True) if r == wanted))
-                if words:
-                    self.long.update(zip(words, self._remember(*learn(words)).tolist(), strict=True))
-            out[rest] = [self.long[w] for w in said]
-
-    def _listed(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.raw_chunks(chunks)
-        return np.concatenate(found), np.array([len(x) for x in found])
+    def numbers(self, block: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of a block's pieces, and where they start."""
+        low, starts, ends, raw = cut(block, begins)
+        out = np.empty(len(starts), np.int64)
+        while True:
+            before = self.memo.cleared
+            for chosen in (~raw, raw):
+                if chosen.any():
+                    out[chosen] = self.memo.look_up(low, starts[chosen], ends[chosen], raw[chosen])
+            if self.memo.cleared == before:  # else the first numbers are of before
+                return out, starts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(identifiers, sizes) of the texts of a string array, each with the end identifier;
-        null is empty.  Works on blocks of about ``BLOCK`` bytes, cut at white space."""
-        texts = texts.cast(pa.large_binary())
-        if texts.null_count:
-            texts = texts.fill_null(b"")
-        if not len(texts):
-            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        ids, ends_at, total, a, text = [], [], 0, 0, 0
-        while text < len(texts):
-            b = self._edge(data, offsets, a)
-            last = int(np.searchsorted(offsets, b, side="right")) - 1  # texts before this one end in the block
-            begins = np.unique(np.concatenate([[a], offsets[text : last + 1]]).clip(a, b)) - a
-            if b > a:
-                entries, before = self.block(data[a:b], begins[begins < b - a])
-                places = np.append(before, len(entries))[np.searchsorted(begins[begins < b - a], offsets[text + 1 : last + 1] - a)]
-                entries = np.insert(entries, places, 0)
+        null is empty."""
+        data, offsets = pieces.columns(texts)
+        ids, ends_at, total = [np.zeros(0, "<u4")], [], 0
+        for block, begins, stops in pieces.blocks(data, offsets, pieces.BLOCK):
+            if len(block):
+                numbers, starts = self.numbers(block, begins)
+                places = np.searchsorted(starts, stops)
             else:
-                entries, places = np.zeros(last - text, np.int64), np.zeros(last - text, np.int64)
-            size = self.size[entries]
-            ids.append(self.ids[ragged(self.at[entries], size)])
-            reach = total + np.cumsum(size)
+                numbers, places = np.zeros(0, np.int64), np.zeros(len(stops), np.int64)
+            own, size = self.memo.gather(np.insert(numbers, places, 0))
+            ids.append(own)
+            reach = total + np.cumsum(size, dtype=np.int64)
             ends_at += reach[places + np.arange(len(places))].tolist()
-            total += int(size.sum())
-            a, text = b, last
+            total += len(own)
         return np.concatenate(ids), np.diff(np.array(ends_at, np.int64), prepend=0)
 
-    @staticmethod
-    def _edge(data: np.ndarray, offsets: np.ndarray, a: int) -> int:
-        """Where a block that begins at ``a`` ends: after a text, or before white space in it."""
-        b = min(a + BLOCK, len(data))
-        if b == len(data):
-            return b
-        text = int(np.searchsorted(offsets, b, side="right")) - 1
-        if offsets[text] > a:
-            return int(offsets[text])
-        while b < offsets[text + 1]:
-            space = np.flatnonzero(_CLASS[data[b : min(b + BLOCK, offsets[text + 1])]] == 0)
-            if len(space):
-                return b + int(space[0])
-            b = min(b + BLOCK, int(offsets[text + 1]))
-        return b
-
 
 @lru_cache(1)
 def _encoder(path: str) -> PieceEncoder:
@@ -520,7 +388,7 @@ def expansions(rules: np.ndarray, terminals: np.ndarray) -> tuple[np.ndarray, np
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """The identifiers that symbols stand for."""
     ids, starts, sizes = table
-    return ids[ragged(starts[symbols], sizes[symbols])]
+    return ids[pieces.ragged(starts[symbols], sizes[symbols])]
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, end: int = END) -> bytes:

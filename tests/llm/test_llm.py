@@ -1,5 +1,6 @@
 """The training-data operators against brute force, libraries and edge cases."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bytebpe, decontaminate, langid, licences, neardup, pagetext, quality, repair, topk, toxicity
+from lodestrata.llm import bytebpe, decontaminate, langid, licences, neardup, pagetext, pieces, quality, repair, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words int, w int, fp int, ids int"
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -26,6 +27,7 @@ def frame(spark, texts, ids=None, langs=None):
     return spark.createDataFrame([(i, t, g, "s", 1, 1, 1, 1, 1) for i, t, g in zip(ids, texts, langs)], DOCS)
 
 
+PIECES = ["it's", "I'LL", "'st", "''s", "x's", "you're'd", "'rest", "<|endoftext|>", "<|", "a<|startoftext|>b", "é", "É", "İ", "ΣΑΣ", "12", "½", "\0", "a\0", "\x01", "漢字", "A" * 20, "É" * 20, "!?", "-'s", "ß", "ẞ", "x\u0085y", "“x”", "’s", "e\u0301", "=\u0338", "×", "ñO"]
 EDGE = [None, "", " \n", "one", LONG, "same text here", "same text here", "Été été"]
 EDGE_IDS = [1, 2, 3, 4, 5, 6, 6, None]
 
@@ -96,9 +98,41 @@ def test_bpe_equals_the_library(spark):
         for text, ids, back in coded.select("text", "ids", decoded.alias("back")).collect():
             assert list(ids) == library.encode_ordinary(text or "")
             assert bytes(back) == (text or "").encode()
-    for row in bytebpe.digests(docs).collect():
-        assert row["n_tokens"] is not None and len(row["ids_sha256"]) == len(row["decoded_sha256"]) == 64
+    for (text, i), row in zip(zip(texts, [*EDGE_IDS, 20, 21, 22, 23, 24]), bytebpe.digests(docs).collect()):
+        assert tuple(row) == plain_digest(library, i, text)
     assert bytebpe.encode(docs.limit(0)).count() == 0
+    assert bytebpe.encode(docs).columns == docs.columns and "found" in bytebpe.encode(docs, name="found").columns
+
+
+def plain_digest(library, i, text):
+    ids = library.encode_ordinary(text or "")
+    return i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+
+SPACES = ["", " ", "\n", "\t", "  ", "\x0b", "   ", "\n\n", " \n", "\n "]
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 20])
+def test_bpe_digests_equal_the_library_in_any_blocks(monkeypatch, block):
+    import pyarrow as pa
+    import tiktoken
+
+    path = public_tokenizers.path(bytebpe.VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(path), special_tokens={})
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    rng = random.Random(3)
+    words = [*PIECES, "'ll", "'l", "'v", "\u3000", "\xa0", "\x1c"]
+    texts = [None, "", "   ", " a", "\n", LONG] + ["".join(rng.choice(words[: rng.choice([8, 99])]) + rng.choice(SPACES) for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    sizes, listed, decoded = bytebpe.Codec(path).digested(pa.array(texts, pa.string()))
+    assert [(0, *x) for x in zip(sizes.tolist(), listed, decoded)] == [plain_digest(library, 0, t) for t in texts]
+
+
+def test_bpe_of_ill_formed_text(spark):
+    """Ill-formed bytes count as U+FFFD."""
+    docs = spark.sql("select 1L doc_id, cast(unhex('61ff62') as string) text")
+    path = public_tokenizers.path(bytebpe.VOCABULARY)
+    back = bytebpe.encode(docs).select(bytebpe.decoder(path)(F.col("ids")).alias("b")).first()["b"]
+    assert bytes(back).decode() == "a\ufffdb"
 
 
 @settings(max_examples=60, deadline=None)
@@ -401,7 +435,6 @@ def test_grammar_of_wide_symbols():
     assert len(kept) == 50 and (repair.expand(back, repair.expansions(kept, np.arange(70_000))) == ids).all()
 
 
-PIECES = ["it's", "I'LL", "'st", "''s", "x's", "you're'd", "'rest", "<|endoftext|>", "<|", "a<|startoftext|>b", "é", "É", "İ", "ΣΑΣ", "12", "½", "\0", "a\0", "\x01", "漢字", "A" * 20, "É" * 20, "!?", "-'s", "ß", "ẞ", "x\u0085y", "“x”", "’s", "e\u0301", "=\u0338", "×", "ñO"]
 
 
 @pytest.mark.parametrize("block", [7, 64, 1 << 20])
@@ -409,7 +442,7 @@ def test_pieces_equal_the_library(monkeypatch, block):
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(repair, "BLOCK", block)
+    monkeypatch.setattr(pieces, "BLOCK", block)
     library = Tokenizer.from_file(public_tokenizers.path(repair.VOCABULARY))
     rng = random.Random(2)
     texts = [None, "", "   ", "a", LONG] + ["".join(rng.choice(PIECES) + rng.choice(["", " ", "\n", "\t", "  ", "\x0b"]) for _ in range(rng.randrange(1, 12))) for _ in range(600)]
@@ -422,7 +455,7 @@ def test_encoder_forgets_when_full(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(repair, "MEMO", 64)
-    monkeypatch.setattr(repair, "BLOCK", 128)
+    monkeypatch.setattr(pieces, "BLOCK", 128)
     encoder = repair.PieceEncoder(public_tokenizers.path(repair.VOCABULARY))
     texts = [" ".join(f"word{i}x{k}" for k in "abcdef") for i in range(300)]
     first, _ = encoder.encode(pa.array(texts))
