@@ -10,13 +10,17 @@ positional bounds (it starts at or after the first word) and the length bound
 rarest word is compared, and then all its words.
 
 Only built-in functions are used.  What is broadcast are the benchmark's
-tables, and only while their counted rows are within ``BROADCAST_ROWS``;
-larger ones are joined by a shuffle, which adaptive execution splits where a
-word is frequent.
+tables, and only while their summed bytes are within ``BROADCAST_BYTES``.
+Larger ones are joined by a shuffle, which adaptive execution splits where a
+word is frequent: of single words with their places, without the texts, which
+meet only the candidates that pass the bounds.  Both ways give equal results.
 
 Defined results: a null text has no words and no hits; so have empty texts
-and tables.  Repeated rows get equal results each.  A null item_id counts as
-an empty one; repeated items count once.
+and tables.  Repeated rows get equal results each; windows that tie in rarity
+are searched by the word that sorts first.  A null item_id counts as an empty
+one; repeated items count once.  A very long text is searched whole.
+Ill-formed UTF-8 counts as U+FFFD.  Only doc_id, text, item_id are read, and
+``clean`` keeps the rows' columns, whatever they are named.
 """
 
 from __future__ import annotations
@@ -29,21 +33,31 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import materialize
 
 WINDOW = 10
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 #: Everything but digits, letters a-z and non-ASCII characters (a fixed pattern), after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; an empty array for null."""
+    text = F.make_valid_utf8(text)
     ascii_only = F.octet_length(text) == F.char_length(text)
     lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), SEPARATORS), "")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A hint to broadcast a written table of few enough rows; as it is, otherwise."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _fits(df: DataFrame, size: Column) -> bool:
+    """Whether a written table, whose rows take ``size`` bytes and some more, may be broadcast."""
+    return (df.agg(F.sum(size + F.lit(64))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _bounded(df: DataFrame, size: Column) -> DataFrame:
+    """A hint to broadcast a written table that is small enough; as it is, otherwise."""
+    return F.broadcast(df) if _fits(df, size) else df
+
+
+def _bytes(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.octet_length(w) + 16)
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -61,8 +75,13 @@ def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
     with a word that no document has are left out."""
     vocabulary = materialize(wins.select(F.explode("words").alias("word")).distinct(), "window-words")
     held = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    counts = materialize(held.join(_bounded(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    placed = wins.select("win", "words", F.posexplode("words").alias("off", "word")).join(_bounded(counts), "word", "left")
+    number = F.count(F.lit(1)).alias("n")
+    if _fits(vocabulary, F.octet_length("word")):
+        counts = held.join(F.broadcast(vocabulary), "word", "left_semi").groupBy("word").agg(number)
+    else:  # all words are counted in part before they meet the vocabulary
+        counts = held.groupBy("word").agg(number).join(vocabulary, "word", "left_semi")
+    counts = materialize(counts, "word-counts")
+    placed = wins.select("win", "words", F.posexplode("words").alias("off", "word")).join(_bounded(counts, F.octet_length("word")), "word", "left")
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "off")))
     rare = placed.groupBy("win", "words").agg(ranked.alias("r")).filter(F.col("r")[0]["n"] > 0)
     second = F.coalesce(F.get("r", F.lit(1)), F.get("r", F.lit(0)))
@@ -79,12 +98,20 @@ def occurrences(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """(doc_id, row, start, length, win): every occurrence of a window, start from 0."""
     probe = prefixes(docs, wins).withColumnRenamed("words", "win_words")
     rows = docs.select("doc_id", _key(F.col("text")).alias("row"), words(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", "row", "w", F.posexplode("w").alias("pos", "word"))
     start, size = F.col("pos") - F.col("off"), F.size("win_words")
-    near = rows.join(_bounded(probe), "word").filter((start >= 0) & (start + size <= F.size("w")))
-    near = near.filter(F.get("w", start + F.col("off2")) == F.col("word2"))
-    held = near.filter(F.slice("w", F.greatest(start + 1, F.lit(1)), size) == F.col("win_words"))
-    return held.select("doc_id", "row", start.alias("start"), size.alias("length"), "win")
+    if _fits(probe, _bytes(F.col("win_words"))):
+        near = rows.select("doc_id", "row", "w", F.posexplode("w").alias("pos", "word")).join(F.broadcast(probe), "word")
+        near = near.filter((start >= 0) & (start + size <= F.size("w"))).withColumn("start", start)
+    else:
+        placed = rows.select("doc_id", "row", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+        found = placed.join(probe.select("word", "off", "win", size.alias("size")), "word").filter((start >= 0) & (start + F.col("size") <= F.col("n")))
+        found = materialize(found.select("doc_id", "row", start.alias("start"), "win").distinct(), "window-candidates")
+        texts = rows.dropDuplicates(["doc_id", "row"]).withColumnsRenamed({"doc_id": "__id", "row": "__row"})
+        near = found.join(texts, found["doc_id"].eqNullSafe(texts["__id"]) & (found["row"] == texts["__row"]))
+        near = near.join(probe.select("win", "win_words", "off2", "word2"), "win")
+    near = near.filter(F.get("w", F.col("start") + F.col("off2")) == F.col("word2"))
+    held = near.filter(F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), size) == F.col("win_words"))
+    return held.select("doc_id", "row", "start", size.alias("length"), "win")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -97,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFr
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("reach"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct(
         (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["reach"]))).alias("n"), F.greatest(a["reach"], s["end"]).alias("reach")))
-    items = whole.select("doc_id", "row", F.explode("wins").alias("win")).join(_bounded(holders), "win")
+    items = whole.select("doc_id", "row", F.explode("wins").alias("win")).join(_bounded(holders, F.octet_length("win") + F.octet_length("item")), "win")
     items = items.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     i, h = items.alias("i"), whole.select("doc_id", "row", covered["n"].alias("n_hit")).alias("h")
     return h.join(i, F.col("h.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("h.row") == F.col("i.row"))).select("h.doc_id", "h.row", "n_hit", "items")

@@ -8,19 +8,25 @@ code length in the next shorter context (n occurrences, d distinct bytes);
 below order 0 every byte costs 8 bits.  A text belongs to the language whose
 tree codes it in the fewest bits.
 
-All trees share one set of nodes, so the model is one table of code lengths
-per language, ``cost[node, byte class]``; a node is found from the last three
-byte classes by array lookup, and whole batches of texts are scored with a
-few numpy passes and no loop over bytes.
+All contexts and bytes that the training rows hold are kept.  The model has, for
+each order, a sorted table of the strings (context and byte) that any language
+has seen, with the code length of each language, and one of the contexts, with
+the escapes; so its size is that of the bounded training text's distinct
+strings.  Whole blocks of texts are scored by numpy look-ups, order by order
+for the bytes that the longer contexts haven't seen.
 
 Defined results: a null text, or one without a letter, gets ``und`` with
 score 0; so does every text if nothing could be learned.  Ties go to the
 language that sorts first.  Rows are scored one by one, so repeated rows get
-equal results and empty tables give empty results.
+equal results and empty tables give empty results; a very long text is scored
+whole, in blocks.  Ill-formed UTF-8 counts as U+FFFD.  Rows with a null doc_id
+are scored, but not learned from.  ``identify`` keeps the rows' columns but
+replaces one that has its ``name``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import fold_of
+from lodestrata.llm.pieces import columns
 
 ORDER = 3
-#: Bounds of what training reads and keeps: labelled rows per language, byte
-#: classes, and contexts of the highest order (the most frequent ones).
+#: Bound of what training reads: labelled rows of a language, about.
 MAX_ROWS_PER_LANG = 4_000
-MAX_CLASSES = 128
-MAX_CONTEXTS = 16_384
 #: Bytes scored at a time, so that temporaries stay small whatever a batch holds.
 BLOCK = 1 << 20
 
@@ -63,89 +67,113 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Strings:
+    """Rows of numbers by byte string: an open-addressing table of codes."""
+
+    def __init__(self, codes: np.ndarray, rows: np.ndarray):
+        self.rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), np.float32)]).astype(np.float32)
+        self.bits = max(4, int(2 * len(codes) + 1).bit_length())
+        self.code = np.zeros(1 << self.bits, np.uint32)
+        self.row = np.full(1 << self.bits, -1, np.int32)
+        left, codes = np.arange(len(codes), dtype=np.int32), codes.astype(np.uint32)
+        slot = self._slots(codes)
+        while len(left):
+            free = self.row[slot] < 0
+            self.row[slot[free]] = left[free]
+            lost = self.row[slot] != left
+            self.code[slot[~lost]] = codes[left[~lost]]
+            left, slot = left[lost], (slot[lost] + 1) & (1 << self.bits) - 1
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        mixed = (codes ^ codes >> np.uint32(15)) * np.uint32(0x9E3779B1)
+        return (mixed >> np.uint32(32 - self.bits)).astype(np.int32)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The row number of each code; the last row, of zeros, where there is none."""
+        slot = self._slots(codes)
+        row, none = self.row[slot], len(self.rows) - 1
+        rows = np.flatnonzero((self.code[slot] != codes) & (row >= 0))
+        row[row < 0] = none
+        while len(rows):
+            at = (slot[rows] + 1) & (1 << self.bits) - 1
+            slot[rows] = at
+            found, held = self.row[at], self.code[at]
+            row[rows] = np.where(found < 0, none, found)
+            rows = rows[(held != codes[rows]) & (found >= 0)]
+        return row
+
+
 class PpmModel:
-    """Frozen code lengths of each language's context tree."""
+    """Frozen code lengths of each language's context tree, by order from the longest."""
 
-    def __init__(self, langs: list[str], classes: np.ndarray, node_of: np.ndarray, costs: np.ndarray):
-        self.langs, self.classes, self.node_of, self.costs = langs, classes, node_of, costs
+    def __init__(self, langs: list[str], seen: list[Strings], escapes: list[Strings]):
+        self.langs, self.seen, self.escapes = langs, seen, escapes
 
     @classmethod
     def fit(cls, counts: pd.DataFrame) -> PpmModel:
         """From (lang, gram, n) rows."""
         langs = sorted(counts["lang"].unique())
-        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-        by_byte = np.bincount(gram & 255, weights=n, minlength=256)
-        kept = [b for b in np.argsort(-by_byte, kind="stable")[: MAX_CLASSES - 1] if by_byte[b] or b == 32]
-        if 32 not in kept:
-            kept.append(32)
-        classes = np.full(256, len(kept), np.uint8)  # the last class: all other bytes
-        classes[kept] = np.arange(len(kept))
-        a = len(kept) + 1
-        parts = [classes[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0)]
-        context = (parts[0] * a + parts[1]) * a + parts[2]
-        # the shared nodes: all contexts of orders 0 to 2, the most frequent of order 3
-        seen, where = np.unique(context, return_inverse=True)
-        total = np.bincount(where, weights=n)
-        third = np.sort(seen[np.argsort(-total, kind="stable")[:MAX_CONTEXTS]])
-        first = 1 + a + a * a
-        node_of = (1 + a + np.arange(a * a)).astype(np.int32)  # node of the last two classes
-        node_of = np.tile(node_of, a)
-        node_of[third] = first + np.arange(len(third))
-        rest = 8 + np.log2(max(1, 256 - len(kept)))  # bits of one of the other bytes below order 0
-        costs = np.empty((len(langs), first + len(third), a), np.float32)
-        for i, lang in enumerate(langs):
-            own = counts["lang"].to_numpy() == lang
-            p, w = [x[own] for x in parts], n[own]
-            shorter = np.full((1, a), 8.0)
-            shorter[0, -1] = rest
-            levels = (
-                (np.zeros(len(w), np.int64), 1, np.zeros(1, np.int64)),
-                (p[2], a, np.zeros(a, np.int64)),
-                (p[1] * a + p[2], a * a, np.arange(a * a) % a),
-            )
-            at = 0
-            for key, size, parent in levels:
-                count = np.bincount(key * a + p[3], weights=w, minlength=size * a).reshape(size, a)
-                shorter = _lengths(count, shorter[parent])
-                costs[i, at : at + size] = shorter
-                at += size
-            slot = np.searchsorted(third, context[own])
-            known = (slot < len(third)) & (third[np.minimum(slot, len(third) - 1)] == context[own])
-            count = np.bincount(slot[known] * a + p[3][known], weights=w[known], minlength=len(third) * a).reshape(len(third), a)
-            costs[i, at:] = _lengths(count, shorter[third % (a * a)])
-        return cls(langs, classes, node_of, costs.reshape(len(langs), -1))
+        lang = np.searchsorted(langs, counts["lang"].to_numpy(str)) if langs else np.zeros(0, int)
+        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(float)
+        model = cls(langs, [], [])
+        size = len(langs)
+        for order in range(ORDER + 1):
+            keep = (1 << 8 * (order + 1)) - 1
+            codes, at = np.unique(gram & keep, return_inverse=True)
+            count = np.zeros((len(codes), size))
+            np.add.at(count, (at, lang), n)
+            contexts, of = np.unique(codes >> 8, return_inverse=True)
+            total, distinct = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+            np.add.at(total, of, count)
+            np.add.at(distinct, of, count > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0)
+                own = -np.log2(count / (total + distinct)[of])
+            shorter = model.lengths((codes & keep >> 8).astype(np.uint32), order - 1)
+            length = np.where(count > 0, own, escape[of] + shorter)
+            # a context's leading zero bytes don't count, so its order is part of the table
+            model.seen.append(Strings(codes, length))
+            model.escapes.append(Strings(contexts, escape))
+        return model
+
+    def lengths(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """Code lengths, (codes, languages), of last bytes in contexts of ``order`` bytes."""
+        if order < 0:
+            return np.full((len(codes), len(self.langs)), 8.0)
+        table = self.seen[order]
+        row = table.find(codes)
+        out = table.rows[row]
+        new = np.flatnonzero(row == len(table.rows) - 1)
+        if len(new):
+            some, escapes = codes[new], self.escapes[order]
+            rest = self.lengths(some & np.uint32((1 << 8 * order) - 1), order - 1)
+            out[new] = rest + escapes.rows[escapes.find(some >> np.uint32(8))]
+        return out
 
     def bits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code lengths, (texts, languages), of non-empty texts that lie one after another."""
-        a = int(self.classes.max()) + 1
-        c = self.classes[data].astype(np.int32)
-        space = np.int32(self.classes[32])
-        one, two, three = (np.concatenate([np.full(k, space, np.int32), c[:-k]])[: len(c)] for k in (1, 2, 3))
-        for before, k in ((one, 1), (two, 2), (three, 3)):
-            for j in range(k):  # no context reaches into the text before
-                at = starts + j
-                before[at[at < len(c)]] = space
-        node = self.node_of[(three * a + two) * a + one]
-        node *= a
-        node += c
-        return np.stack([np.add.reduceat(cost.take(node), starts, dtype=np.float64) for cost in self.costs], axis=1)
+        codes = _grams(data)
+        for j in range(ORDER):  # no context reaches into the text before
+            at = starts + j
+            at = at[at < np.append(starts[1:], len(data))]
+            codes[at] = codes[at] & np.uint32((1 << 8 * (j + 1)) - 1) | np.uint32(0x20202020 << 8 * (j + 1) & 0xFFFFFFFF)
+        return np.add.reduceat(self.lengths(codes, ORDER), starts, axis=0, dtype=np.float64)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and bits per byte of each text of a string array."""
-        texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
         lang, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not len(texts) or not self.langs:
             return lang, score, rate
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-        full = np.flatnonzero((np.diff(offsets) > 0) & ~texts.is_null().to_numpy(zero_copy_only=False))
+        data, offsets = columns(texts)
+        full = np.flatnonzero(np.diff(offsets) > 0)
         at = 0
         while at < len(full):
             end = max(at + 1, int(np.searchsorted(offsets[full + 1] - offsets[full[at]], BLOCK, side="right")))
             rows = full[at:end]
             lo, hi = offsets[rows[0]], offsets[rows[-1] + 1]
             block, starts = data[lo:hi], offsets[rows] - lo
-            bits = self.bits(block, starts)
+            # a very long text in parts; its contexts reach back over their borders
+            bits = self.bits(block, starts) if len(rows) > 1 or hi - lo <= BLOCK else self._long(block)
             letters = np.add.reduceat(_ASCII_LETTER[block], starts, dtype=np.int64)
             best = bits.argmin(axis=1)
             behind = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)
@@ -157,31 +185,30 @@ class PpmModel:
             at = end
         return lang, score, rate
 
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        total = np.zeros((1, len(self.langs)))
+        for at in range(0, len(data), BLOCK):
+            part = data[max(0, at - ORDER) : at + BLOCK]
+            codes = _grams(part)[min(at, ORDER) :]
+            total += self.lengths(codes, ORDER).sum(axis=0, dtype=np.float64)
+        return total
 
-_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)], np.uint8)
 
-
-def _lengths(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Code lengths of one order from its counts and those of the next shorter contexts."""
-    n, d = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen, escaped = -np.log2(count / (n + d)), -np.log2(d / (n + d)) + shorter
-    return np.where(n == 0, shorter, np.where(count > 0, seen, escaped))
+_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)], np.uint8)
 
 
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2, max_rows_per_lang: int = MAX_ROWS_PER_LANG) -> PpmModel:
     """Learn from rows with a text, a language and an id outside the held-out fold;
     from about ``max_rows_per_lang`` of them for each language at most."""
-    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (fold_of(F.col("doc_id"), folds) != held_out))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return PpmModel([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((0, 1), np.float32))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1_000_003))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (place <= int(1_000_003 * min(1, max_rows_per_lang / n))))
-    counts = gram_counts(rows.filter(chosen & F.col("text").isNotNull())).toPandas()
-    return PpmModel.fit(counts) if len(counts) else PpmModel([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((0, 1), np.float32))
+    known = F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
+    rows = docs.select("doc_id", "lang", F.make_valid_utf8("text").alias("text")).filter(known & (fold_of(F.col("doc_id"), folds) != held_out))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows_per_lang).collect()
+    chosen = rows.filter(F.col("text").isNotNull())
+    if sizes:  # only languages of more rows than the bound: not more than rows / bound of them
+        share = F.from_json(F.lit(json.dumps({r["lang"]: int(1_000_003 * max_rows_per_lang / r["n"]) for r in sizes})), "map<string,int>")
+        place = F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(1_000_003))
+        chosen = chosen.filter(place <= F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1_000_003)))
+    return PpmModel.fit(gram_counts(chosen).toPandas())
 
 
 def predictor(model: PpmModel):
@@ -196,9 +223,9 @@ def predictor(model: PpmModel):
     return predict
 
 
-def identify(docs: DataFrame, model: PpmModel | None = None) -> DataFrame:
-    """The rows of ``docs`` with a struct column ``language`` (lang_pred, score, bits_per_byte)."""
-    return docs.withColumn("language", predictor(model or fit(docs))(F.col("text")))
+def identify(docs: DataFrame, model: PpmModel | None = None, name: str = "language") -> DataFrame:
+    """The rows of ``docs`` with a struct column ``name`` (lang_pred, score, bits_per_byte)."""
+    return docs.withColumn(name, predictor(model or fit(docs))(F.make_valid_utf8("text")))
 
 
 def accepted(language: Column, min_score: float = 0.5) -> Column:

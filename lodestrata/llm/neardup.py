@@ -29,7 +29,10 @@ which no tree prunes.  See ``similar_documents``.
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a row with a null doc_id gets a fingerprint, but takes part in no link
 and has a null component; repeated rows get equal results; rows that share a
-doc_id are one document.
+doc_id are one document, of which ``distinct_documents`` keeps the row whose
+columns' hash is the least; an empty table gives an empty result.  A very long
+text is hashed whole.  Ill-formed UTF-8 counts as U+FFFD.  Only doc_id and text
+are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 50, 6
 #: Rows of a shard that one task searches; larger shards are split exactly.
 SHARD_ROWS = 4_096
+#: Shingles of a group of candidates whose texts meet in one task; larger groups are cut exactly.
+GROUP_SHINGLES = 1 << 20
 #: Fingerprints of a tree's leaf, whose pairs are compared directly.
 LEAF = 64
 
@@ -74,6 +79,10 @@ def fingerprint(text: str | None, size: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def _text() -> Column:
+    return F.make_valid_utf8(F.col("text"))
+
+
 def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
@@ -81,7 +90,7 @@ def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     def simhash(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py(), size) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", simhash(F.col("text")).alias("fp"))
+    return docs.select("doc_id", simhash(_text()).alias("fp"))
 
 
 # ---------------------------------------------------------------- one shard
@@ -241,7 +250,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
     whole = rows.join(large, "bucket", "left_anti").select(F.col("bucket").alias("shard"), F.lit(0).alias("side"), "fp", "node")
     found = _searched(whole, radius)
     if not large.isEmpty():
-        found = found.unionByName(_searched(_cells(rows.join(large, "bucket"), radius, shard_rows), radius))
+        ring = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).cast("int")
+        ringed = materialize(rows.join(large, "bucket").select("bucket", ring.alias("ring"), "fp", "node"), "rings")
+        found = found.unionByName(_searched(_cells(ringed, F.lit(1), shard_rows, radius), radius))
     return materialize(found.distinct(), "links")
 
 
@@ -250,24 +261,23 @@ def _searched(rows: DataFrame, radius: int) -> DataFrame:
     return placed.select("shard", "side", "fp", "node").mapInArrow(_shards(radius), "a long, b long")
 
 
-def _cells(rows: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """Split shards by rings around their vantage points, and large rings by a hash.  A ring's
-    piece is compared with itself, and with each piece at a distance of up to the radius."""
-    ringed = rows.withColumn("ring", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).cast("int"))
-    ringed = materialize(ringed.select("bucket", "ring", "fp", "node"), "rings")
-    rings = ringed.groupBy("bucket", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("pieces"))
-    near = rings.alias("x").join(rings.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.abs(F.col("x.ring") - F.col("y.ring")) <= radius))
-    # for each ring: the rings around it with their numbers of pieces, at most 2 * radius + 1
+def _cells(ringed: DataFrame, weight: Column, bound: int, reach: int) -> DataFrame:
+    """(shard, side, and the other columns) of rows (bucket, ring, node, ...): buckets cut into
+    cells of bounded weight.  Rings of a bucket are cut into pieces by a hash of the node; a piece
+    meets itself (side 0), and each piece of the rings up to ``reach`` away (sides 1 and 2)."""
+    others_of = [c for c in ringed.columns if c not in ("bucket", "ring")]
+    rings = ringed.groupBy("bucket", "ring").agg(F.ceil(F.sum(weight) / F.lit(bound)).cast("int").alias("pieces"))
+    near = rings.alias("x").join(rings.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.abs(F.col("x.ring") - F.col("y.ring")) <= reach))
+    # for each ring: the rings around it with their numbers of pieces, at most 2 * reach + 1
     near = near.groupBy("x.bucket", "x.ring", F.col("x.pieces")).agg(F.collect_list(F.struct(F.col("y.ring").alias("ring"), F.col("y.pieces").alias("pieces"))).alias("around"))
-    piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    placed = ringed.join(near, ["bucket", "ring"]).withColumn("piece", piece)
+    placed = ringed.join(near, ["bucket", "ring"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     others = F.flatten(F.transform("around", lambda r: F.transform(F.sequence(F.lit(0), r["pieces"] - 1), lambda k: F.struct(r["ring"].alias("ring"), k.cast("int").alias("piece")))))
     own = F.struct(F.col("ring"), F.col("piece"))
-    out = placed.select("bucket", "fp", "node", own.alias("own"), F.explode(others).alias("other"))
+    out = placed.select("bucket", *others_of, own.alias("own"), F.explode(others).alias("other"))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     cell = F.xxhash64("bucket", low["ring"], low["piece"], high["ring"], high["piece"])
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return out.select(cell.alias("shard"), side.alias("side"), "fp", "node")
+    return out.select(cell.alias("shard"), side.alias("side"), *others_of)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -373,8 +383,8 @@ def linked_sets(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (root, node, text), sorted by root within the partition: links (a, b) of each root's
-    rows.  It holds the shingles of one root."""
+    """Rows (shard, node, text), sorted by shard within the partition: links (a, b) of each shard's
+    rows.  It holds the shingles of one shard."""
 
     def emit(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         node = np.array(nodes, np.int64)
@@ -400,26 +410,35 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Jaccard similarity of their shingle sets is ``SIMILARITY`` or more.
 
     Equal sets are one node.  Nodes that share a band are candidates, and connected candidates
-    are one group; the texts of a group then meet in one place, where all links are exact."""
+    are one group, whose texts meet in one place, where all links are exact.  A group of more
+    shingles than ``GROUP_SHINGLES`` is cut into cells: rings of sizes within a factor of the
+    similarity, which link only to the rings beside them, and pieces of rings."""
 
-    @F.arrow_udf("struct<key:long,bands:array<long>>")
+    @F.arrow_udf("struct<key:long,size:int,bands:array<long>>")
     def sketch(texts: pa.Array) -> pa.Array:
         sets = [shingles(t.as_py()) for t in texts]
         keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
         values = np.stack([bands(x) for x in sets]).view(np.int64).reshape(-1) if sets else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(values))
-        return pa.StructArray.from_arrays([pa.array(keys), lists], ["key", "bands"])
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array([len(x) for x in sets], pa.int32()), lists], ["key", "size", "bands"])
 
-    prints = materialize(docs.select("doc_id", sketch(F.col("text")).alias("s")).select("doc_id", "s.key", "s.bands"), "sketches")
+    prints = materialize(docs.select("doc_id", sketch(_text()).alias("s")).select("doc_id", "s.*"), "sketches")
     known = prints.filter(F.col("doc_id").isNotNull())
-    nodes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "set-nodes")
+    nodes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "set-nodes")
     placed = nodes.select("node", F.explode("bands").alias("band"))
     lowest = F.first("node").over(Window.partitionBy("band").orderBy("node"))
     near = materialize(placed.select(F.col("node").alias("a"), lowest.alias("b")).filter("a <> b").distinct(), "candidates")
     grouped = components(near)
-    members = materialize(grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct(), "candidate-groups")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(members, "node").select("root", "node", "text")
-    found = texts.repartition("root").sortWithinPartitions("root").mapInArrow(_groups, "a long, b long")
+    members = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct()
+    members = materialize(members.join(nodes.groupBy("node").agg(F.max("size").alias("size")), "node").select(F.col("root").alias("bucket"), "node", "size"), "candidate-groups")
+    large = materialize(members.groupBy("bucket").agg(F.sum("size").alias("total")).filter(F.col("total") > GROUP_SHINGLES).select("bucket"), "large-groups")
+    cells = members.join(large, "bucket", "left_anti").select(F.col("bucket").alias("shard"), "node")
+    if not large.isEmpty():
+        ring = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(SIMILARITY))).cast("int")
+        ringed = materialize(members.join(large, "bucket", "left_semi").select("bucket", ring.alias("ring"), "node", "size"), "size-rings")
+        cells = cells.unionByName(_cells(ringed, F.col("size"), GROUP_SHINGLES, 1).select("shard", "node"))
+    texts = docs.select(F.col("doc_id").alias("node"), _text().alias("text")).join(cells, "node").select("shard", "node", "text")
+    found = texts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_groups, "a long, b long")
     # a document with several texts (a repeated id) links their sets
     several = known.join(nodes.select("key", "node"), "key").filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     several = several.join(nodes.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
@@ -435,10 +454,12 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     found = materialize(similar_documents(docs), "similar-documents")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
-    # rows repeated under the kept id: one of them, told by its text
+    # rows repeated under the kept id: the one whose columns' hash is the least
     again = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if again.isEmpty():
         return kept
     again = materialize(again.select(F.col("doc_id").alias("__again")), "repeated")
     alone = kept.join(again, kept["doc_id"] == again["__again"], "left_anti")
-    return alone.unionByName(kept.join(again, kept["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"]))
+    several = kept.join(again, kept["doc_id"] == again["__again"], "left_semi")
+    first = F.min_by(F.struct(*several.columns), F.xxhash64(*several.columns))
+    return alone.unionByName(several.groupBy("doc_id").agg(first.alias("__row")).select("__row.*"))

@@ -9,7 +9,10 @@ into probabilities.
 
 Defined results: a null text counts as empty; empty texts get the score of
 their (zero) statistics; repeated rows get equal scores; without any learnable
-label every score is 0.
+label every score is 0; an empty table gives an empty result.  A very long text
+is read whole.  Ill-formed UTF-8 counts as U+FFFD.  Labels other than 0 and 1,
+and rows with a null id, teach nothing.  Only doc_id and text are read, whatever
+other columns are named.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from lodestrata.llm.common import fold_of, materialize
 
 STATISTICS = ("size", "word_length", "long_words", "lower", "upper", "digits", "spaces", "stops", "commas", "bars", "symbols", "exclaims", "high_bytes", "new_words", "new_lines", "line_length", "top_word", "lone_bytes")
 FEATURES, BINS, RIDGE = 256, 512, 1e-3
+#: The part of a score that is the raw value, which keeps the order within an isotonic step.
+RANK = 0.02
 
 _B = np.arange(256)
 _IN = lambda s: np.isin(_B, np.frombuffer(s, np.uint8))
@@ -66,7 +71,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         values = np.stack([statistics_of(t.as_py()) for t in texts]) if len(texts) else np.zeros((0, len(STATISTICS)))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(values.ravel()))
 
-    return docs.select("doc_id", stats(F.col("text")).alias("stats"))
+    return docs.select("doc_id", stats(F.make_valid_utf8("text")).alias("stats"))
 
 
 class QualityModel:
@@ -90,7 +95,8 @@ class QualityModel:
     def score(self, stats: np.ndarray) -> np.ndarray:
         if self.weights is None or not len(stats):
             return np.zeros(len(stats))
-        return np.clip(np.interp(self.raw(stats), self.edges, self.steps), 0, 1)
+        raw = self.raw(stats)
+        return np.clip((1 - RANK) * np.interp(raw, self.edges, self.steps) + RANK * (raw + 0.5) / 2, 0, 1)
 
 
 def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:

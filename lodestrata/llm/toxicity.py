@@ -10,8 +10,10 @@ group's mere mention therefore can't move a score much, whichever group the
 labelled sentences happened to insult.
 
 Defined results: null and empty texts get the score of a text without
-features; repeated rows get equal scores; without any learnable label the
-score is 0.
+features; repeated rows get equal scores, and are learned from once; without
+any learnable label, or any document, the score is 0; an empty table gives an
+empty result.  A very long text is scored whole.  Ill-formed UTF-8 counts as
+U+FFFD.  Labels other than 0 and 1, and rows with a null id, teach nothing.
 """
 
 from __future__ import annotations
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import bounded_share, fold_of, materialize
 
-#: Bounds: labelled rows that training reads, and features that it keeps.
+#: Bound of the labelled rows that training reads, about; all features of theirs that have the
+#: evidence are kept.
 MAX_ROWS = 16_000
-MAX_FEATURES = 4_096
 #: A feature must have this log-likelihood ratio against independence of the label.
 MIN_EVIDENCE = 15.0
 PENALTY, COUNTERFACTUAL = 1e-3, 1.0
@@ -121,7 +123,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, max
     labels are thinned first, so the side that is broadcast is bounded."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold_of(F.col("doc_id"), folds) != held_out)).distinct()
     rows = bounded_share(rows, F.col("doc_id"), max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "label")
+    found = docs.select("doc_id", F.make_valid_utf8("text").alias("text")).join(F.broadcast(rows), "doc_id").select("doc_id", "text", "label")
+    found = materialize(found.distinct(), "toxicity-sample")  # an id may have many rows
+    return bounded_share(found, F.xxhash64("doc_id", "text"), max_rows).select("text", "label")
 
 
 def _evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
@@ -138,7 +142,7 @@ def _evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_rows: int = MAX_ROWS) -> ToxicityModel:
     """Learn from at most about ``max_rows`` labelled rows outside the held-out fold."""
-    sample = materialize(_labelled(docs, labels, folds, held_out, max_rows), "toxicity-sample")
+    sample = _labelled(docs, labels, folds, held_out, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
@@ -159,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
         return ToxicityModel({}, -np.inf if not n_pos else np.log(n_pos))
     rare = counts.filter((F.col("feature") != "") & (F.col("pos") >= 3) & (F.col("pos") * F.lit(n_neg) > F.lit(2.0 * n_pos) * F.col("neg")))
     judged = rare.withColumn("evidence", _evidence(F.col("pos"), F.col("neg"), n_pos, n_neg)).filter(F.col("evidence") >= MIN_EVIDENCE)
-    few = judged.orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).toPandas()
+    few = judged.select("feature").toPandas().sort_values("feature")
     index = {f: i for i, f in enumerate(few["feature"])}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +214,6 @@ def scorer(model: ToxicityModel):
     return score
 
 
-def score(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
-    """The rows of ``docs`` with a column ``toxicity``."""
-    return docs.withColumn("toxicity", scorer(model or fit(docs, labels))(F.col("text")))
+def score(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None, name: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` with a column ``name``, which takes the place of one so named."""
+    return docs.withColumn(name, scorer(model or fit(docs, labels))(F.make_valid_utf8("text")))

@@ -56,7 +56,9 @@ def plain_hits(docs, items, size=10):
     return sorted(out, key=str)
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     rng = random.Random(3)
     vocabulary = ["a", "b", "C", "d", "Éa", "e1"]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 4, 10, 12, 15])))) for i in range(12)] + [(12, None), (3, "a b a b a b a b a b a b a b")]
@@ -76,7 +78,9 @@ def test_decontamination_of_edges(spark):
     assert decontaminate.report(docs.limit(0), items).count() == 0
 
 
-def test_decontamination_runs_no_python(spark):
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_decontamination_runs_no_python(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     plan = decontaminate.report(frame(spark, ["a b c"]), items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
@@ -176,21 +180,62 @@ def test_language_code_lengths_equal_a_plain_walk(spark):
             for k in range(4):
                 seen = trees.setdefault((lang, padded[i - k : i]), {})
                 seen[padded[i]] = seen.get(padded[i], 0) + 1
-    text = "then der d"
-    known = {b for _, t in docs for b in t.encode()} | {32}
+    text = "then der d\u00e9"
 
     def length(lang, context, symbol):
         seen = trees.get((lang, context))
         if seen is not None and symbol in seen:
             return -np.log2(seen[symbol] / (sum(seen.values()) + len(seen)))
-        shorter = length(lang, context[1:], symbol) if context else (8 if symbol in known else 8 + np.log2(256 - len(known)))
+        shorter = length(lang, context[1:], symbol) if context else 8
         return shorter if seen is None else shorter - np.log2(len(seen) / (sum(seen.values()) + len(seen)))
 
     padded = b"   " + text.encode()
     for i, lang in enumerate(model.langs):
         want = sum(length(lang, padded[j - 3 : j], padded[j]) for j in range(3, len(padded)))
-        two = model.bits(np.frombuffer((text + text).encode(), np.uint8), np.array([0, len(text)]))
+        two = model.bits(np.frombuffer((text + text).encode(), np.uint8), np.array([0, len(text.encode())]))
         assert two[:, i] == pytest.approx([want, want], rel=1e-4)
+        assert model._long(np.frombuffer(text.encode(), np.uint8))[0, i] == pytest.approx(want, rel=1e-4)
+
+
+def test_language_query_against_a_plain_walk(spark, tmp_path, monkeypatch):
+    """The registered query, with ties, repeated rows, nulls and texts longer than a block."""
+    from lodestrata.llm import entries
+
+    monkeypatch.setattr(langid, "BLOCK", 256)
+    rng = random.Random(5)
+    said = {"en": "the house and the garden with that thing of ours", "de": "das haus und der garten mit dem ding von uns", "zh": "漢字 的 書 和 花 園"}
+    rows = [(i, " ".join(rng.choices(said[g].split(), k=8)), g) for i, g in enumerate(rng.choices(list(said), k=120))]
+    rows += [(500, None, "en"), (501, "", "en"), (502, "12 !", "de"), (503, "the haus", None), (503, "the haus", None), (None, "der garten", "de"), (504, "the garden " * 400, None), (505, "ÿ", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    trees, known = {}, sorted({g for i, t, g in rows if t is not None and g and i is not None and zlib.crc32(str(i).encode()) % 4 != 2})
+    for i, t, g in rows:
+        if t is not None and g and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            padded = b"   " + t.encode()
+            for at in range(3, len(padded)):
+                for k in range(4):
+                    seen = trees.setdefault((g, padded[at - k : at]), {})
+                    seen[padded[at]] = seen.get(padded[at], 0) + 1
+
+    def length(g, context, symbol):
+        seen = trees.get((g, context))
+        if seen and symbol in seen:
+            return -np.log2(seen[symbol] / (sum(seen.values()) + len(seen)))
+        shorter = length(g, context[1:], symbol) if context else 8
+        return shorter if seen is None else shorter - np.log2(len(seen) / (sum(seen.values()) + len(seen)))
+
+    want = []
+    for i, t, _ in rows:
+        held = i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+        if not any(map(str.isalpha, t or "")):
+            want.append((i, held, "und", 0.0))
+            continue
+        padded = b"   " + t.encode()
+        bits = [sum(length(g, padded[at - 3 : at], padded[at]) for at in range(3, len(padded))) for g in known]
+        want.append((i, held, known[int(np.argmin(bits))], 1 / sum(2.0 ** -min(b - min(bits), 1000) for b in bits)))
+    got = entries.QUERIES["op3_language"](spark, str(tmp_path)).collect()
+    key = lambda r: (str(r[0]), str(r[2]))
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert tuple(a)[:3] == b[:3] and a["score"] == pytest.approx(b[3], abs=1e-3)
 
 
 def test_language_without_labels(spark):
@@ -294,8 +339,7 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), labels, model).count() == 0
 
 
-def test_features_are_chosen_by_their_evidence(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_FEATURES", 2)
+def test_features_are_chosen_by_their_evidence(spark):
     rare = [f"r{c}z" for c in "abcdefghijkl"]
     texts, toxic = [], []
     for i in range(600):
@@ -557,7 +601,9 @@ def edited(words, changes, tag):
     return " ".join(out)
 
 
-def test_edited_copies_are_one_document(spark):
+@pytest.mark.parametrize("shingles", [1 << 20, 500])
+def test_edited_copies_are_one_document(spark, monkeypatch, shingles):
+    monkeypatch.setattr(neardup, "GROUP_SHINGLES", shingles)
     rng = random.Random(7)
     bases = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(6)]
     texts = [" ".join(b) for b in bases] + [edited(b, 1 + i % 4, i % 4) for i, b in enumerate(bases)]
