@@ -220,12 +220,12 @@ def predictor(model: PpmModel):
         lang, score, rate = model.predict(texts)
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], ["lang_pred", "score", "bits_per_byte"])
 
-    return predict
+    return lambda text: predict(F.make_valid_utf8(text))
 
 
 def identify(docs: DataFrame, model: PpmModel | None = None, name: str = "language") -> DataFrame:
     """The rows of ``docs`` with a struct column ``name`` (lang_pred, score, bits_per_byte)."""
-    return docs.withColumn(name, predictor(model or fit(docs))(F.make_valid_utf8("text")))
+    return docs.withColumn(name, predictor(model or fit(docs))(F.col("text")))
 
 
 def accepted(language: Column, min_score: float = 0.5) -> Column:

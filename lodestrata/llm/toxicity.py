@@ -211,9 +211,9 @@ def scorer(model: ToxicityModel):
     def score(texts: pa.Array) -> pa.Array:
         return pa.array([model.score(t.as_py()) for t in texts], pa.float64())
 
-    return score
+    return lambda text: score(F.make_valid_utf8(text))
 
 
 def score(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None, name: str = "toxicity") -> DataFrame:
     """The rows of ``docs`` with a column ``name``, which takes the place of one so named."""
-    return docs.withColumn(name, scorer(model or fit(docs, labels))(F.make_valid_utf8("text")))
+    return docs.withColumn(name, scorer(model or fit(docs, labels))(F.col("text")))
