@@ -105,6 +105,18 @@ def diagram(found: DataFrame, columns: int = 3) -> DataFrame:
     return found.select("name", (i % columns * 380 + 40).alias("x"), (F.floor(i / columns) * 340 + 40).cast("int").alias("y"))
 
 
+def diagram_edges(found: DataFrame) -> DataFrame:
+    """(src, dst, column, type) of the relationships between tables of a diagram."""
+    names = found.select(F.col("name").alias("dst")).distinct()
+    links = relationships(found).select(F.col("from_table").alias("src"), F.explode(F.array("to_table", F.concat("to_table", F.lit("s")))).alias("dst"), "column", "type")
+    return links.join(names, "dst").select("src", "dst", "column", "type")
+
+
+def diagram_tables(places: DataFrame, found: DataFrame) -> DataFrame:
+    """A diagram's places with their tables; a place without one keeps nulls."""
+    return places.join(found.drop("x", "y"), "name", "left")
+
+
 def migrations(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return files.filter(any_of(F.lower("path"), rules.MIGRATION_PATHS)).select(F.when(name.contains("_"), F.substring_index(name, "_", 1)).otherwise(name).alias("id"), name.alias("name")).orderBy("name")
@@ -170,12 +182,25 @@ def subsystems(files: DataFrame, symbols: DataFrame) -> DataFrame:
     a subsystem, all are one application."""
     n = symbols.groupBy(F.col("file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     rows = files.select("path", subsystem(F.col("path")).alias("subsystem"), technologies(F.col("path")).alias("tech")).join(n, "path", "left")
-    out = rows.groupBy("subsystem").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tech")))).alias("technologies"), F.slice(F.array_sort(F.collect_list("path")), 1, 4).alias("key_files"))
+    # the first files of a subsystem are ranked, which Spark limits before the shuffle
+    rank = F.row_number().over(Window.partitionBy("subsystem").orderBy("path"))
+    first = rows.select("subsystem", "path").withColumn("n", rank).filter("n <= 4").groupBy("subsystem").agg(F.array_sort(F.collect_list("path")).alias("key_files"))
+    out = rows.groupBy("subsystem").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("tech")))).alias("technologies"))
+    out = out.alias("o").join(first.alias("f"), F.col("o.subsystem").eqNullSafe(F.col("f.subsystem"))).select("o.*", "key_files")
     mapped = F.count("subsystem").over(Window.partitionBy())
     out = out.withColumn("mapped", mapped).filter("subsystem is not null or mapped = 0").drop("mapped")
     return out.withColumn("tier", F.coalesce(tier_of(F.col("subsystem")), F.lit("application"))).withColumn("subsystem", F.coalesce("subsystem", F.lit("core_module")))
 
 
+def layout(found: DataFrame, width: int = 260, height: int = 160) -> DataFrame:
+    """Places of subsystems: a row for each tier, in the tiers' order, and a column for each
+    subsystem by name."""
+    order = F.array_position(F.array(*[F.lit(t) for t in dict.fromkeys(t for t, _, _, _ in rules.SUBSYSTEMS)]), F.col("tier")) - 1
+    column = F.row_number().over(Window.partitionBy("tier").orderBy("subsystem")) - 1
+    row = F.when(order < 0, F.lit(len({t for t, _, _, _ in rules.SUBSYSTEMS}))).otherwise(order)
+    return found.select("subsystem", "tier", (column * width).cast("int").alias("x"), (row * height).cast("int").alias("y"))
+
+
 def layers(found: DataFrame) -> DataFrame:
     """Tiers of subsystems: files and component names."""
     return found.groupBy("tier").agg(F.sum("files").alias("files"), F.array_sort(F.collect_list("subsystem")).alias("components"))

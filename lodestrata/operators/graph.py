@@ -25,26 +25,70 @@ def build(repo_id: str, files: DataFrame, symbols: DataFrame, imports: DataFrame
     file_key, symbol_key, module_key = (lambda *c: key_of(F.lit("file"), root, *c)), (lambda *c: key_of(F.lit("symbol"), root, *c)), (lambda *c: key_of(F.lit("module"), root, *c))
     some = files.filter(F.col("language").isNotNull() & (F.col("language") != ""))
     sym = symbols.withColumn("id", symbol_key(F.col("file_path"), F.col("name"), F.col("line_start").cast("string")))
-    node = lambda df, i, label, name, path: df.select(i.alias("id"), F.array(label).alias("labels"), name.alias("name"), path.alias("file_path"))
     none = F.lit(None).cast("string")
+
+    def node(df: DataFrame, i: Column, label: Column, name: Column, path: Column, doc: Column = none, returns: Column = none) -> DataFrame:
+        return df.select(i.alias("id"), F.array(label).alias("labels"), name.alias("name"), path.alias("file_path"), F.substring(doc, 1, 500).alias("docstring"), returns.alias("return_type"), root.alias("repo_id"))
+
+    for c in ("docstring", "return_type"):
+        sym = sym if c in sym.columns else sym.withColumn(c, none)
     nodes = [
         node(files.sparkSession.range(1), key_of(F.lit("repo"), root), F.lit("Repository"), root, none),
         node(some, file_key(F.col("path")), F.lit("File"), F.col("path"), F.col("path")),
-        node(sym, F.col("id"), F.coalesce(F.try_element_at(known, F.col("type")), F.lit("Function")), F.col("name"), F.col("file_path")),
+        node(sym, F.col("id"), F.coalesce(F.try_element_at(known, F.col("type")), F.lit("Function")), F.col("name"), F.col("file_path"), F.col("docstring"), F.col("return_type")),
         node(imports.select("module").distinct(), module_key(F.col("module")), F.lit("Module"), F.col("module"), none),
     ]
-    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"))
-    methods = sym.filter("type = 'method'").alias("m").join(sym.filter("type = 'class'").alias("c"), (F.col("m.file_path") == F.col("c.file_path")) & (F.col("m.parent") == F.col("c.name")))
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"), root.alias("repo_id"))
     edges = [
         edge(some, key_of(F.lit("repo"), root), file_key(F.col("path")), "CONTAINS"),
         edge(sym, file_key(F.col("file_path")), F.col("id"), "DEFINES"),
         edge(imports, file_key(F.col("file_path")), module_key(F.col("module")), "IMPORTS"),
-        edge(methods, F.col("c.id"), F.col("m.id"), "HAS_METHOD"),
+        edge(class_methods(sym), F.col("src"), F.col("dst"), "HAS_METHOD"),
         edge(resolve_calls(sym, calls), F.col("src"), F.col("dst"), "CALLS"),
     ]
     return reduce(DataFrame.unionByName, nodes).dropDuplicates(["id"]), reduce(DataFrame.unionByName, edges).distinct()
 
 
+def class_methods(symbols: DataFrame) -> DataFrame:
+    """(src, dst): classes and their methods, by file and the parent's name."""
+    methods, classes = symbols.filter("type = 'method'").alias("m"), symbols.filter("type = 'class'").alias("c")
+    return methods.join(classes, (F.col("m.file_path") == F.col("c.file_path")) & (F.col("m.parent") == F.col("c.name"))).select(F.col("c.id").alias("src"), F.col("m.id").alias("dst"))
+
+
+def get_node(nodes: DataFrame, node_id) -> DataFrame:
+    """The node with an id, or no row."""
+    return nodes.filter(F.col("id") == node_id).limit(1)
+
+
+def repository_view(nodes: DataFrame, edges: DataFrame, repo_id: str) -> tuple[DataFrame, DataFrame]:
+    """One repository's nodes and edges; where the tables are partitioned by it, only they are read."""
+    return nodes.filter(F.col("repo_id") == repo_id), edges.filter(F.col("repo_id") == repo_id)
+
+
+def clear_repository(nodes: DataFrame, edges: DataFrame, repo_id: str) -> tuple[DataFrame, DataFrame]:
+    """The tables without one repository."""
+    return nodes.filter(~F.col("repo_id").eqNullSafe(repo_id)), edges.filter(~F.col("repo_id").eqNullSafe(repo_id))
+
+
+def duplicated(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys that stand more than once: what a uniqueness constraint would refuse."""
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def with_parents(nodes: DataFrame, edges: DataFrame, labels: list[str]) -> DataFrame:
+    """Nodes with one of the labels, and the files that define one."""
+    some = nodes.filter(F.arrays_overlap("labels", F.array(*map(F.lit, labels))))
+    above = edges.filter("type = 'DEFINES'").join(some.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
+    return nodes.join(some.select("id").union(above).distinct(), "id", "left_semi")
+
+
+def named_in(nodes: DataFrame, text: Column, rows: DataFrame, key: str) -> DataFrame:
+    """(key, id, name) of nodes that a row's text names: its words are joined with the names,
+    without regard to case."""
+    words = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("__word"))
+    return words.join(nodes.select("id", "name", F.lower("name").alias("__word")), "__word").select(key, "id", "name").distinct()
+
+
 def resolve_calls(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     """(src, dst) of calls: the caller by file and name, the callee by name, preferring the
     caller's file and then the last one by (file, line); a symbol doesn't call itself."""
@@ -62,11 +106,12 @@ def latest_edges(edges: DataFrame, order: Column) -> DataFrame:
     return edges.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, node_id, direction: str = "both", kind: str | None = None) -> DataFrame:
-    """The node and those one edge away from it."""
+def neighbors(nodes: DataFrame, edges: DataFrame, node_id, direction: str = "both", kind: str | None = None, limit: int | None = None) -> DataFrame:
+    """The node and those one edge away from it, by the first ``limit`` edges of each direction."""
     some = edges if kind is None else edges.filter(F.col("type") == kind)
-    out = some.filter(F.col("src") == node_id).select(F.col("dst").alias("id"))
-    into = some.filter(F.col("dst") == node_id).select(F.col("src").alias("id"))
+    first = lambda rows: rows if limit is None else rows.orderBy("id").limit(limit)
+    out = first(some.filter(F.col("src") == node_id).select(F.col("dst").alias("id")))
+    into = first(some.filter(F.col("dst") == node_id).select(F.col("src").alias("id")))
     parts = {"out": [out], "in": [into], "both": [out, into]}[direction]
     ids = reduce(DataFrame.union, [*parts, nodes.filter(F.col("id") == node_id).select("id")]).distinct()
     return nodes.join(ids, "id", "left_semi")
@@ -97,8 +142,9 @@ def extend_paths(paths: DataFrame, edges: DataFrame, allowed: Column | None = No
     return grown.select("start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"))
 
 
-def paths(edges: DataFrame, src, dst, max_depth: int = 5) -> DataFrame:
-    """All simple directed paths from src to dst of up to ``max_depth`` edges."""
+def paths(edges: DataFrame, src, dst, max_depth: int = 5, limit: int | None = None) -> DataFrame:
+    """All simple directed paths from src to dst of up to ``max_depth`` edges, or the shortest
+    ``limit`` of them."""
     plain = simple_edges(edges)
     level = plain.filter((F.col("src") == src) & (F.col("dst") != src)).select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     found = []
@@ -106,7 +152,8 @@ def paths(edges: DataFrame, src, dst, max_depth: int = 5) -> DataFrame:
         found.append(level.filter(F.col("last") == dst))
         if depth + 1 < max_depth:
             level = extend_paths(level.filter(F.col("last") != dst), plain)
-    return reduce(DataFrame.unionByName, found).select("path", (F.size("path") - 1).alias("depth"))
+    out = reduce(DataFrame.unionByName, found).select("path", (F.size("path") - 1).alias("depth"))
+    return out if limit is None else out.orderBy("depth", "path").limit(limit)
 
 
 def shortest_path(edges: DataFrame, src, dst, max_depth: int = 10) -> DataFrame:
@@ -125,9 +172,10 @@ def shortest_path(edges: DataFrame, src, dst, max_depth: int = 10) -> DataFrame:
     return seen.filter(F.col("id") == dst).select("path")
 
 
-def cycles(edges: DataFrame, max_length: int = 10) -> DataFrame:
-    """All simple cycles of up to ``max_length`` nodes, each once: it starts at its smallest
-    node.  Nodes that no cycle can pass (no edge in or none out) are trimmed first."""
+def cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None) -> DataFrame:
+    """All simple cycles of up to ``max_length`` nodes, or the shortest ``limit`` of them, each
+    once: it starts at its smallest node.  Nodes that no cycle can pass (no edge in or none
+    out) are trimmed first; with a limit, longer cycles are looked for only while it isn't met."""
     plain = simple_edges(edges).filter("src <> dst")
     for _ in range(3):
         plain = plain.join(plain.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(plain.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
@@ -137,11 +185,14 @@ def cycles(edges: DataFrame, max_length: int = 10) -> DataFrame:
     found = []
     for length in range(2, max_length + 1):
         found.append(level.join(back, ["last", "start"], "left_semi"))
+        if limit is not None and reduce(DataFrame.unionByName, found).limit(limit).count() == limit:
+            break
         if length < max_length:
             level = cut(extend_paths(level, plain, F.col("dst") > F.col("start")), "cycle-paths")
             if level.isEmpty():
                 break
-    return reduce(DataFrame.unionByName, found).select(F.col("path").alias("cycle"), F.size("path").alias("length"))
+    out = reduce(DataFrame.unionByName, found).select(F.col("path").alias("cycle"), F.size("path").alias("length"))
+    return out if limit is None else out.orderBy("length", "cycle").limit(limit)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:

@@ -13,9 +13,20 @@ from pyspark.sql import functions as F
 def contributors(commits: DataFrame, gate: int = 200) -> DataFrame:
     """By author: commits, changed lines of their newest ``gate`` commits, first and last time,
     and the name first seen in the log."""
-    own = commits.withColumn("author", F.coalesce("author", F.lit("unknown"))).withColumn("n", F.row_number().over(Window.partitionBy("author").orderBy("seq")))
-    gated = lambda c: F.sum(F.when(F.col("n") <= gate, F.col(c)).otherwise(0))
-    return own.groupBy("author").agg(F.count(F.lit(1)).alias("commits"), gated("insertions").alias("insertions"), gated("deletions").alias("deletions"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min_by("name", "seq").alias("name"))
+    own = commits.withColumn("author", F.coalesce("author", F.lit("unknown")))
+    # these combine before the shuffle, however many commits an author has
+    whole = own.groupBy("author").agg(F.count(F.lit(1)).alias("commits"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min_by("name", "seq").alias("name"))
+    # of the newest commits, Spark keeps only ``gate`` for each author and task before the shuffle
+    n = F.row_number().over(Window.partitionBy("author").orderBy("seq"))
+    newest = own.select("author", "seq", "insertions", "deletions").withColumn("n", n).filter(F.col("n") <= gate)
+    lines = newest.groupBy("author").agg(F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"))
+    return whole.join(lines, "author").select("author", "commits", "insertions", "deletions", "first_at", "last_at", "name")
+
+
+def leading(contributors: DataFrame, top: int | None = None) -> DataFrame:
+    """Contributors by their commits, the most first."""
+    rows = contributors.orderBy(F.desc("commits"), "author")
+    return rows if top is None else rows.limit(top)
 
 
 def owned_files(commits: DataFrame, files: DataFrame, top: int = 10) -> DataFrame:
@@ -26,8 +37,8 @@ def owned_files(commits: DataFrame, files: DataFrame, top: int = 10) -> DataFram
 
 
 def hotspots(commits: DataFrame, files: DataFrame, newest: int | None = None, top: int = 30) -> DataFrame:
-    """Files by changes, with their distinct authors."""
-    some = commits if newest is None else commits.filter(F.col("seq") <= newest)
+    """Files by changes, with their distinct authors; of the ``newest`` commits only, if given."""
+    some = commits if newest is None else commits.orderBy("seq").limit(newest)
     rows = some.join(files, "commit_id").groupBy("path").agg(F.count(F.lit(1)).alias("changes"), F.countDistinct("author").alias("authors"))
     return rows.orderBy(F.desc("changes"), "path").limit(top)
 

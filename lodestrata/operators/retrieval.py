@@ -81,10 +81,10 @@ def fuse(sources: list[DataFrame], k: int = 12) -> DataFrame:
     return best.orderBy("source", "rank", "text").limit(k)
 
 
-def citations(fused: DataFrame) -> DataFrame:
-    """Numbered snippets for a prompt."""
+def citations(fused: DataFrame, *keep: str) -> DataFrame:
+    """Numbered snippets for a prompt, from the few rows that were fused."""
     n = F.row_number().over(Window.orderBy("source", "rank", "text"))
-    return fused.select(n.alias("n"), snippet(F.col("text")).alias("snippet"), "score")
+    return fused.select(n.alias("n"), snippet(F.col("text")).alias("snippet"), "score", *keep)
 
 
 def prompts(turns: DataFrame, key: str, order: str, role: str, text: str) -> DataFrame:
@@ -125,3 +125,25 @@ def messages(system: str, history: Column, cited: Column, question: Column) -> C
 def search_documents(files: DataFrame, repo_id: str) -> DataFrame:
     """(id, path, name, content, language) of files, for a full-text index."""
     return files.select(key_of(F.lit(repo_id), F.col("path"), length=32).alias("id"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), "content", "language")
+
+
+#: What each index is searched by (fixed values).
+INDEXES = {"files": ["path", "name", "content", "language"], "symbols": ["name", "type", "file_path", "signature"], "docs": ["title", "content", "file_path"]}
+
+
+def search_index(rows: DataFrame, key: str, attributes: list[str], words: list[str], k: int = 10) -> DataFrame:
+    """The k best rows for some words in any of their attributes."""
+    return search(rows.select(key, F.concat_ws(" ", *attributes).alias("__said")), key, "__said", words, k)
+
+
+def symbol_documents(symbols: DataFrame, repo_id: str) -> DataFrame:
+    """(id, name, type, file_path, signature) of symbols, for a full-text index."""
+    ident = key_of(F.lit(repo_id), F.col("file_path"), F.col("name"), F.col("line_start").cast("string"), length=32)
+    return symbols.select(ident.alias("id"), "name", "type", "file_path", F.coalesce("signature", F.lit("")).alias("signature"))
+
+
+def document_documents(files: DataFrame, repo_id: str, most: int = 10_000) -> DataFrame:
+    """(id, title, content, file_path) of documentation files; the index takes the first
+    ``most`` characters of a text, as an index's limit."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(key_of(F.lit(repo_id), F.col("path"), length=32).alias("id"), F.regexp_replace(name, r"[.][^.]*$", "").alias("title"), F.substring("content", 1, most).alias("content"), F.col("path").alias("file_path"))

@@ -6,6 +6,7 @@ module that fails is an error in the report and doesn't stop the others.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars
-from lodestrata.operators import discovery, findings, graph, history, retrieval
+from lodestrata.operators import discovery, explore, findings, graph, history, retrieval
+from lodestrata.plans import answers
 from lodestrata.session import cut, ship
 from lodestrata.sources import files as sources
 from lodestrata.sources import gitlog, manifests, parsers
@@ -28,7 +30,7 @@ class Report:
 
     def add(self, name: str, build: Callable[[], DataFrame]) -> None:
         try:
-            self.tables[name] = build()
+            self.tables[name] = cut(build(), name)  # made here, so that what fails when it runs is reported
         except Exception as error:  # noqa: BLE001  one module's failure is reported, not raised
             self.errors[name] = f"{type(error).__name__}: {error}"
 
@@ -65,6 +67,7 @@ def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = F
     report.add("relationships", lambda: discovery.relationships(t["tables"]))
     report.add("diagram", lambda: discovery.diagram(t["tables"]))
     report.add("migrations", lambda: discovery.migrations(files))
+    report.add("readme", lambda: explore.readme(lines.filter(F.lower(F.element_at(F.split("file_path", "/"), -1)).startswith("readme"))))
     report.add("packages", lambda: manifests.packages(files))
     report.add("facts", lambda: discovery.repository_facts(files, t["packages"]))
     report.add("pattern", lambda: discovery.pattern(files))
@@ -89,10 +92,15 @@ def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = F
     return report
 
 
-def save(report: Report, where: str) -> None:
-    """Store all results as tables."""
+def save(report: Report, where: str, job: str = "job") -> None:
+    """Store all results as tables, and a row on the job: its state, what failed, and the small
+    results as one JSON text."""
     for name, rows in report.tables.items():
         sources.write_table(rows, f"{where}/{name}")
+    spark = next(iter(report.tables.values())).sparkSession
+    scores = {name: report[name].first().asDict(recursive=True) for name in ("risk", "debt_score", "health", "pattern", "facts") if name in report.tables}
+    row = (job, "failed" if report.errors else "completed", 100.0, json.dumps(report.errors, sort_keys=True), json.dumps(scores, sort_keys=True, default=str))
+    sources.write_table(spark.createDataFrame([row], "scan_job_id string, status string, progress double, errors string, result string"), f"{where}/jobs", key="scan_job_id")
 
 
 def views(report: Report, prefix: str = "") -> list[str]:
@@ -102,23 +110,16 @@ def views(report: Report, prefix: str = "") -> list[str]:
     return sorted(prefix + n for n in report.tables)
 
 
-#: The results that answer an intent.
-ANSWERS = {
-    "explain": "facts", "setup": "packages", "entry_points": "symbols", "tech_stack": "languages", "health": "health", "security": "security", "architecture": "layers",
-    "performance": "performance", "dependencies": "service_nodes", "apis": "endpoints", "database": "tables", "debt": "debt", "git": "hotspots", "overview": "languages",
-}
-
-
-def ask(report: Report, question: str, top: int = 8) -> DataFrame:
-    """(intent, reasoning, answer, citations) of a question, from the results."""
+def ask(report: Report, question: str) -> DataFrame:
+    """(intent, reasoning, answer, citations) of a question, from the results.  A question of no
+    particular intent that names something in the graph is answered by what it names."""
     spark = next(iter(report.tables.values())).sparkSession
-    q = spark.createDataFrame([(question,)], "question string").select("question", scalars.intent(F.col("question")).alias("intent"), scalars.reasoning_type(F.col("question")).alias("reasoning"))
-    name = ANSWERS[q.first()["intent"]]
-    rows = report.tables.get(name)
-    if rows is None:
-        return q.select("intent", "reasoning", F.lit("No results are available.").alias("answer"), F.array().cast("array<string>").alias("citations"))
-    said = F.to_json(F.struct(*rows.columns))
-    place = F.concat_ws(":", *[c for c in ("file_path", "line_no") if c in rows.columns]) if "file_path" in rows.columns else F.lit(name)
-    some = rows.select(said.alias("said"), place.alias("place")).orderBy("place", "said").limit(top)
-    text = some.agg(F.array_join(F.array_sort(F.collect_list("said")), "\n").alias("answer"), F.array_sort(F.collect_set("place")).alias("citations"))
-    return q.select("intent", "reasoning").join(text)
+    q = spark.createDataFrame([(question,)], "question string").select(scalars.intent(F.col("question")).alias("i"), scalars.reasoning_type(F.col("question")).alias("reasoning"))
+    found = q.first()
+    intent = found["i"]
+    if intent == "overview" and "nodes" in report.tables:
+        asked = q.select(F.lit(0).alias("q"), F.lit(question).alias("said"))
+        if not graph.named_in(report["nodes"].filter(F.char_length("name") >= 3), F.col("said"), asked, "q").isEmpty():
+            intent = "symbols"
+    out = answers.answer(spark, report.tables, intent, question)
+    return out.select("intent", F.lit(found["reasoning"]).alias("reasoning"), "answer", "citations")

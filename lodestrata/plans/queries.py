@@ -8,14 +8,16 @@ other, and lines of documents lines of source.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars
 from lodestrata.operators import discovery, explore, findings, graph, history, retrieval
 from lodestrata.plans import fixtures as fx
 from lodestrata.plans import rules
+from lodestrata.sources import manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,7 +125,7 @@ def page_offset(spark, d):
 
 _TRADE = """trade as (select s_nationkey as src, c_nationkey as dst, count(*) as call_count from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey
 join customer on c_custkey = o_custkey where s_nationkey <> c_nationkey group by 1, 2)"""
-_SPARSE = f"""{_TRADE}, sparse as (select src, dst from (select *, row_number() over (partition by src order by call_count desc, dst) rn from trade) where rn <= 2)"""
+_LINKED = f"{_TRADE}, linked as (select src, dst from trade)"
 
 
 def _trade(spark, d) -> DataFrame:
@@ -133,9 +135,8 @@ def _trade(spark, d) -> DataFrame:
     return graph.service_edges(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").join(nation, "l_suppkey").join(buyer, "l_orderkey").select("src", "dst"))
 
 
-def _sparse(spark, d) -> DataFrame:
-    w = Window.partitionBy("src").orderBy(F.desc("call_count"), "dst")
-    return _trade(spark, d).withColumn("rn", F.row_number().over(w)).filter("rn <= 2").select("src", "dst")
+def _linked(spark, d) -> DataFrame:
+    return _trade(spark, d).select("src", "dst")
 
 
 @query(f"with {_TRADE} select * from trade")
@@ -143,33 +144,33 @@ def service_graph_edges(spark, d):
     return _trade(spark, d)
 
 
-@query(f"""with recursive {_SPARSE}, walk as (select src as start, dst as last, [src, dst] as path from sparse where dst > src
-union all select start, s.dst, list_append(path, s.dst) from walk join sparse s on s.src = last where s.dst > start and not list_contains(path, s.dst) and len(path) < 5),
-loops as (select path from walk join sparse s on s.src = last and s.dst = start), members as (select distinct unnest(path) as id from loops)
+@query(f"""with recursive {_LINKED}, walk as (select src as start, dst as last, [src, dst] as path from linked where dst > src
+union all select start, s.dst, list_append(path, s.dst) from walk join linked s on s.src = last where s.dst > start and not list_contains(path, s.dst) and len(path) < 3),
+loops as (select path from walk join linked s on s.src = last and s.dst = start), members as (select distinct unnest(path) as id from loops)
 select id, cast(sum(i) as bigint) as in_count, cast(sum(o) as bigint) as out_count, cast(sum(k) as bigint) as dependents, case when sum(k) >= 5 then 'Critical' when sum(k) >= 2 then 'Moderate' else 'Low' end as impact,
 id in (select id from members) as is_circular from (select src as id, 0 as i, call_count as o, 0 as k from trade union all select dst, call_count, 0, 1 from trade) group by id""")
 def service_graph_nodes(spark, d):
-    return graph.service_nodes(_trade(spark, d), graph.cycles(_sparse(spark, d), 5))
+    return graph.service_nodes(_trade(spark, d), graph.cycles(_linked(spark, d), 3))
 
 
-@query(f"with {_SPARSE} select n_nationkey as id, count(distinct src) as dependents, case when count(distinct src) >= 5 then 'Critical' when count(distinct src) >= 2 then 'Moderate' else 'Low' end as impact from nation left join sparse on dst = n_nationkey group by 1")
+@query(f"with {_LINKED} select n_nationkey as id, count(distinct src) as dependents, case when count(distinct src) >= 5 then 'Critical' when count(distinct src) >= 2 then 'Moderate' else 'Low' end as impact from nation left join linked on dst = n_nationkey group by 1")
 def blast_radius(spark, d):
-    into = _sparse(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    into = _linked(spark, d).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id")).join(into, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("dependents"))
     return rows.withColumn("impact", graph.impact(F.col("dependents")))
 
 
-@query(f"""with recursive {_SPARSE}, walk as (select src as start, dst as last, [src, dst] as path from sparse where dst > src
-union all select start, s.dst, list_append(path, s.dst) from walk join sparse s on s.src = last where s.dst > start and not list_contains(path, s.dst) and len(path) < 6)
-select array_to_string(path, '>') as cycle, cast(len(path) as integer) as length from walk join sparse s on s.src = last and s.dst = start""")
+@query(f"""with recursive {_LINKED}, walk as (select src as start, dst as last, [src, dst] as path from linked where dst > src
+union all select start, s.dst, list_append(path, s.dst) from walk join linked s on s.src = last where s.dst > start and not list_contains(path, s.dst) and len(path) < 3)
+select array_to_string(path, '>') as cycle, cast(len(path) as integer) as length from walk join linked s on s.src = last and s.dst = start""")
 def module_cycles(spark, d):
-    found = graph.cycles(_sparse(spark, d), 6)
+    found = graph.cycles(_linked(spark, d), 3)
     return found.select(F.array_join(F.col("cycle").cast("array<string>"), ">").alias("cycle"), "length")
 
 
 _NODES = "nodes as (select n_nationkey as id from nation union all select 99)"
-_LINKS = "links as (select src, dst from sparse union all select 0, 99)"
-_RANKS = f"""with recursive {_SPARSE}, {_NODES}, {_LINKS}, outs as (select src as id, count(*) as o from links group by src),
+_LINKS = "links as (select src, dst from linked union all select 0, 99)"
+_RANKS = f"""with recursive {_LINKED}, {_NODES}, {_LINKS}, outs as (select src as id, count(*) as o from links group by src),
 ranks as (select 0 as k, id, 1.0::double / (select count(*) from nodes) as score from nodes
 union all select k + 1, id, 0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) from (
   select r.k, r.id, (select count(*) from nodes) as n, (select sum(q.score / o.o) from ranks q join links l on l.src = q.id join outs o on o.id = q.id where l.dst = r.id) as got,
@@ -180,7 +181,7 @@ def _ranked(spark, d) -> tuple[DataFrame, DataFrame]:
     """The trade graph with one node that has no edge out."""
     one = spark.range(1)
     nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("id")).union(one.select(F.lit(99).alias("id")))
-    return nodes, _sparse(spark, d).union(one.select(F.lit(0), F.lit(99)))
+    return nodes, _linked(spark, d).union(one.select(F.lit(0), F.lit(99)))
 
 
 @query(f"{_RANKS} select id, round(score, 4) as score from final")
@@ -196,32 +197,32 @@ def hubs_topn(spark, d):
     return graph.hubs(nodes, edges, 10, rounds=20, tolerance=0)
 
 
-@query(f"with {_SPARSE} select id, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree from (select src as id, 0 as i, 1 as o from sparse union all select dst, 1, 0 from sparse) group by id")
+@query(f"with {_LINKED} select id, cast(sum(i) as bigint) as in_degree, cast(sum(o) as bigint) as out_degree from (select src as id, 0 as i, 1 as o from linked union all select dst, 1, 0 from linked) group by id")
 def node_degrees(spark, d):
-    return graph.degrees(_sparse(spark, d))
+    return graph.degrees(_linked(spark, d))
 
 
-@query(f"""with recursive {_SPARSE}, target as (select max(dst) as t from sparse), walk as (select [src, dst] as path, dst as last from sparse where src = 0 and dst <> 0
-union all select list_append(path, s.dst), s.dst from walk join sparse s on s.src = last, target where last <> t and not list_contains(path, s.dst) and len(path) < 6)
+@query(f"""with recursive {_LINKED}, target as (select max(dst) as t from linked), walk as (select [src, dst] as path, dst as last from linked where src = 0 and dst <> 0
+union all select list_append(path, s.dst), s.dst from walk join linked s on s.src = last, target where last <> t and not list_contains(path, s.dst) and len(path) < 4)
 select array_to_string(path, '>') as path, cast(len(path) - 1 as integer) as depth from walk, target where last = t""")
 def paths_bounded(spark, d):
-    edges = _sparse(spark, d)
-    found = graph.paths(edges, 0, edges.agg(F.max("dst")).first()[0], 5)
+    edges = _linked(spark, d)
+    found = graph.paths(edges, 0, edges.agg(F.max("dst")).first()[0], 3)
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "depth")
 
 
-@query(f"""with recursive {_SPARSE}, sym as (select src, dst from sparse union select dst, src from sparse), reach as (select 0 as id, 0 as hops union select b.dst, hops + 1 from reach join sym b on b.src = id where hops < 10)
-select id, cast(min(hops) as integer) as hops from reach where id = (select max(dst) from sparse) group by id""")
+@query(f"""with recursive {_LINKED}, sym as (select src, dst from linked union select dst, src from linked), reach as (select 0 as id, 0 as hops union select b.dst, hops + 1 from reach join sym b on b.src = id where hops < 10)
+select id, cast(min(hops) as integer) as hops from reach where id = (select max(dst) from linked) group by id""")
 def shortest_path_length(spark, d):
-    edges = _sparse(spark, d)
+    edges = _linked(spark, d)
     target = edges.agg(F.max("dst")).first()[0]
     return graph.shortest_path(edges, 0, target).select(F.element_at("path", -1).alias("id"), (F.size("path") - 1).alias("hops"))
 
 
-@query(f"""with recursive {_SPARSE}, sym as (select src, dst from sparse union select dst, src from sparse), reach as (select src as id, src as r from sym union select reach.id, b.dst from reach join sym b on b.src = r)
+@query(f"""with recursive {_LINKED}, sym as (select src, dst from linked union select dst, src from linked), reach as (select src as id, src as r from sym union select reach.id, b.dst from reach join sym b on b.src = r)
 select id, least(id, min(r)) as component from reach group by id""")
 def connected_components(spark, d):
-    return graph.components(_sparse(spark, d))
+    return graph.components(_linked(spark, d))
 
 
 @query("""with n as (select 'n' || n_nationkey as id, n_name as name from nation union all select 'r' || r_regionkey, r_name from region), e as (select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation)
@@ -331,15 +332,21 @@ def n_plus_one_functions(spark, d):
     return findings.n_plus_one(_symbols(spark), fx.frame(spark, fx.CALLS))
 
 
-@query("select doc_id, octet_length(encode(text)) as size_bytes from documents where octet_length(encode(text)) > 5000")
+@query("select 'large_object' as type, 'medium' as severity, doc_id || '.py' as name, doc_id || '.py' as file_path, 0 as line_no from documents where octet_length(encode(text)) > 5000")
 def large_objects(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size_bytes")).filter("size_bytes > 5000")
+    files = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return findings.large_objects(files, 5000)
 
 
-@query("select page_id, url from pages where not regexp_matches(lower(url), '(limit|offset|page|size|skip)=')")
+@query("""select 'missing_pagination' as type, 'low' as severity, url as name, page_id || '.py' as file_path, cast(page_id as integer) as line_no from pages
+where len(list_filter(string_split(string_split(string_split(url, '#')[1], '?')[2], '&'), lambda x: list_contains(['limit', 'offset', 'page', 'size', 'skip'], lower(string_split(x, '=')[1])))) = 0 or not contains(string_split(url, '#')[1], '?')""")
 def missing_pagination(spark, d):
-    named = scalars.any_of(F.lower("url"), [f"{p}=" for p in rules.PAGING_PARAMETERS])
-    return table(spark, d, "pages").filter(~named).select("page_id", "url")
+    """Pages as handlers, whose parameters are those of the address."""
+    asked = F.coalesce(F.get(F.split(F.split("url", "#")[0], r"\?"), F.lit(1)), F.lit(""))
+    parameters = F.transform(F.filter(F.split(asked, "&"), lambda x: x != ""), lambda x: F.struct(F.split(x, "=")[0].alias("name"), F.lit("str").alias("type")))
+    path = F.concat(F.col("page_id").cast("string"), F.lit(".py"))
+    rows = table(spark, d, "pages").select(F.lit("function").alias("type"), F.col("url").alias("name"), path.alias("file_path"), F.col("page_id").cast("int").alias("line_start"), F.array(F.lit("app.get('/x')")).alias("decorators"), parameters.alias("parameters"))
+    return findings.missing_pagination(rows)
 
 
 # ------------------------------------------------------------------ security
@@ -425,10 +432,10 @@ def debt_score(spark, d):
     return findings.debt_score(_debt(spark)).select("debt_score")
 
 
-@query(f"""with {_DEBT}, risk as (select {_RISK} as r from ({_family_sql("select * from (" + _CODE + ") where file_path = 'e.py'")})), owed as (select {_DEBT_SCORE} as t from debt)
+@query(f"""with {_DEBT}, risk as (select {_RISK} as r from ({_family_sql("" + _CODE)})), owed as (select {_DEBT_SCORE} as t from debt)
 select cast(greatest(least(100 - least(r, 50) - least(t, 30) - least(2 * 1, 20), 100), 0) as double) as health_score from risk, owed""")
 def health_score(spark, d):
-    code = fx.frame(spark, fx.CODE_LINES).filter("file_path = 'e.py'")
+    code = fx.frame(spark, fx.CODE_LINES)
     slow = findings.n_plus_one(_symbols(spark), fx.frame(spark, fx.CALLS))
     return findings.health_score(findings.risk_score(findings.security_findings(code)), findings.debt_score(_debt(spark)), slow).select("health_score")
 
@@ -476,10 +483,14 @@ def column_types(spark, d):
     return discovery.columns(fx.frame(spark, fx.SIGNATURES)).select("name", "sql_type", "nullable", "is_fk")
 
 
-@query("select 'nation' as from_table, 'region' as to_table, n_nationkey as from_key, n_regionkey as to_key from nation union all select 'customer', 'nation', c_custkey, c_nationkey from customer")
+@query("""select 'nation' as from_table, 'region' as to_table, 'n_regionkey' as column, 'many-to-one' as type, count(*) as n from nation union all select 'customer', 'nation', 'c_nationkey', 'many-to-one', count(*) from customer
+union all select 'orders', 'customer', 'o_custkey', 'many-to-one', count(*) from orders""")
 def fk_relationships(spark, d):
-    own = lambda df, a, b, x, y: df.select(F.lit(a).alias("from_table"), F.explode(F.array(F.struct(F.lit(b).alias("to_table"), F.col(y).cast("int").alias("to_key")))).alias("k"), F.col(x).cast("long").alias("from_key")).select("from_table", "k.to_table", "from_key", "k.to_key")
-    return own(table(spark, d, "nation"), "nation", "region", "n_nationkey", "n_regionkey").unionByName(own(table(spark, d, "customer"), "customer", "nation", "c_custkey", "c_nationkey"))
+    """Each row of a table as a table with its foreign key; relationships are counted."""
+    key = "array<struct<column:string,referenced_table:string,referenced_column:string,rel_type:string>>"
+    known = [("nation", "region", "n_regionkey"), ("customer", "nation", "c_nationkey"), ("orders", "customer", "o_custkey")]
+    parts = [table(spark, d, name).select(F.lit(name).alias("name"), F.array(F.struct(F.lit(column), F.lit(to), F.lit("id"), F.lit("many-to-one"))).cast(key).alias("foreign_keys")) for name, to, column in known]
+    return discovery.relationships(reduce(DataFrame.unionByName, parts)).groupBy("from_table", "to_table", "column", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _subsystem_sql() -> str:
@@ -525,7 +536,7 @@ select src, dst, cast(sum(n) as bigint) as n from first group by src, dst""")
 def cross_subsystem_edges(spark, d):
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
     pages = table(spark, d, "pages").select(host.alias("host"))
-    hosts = pages.distinct().select("host", F.row_number().over(Window.orderBy("host")).alias("ord")).select("ord", F.col("host").alias("dotted"), F.col("host").alias("subsystem"))
+    hosts = pages.distinct().select(F.col("host").alias("ord"), F.col("host").alias("dotted"), F.col("host").alias("subsystem"))
     links = pages.select(F.col("host").alias("subsystem"), F.element_at(F.split("host", r"\."), -3).alias("module"))
     return discovery.cross_edges(links, hosts)
 
@@ -540,10 +551,11 @@ def file_modules(spark, d):
     return fx.frame(spark, fx.PATHS).select("path", scalars.file_module(F.col("path")).alias("module"))
 
 
-@query("select k as name, cast(sum(v) as bigint) as version_sum, count(*) as n from (select unnest(json_keys(props)) as k, cast(json_extract(props, '$.' || json_keys(props)[1]) as bigint) as v from events) group by k")
+@query("""select k as name, cast(sum(cast(json_extract(props, '$."' || k || '"') as bigint)) as bigint) as version_sum, count(*) as n from (select props, unnest(json_keys(props)) as k from events) group by k""")
 def manifest_packages(spark, d):
-    rows = table(spark, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("name", "v"))
-    return rows.groupBy("name").agg(F.sum("v").alias("version_sum"), F.count(F.lit(1)).alias("n"))
+    """Events' properties as the dependencies of package manifests."""
+    files = table(spark, d, "events").select(F.concat(F.lit('{"dependencies": '), "props", F.lit("}")).alias("content"))
+    return manifests.npm_packages(files).groupBy("name").agg(F.sum(F.col("version").cast("long")).alias("version_sum"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""select line_no, trim(case when sep is null then string_split(t, '[')[1] else string_split(t, sep)[1] end) as name, case when sep is not null then string_split(trim(substr(t, strpos(t, sep) + len(sep))), ',')[1] end as version
@@ -670,9 +682,9 @@ def recent_days(spark, d):
     return explore.recent(history.frequency(_commits(spark, d)), "day", 8)
 
 
-@query(f"with {_SPARSE} select src as id, 'dependent' as side from sparse where dst = 1 union select dst, 'dependency' from sparse where src = 1")
+@query(f"with {_LINKED} select src as id, 'dependent' as side from linked where dst = 1 union select dst, 'dependency' from linked where src = 1")
 def module_sides(spark, d):
-    return explore.around(_sparse(spark, d), 1)
+    return explore.around(_linked(spark, d), 1)
 
 
 @query(f"""with s as {fx.sql(fx.SUBSYSTEMS)}, e as {fx.sql(fx.SUBSYSTEM_EDGES)}, f as (select tier, arg_min(subsystem, ord) as first from s group by tier),
