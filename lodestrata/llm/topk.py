@@ -17,7 +17,9 @@ Defined results: a vector that is null or empty, or that holds a null or
 non-finite component, takes no part; vectors are compared with those of equal
 length only; a null vec_id takes no part; rows of the query's own vec_id are
 never its results (so repeated rows aren't); ties go to the smaller vec_id,
-and a repeated candidate row is a result of its own.
+and a repeated candidate row is a result of its own; an empty table gives an
+empty result.  Only vec_id and embedding are read, whatever other columns are
+named.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 SCALE, K = 64, 20
 #: Cells on each axis, and rows of a block of candidates and of queries.
 CELLS = 16
+#: Rows whose cells are scanned at a time.
+SCANNED = 1_024
 BLOCK_ROWS, QUERY_ROWS = 8_192, 1_024
 
 
@@ -50,22 +54,29 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 class Approximation:
-    """Cells of a block of integer vectors."""
+    """Cells of a block of integer vectors: one byte an axis, which is all that a scan reads."""
 
     def __init__(self, vectors: np.ndarray):
         self.exact = vectors
-        low, high = vectors.min(axis=0), vectors.max(axis=0)
-        self.width = np.maximum((high - low + 1) / CELLS, 1e-9)
-        cell = np.minimum((vectors - low) / self.width, CELLS - 1).astype(np.uint8)
-        self.centre = (low + (cell + 0.5) * self.width).astype(np.float32)
+        self.low, high = vectors.min(axis=0), vectors.max(axis=0)
+        self.width = np.maximum((high - self.low + 1) / CELLS, 1e-9)
+        self.cells = np.minimum((vectors - self.low) / self.width, CELLS - 1).astype(np.uint8)
+
+    def scan(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of the cells' centres, how far the exact score may be from them)."""
+        q = queries.astype(np.float64)
+        steps = (q * self.width).astype(np.float32)  # what a cell further on an axis adds
+        first = q @ (self.low + self.width / 2)
+        middle = np.empty((len(q), len(self.cells)), np.float32)
+        for at in range(0, len(self.cells), SCANNED):
+            middle[:, at : at + SCANNED] = steps @ self.cells[at : at + SCANNED].astype(np.float32).T
+        middle += first.astype(np.float32)[:, None]
+        size = np.abs(first) + np.abs(q) @ (self.width * CELLS)
+        return middle, np.abs(q) @ (self.width / 2) + 2e-5 * size + 1  # with the rounding of the scan
 
     def top(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, rows, scores) of the k best rows whose id isn't the query's own."""
-        q = queries.astype(np.float32)
-        slack = np.abs(queries).astype(np.float64) @ (self.width / 2)
-        size = np.abs(self.centre).max(axis=0).astype(np.float64)
-        slack += 1e-5 * (np.abs(queries).astype(np.float64) @ size) + 1  # rounding of the scan
-        middle = q @ self.centre.T
+        middle, slack = self.scan(queries)
         middle[own[:, None] == ids[None, :]] = -np.inf
         n = middle.shape[1]
         for i in range(len(queries)):
