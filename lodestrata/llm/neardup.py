@@ -9,13 +9,15 @@ How the links are found.  Random 64-bit fingerprints lie about 32 bits apart
 from any vantage point, so one tree over all of them can prune little at
 radius 4.  The first level therefore partitions by the Hamming distance
 within parts of the fingerprint: if two fingerprints differ in at most 4
-bits, they agree (distance 0) on at least one of 5 parts.  Each of the shards
-that these parts make holds vantage-point trees over whole fingerprints: a
-node splits by the distance to its vantage point, and the triangle inequality
-prunes all pairs whose distances to it differ by over 4.  A shard with more
-than ``SHARD_ROWS`` fingerprints is split further in the same way: by rings of
-equal distance to a vantage point, each of which meets only the rings within 4
-of it (the boundary), in cells of bounded size.
+bits, they agree (distance 0) on at least two of 6 parts.  Each of the shards
+that two parts make, of some 21 bits, is searched by a vantage-point tree over
+whole fingerprints: a node splits by the distance to its vantage point, and the
+triangle inequality prunes all pairs whose distances to it differ by over 4;
+leaves of up to ``LEAF`` fingerprints are compared directly, and most shards
+are no larger.  A shard with more than ``SHARD_ROWS`` fingerprints is split
+further in the same way: by rings of equal distance to a vantage point, each of
+which meets only the rings within 4 of it (the boundary), in cells of bounded
+size.
 
 Only distinct fingerprints are compared, and a cell returns a spanning forest
 of its links, never all pairs, so groups of copies cost no more than their
@@ -58,7 +60,7 @@ SHARD_ROWS = 4_096
 #: Shingles of a group of candidates whose texts meet in one task; larger groups are cut exactly.
 GROUP_SHINGLES = 1 << 20
 #: Fingerprints of a tree's leaf, whose pairs are compared directly.
-LEAF = 64
+LEAF = 16
 
 
 def fingerprint(text: str | None, size: int = WORDS) -> int:
@@ -234,17 +236,20 @@ def _shards(radius: int):
 # ------------------------------------------------------------- all shards
 
 
-def _parts(bits: Column, radius: int) -> Column:
-    """The parts of a fingerprint as struct(part, value), one more than the radius."""
-    n = radius + 1
+def _keys(bits: Column, radius: int) -> Column:
+    """The keys of a fingerprint: each two of its ``radius + 2`` parts with their values.  Two
+    fingerprints within the radius agree on at least two parts, so they share a key."""
+    n = radius + 2
     edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(bits, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    size = [hi - lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    part = [F.shiftrightunsigned(bits, edges[i]).bitwiseAND(F.lit((1 << size[i]) - 1)) for i in range(n)]
+    pairs = [(i, j) for j in range(n) for i in range(j)]
+    return F.array(*[(F.shiftleft(part[i], size[j]) + part[j]) * F.lit(len(pairs)) + F.lit(k) for k, (i, j) in enumerate(pairs)])
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b), b < a: enough links to connect what is linked, from distinct (fp, node) rows."""
-    rows = nodes.select("fp", "node", F.explode(_parts(F.col("fp"), radius)).alias("p")).select("p.part", "p.value", "fp", "node")
-    rows = rows.withColumn("bucket", F.col("value") * F.lit(radius + 1) + F.col("part")).select("bucket", "fp", "node")
+    rows = nodes.select(F.explode(_keys(F.col("fp"), radius)).alias("bucket"), "fp", "node")
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("vantage"))
     large = materialize(sizes.filter(F.col("n") > shard_rows), "large-shards")
     whole = rows.join(large, "bucket", "left_anti").select(F.col("bucket").alias("shard"), F.lit(0).alias("side"), "fp", "node")
