@@ -1,16 +1,22 @@
 """Licence scan by sentence-rule recognition.
 
-Lines and sentences of a text are normalised (lower case, runs of anything
-but letters and digits become one space) and mapped to the identifiers of
-known licence sentences.  The identifiers, in order of their first places in
-the text, form a sequence, which ordered rules turn into licences: a rule
-whose identifiers stand next to one another in the sequence takes them away
-from the rules after it, so full notices win over the sentences they share.
+A text is normalised (lower case, runs of anything but letters and digits
+become one space, line ends a bar), and known licence sentences are looked for
+in it as sequences of whole words, from the left, the longest first, whatever
+lines and marks they run across.  A known sentence may have a gap (``*``) of a
+few words, for the name of a holder.  Titles count only as a line of their
+own.  The identifiers, in order of their first places in the text, form a
+sequence, which ordered rules turn into licences: a rule whose identifiers
+stand next to one another in the sequence takes them away from the rules after
+it, so full notices win over the sentences they share.
 
 All of it is evaluated within the row by built-in functions; nothing is
 shuffled.  Defined results: a null text counts as empty; a text without known
-sentences has an empty sequence and no licences; a repeated sentence counts
-once, at its first place; repeated rows get equal results.
+sentences has an empty sequence and no licences, an empty table no rows; a very
+long text is read whole; of sentences that overlap, the one further left counts,
+and of those that tie in place the longest; a repeated sentence counts once, at
+its first place; repeated rows get equal results.  Ill-formed UTF-8 counts as
+U+FFFD.  Only doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences, normalised (fixed values): identifier, text.
+#: Known sentences, normalised (fixed values): identifier, text.  Identifiers of titles end in "title".
 SENTENCES = """
 mit.grant|permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
 mit.notice|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
@@ -33,7 +39,15 @@ isc.grant|permission to use copy modify and or distribute this software for any
 bsd.grant|redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 bsd.source|redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 bsd.binary|redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
-bsd.endorse|neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+bsd.disclaim|this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+bsd.endorse|neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission
+bsd.endorse|the name of * may not be used to endorse or promote products derived from this software without specific prior written permission
+isc.disclaim|the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+zlib.grant|permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely
+bsl.grant|permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+epl.name|this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0
+lgpl.free|this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version
+agpl.free|this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version
 apache.name|licensed under the apache license version 2 0
 apache.name|licensed under the apache license version 2 0 the license
 apache.name|released under the apache license version 2 0
@@ -50,6 +64,7 @@ gpl.hope|this program is distributed in the hope that it will be useful but with
 lgpl.name|licensed under the gnu lesser general public license version 3
 agpl.name|licensed under the gnu affero general public license version 3
 mpl.name|this source code form is subject to the terms of the mozilla public license v 2 0
+mpl.copy|if a copy of the mpl was not distributed with this file you can obtain one at
 mpl.name|licensed under the mozilla public license version 2 0
 ccbync.name|licensed under cc by nc 4 0
 ccby.name|licensed under cc by 4 0
@@ -72,7 +87,9 @@ spdx.mpl|spdx license identifier mpl 2 0
 #: Ordered rules (fixed values): licence, the identifiers of its sentences.
 RULES = """
 MIT|mit.grant mit.notice mit.disclaim
+BSD-3-Clause|bsd.grant bsd.source bsd.binary bsd.endorse bsd.disclaim
 BSD-3-Clause|bsd.grant bsd.source bsd.binary bsd.endorse
+BSD-2-Clause|bsd.grant bsd.source bsd.binary bsd.disclaim
 BSD-2-Clause|bsd.grant bsd.source bsd.binary
 Apache-2.0|apache.name apache.limit apache.copy
 GPL-3.0-or-later|gpl.free gpl.hope
@@ -80,7 +97,15 @@ GPL-2.0-or-later|gpl.free2 gpl.hope
 MIT|mit.grant mit.notice
 BSD-1-Clause|bsd.grant bsd.source
 MIT|mit.grant
+ISC|isc.grant isc.disclaim
 ISC|isc.grant
+Zlib|zlib.grant
+BSL-1.0|bsl.grant
+EPL-2.0|epl.name
+LGPL-2.1-or-later|lgpl.free gpl.hope
+LGPL-2.1-or-later|lgpl.free
+AGPL-3.0-or-later|agpl.free gpl.hope
+AGPL-3.0-or-later|agpl.free
 MIT|mit.name
 MIT|mit.title
 Apache-2.0|apache.name
@@ -91,6 +116,7 @@ GPL-3.0-or-later|gpl.free
 GPL-2.0-or-later|gpl.free2
 LGPL-3.0-only|lgpl.name
 AGPL-3.0-only|agpl.name
+MPL-2.0|mpl.name mpl.copy
 MPL-2.0|mpl.name
 CC-BY-NC-4.0|ccbync.name
 CC-BY-SA-4.0|ccbysa.name
@@ -106,25 +132,54 @@ BSD-3-Clause|spdx.bsd3
 MPL-2.0|spdx.mpl
 """
 #: Every known sentence holds one of these (a test checks it): others need no look-up.
-ANCHOR = "licen[sc]e|permission|redistribut|free software|gnu general|public domain|rights reserved|the license|software is provided|in the hope|neither the name"
+ANCHOR = "licen[sc]e|permission|redistribut|free software|gnu general|public domain|rights reserved|the license|software is provided|in the hope|neither the name|may not be used|copy of the mpl|made available under"
 
 
 def _rows(table: str) -> list[tuple[str, str]]:
     return [tuple(x.split("|")) for x in table.strip().split("\n")]
 
 
+#: Characters of a gap, at most.
+GAP = 120
+
+
+def _pattern(said: str, title: bool) -> str:
+    """A known sentence as a pattern over normalised text."""
+    words = r"[ |]+".join(f"[a-z0-9 |]{{1,{GAP}}}?" if w == "*" else w for w in said.split())
+    return rf"(?:^|\| ?){words} ?(?:\||$)" if title else rf"\b{words}\b"
+
+
+def _known() -> str:
+    """All known sentences as one pattern, the longest first."""
+    rows = sorted(_rows(SENTENCES), key=lambda r: (-len(r[1]), r[1]))
+    return "|".join(_pattern(said, name.endswith("title")) for name, said in rows)
+
+
+def _like(said: str) -> str:
+    return said.replace("*", "%")
+
+
 def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[\n\r]", "|"), "[^a-z0-9|]+", " "))
 
 
 def sequence(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order of first place."""
-    known = F.create_map(*[F.lit(x) for name, said in _rows(SENTENCES) for x in (said, name)])
-    whole = F.coalesce(text, F.lit(""))
-    pieces = F.array_distinct(F.concat(F.split(whole, "\n"), F.split(whole, r"(?<=[.!?:;])\s+|\n\s*\n")))
-    found = F.filter(F.transform(F.filter(pieces, lambda p: F.lower(p).rlike(ANCHOR)), lambda p: F.struct(F.call_function("instr", whole, p).alias("at"), F.element_at(known, _normal(p)).alias("id"))), lambda x: x["id"].isNotNull())
-    ordered = F.array_distinct(F.transform(F.array_sort(found), lambda x: x["id"]))
-    return F.when(F.lower(whole).rlike(ANCHOR), ordered).otherwise(F.array().cast("array<string>"))
+    plain = [(said, name) for name, said in _rows(SENTENCES) if "*" not in said]
+    known = F.create_map(*[F.lit(x) for pair in plain for x in pair])
+    gaps = [(_like(said), name) for name, said in _rows(SENTENCES) if "*" in said]
+
+    def identifier(found: Column) -> Column:
+        held = F.trim(F.regexp_replace(found, r"[ |]+", " "))
+        with_gap = None
+        for like, name in gaps:
+            with_gap = (F if with_gap is None else with_gap).when(held.like(like), F.lit(name))
+        return F.coalesce(F.try_element_at(known, held), with_gap)
+
+    whole = F.coalesce(F.make_valid_utf8(text), F.lit(""))
+    found = F.regexp_extract_all(_normal(whole), F.lit(_known()), F.lit(0))
+    none = F.array().cast("array<string>")
+    return F.when(F.regexp_replace(F.lower(whole), r"\s+", " ").rlike(ANCHOR), F.array_distinct(F.transform(found, identifier))).otherwise(none)
 
 
 def licences(ids: Column) -> Column:
@@ -152,23 +207,19 @@ def _quoted(text: str) -> str:
 
 def oracle() -> str:
     """The same in DuckDB's SQL, over the table ``documents``."""
-    known = ", ".join(f"({_quoted(said)}, {_quoted(name)})" for name, said in _rows(SENTENCES))
+    held = "trim(regexp_replace(x, '[ |]+', ' ', 'g'))"
+    cases = " ".join(f"when {held} {'like' if '*' in said else '='} {_quoted(_like(said))} then {_quoted(name)}" for name, said in sorted(_rows(SENTENCES), key=lambda r: "*" in r[1]))
     found, steps = [], []
     for i, (name, ids) in enumerate(_rows(RULES)):
         said = _quoted("," + ids.replace(" ", ",,") + ",")
         steps.append(f"s{i} as (select *, contains(l{i}, {said}) f{i}, replace(l{i}, {said}, '|') l{i + 1} from {'seqs' if not i else f's{i - 1}'})")
         found.append(f"case when f{i} then {_quoted(name)} end")
     return f"""
-with known(said, id) as (values {known}),
-docs as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
-pieces as (
-  select distinct r, t, unnest(string_split(t, chr(10))) p from docs where regexp_matches(lower(t), '{ANCHOR}')
-  union
-  select distinct r, t, unnest(string_split_regex(regexp_replace(t, '([.!?:;])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n\\s*\\n')) p from docs where regexp_matches(lower(t), '{ANCHOR}')
-),
-hits as (select r, id, min(instr(t, p)) pos from pieces join known on trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) = said where p <> '' group by r, id),
-seqs as (select d.r, d.doc_id, coalesce(h.ids, '') ids, ',' || coalesce(h.ids2, '') || ',' l0 from docs d
-  left join (select r, string_agg(id, ',' order by pos, id) ids, string_agg(id, ',,' order by pos, id) ids2 from hits group by r) h on h.r = d.r),
+with docs as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+normal as (select r, doc_id, case when regexp_matches(regexp_replace(lower(t), '\\s+', ' ', 'g'), '{ANCHOR}') then trim(regexp_replace(regexp_replace(lower(t), '[\\n\\r]', '|', 'g'), '[^a-z0-9|]+', ' ', 'g')) else '' end n from docs),
+listed as (select r, doc_id, list_transform(regexp_extract_all(n, '{_known()}'), lambda x: case {cases} end) l from normal),
+once as (select r, doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) l from listed),
+seqs as (select r, doc_id, coalesce(array_to_string(l, ','), '') ids, ',' || coalesce(array_to_string(l, ',,'), '') || ',' l0 from once),
 {", ".join(steps)}
 select doc_id, ids as sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{", ".join(found)}], lambda x: x is not null))), ',') as licences from s{len(steps) - 1}
 """

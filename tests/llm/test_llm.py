@@ -405,6 +405,56 @@ def test_licences(spark):
     assert all(r == ([], []) for r in rows[4:])
 
 
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://example.org/MPL/2.0/. */"""
+BSD = """Copyright (c) 2020, Some Body. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some Body Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+
+
+def test_wrapped_notices_and_their_sql(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.llm import entries
+
+    texts = ["x = 1\n" + GPL + "y = 2", MPL, BSD, GPL + BSD, "The\nMIT License\nmit license", "we like the mit license", "licensed under the MIT\nLicense", None, "", "all rights reserved, all rights reserved"]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in entries.op7_licences(spark, str(tmp_path)).collect()}
+    assert [rows[i]["licences"] for i in range(7)] == ["GPL-3.0-or-later", "MPL-2.0", "BSD-3-Clause", "BSD-3-Clause,GPL-3.0-or-later", "MIT", "", "MIT"]
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(entries.ORACLE_SQL["op7_licences"]).fetchall()
+    assert sorted(map(tuple, rows.values())) == sorted(want)
+
+
 # --------------------------------------------------------------- token files
 
 
