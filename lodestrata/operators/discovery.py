@@ -137,7 +137,7 @@ def pattern(files: DataFrame) -> DataFrame:
     layers = reduce(lambda a, b: a + b, [F.coalesce(F.max(F.col("dir").isin(*names).cast("int")), F.lit(0)) for names in rules.LAYERS.values()])
     by_dir = directories(files).agg(inside(rules.MICROSERVICE_DIRS).alias("services"), inside(rules.HEXAGONAL_DIRS).alias("hexagonal"), inside(rules.MVC_DIRS).alias("mvc"), layers.alias("layers"))
     by_file = files.agg(F.coalesce(F.max(F.col("path").endswith("docker-compose.yml")), F.lit(False)).alias("compose"), F.coalesce(F.max(F.col("path").contains("k8s") | F.col("path").contains("kubernetes")), F.lit(False)).alias("k8s"))
-    rows = by_dir.join(by_file)  # one row each
+    rows = by_dir.join(F.broadcast(by_file))  # one row each
     kind = (
         F.when((F.col("services") >= 2) | (F.col("compose") & F.col("k8s")), "microservices").when(F.col("hexagonal") >= 3, "hexagonal").when(F.col("mvc") >= 2, "mvc")
         .when(F.col("layers") >= 3, "layered").when(F.col("layers") >= 2, "modular").when(F.col("layers") == 1, "monolith").otherwise("unknown")
@@ -228,4 +228,4 @@ def repository_facts(files: DataFrame, manifests: DataFrame) -> DataFrame:
     by_path = files.agg(F.array_sort(F.collect_set(known(rules.FILE_FRAMEWORKS, base))).alias("a"), F.array_sort(F.collect_set(known(rules.PACKAGE_MANAGERS, base))).alias("package_managers"), F.coalesce(F.max(base.isin(*rules.MONOREPO_FILES) | F.coalesce(top.isin(*rules.MONOREPO_DIRS), F.lit(False))), F.lit(False)).alias("is_monorepo"))
     named = F.when(F.col("source") == "package.json", known(rules.JS_FRAMEWORKS, F.col("name"))).otherwise(known(rules.PY_FRAMEWORKS, F.lower("name")))
     by_package = manifests.agg(F.collect_set(named).alias("b"))
-    return by_path.join(by_package).select(F.array_sort(F.array_union("a", "b")).alias("frameworks"), "package_managers", "is_monorepo")
+    return by_path.join(F.broadcast(by_package)).select(F.array_sort(F.array_union("a", "b")).alias("frameworks"), "package_managers", "is_monorepo")

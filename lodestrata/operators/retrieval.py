@@ -30,7 +30,7 @@ def nearest(vectors: DataFrame, vector: str, query: list[float] | DataFrame, k:
     """The k best rows by cosine, filtered before scoring; a bounded heap for each task."""
     rows = vectors if where is None else vectors.filter(where)
     if isinstance(query, DataFrame):  # one row
-        rows, q = rows.join(F.broadcast(query.select(F.col(vector).alias("__q")))), F.col("__q")
+        rows, q = rows.join(F.broadcast(query.select(F.col(vector).alias("__q")).limit(1))), F.col("__q")
     else:
         q = F.array(*map(F.lit, query))
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))

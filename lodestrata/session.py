@@ -37,13 +37,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path under the shared folder, removed when the session's JVM ends."""
+    where, context = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
+
+
 def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     """Write to the shared folder and read back: an iteration's plan stays short, and a lost
     executor costs no recomputation."""
-    where = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    where = shared_path(df.sparkSession, tag)
     df.write.parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
