@@ -2,49 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset (tests in local mode) a temporary one is made; on a
-    cluster an unset folder is an error, since local disks aren't shared.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder, removed when the session's JVM ends."""
-    where = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return where
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write a result to the shared folder and read it back: cuts the lineage,
     and a lost executor costs no recomputation."""
-    where = shared_path(df.sparkSession, tag)
-    df.write.parquet(where)
-    return df.sparkSession.read.schema(df.schema).parquet(where)
+    return cut(df, tag)
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import pieces
-from lodestrata.llm.common import shared_path
+from lodestrata.session import shared_path
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 MAGIC, VERSION = b"LSRP", 2
