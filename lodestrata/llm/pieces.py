@@ -118,7 +118,8 @@ def blocks(data: np.ndarray, offsets: np.ndarray, block: int) -> Iterator[tuple[
 class PieceMemo:
     """Numbers of the distinct pieces that were seen, and their identifiers.  Pieces of up to 16
     bytes are found in a hash table by their bytes (two 64-bit numbers), longer ones in a
-    dictionary.  Number 0 has the identifiers ``zero``.  A full memory is emptied."""
+    dictionary.  Number 0 has the identifiers ``zero``.  A full memory is emptied, and grows
+    where one block has more distinct pieces than it holds."""
 
     def __init__(self, learn: Learn, zero: list[int], size: int):
         self.learn, self.zero, self.limit, self.cleared = learn, zero, size, -1
@@ -166,11 +167,10 @@ class PieceMemo:
         said = [low[s:e].tobytes() for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
         words = dict(zip(said, marks[rest].tolist(), strict=True))
         if self.n + len(some) + len(words) > self.limit:
-            if len(some) + len(words) >= self.limit:
-                raise ValueError("a block of text has more distinct pieces than the memory holds")
-            if self.n > 1:
-                self.clear()
-                return self.look_up(low, starts, ends, marks)
+            if len(some) + len(words) >= self.limit:  # a very long text without white space
+                self.limit = 2 * (len(some) + len(words))
+            self.clear()
+            return self.look_up(low, starts, ends, marks)
         if len(some):
             numbers = self._remember(*self.learn([low[s:e].tobytes() for s, e in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], marks[some].tolist()))
             self.low[numbers], self.high[numbers] = a[some], b[some]

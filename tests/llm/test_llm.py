@@ -556,6 +556,19 @@ def test_encoder_forgets_when_full(monkeypatch):
     assert (first == repair.PieceEncoder(public_tokenizers.path(repair.VOCABULARY)).encode(pa.array(texts))[0]).all()
 
 
+def test_memory_grows_for_a_long_text_without_spaces():
+    import pyarrow as pa
+    import tiktoken
+
+    path = public_tokenizers.path(bytebpe.VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(path), special_tokens={})
+    codec = bytebpe.Codec(path)
+    codec.memo = pieces.PieceMemo(codec.learn, [], 32)
+    text = "".join(f"漢{chr(0x4E00 + i)}{chr(0x5E00 + i % 77)}。x{i}" for i in range(400))
+    ids, sizes = codec.encode(pa.array([text, "a b"]))
+    assert ids.tolist() == [*library.encode_ordinary(text), *library.encode_ordinary("a b")] and sizes[1] == 2
+
+
 # ------------------------------------------------------------ near-duplicates
 
 
