@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,20 @@ def bounded_share(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     if n <= bound:
         return rows
     return rows.filter(F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1_000_003)) < F.lit(int(1_000_003 * bound / n)))
+
+
+def ascii_lower(text: Column) -> Column:
+    """A text with A-Z lower-cased and all else as it is."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def bounded(df: DataFrame, size: Column, most: int = 64 << 20) -> DataFrame:
+    """A hint to broadcast a written table whose rows' sizes sum to ``most`` bytes at most; as
+    it is, otherwise, so that adaptive execution joins it by a shuffle and splits hot keys."""
+    return F.broadcast(df) if (df.agg(F.sum(size + F.lit(64))).first()[0] or 0) <= most else df
