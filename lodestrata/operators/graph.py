@@ -145,7 +145,7 @@ def extend_paths(paths: DataFrame, edges: DataFrame, allowed: Column | None = No
 def paths(edges: DataFrame, src, dst, max_depth: int = 5, limit: int | None = None) -> DataFrame:
     """All simple directed paths from src to dst of up to ``max_depth`` edges, or the shortest
     ``limit`` of them."""
-    plain = simple_edges(edges)
+    plain = cut(simple_edges(edges), "path-edges")
     level = plain.filter((F.col("src") == src) & (F.col("dst") != src)).select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     found = []
     for depth in range(max_depth):
@@ -172,12 +172,15 @@ def shortest_path(edges: DataFrame, src, dst, max_depth: int = 10) -> DataFrame:
     return seen.filter(F.col("id") == dst).select("path")
 
 
-def cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None) -> DataFrame:
+def cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None, components: DataFrame | None = None) -> DataFrame:
     """All simple cycles of up to ``max_length`` nodes, or the shortest ``limit`` of them, each
-    once: it starts at its smallest node.  Nodes that no cycle can pass (no edge in or none
-    out) are trimmed first; with a limit, longer cycles are looked for only while it isn't met."""
+    once: it starts at its smallest node.  Edges that no cycle can pass go first: those between
+    ``strong_components`` where these are given, or else those of nodes with no edge in or none
+    out.  With a limit, longer cycles are looked for only while it isn't met."""
     plain = simple_edges(edges).filter("src <> dst")
-    for _ in range(3):
+    if components is not None:
+        plain = plain.join(components.toDF("src", "a"), "src").join(components.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+    for _ in range(0 if components is not None else 3):
         plain = plain.join(plain.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(plain.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
     plain = cut(plain.select("src", "dst"), "cycle-edges")
     level = plain.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
@@ -246,6 +249,60 @@ def components(edges: DataFrame) -> DataFrame:
         state = new.select("id", "component")
 
 
+def least_reaching(edges: DataFrame) -> DataFrame:
+    """(id, label): the least node with a directed path to a node, itself included.
+
+    A round passes labels along the edges, and then follows them: the label of a node's label
+    reaches the node too, so on a chain the distance covered doubles each round."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    state = cut(ends.withColumn("label", F.col("id")), "labels")
+    while True:
+        low = edges.join(state.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("low"))
+        near = cut(state.join(low, "id", "left").select("id", F.least("label", "low").alias("label"), F.col("label").alias("before")), "labels")
+        far = near.join(near.select(F.col("id").alias("label"), F.col("label").alias("further")), "label")
+        changed = Observation()
+        far = far.select("id", F.col("further").alias("label"), "before").observe(changed, F.count(F.when(F.col("label") != F.col("before"), 1)).alias("n"))
+        state = cut(far, "labels").select("id", "label")
+        if not changed.get["n"]:
+            return state
+
+
+def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+    """(id, component) of every node of the edges: the least node that it reaches and is reached
+    from (itself where there is no other).
+
+    Rounds of: trimming (nodes without an edge in or out are on no cycle), forward labels and
+    backward labels (the least node that reaches a node, and that it reaches).  A node whose two
+    labels agree is in the component of that node; every class of equal labels gives at least
+    one component a round.  An edge whose ends' labels differ is on no cycle and goes."""
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    rest = cut(simple_edges(edges).filter("src <> dst"), "strong-edges")
+    found = []
+    while True:
+        for _ in range(trims):
+            rest = rest.join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        rest = cut(rest, "strong-edges")
+        if rest.isEmpty():
+            break
+        forward = least_reaching(rest)
+        same = lambda labels: rest.join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")  # noqa: B023, E731
+        within = cut(same(forward), "strong-edges")
+        backward = least_reaching(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        labels = cut(forward.join(backward.withColumnRenamed("label", "back"), "id").select("id", "label", "back"), "strong-labels")
+        found.append(labels.filter("label = back").select("id", F.col("label").alias("component")))
+        open_ = labels.filter("label <> back").select("id", F.struct("label", "back").alias("key"))
+        rest = within.join(open_.toDF("src", "a"), "src").join(open_.toDF("dst", "b"), "dst").filter("a = b").select("src", "dst")
+    if not found:
+        return ids.withColumn("component", F.col("id"))
+    return ids.join(reduce(DataFrame.unionByName, found), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def circular(components: DataFrame) -> DataFrame:
+    """The nodes (id) on a cycle of any length through another node, of (id, component)."""
+    shared = components.filter("id <> component").select("component").distinct()
+    return components.join(shared, "component", "left_semi").select("id")
+
+
 # ------------------------------------------------------------- service graph
 
 
@@ -254,14 +311,13 @@ def service_edges(links: DataFrame) -> DataFrame:
     return links.filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("call_count"))
 
 
-def service_nodes(edges: DataFrame, cyclic: DataFrame | None = None) -> DataFrame:
+def service_nodes(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """(id, in_count, out_count, dependents, impact, is_circular) of weighted edges; the
-    dependents are the blast radius."""
+    dependents are the blast radius.  A node is circular if its strong component
+    (``strong_components`` unless given) has other nodes: cycles of any length count."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(0).cast("long").alias("i"), F.col("call_count").alias("o"), F.lit(0).alias("d")), F.struct(F.col("dst").alias("id"), F.col("call_count").alias("i"), F.lit(0).cast("long").alias("o"), F.lit(1).alias("d")))).alias("e"))
     rows = ends.groupBy("e.id").agg(F.sum("e.i").alias("in_count"), F.sum("e.o").alias("out_count"), F.sum("e.d").alias("dependents")).withColumn("impact", impact(F.col("dependents")))
-    if cyclic is None:
-        return rows
-    members = cyclic.select(F.explode("cycle").alias("id")).distinct().withColumn("c", F.lit(True))
+    members = circular(strong_components(edges) if components is None else components).withColumn("c", F.lit(True))
     return rows.join(members, "id", "left").withColumn("is_circular", F.coalesce("c", F.lit(False))).drop("c")
 
 

@@ -75,8 +75,9 @@ def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = F
     report.add("layers", lambda: discovery.layers(t["subsystems"]))
     report.add("languages", lambda: files.filter("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines")).orderBy(F.desc("files"), "language"))
     report.add("service_edges", lambda: graph.service_edges(module_links(files, imports)))
-    report.add("cycles", lambda: graph.cycles(t["service_edges"]))
-    report.add("service_nodes", lambda: graph.service_nodes(t["service_edges"], t["cycles"]))
+    report.add("components", lambda: graph.strong_components(t["service_edges"]))
+    report.add("cycles", lambda: graph.cycles(t["service_edges"], limit=25, components=t["components"]))
+    report.add("service_nodes", lambda: graph.service_nodes(t["service_edges"], t["components"]))
     try:
         nodes, edges = graph.build(repo_id, files, symbols, imports, calls)
         t["nodes"], t["edges"] = cut(nodes, "nodes"), cut(edges, "edges")

@@ -17,6 +17,7 @@ from lodestrata.functions import scalars
 from lodestrata.operators import discovery, explore, findings, graph, history, retrieval
 from lodestrata.plans import fixtures as fx
 from lodestrata.plans import rules
+from lodestrata.session import cut
 from lodestrata.sources import manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,13 +145,11 @@ def service_graph_edges(spark, d):
     return _trade(spark, d)
 
 
-@query(f"""with recursive {_LINKED}, walk as (select src as start, dst as last, [src, dst] as path from linked where dst > src
-union all select start, s.dst, list_append(path, s.dst) from walk join linked s on s.src = last where s.dst > start and not list_contains(path, s.dst) and len(path) < 3),
-loops as (select path from walk join linked s on s.src = last and s.dst = start), members as (select distinct unnest(path) as id from loops)
+@query(f"""with recursive {_LINKED}, reach as (select src, dst from linked union select r.src, l.dst from reach r join linked l on l.src = r.dst), members as (select src as id from reach where src = dst)
 select id, cast(sum(i) as bigint) as in_count, cast(sum(o) as bigint) as out_count, cast(sum(k) as bigint) as dependents, case when sum(k) >= 5 then 'Critical' when sum(k) >= 2 then 'Moderate' else 'Low' end as impact,
 id in (select id from members) as is_circular from (select src as id, 0 as i, call_count as o, 0 as k from trade union all select dst, call_count, 0, 1 from trade) group by id""")
 def service_graph_nodes(spark, d):
-    return graph.service_nodes(_trade(spark, d), graph.cycles(_linked(spark, d), 3))
+    return graph.service_nodes(cut(_trade(spark, d), "trade"))
 
 
 @query(f"with {_LINKED} select n_nationkey as id, count(distinct src) as dependents, case when count(distinct src) >= 5 then 'Critical' when count(distinct src) >= 2 then 'Moderate' else 'Low' end as impact from nation left join linked on dst = n_nationkey group by 1")

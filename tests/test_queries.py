@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans import more_queries, queries  # noqa: F401
+from lodestrata.plans import further_queries, queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
