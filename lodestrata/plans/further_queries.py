@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators import graph
+from lodestrata.operators import graph, textindex, vectorindex
 from lodestrata.plans import more_queries as m
 from lodestrata.plans.queries import query, table
+from lodestrata.session import shared_path
 
 # --------------------------------------------------------- strong components
 
@@ -49,3 +50,106 @@ def chained_strong_components(spark, d):
     edges = F.array(edge("before", "doc_id"), F.when(F.col("rn") % 5 == 0, edge("doc_id", "third")), F.when((F.col("g") % 7 == 0) & (F.col("doc_id") == F.col("last")), edge("doc_id", "first")))
     links = rows.select(F.explode(edges).alias("e")).select("e.*").filter("src is not null and dst is not null and src <> dst")
     return graph.strong_components(links)
+
+
+# ------------------------------------------------------------- stored indexes
+
+_WORDS = "w as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) as term from documents)"
+
+
+def _text_index(spark, d) -> textindex.TextIndex:
+    return textindex.built(spark, shared_path(spark, "text-index"), table(spark, d, "documents").select("doc_id", "text"), "doc_id", ["text"])
+
+
+def _scored(hits: str, total: str, key: str = "doc_id") -> str:
+    """SQL that ranks (word, key, n) as a search does."""
+    return f"""h as ({hits}), df as (select word, count(*) as df from h group by word)
+select {key} as key, round(sum(n * ln(1 + ({total}) / df)), 4) as score, count(*) as matched from h join df using (word) group by {key} order by score desc, key limit 10"""
+
+
+@query(f"with {_WORDS} select term, count(distinct doc_id) as documents, count(*) as n from w group by term")
+def index_terms(spark, d):
+    """The dictionary of an index of all documents."""
+    return _text_index(spark, d).terms()
+
+
+@query(f"with {_WORDS}, {_scored('select term as word, doc_id, count(*) as n from w where term in (' + repr('licensed') + ', ' + repr('apache') + ', ' + repr('mit') + ') group by all', 'select count(*) from documents')}")
+def index_search(spark, d):
+    return _text_index(spark, d).search(["licensed", "apache", "MIT"])
+
+
+@query(f"with {_WORDS}, a as (select word, doc_id, count(*) as n from w, (values ('licen'), ('a'), ('zz')) v(word) where starts_with(term, word) group by all), {_scored('from a', 'select count(*) from documents')}")
+def index_prefix_search(spark, d):
+    return _text_index(spark, d).search(["licen", "a", "zz"], prefix=True)
+
+
+@query(f"with {_WORDS}, a as (select word, doc_id, count(*) as n from w, (values ('licensd'), ('apachee'), ('mit')) v(word) where levenshtein(term, word) <= 1 group by all), {_scored('from a', 'select count(*) from documents')}")
+def index_fuzzy_search(spark, d):
+    return _text_index(spark, d).search(["licensd", "apachee", "mit"], fuzzy=True)
+
+
+@query(f"with u as (select doc_id, case when doc_id % 7 = 0 then 'mit ' || text else text end as text from documents where doc_id % 11 <> 0), {_WORDS.replace('from documents', 'from u')}, "
+       f"{_scored('select term as word, doc_id, count(*) as n from w where term in (' + repr('licensed') + ', ' + repr('mit') + ') group by all', 'select count(*) from u')}")
+def index_updated_search(spark, d):
+    """Four fifths indexed, the rest added, a seventh replaced and an eleventh removed."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = textindex.built(spark, shared_path(spark, "text-index"), docs.filter("doc_id % 5 <> 0"), "doc_id", ["text"])
+    gone = docs.filter("doc_id % 11 = 0").select(F.col("doc_id").alias("key"))
+    index.update(docs.filter("doc_id % 5 = 0"), "doc_id", ["text"])
+    index.update(docs.filter("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("mit "), "text")), "doc_id", ["text"])
+    index.remove(gone)
+    return index.search(["licensed", "mit"])
+
+
+@query("""with t as (select page_id, unnest(list_filter(string_split_regex(lower(url), '[^a-z0-9]+'), lambda x: x <> '')) as term from pages),
+""" + _scored("select term as word, page_id, count(*) as n from t where term in ('example', 'en') group by all", "select count(*) from pages", "page_id"))
+def index_field_search(spark, d):
+    """One field of an index of two."""
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("path"), F.regexp_replace("html", "<[^>]*>", " ").alias("content"))
+    index = textindex.built(spark, shared_path(spark, "text-index"), pages, "page_id", ["path", "content"])
+    return index.search(["example", "en"], fields=["path"])
+
+
+def _vector_index(spark, d) -> vectorindex.VectorIndex:
+    return vectorindex.built(spark, shared_path(spark, "vector-index"), table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+def _asked(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def _ranked_vectors(rows: str) -> str:
+    return f"""select query, cast(rank as integer) as rank, key, score from (select *, row_number() over (partition by query order by score desc, key) as rank from
+(select q.vec_id as query, r.vec_id as key, round(list_cosine_similarity(q.embedding :: double[], r.embedding :: double[]), 6) as score from embeddings q, {rows} r where q.vec_id % 20 = 0)) where rank <= 5"""
+
+
+@query(_ranked_vectors("embeddings"))
+def vector_index_exact(spark, d):
+    """Every twentieth vector against all, by bounds of the lists' radii."""
+    return _vector_index(spark, d).search(_asked(spark, d), 5, probes=2, exact=True)
+
+
+@query(_ranked_vectors("(from embeddings where label % 3 = 1)"))
+def vector_index_filtered(spark, d):
+    return _vector_index(spark, d).search(_asked(spark, d), 5, probes=2, exact=True, where=F.col("label") % 3 == 1)
+
+
+@query(_ranked_vectors("(select vec_id, case when vec_id % 7 = 0 then list_transform(embedding, lambda x: -x) else embedding end as embedding from embeddings where vec_id % 11 <> 0)"))
+def vector_index_updated(spark, d):
+    """Four fifths indexed, the rest added, a seventh turned round and an eleventh removed."""
+    rows = table(spark, d, "embeddings")
+    index = vectorindex.built(spark, shared_path(spark, "vector-index"), rows.filter("vec_id % 5 <> 0"), "vec_id", "embedding")
+    index.update(rows.filter("vec_id % 5 = 0"), "vec_id", "embedding")
+    index.update(rows.filter("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)), "vec_id", "embedding")
+    index.remove(rows.filter("vec_id % 11 = 0").select(F.col("vec_id").alias("key")))
+    return index.search(_asked(spark, d), 5, exact=True)
+
+
+@query("select count(*) as queries, true as enough from embeddings where vec_id % 20 = 0")
+def vector_index_recall(spark, d):
+    """Whether the default probes find nine tenths of what a full scan finds."""
+    index, asked = _vector_index(spark, d), _asked(spark, d)
+    right = index.search(asked, 10, exact=True).select("query", "key")
+    share = F.count("found") / F.count(F.lit(1))
+    found = index.search(asked, 10).select("query", "key", F.lit(1).alias("found"))
+    return right.join(found, ["query", "key"], "left").agg(F.count_distinct("query").alias("queries"), (share >= 0.9).alias("enough"))
