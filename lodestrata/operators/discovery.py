@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import any_of, extension_of, first_of, table_name
+from lodestrata.operators.substrings import held
 from lodestrata.plans import rules
+from lodestrata.session import cut
 
 # ---------------------------------------------------------------------- APIs
 
@@ -208,12 +210,18 @@ def layers(found: DataFrame) -> DataFrame:
 
 def cross_edges(imports: DataFrame, places: DataFrame, top: int | None = None) -> DataFrame:
     """(src, dst, n): imports from one subsystem to another.  ``imports`` (subsystem, module) are
-    counted before the substring join, whose other side (ord, dotted, subsystem) are the
-    distinct dotted places; the first place that holds the module, or is held by it, counts."""
-    counted = imports.groupBy(F.col("subsystem").alias("src"), "module").agg(F.count(F.lit(1)).alias("n"))
-    near = counted.join(places, (F.col("src") != F.col("subsystem")) & (F.col("dotted").contains(F.col("module")) | F.col("module").contains(F.col("dotted"))))
-    first = near.groupBy("src", "module", "n").agg(F.min_by("subsystem", "ord").alias("dst"))
-    rows = first.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    counted; a module belongs to the first place (ord, dotted, subsystem) of another subsystem
+    that holds it as a substring, or is held by it.  Pairs come from an index of substrings."""
+    counted = cut(imports.filter("module is not null").groupBy(F.col("subsystem").alias("src"), "module").agg(F.count(F.lit(1)).alias("n")), "import-counts")
+    pairs = held("module", counted, "dotted", places).toDF("module", "dotted").unionByName(held("dotted", places, "module", counted).toDF("dotted", "module")).distinct()
+    near = counted.join(pairs, "module").join(places.select("ord", "dotted", "subsystem"), "dotted").select("src", "module", "n", "ord", "subsystem")
+    for empty, all_of in ((F.col("module") == "", places), (F.lit(True), places.filter("dotted = ''"))):  # an empty text is in all others
+        some = all_of.filter("subsystem is not null").groupBy("subsystem").agg(F.min("ord").alias("ord")).orderBy("ord", "subsystem").select("ord", "subsystem")
+        if first := [(r[0], r[1]) for r in some.limit(2).collect()]:  # one of two subsystems isn't the module's own
+            firsts = F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(s).alias("subsystem")) for o, s in first])).alias("p")
+            near = near.unionByName(counted.filter(empty).select("src", "module", "n", firsts).select("src", "module", "n", "p.*"))
+    first = near.filter(F.col("src") != F.col("subsystem")).groupBy("src", "module", "n").agg(F.min(F.struct("ord", "subsystem")).alias("p"))
+    rows = first.groupBy("src", F.col("p.subsystem").alias("dst")).agg(F.sum("n").alias("n"))
     return rows if top is None else rows.orderBy(F.desc("n"), "src", "dst").limit(top)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators import graph, textindex, vectorindex
+from lodestrata.operators import graph, substrings, textindex, vectorindex
 from lodestrata.plans import more_queries as m
 from lodestrata.plans.queries import query, table
 from lodestrata.session import shared_path
@@ -153,3 +153,15 @@ def vector_index_recall(spark, d):
     share = F.count("found") / F.count(F.lit(1))
     found = index.search(asked, 10).select("query", "key", F.lit(1).alias("found"))
     return right.join(found, ["query", "key"], "left").agg(F.count_distinct("query").alias("queries"), (share >= 0.9).alias("enough"))
+
+
+# ------------------------------------------------------------ substring joins
+
+
+@query("""with needles as (select substr(lower(n_name), 1, 1 + n_nationkey % 5) as word from nation union select ''), texts as (select distinct unnest(regexp_extract_all(lower(text), '[\\pL]+')) as text from documents)
+select distinct word, text from needles join texts on contains(text, word) where word <> ''""")
+def substring_pairs(spark, d):
+    """Beginnings of nations' names in the distinct words of all documents."""
+    words = table(spark, d, "nation").select(F.expr("substr(lower(n_name), 1, 1 + n_nationkey % 5)").alias("word")).union(spark.range(1).select(F.lit("")))
+    texts = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("text"))
+    return substrings.held("word", words, "text", texts)
