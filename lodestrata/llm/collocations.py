@@ -2,16 +2,20 @@
 
 A phrase is a run of words within a piece of a text, counted for each language
 with all its occurrences, overlaps included.  A phrase of k words can be
-frequent only if both its phrases of k-1 words are, so level k's pass cuts the
-last level's runs where a phrase of k-1 words isn't frequent, and counts the
-phrases of k words of what is left.  The runs of a level are written once, and
-shrink from level to level.  Tasks count in part, Spark adds up, and the
-frequent phrases are the level's table.
+frequent only if both its phrases of k-1 words are, so level k's pass looks only
+at neighbouring places that hold a frequent phrase of k-1 words each.
 
-What tasks get of the last level is its set of phrases, while that is within
-``BROADCAST_BYTES``; a larger one becomes a bit table of fixed size, in which a
-phrase that isn't frequent may pass.  That costs time but no exactness: a passed
-phrase is counted like any other, and falls to the threshold.
+The frequent phrases of a level are broadcast and numbered while they are within
+``BROADCAST_BYTES``.  Texts are written once as runs of their frequent words'
+numbers; a level pairs neighbouring numbers, counts the pairs, and replaces each
+place's number by that of the frequent pair that begins there.  A pair of numbers
+is one phrase exactly, and runs without a neighbour left go, so that what is read
+shrinks from level to level.  Tasks count in part, Spark adds up.
+
+From the first level whose table is larger than that, phrases are counted as
+such, and what tasks get is a bit table of fixed size, in which a phrase that
+isn't frequent may pass.  That costs time but no exactness: a passed phrase is
+counted like any other, and falls to the threshold.
 
 All cuts of a candidate are then looked up in the level tables, with exact
 decimal arithmetic (right while 1000 times a count times the number of words is
@@ -20,14 +24,16 @@ below 10^38).
 Defined results: a null text is empty, a null language ``und``, together with a
 language of that name.  Repeated rows count each.  Ties go to the smaller cut,
 and in reports to the more frequent and then the first phrase in byte order.
-Very long texts are cut whole, a megabyte of pieces at a time.  Ill-formed UTF-8
-counts as U+FFFD.  An empty table has no phrases.  Only text and lang are read.
+Very long texts are taken whole, a megabyte of pieces at a time.  Ill-formed
+UTF-8 counts as U+FFFD.  An empty table has no phrases.  Only text and lang are
+read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +47,9 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BROADCAST_BYTES = 64 << 20
 #: Bits of the table that stands for a level of more bytes than that.
 BITS = 1 << 27
-#: Distinct phrases that a task counts before it hands them on, and bytes of text cut at a time.
-HELD, SEGMENT = 400_000, 1 << 20
+#: Distinct phrases that a task counts before it hands them on, bytes of text cut at a time, and
+#: numbers that a row of runs has and that are paired at a time.
+HELD, SEGMENT, RUN, PAIRED = 200_000, 1 << 20, 1 << 19, 1 << 22
 #: Marks that end a piece become line ends, tabs spaces, A-Z a-z (fixed values).
 CANONICAL = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + bytes(range(65, 91)), b"\n" * 9 + b" " + bytes(range(97, 123)))
 COUNTED = "lang string, phrase binary, n long"
@@ -127,7 +134,7 @@ class Frequent:
 
 def frequent(level: DataFrame, most: int = BROADCAST_BYTES) -> Frequent:
     """A level's table (lang, phrase, f) in the form that tasks get."""
-    if (level.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 64)).first()[0] or 0) <= most:
+    if _fits(level, most):
         found: dict[str, list[bytes]] = {}
         table = level.select("lang", F.col("phrase").cast("binary").alias("phrase")).toArrow()
         for lang, phrase in zip(table["lang"].to_pylist(), table["phrase"].to_pylist()):
@@ -179,18 +186,170 @@ def _summed(counted: DataFrame, least: int) -> DataFrame:
     return total.filter((F.col("f") >= least) | (F.octet_length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "f")
 
 
-def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """Tables (lang, phrase, f) of the frequent phrases of one word, of two, and so on; the
-    first has each language's number of words at the empty phrase."""
+def _numbered(a: np.ndarray) -> np.ndarray:
+    """Numbers (0: none) without those that have no neighbour, and with one 0 between runs."""
+    there = a != 0
+    both = there[:-1] & there[1:]
+    keep = np.zeros(len(a), bool)
+    keep[:-1] |= both
+    keep[1:] |= both
+    ends = np.zeros(len(a), bool)
+    ends[1:] = keep[:-1] & ~keep[1:]
+    return np.where(keep, a, 0)[keep | ends]
+
+
+def _blobs(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Runs of numbers as rows of some ``RUN`` numbers each; each part ends with a 0."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= RUN:
+            yield _blob(held)
+            held = []
+    if held:
+        yield _blob(held)
+
+
+def _blob(parts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.concatenate(parts).astype("<i4").tobytes()], pa.binary())], ["runs"])
+
+
+def _numbers_of(known):
+    """Batches (lang, body, n) of canonical texts to runs of their frequent words' numbers."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for lang, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                number = known.value.get(lang)
+                for part in segments(body.as_py()) if number else ():
+                    words = filter(None, part.replace(b"\n", b" \n ").split(b" "))  # a line end has no number
+                    a = _numbered(np.fromiter(map(number.get, words, repeat(0)), np.int32))
+                    if len(a):
+                        yield np.append(a, np.int32(0))
+
+    return lambda batches: _blobs(parts(batches))
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for row in batch.column(0):
+            yield np.frombuffer(row.as_py(), "<i4")
+
+
+def _keys(a: np.ndarray) -> np.ndarray:
+    """The pair at each place but the last; 0 where there is none."""
+    key = a[:-1].astype(np.int64) << 32 | a[1:]
+    return np.where((a[:-1] != 0) & (a[1:] != 0), key, 0)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of numbers to counts (key, n) of their pairs."""
+    held: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    for a in _arrays(batches):
+        key = _keys(a)
+        held.append(key[key != 0])
+        if sum(map(len, held)) >= PAIRED:
+            yield counted()
+            held = []
+    if held:
+        yield counted()
+
+
+def _renumbered(known):
+    """Runs of numbers to runs of the numbers of frequent pairs (sorted keys) that begin there."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        keys = known.value
+        for a in _arrays(batches):
+            key = _keys(a)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            b = _numbered(np.where(keys[at] == key, at + 1, 0).astype(np.int32))
+            if len(b):
+                yield np.append(b, np.int32(0))
+
+    return lambda batches: _blobs(parts(batches))
+
+
+def _number_words(known):
+    """Batches (lang, phrase, f) of words with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = [known.value[lang][w.encode()] for lang, w in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number, pa.int32())], [*batch.schema.names, "number"])
+
+    return run
+
+
+def _number_keys(known):
+    """Batches (lang, phrase, f, key) of phrases with their numbers, by the sorted keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = np.searchsorted(known.value, batch["key"].to_numpy()) + 1
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("lang", "phrase", "f")), pa.array(number, pa.int32())], ["lang", "phrase", "f", "number"])
+
+    return run
+
+
+NUMBERED = "lang string, phrase string, f long, number int"
+
+
+def _fits(level: DataFrame, most: int) -> bool:
+    return (level.agg(F.sum(F.octet_length("phrase") + F.octet_length("lang") + 64)).first()[0] or 0) <= most
+
+
+def _source(docs: DataFrame) -> DataFrame:
     valid = F.make_valid_utf8(F.coalesce("text", F.lit(""))).cast("binary")
-    source = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), valid.alias("phrase"), F.lit(1).cast("long").alias("n"))
-    count = _tallied(_count_words)
-    found = [materialize(_summed(source.mapInArrow(_canonical(count), COUNTED), least), "phrases-1")]
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), valid.alias("phrase"), F.lit(1).cast("long").alias("n"))
+
+
+def _by_numbers(docs: DataFrame, words: DataFrame, longest: int, least: int, most: int) -> list[DataFrame]:
+    """The levels after the first, up to the first whose table doesn't fit."""
     context = docs.sparkSession.sparkContext
+    table, by = words.filter("phrase <> ''").toArrow().sort_by([("lang", "ascending"), ("phrase", "ascending")]), {}
+    for number, (lang, word) in enumerate(zip(table["lang"].to_pylist(), table["phrase"].to_pylist()), 1):
+        by.setdefault(lang, {})[word.encode()] = number
+    known = context.broadcast(by)
+    last = words.filter("phrase <> ''").mapInArrow(_number_words(known), NUMBERED)
+    runs = materialize(_source(docs).mapInArrow(_canonical(_numbers_of(known)), "runs binary"), "runs-1")
+    found: list[DataFrame] = []
     for k in range(2, longest + 1):
-        known = context.broadcast(frequent(found[-1].filter("phrase <> ''"), most))
-        cut = _tallied(_cut_runs(known, k))
-        source = materialize(source.mapInArrow(_canonical(cut) if k == 2 else cut, COUNTED), f"runs-{k}")
+        counted = runs.mapInArrow(_count_pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        counted = materialize(counted, f"pairs-{k}")
+        near = bounded(materialize(last, f"numbers-{k - 1}"), F.octet_length("phrase") + F.octet_length("lang"))
+        first, second = near.select(F.col("number").alias("a"), "lang", F.col("phrase").alias("p")), near.select(F.col("number").alias("b"), F.substring_index("phrase", " ", -1).alias("w"))
+        split = counted.select("key", "f", F.shiftright("key", 32).cast("int").alias("a"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"))
+        level = materialize(split.join(first, "a").join(second, "b").select("lang", F.concat_ws(" ", "p", "w").alias("phrase"), "f", "key"), f"phrases-{k}")
+        found.append(level.select("lang", "phrase", "f"))
+        if k == longest or not _fits(level, most):
+            break
+        keys = np.sort(counted.select("key").toArrow()["key"].to_numpy())
+        if not len(keys):
+            break
+        known = context.broadcast(keys)
+        last = level.mapInArrow(_number_keys(known), NUMBERED)
+        runs = materialize(runs.mapInArrow(_renumbered(known), "runs binary"), f"runs-{k}")
+    return found
+
+
+def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """Tables (lang, phrase, f) of the frequent phrases of one word, of two, and so on; the
+    first has each language's number of words at the empty phrase."""
+    found = [materialize(_summed(_source(docs).mapInArrow(_canonical(_tallied(_count_words)), COUNTED), least), "phrases-1")]
+    if _fits(found[0], most):
+        found += _by_numbers(docs, found[0], longest, least, most)
+    source, context, raw = _source(docs), docs.sparkSession.sparkContext, True
+    for k in range(len(found) + 1, longest + 1):
+        if found[-1].filter("phrase <> ''").isEmpty():
+            break
+        cut = _tallied(_cut_runs(context.broadcast(frequent(found[-1].filter("phrase <> ''"), most)), k))
+        source, raw = materialize(source.mapInArrow(_canonical(cut) if raw else cut, COUNTED), f"runs-{k}"), False
         found.append(materialize(_summed(source.mapInArrow(_tallied(_count_phrases(k)), COUNTED), least), f"phrases-{k}"))
     return found
 
