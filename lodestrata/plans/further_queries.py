@@ -9,6 +9,7 @@ from lodestrata.operators import graph, substrings, textindex, vectorindex
 from lodestrata.plans import more_queries as m
 from lodestrata.plans.queries import query, table
 from lodestrata.session import shared_path
+from lodestrata.streaming import state
 
 # --------------------------------------------------------- strong components
 
@@ -165,3 +166,38 @@ def substring_pairs(spark, d):
     words = table(spark, d, "nation").select(F.expr("substr(lower(n_name), 1, 1 + n_nationkey % 5)").alias("word")).union(spark.range(1).select(F.lit("")))
     texts = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("text"))
     return substrings.held("word", words, "text", texts)
+
+
+# -------------------------------------------------------------- keyed streams
+
+LATE, TTL_MINUTES = "10 minutes", 150
+
+
+def _followed(spark, d) -> str:
+    """The checkpoint of a stream of all events, in four parts by time."""
+    events, where = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), shared_path(spark, "events")
+    first, last = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - first) * 4 / (last - first + 1))
+    for i in range(4):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(where)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    told = state.changes(stream, F.col("user_id"), F.col("ts"), F.col("event_id"), TTL_MINUTES * 60_000, LATE, keep=5)
+    checkpoint = shared_path(spark, "states")
+    state.follow(told, shared_path(spark, "changes"), checkpoint).awaitTermination()
+    return checkpoint
+
+
+_LIVE = f"live as (select user_id from events group by user_id having epoch_ms(max(ts)) + {TTL_MINUTES * 60_000} > (select epoch_ms(max(ts)) - 600000 from events))"
+
+
+@query(f"with {_LIVE} select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) join live using (user_id) where rn = 1")
+def stream_states(spark, d):
+    """What a late subscriber gets: the last state of each user who hasn't expired."""
+    said = F.from_json("said", "user_id long, event_id long, event_type string").alias("e")
+    return state.states(spark, _followed(spark, d)).select(said).select("e.*")
+
+
+@query(f"with {_LIVE} select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) rn from events) join live using (user_id) where rn <= 5")
+def stream_history(spark, d):
+    """Each live user's last five events."""
+    return state.history(spark, _followed(spark, d)).select(F.from_json("said", "user_id long, event_id long").alias("e")).select("e.*")
