@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import graph, substrings, textindex, vectorindex
 from lodestrata.plans import more_queries as m
+from lodestrata.plans import store
 from lodestrata.plans.queries import query, table
 from lodestrata.session import shared_path
 from lodestrata.streaming import state
@@ -201,3 +202,21 @@ def stream_states(spark, d):
 def stream_history(spark, d):
     """Each live user's last five events."""
     return state.history(spark, _followed(spark, d)).select(F.from_json("said", "user_id long, event_id long").alias("e")).select("e.*")
+
+
+# -------------------------------------------------------------- result stores
+
+_STORED = "stored as (select lang as repo_id, doc_id, n_chars from documents where lang <> 'fr' and (lang <> 'de' or doc_id % 2 = 0) union all select 'en', -doc_id, null from documents where lang = 'en' and doc_id % 10 = 3)"
+
+
+@query(f"with {_STORED} select repo_id, count(*) as files, cast(sum(n_chars) as bigint) as chars, min(doc_id) as first from stored group by repo_id")
+def stored_repositories(spark, d):
+    """Each language a repository: all are saved, German again with half of its files, English
+    is appended to, and French deleted."""
+    docs, kept = table(spark, d, "documents").select("lang", "doc_id", "n_chars"), store.ResultStore(spark, shared_path(spark, "results"))
+    for lang in [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]:
+        kept.save(lang, {"files": docs.filter(F.col("lang") == lang).drop("lang")})
+    kept.save("de", {"files": docs.filter("lang = 'de' and doc_id % 2 = 0").drop("lang")})
+    kept.append("en", "files", docs.filter("lang = 'en' and doc_id % 10 = 3").select((-F.col("doc_id")).alias("doc_id")))
+    kept.delete("fr")
+    return kept.read("files").groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first"))

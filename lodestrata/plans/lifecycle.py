@@ -1,7 +1,8 @@
 """The whole analysis of a repository: from files to stored results, and views of them.
 
-Each module is a lazily built DataFrame; ``analyze`` builds all of them, and a
-module that fails is an error in the report and doesn't stop the others.
+``analyze`` builds all modules; one that fails is an error in the report and doesn't
+stop the others.  With a ``store.Job``, each module is a stage of it: a run that was
+cut short goes on after its last whole stage.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars
 from lodestrata.operators import discovery, explore, findings, graph, history, retrieval
-from lodestrata.plans import answers
+from lodestrata.plans import answers, store
 from lodestrata.session import cut, ship
 from lodestrata.sources import files as sources
 from lodestrata.sources import gitlog, manifests, parsers
+from lodestrata.streaming.progress import PHASES
 
 
 @dataclass
@@ -27,10 +29,15 @@ class Report:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
+    job: store.Job | None = None
+
+    def made(self, name: str, build: Callable[[], DataFrame], *after: str, progress: float | None = None) -> DataFrame:
+        """Written, as a stage of the job if there is one."""
+        return cut(build(), name) if self.job is None else self.job.stage(name, build, after, progress)
 
     def add(self, name: str, build: Callable[[], DataFrame]) -> None:
         try:
-            self.tables[name] = cut(build(), name)  # made here, so that what fails when it runs is reported
+            self.tables[name] = self.made(name, build, "files", "parsed", progress=PHASES["analyzing"])  # made here, so that what fails when it runs is reported
         except Exception as error:  # noqa: BLE001  one module's failure is reported, not raised
             self.errors[name] = f"{type(error).__name__}: {error}"
 
@@ -44,12 +51,12 @@ def module_links(files: DataFrame, imports: DataFrame) -> DataFrame:
     return local.select(scalars.file_module(F.col("file_path")).alias("src"), scalars.import_module(F.col("module")).alias("dst")).filter("src <> dst and dst <> ''")
 
 
-def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = False) -> Report:
-    """All results of a source tree."""
+def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = False, job: str | None = None) -> Report:
+    """All results of a source tree; ``job`` is a folder that keeps the stages, for a rerun."""
     ship(spark)
-    report = Report()
-    files = cut(sources.scan(spark, root, repo_id), "files")
-    parsed = cut(parsers.parse(files), "parsed")
+    report = Report(job=store.Job(spark, job, json.dumps([repo_id, store.fingerprint(spark, root)])) if job else None)
+    files = report.made("files", lambda: sources.scan(spark, root, repo_id), progress=PHASES["cloned"])
+    parsed = report.made("parsed", lambda: parsers.parse(files), "files", progress=PHASES["parsed"])
     symbols, imports, calls = (parsers.records(parsed, k) for k in ("symbols", "imports", "calls"))
     lines = sources.lines(files)
     t = report.tables
@@ -80,7 +87,8 @@ def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = F
     report.add("service_nodes", lambda: graph.service_nodes(t["service_edges"], t["components"]))
     try:
         nodes, edges = graph.build(repo_id, files, symbols, imports, calls)
-        t["nodes"], t["edges"] = cut(nodes, "nodes"), cut(edges, "edges")
+        for name, rows in (("nodes", nodes), ("edges", edges)):
+            t[name] = report.made(name, lambda: rows, "files", "parsed", progress=PHASES["graph_built"])  # noqa: B023
     except Exception as error:  # noqa: BLE001
         report.errors["graph"] = f"{type(error).__name__}: {error}"
     report.add("chunks", lambda: retrieval.embedded(retrieval.chunks(files.filter(scalars.is_code(F.col("path")) & F.col("content").isNotNull()).select("path", "language", "content"), "content"), repo_id, "path"))
@@ -93,15 +101,14 @@ def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = F
     return report
 
 
-def save(report: Report, where: str, job: str = "job") -> None:
-    """Store all results as tables, and a row on the job: its state, what failed, and the small
-    results as one JSON text."""
-    for name, rows in report.tables.items():
-        sources.write_table(rows, f"{where}/{name}")
+def save(report: Report, where: str, job: str = "job", repo_id: str = "repo") -> None:
+    """Store all results of a repository, in the place of its earlier ones and beside those of
+    others (see ``store.ResultStore``), and a row on the job: its state, what failed, and the
+    small results as one JSON text."""
     spark = next(iter(report.tables.values())).sparkSession
     scores = {name: report[name].first().asDict(recursive=True) for name in ("risk", "debt_score", "health", "pattern", "facts") if name in report.tables}
     row = (job, "failed" if report.errors else "completed", 100.0, json.dumps(report.errors, sort_keys=True), json.dumps(scores, sort_keys=True, default=str))
-    sources.write_table(spark.createDataFrame([row], "scan_job_id string, status string, progress double, errors string, result string"), f"{where}/jobs", key="scan_job_id")
+    store.ResultStore(spark, where).save(repo_id, report.tables, row)
 
 
 def views(report: Report, prefix: str = "") -> list[str]:
