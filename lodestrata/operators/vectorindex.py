@@ -5,7 +5,8 @@ the driver; every row is in the list of its nearest centroid, in a folder of its
 own, with its payload.  A list's radius is the largest angle from its centroid.
 
 A search takes many queries at once.  Each looks through its ``probes`` nearest
-lists (as many, unless given, as gave ``RECALL`` of the sample's neighbours), whose rows are scored with their whole vectors in blocks of some ``BLOCK``
+lists (as many, unless given, as gave ``RECALL`` of the sample's neighbours; queries that
+are unlike the rows may find fewer), whose rows are scored with their whole vectors in blocks of some ``BLOCK``
 rows, so that neither a large list nor a popular one meets in one task at once.
 With ``exact``, every further list follows that may hold a better row: by the
 triangle inequality no row of a list is nearer to the query than the centroid's
@@ -76,9 +77,9 @@ def centroids_of(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.nda
 def probes_of(sample: np.ndarray, centers: np.ndarray) -> int:
     """The least number of probes by which ``RECALL`` of the neighbours in a sample are found."""
     tried = sample[:: max(1, len(sample) // TRIED)]
-    scores = tried @ sample.T
-    k = min(SOUGHT, len(sample))
-    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    near = np.argsort(-(tried @ sample.T), axis=1)[:, 1 : SOUGHT + 1]  # without the row itself
+    if not near.size:
+        return 1
     place = _angles(tried, centers).argsort(axis=1, kind="stable").argsort(axis=1)
     own = np.argmax(sample @ centers.T, axis=1)
     return 1 + int(np.quantile(np.take_along_axis(place, own[near], axis=1), RECALL, method="higher"))
@@ -164,18 +165,19 @@ class VectorIndex(Segmented):
         state = self.state()
         where, probes = (state["centroids"], state["probes"]) if "centroids" in state else self._fit(whole)
         known = self.spark.sparkContext.broadcast(self._centers(where))
-        placed = whole.mapInArrow(_assigned(known), T.StructType([*whole.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
-        return self.add(lambda path: self._write(path, placed), rows.select("key"), removed, centroids=where, probes=probes)
+        schema = T.StructType([*whole.schema.fields, T.StructField("list", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+        placed = whole.mapInArrow(_assigned(known), schema)
+        return self.add(lambda path: self._write(path, placed), rows.select("key"), removed, centroids=where, probes=probes, schema=schema.jsonValue())
 
     def remove(self, keys: DataFrame) -> int:
         """Take out the rows of some keys (a table with the column ``key``)."""
-        first = self.spark.read.parquet(f"{self.segments()[0]['path']}/rows").limit(0)
-        return self.add(lambda path: self._write(path, first), keys.limit(0), keys)
+        none = self.spark.createDataFrame([], self._schema())
+        return self.add(lambda path: self._write(path, none), keys.limit(0), keys)
 
     def merge(self) -> int:
         """One segment of all, without what is dead."""
         live = self.listed().filter("live")
-        return self.add(lambda path: self._write(path, self.rows("rows", lambda r: r)), live, merged=True)
+        return self.add(lambda path: self._write(path, self.rows("rows", lambda r: r, self._schema())), live, merged=True)
 
     def _fit(self, rows: DataFrame) -> tuple[str, int]:
         n = rows.count()
@@ -236,8 +238,8 @@ class VectorIndex(Segmented):
             found = top(found.drop("rank").unionByName(looked(asking, True)))
         return found.select("query", "rank", "key", "score")
 
-    def _schema(self):
-        return self.spark.read.parquet(f"{self.segments()[0]['path']}/rows").schema
+    def _schema(self) -> T.StructType:
+        return T.StructType.fromJson(self.state()["schema"])
 
     def payload(self, found: DataFrame) -> DataFrame:
         """Found rows with all columns that are stored of them."""
