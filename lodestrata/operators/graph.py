@@ -142,34 +142,76 @@ def extend_paths(paths: DataFrame, edges: DataFrame, allowed: Column | None = No
     return grown.select("start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"))
 
 
+def distances_to(edges: DataFrame, dst, most: int) -> DataFrame:
+    """(id, left): the fewest directed edges from a node to ``dst``, up to ``most``."""
+    seen = edges.sparkSession.range(1).select(F.lit(dst).alias("id"), F.lit(0).alias("left"))
+    front = seen
+    for k in range(1, most + 1):
+        step = edges.join(front.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id")).distinct()
+        front = cut(step.join(seen, "id", "left_anti").withColumn("left", F.lit(k)), "distances")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def paths(edges: DataFrame, src, dst, max_depth: int = 5, limit: int | None = None) -> DataFrame:
     """All simple directed paths from src to dst of up to ``max_depth`` edges, or the shortest
-    ``limit`` of them."""
+    ``limit`` of them.  A path grows only to nodes from which dst is near enough."""
     plain = cut(simple_edges(edges), "path-edges")
-    level = plain.filter((F.col("src") == src) & (F.col("dst") != src)).select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
+    left = distances_to(plain, dst, max_depth - 1)
+
+    def near(level: DataFrame, depth: int) -> DataFrame:
+        return level.join(left.filter(F.col("left") <= max_depth - depth).select(F.col("id").alias("last")), "last", "left_semi")
+
+    level = near(plain.filter((F.col("src") == src) & (F.col("dst") != src)).select(F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")), 1)
     found = []
-    for depth in range(max_depth):
+    for depth in range(1, max_depth + 1):
         found.append(level.filter(F.col("last") == dst))
-        if depth + 1 < max_depth:
-            level = extend_paths(level.filter(F.col("last") != dst), plain)
+        if depth < max_depth:
+            level = near(extend_paths(level.filter(F.col("last") != dst), plain), depth + 1)
     out = reduce(DataFrame.unionByName, found).select("path", (F.size("path") - 1).alias("depth"))
     return out if limit is None else out.orderBy("depth", "path").limit(limit)
 
 
-def shortest_path(edges: DataFrame, src, dst, max_depth: int = 10) -> DataFrame:
-    """One shortest path, edges taken both ways: a search by frontiers, each node kept once."""
-    both = simple_edges(edges.select("src", "dst").union(edges.select("dst", "src")))
-    seen = edges.sparkSession.range(1).select(F.lit(src).alias("id"), F.array(F.lit(src)).alias("path"))
-    front = seen
-    for _ in range(max_depth):
-        if not seen.filter(F.col("id") == dst).isEmpty():
-            break
-        step = front.join(both.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        front = cut(step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "frontier")
-        if front.isEmpty():
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(src, dst, path) of pairs (src, dst) that are connected by up to ``max_depth`` edges, taken
+    both ways: of the shortest paths, the first.
+
+    All pairs are searched at once, from both ends: the side with fewer open nodes takes the
+    next step, each node keeps its first path, and a pair is done where its sides first meet.
+    Only what is new at each step is joined with the adjacency, which is written once."""
+    both = cut(simple_edges(edges.select("src", "dst").union(edges.select("dst", "src"))), "adjacency")
+    kind = both.schema["src"].dataType
+    left = cut(pairs.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst")).distinct(), "pairs")
+    pair, key = ["src", "dst"], ["src", "dst", "id"]
+    # each side's nodes, with their path from the source or to the target
+    seen = [left.select(*pair, F.col(end).alias("id"), F.array(end).alias("path")) for end in pair]
+    front, sizes, found, side = list(seen), [1, 1], [], 0
+    for depth in range(max_depth + 1):
+        if depth:
+            side = 0 if sizes[0] <= sizes[1] else 1
+            step = front[side].join(left, pair, "left_semi").join(both.toDF("id", "next"), "id")
+            grown = F.concat("path", F.array("next")) if side == 0 else F.concat(F.array("next"), F.col("path"))
+            new = step.select(*pair, F.col("next").alias("id"), grown.alias("path")).groupBy(key).agg(F.min("path").alias("path"))
+            front[side] = cut(new.join(seen[side].select(key), key, "left_anti"), "frontier")
+            sizes[side] = front[side].count()
+            if not sizes[side]:
+                break
+            seen[side] = seen[side].unionByName(front[side])
+        near, far = front[side], seen[1 - side].withColumnRenamed("path", "rest")
+        first, last = ("path", "rest") if side == 0 else ("rest", "path")
+        met = near.join(far, key).select(*pair, F.concat(first, F.slice(last, F.lit(2), F.size(last))).alias("path"))
+        found.append(cut(met.groupBy(pair).agg(F.min("path").alias("path")), "met"))
+        left = cut(left.join(found[-1], pair, "left_anti"), "pairs")
+        if left.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen.filter(F.col("id") == dst).select("path")
+    return reduce(DataFrame.unionByName, found)
+
+
+def shortest_path(edges: DataFrame, src, dst, max_depth: int = 10) -> DataFrame:
+    """One shortest path, edges taken both ways."""
+    return shortest_paths(edges, edges.sparkSession.range(1).select(F.lit(src).alias("src"), F.lit(dst).alias("dst")), max_depth).select("path")
 
 
 def cycles(edges: DataFrame, max_length: int = 10, limit: int | None = None, components: DataFrame | None = None) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Small literal tables that exercise rules for which the data tables hold no cases.
-They stand on both sides of a query and its SQL."""
+"""Templates that exercise rules for which the data tables hold no cases.  Queries weave them
+with a data table: each of its rows, by its key ``k``, gives the templates with columns of its
+own, so that what the operators work on grows with the data.  Both sides of a query, Spark's
+and its SQL, evaluate the same expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "A1b2C3d4E5f6G7h8J9k0"
 
@@ -69,6 +72,53 @@ def frame(spark: SparkSession, fixture: tuple[str, list[tuple]]) -> DataFrame:
     return spark.createDataFrame(fixture[1], fixture[0])
 
 
+_FILE = {"file_path": "replace(file_path, '.', k || '.')"}
+#: By template: the table and its key, what columns become, and which of the rows stay.
+WOVEN: dict[str, tuple[str, str, dict[str, str], str]] = {
+    "CODE_LINES": ("documents", "doc_id", _FILE, "(k + line_no) % 4 <> 0"),
+    "TODO_LINES": ("supplier", "s_suppkey", _FILE, "(k + line_no) % 5 <> 0"),
+    "SYMBOLS": ("supplier", "s_suppkey", _FILE | {"name": "case when type = 'class' then name || k else name end", "parent": "parent || k", "line_end": "cast(line_end + k % 5 as int)"}, "not (name = 'shared' and k % 3 = 0)"),
+    "CALLS": ("supplier", "s_suppkey", _FILE, "(k + line_number) % 6 <> 0"),
+    "IMPORTS": ("supplier", "s_suppkey", _FILE | {"name": "name || k"}, "not (module = 'react' and k % 2 = 0)"),
+    "REQUIREMENTS": ("part", "p_partkey", {"line_no": "cast(line_no + 100 * k as int)", "line": "replace(line, '1', '' || k)"}, "(k + line_no) % 7 <> 0"),
+    "DECORATORS": ("supplier", "s_suppkey", {"handler": "handler || k", "decorator": "replace(decorator, '\"/', '\"/r' || k || '/')"}, "true"),
+    "CLASSES": ("part", "p_partkey", {"name": "name || replace(replace(said, '#', ''), ' ', '')"}, "true"),
+    "SIGNATURES": ("part", "p_partkey", {"name": "case when name = 'title' then 'title' || k else name end", "signature": "signature || case when k % 3 = 0 then ' NOT NULL' else '' end"}, "true"),
+    "PATHS": ("supplier", "s_suppkey", {"path": "case when path like '%/%' then replace(path, '.', k || '.') else path end"}, "true"),
+    "QUESTIONS": ("nation", "n_nationkey", {"question": "question || ' ' || said"}, "true"),
+    "NODES": ("supplier", "s_suppkey", {"id": "id || k"}, "true"),
+    "EDGES": ("supplier", "s_suppkey", {"src": "src || k", "dst": "dst || case when type = 'IMPORTS' then k + 1 else k end"}, "true"),
+    "KINDS": ("nation", "n_nationkey", {"raw": "case when k % 3 = 0 then upper(raw) when k % 3 = 1 then raw else raw || k end"}, "true"),
+    "ANSWERS": ("conversations", "conv_id", {"id": "cast(id + 10 * k as int)", "text": "text || said"}, "true"),
+    "SUBSYSTEMS": ("supplier", "s_suppkey", {"subsystem": "subsystem || k", "ord": "cast(ord + 20 * k as int)"}, "true"),
+    "SUBSYSTEM_EDGES": ("supplier", "s_suppkey", {"src": "src || k", "dst": "dst || k"}, "true"),
+    "README": ("supplier", "s_suppkey", _FILE, "(k + line_no) % 9 <> 0"),
+}
+#: Further columns of the tables.
+SAID = {"nation": "n_name", "part": "p_brand", "conversations": "text"}
+
+
+def _weave(fixture: tuple[str, list[tuple]]) -> tuple[str, str, dict[str, str], str]:
+    return next(WOVEN[n] for n, x in globals().items() if x is fixture)
+
+
+def woven(spark: SparkSession, d: str, fixture: tuple) -> DataFrame:
+    """A template's rows for each row of its table; ``fixture`` may bring its own weave."""
+    table, key, becomes, where = fixture[2] if len(fixture) > 2 else _weave(fixture)
+    kinds = [c.strip().split(" ") for c in fixture[0].split(", ")]
+    cell = lambda x, kind: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x).cast(kind)
+    rows = F.array(*[F.struct(*[cell(x, kind).alias(c) for x, (c, kind) in zip(r, kinds)]) for r in fixture[1]])
+    base = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(key).alias("k"), F.col(SAID.get(table, key)).alias("said"))
+    return base.select("k", "said", F.explode(rows).alias("r")).select("k", "said", "r.*").filter(where).selectExpr(*[f"{becomes.get(c, c)} as {c}" for c, _ in kinds])
+
+
+def woven_sql(fixture: tuple) -> str:
+    """The same as a parenthesised select."""
+    table, key, becomes, where = fixture[2] if len(fixture) > 2 else _weave(fixture)
+    names = [c.strip().split(" ")[0] for c in fixture[0].split(", ")]
+    return f"(select {', '.join(f'{becomes.get(c, c)} as {c}' for c in names)} from {sql(fixture)} template, (select {key} as k, {SAID.get(table, key)} as said from {table}) woven where {where})"
+
+
 def sql(fixture: tuple[str, list[tuple]]) -> str:
     """The same as a parenthesised select."""
     kinds = {"string": "varchar", "int": "integer", "boolean": "boolean", "array<string>": "varchar[]"}

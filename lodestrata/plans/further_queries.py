@@ -220,3 +220,29 @@ def stored_repositories(spark, d):
     kept.append("en", "files", docs.filter("lang = 'en' and doc_id % 10 = 3").select((-F.col("doc_id")).alias("doc_id")))
     kept.delete("fr")
     return kept.read("files").groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"), F.min("doc_id").alias("first"))
+
+
+# ---------------------------------------------------------------- many paths
+
+_PAIRS = "pairs as (select 'c' || c_custkey as src, 'c' || (c_custkey * 7 + 13) % (select count(*) from customer) as dst from customer where c_custkey <= 100)"
+
+
+@query(f"""with recursive {m._PURCHASES}, {_PAIRS}, ways as (select src, dst from bought union select dst, src from bought),
+reach as (select src, dst, src as id, 0 as hops from pairs union select r.src, r.dst, w.dst, hops + 1 from reach r join ways w on w.src = r.id where hops < 6)
+select src, dst, cast(min(hops) as integer) as hops from reach where id = dst group by src, dst""")
+def distances_purchases(spark, d):
+    """A hundred pairs of customers, by purchases from common suppliers."""
+    customers = table(spark, d, "customer")
+    other = (F.col("c_custkey") * 7 + 13) % F.lit(customers.count())
+    pairs = customers.filter("c_custkey <= 100").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("c"), other).alias("dst"))
+    return graph.shortest_paths(m._purchases(spark, d)[1], pairs, 6).select("src", "dst", (F.size("path") - 1).alias("hops"))
+
+
+@query(f"""with {m._PURCHASES}, {_BACK}, e as (from bought union from back), target as (select min(dst) as t from bought where src = 'c1')
+select array_to_string(path, '>') as path, len(path) - 1 as depth from (select [src, dst] as path from e, target where src = 'c2' and dst = t
+union all select [a.src, a.dst, b.dst, c.dst] from e a join e b on b.src = a.dst join e c on c.src = b.dst, target where a.src = 'c2' and a.dst <> t and b.dst <> 'c2' and c.dst = t)""")
+def paths_purchases(spark, d):
+    """Directed ways from one customer to a supplier, over purchases and returns."""
+    edges = _purchases_and_returns(spark, d)
+    target = m._purchases(spark, d)[1].filter("src = 'c1'").agg(F.min("dst")).first()[0]
+    return graph.paths(edges, "c2", target, 4).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("long").alias("depth"))

@@ -3,6 +3,8 @@ tables, over manifests and over parsed sources."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,22 +108,22 @@ def last_edges(spark, d):
     return graph.latest_edges(edges, F.col("line"))
 
 
-def _built(spark) -> tuple[DataFrame, DataFrame]:
+def _built(spark, d) -> tuple[DataFrame, DataFrame]:
     """The graphs of two repositories with the same files, in one pair of tables."""
-    files = fx.frame(spark, fx.IMPORTS).select(F.col("file_path").alias("path"), scalars.language_of(F.col("file_path")).alias("language")).distinct()
-    parts = [graph.build(r, files, fx.frame(spark, fx.SYMBOLS), fx.frame(spark, fx.IMPORTS), fx.frame(spark, fx.CALLS)) for r in ("one", "two")]
+    files = fx.woven(spark, d, fx.IMPORTS).select(F.col("file_path").alias("path"), scalars.language_of(F.col("file_path")).alias("language")).distinct()
+    parts = [graph.build(r, files, fx.woven(spark, d, fx.SYMBOLS), fx.woven(spark, d, fx.IMPORTS), fx.woven(spark, d, fx.CALLS)) for r in ("one", "two")]
     return parts[0][0].unionByName(parts[1][0]), parts[0][1].unionByName(parts[1][1])
 
 
-_KEYED = f"""s as (select *, substr(sha256('symbol:' || r || ':' || file_path || ':' || name || ':' || line_start), 1, 16) as id from {fx.sql(fx.SYMBOLS)}, (values ('one'), ('two')) v(r)),
-i as (select distinct file_path, module, r from {fx.sql(fx.IMPORTS)}, (values ('one'), ('two')) v(r))"""
+_KEYED = f"""s as (select *, substr(sha256('symbol:' || r || ':' || file_path || ':' || name || ':' || line_start), 1, 16) as id from {fx.woven_sql(fx.SYMBOLS)}, (values ('one'), ('two')) v(r)),
+i as (select distinct file_path, module, r from {fx.woven_sql(fx.IMPORTS)}, (values ('one'), ('two')) v(r))"""
 
 
 @query(f"""with {_KEYED}, n as (select r, 'Repository' as label, r as name from (values ('one'), ('two')) v(r) union all select distinct r, 'File', file_path from i
 union all select r, case type when 'class' then 'Class' when 'method' then 'Method' else 'Function' end, name from s union all select distinct r, 'Module', module from i)
 select r as repo_id, label, count(*) as n, min(name) as first from n group by 1, 2""")
 def graph_nodes(spark, d):
-    return _built(spark)[0].groupBy("repo_id", F.col("labels")[0].alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
+    return _built(spark, d)[0].groupBy("repo_id", F.col("labels")[0].alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
 
 
 @query(f"""with {_KEYED}, f as (select distinct r, file_path from i), key as (select *, substr(sha256('file:' || r || ':' || file_path), 1, 16) as id from f)
@@ -129,20 +131,20 @@ select repo_id, type, count(*) as n from (select distinct r as repo_id, 'CONTAIN
 union select m.r, 'HAS_METHOD', c.id, m.id from s m join s c on m.r = c.r and m.file_path = c.file_path and m.parent = c.name and m.type = 'method' and c.type = 'class'
 union select r, 'CALLS', src, dst from (select r from (values ('one'), ('two')) v(r)), ({q.SQL["call_resolution"]})) group by 1, 2""")
 def graph_edges(spark, d):
-    return _built(spark)[1].groupBy("repo_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return _built(spark, d)[1].groupBy("repo_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {_KEYED} select r as repo_id, name, file_path from s where r = 'two' and name = 'main'")
+@query(f"with {_KEYED} select r as repo_id, name, file_path from s where r = 'two' and name = 'main' and file_path = 'b7.py'")
 def graph_node(spark, d):
     """A point look-up within one repository's view."""
-    nodes, _ = graph.repository_view(*_built(spark), "two")
-    key = scalars.key_of(F.lit("symbol"), F.lit("two"), F.lit("b.py"), F.lit("main"), F.lit("210"))
+    nodes, _ = graph.repository_view(*_built(spark, d), "two")
+    key = scalars.key_of(F.lit("symbol"), F.lit("two"), F.lit("b7.py"), F.lit("main"), F.lit("210"))
     return graph.get_node(nodes, key).select("repo_id", "name", "file_path")
 
 
 @query(f"with {_KEYED} select 'two' as repo_id, (select count(*) from s where r = 'two') + (select count(distinct module) + count(distinct file_path) from i where r = 'two') + 1 as nodes")
 def cleared_repository(spark, d):
-    nodes, _ = graph.clear_repository(*_built(spark), "one")
+    nodes, _ = graph.clear_repository(*_built(spark, d), "one")
     return nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("nodes"))
 
 
@@ -151,9 +153,9 @@ def duplicate_keys(spark, d):
     return graph.duplicated(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
-@query(f"""with n as {fx.sql(fx.NODES)}, e as {fx.sql(fx.EDGES)}, s as (select id from n where list_has_any(labels, ['Class', 'Method'])) select id from n where id in (select id from s) or id in (select src from e where type = 'DEFINES' and dst in (select id from s))""")
+@query(f"""with n as {fx.woven_sql(fx.NODES)}, e as {fx.woven_sql(fx.EDGES)}, s as (select id from n where list_has_any(labels, ['Class', 'Method'])) select id from n where id in (select id from s) or id in (select src from e where type = 'DEFINES' and dst in (select id from s))""")
 def nodes_with_parents(spark, d):
-    return graph.with_parents(fx.frame(spark, fx.NODES), fx.frame(spark, fx.EDGES), ["Class", "Method"]).select("id")
+    return graph.with_parents(fx.woven(spark, d, fx.NODES), fx.woven(spark, d, fx.EDGES), ["Class", "Method"]).select("id")
 
 
 @query("""select distinct doc_id, 'n' || n_nationkey as id, n_name as name from nation join (select doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) as w from documents union all select doc_id, lower(n_name) from documents, nation where doc_id % 25 = n_nationkey) on w = lower(n_name)""")
@@ -229,10 +231,12 @@ def table_search(spark, d):
     return explore.find_tables(_nations_as_tables(spark, d), "T1").select("name")
 
 
-@query("select p[1] as id, file as name from (select string_split(file, '_') as p, file from (values ('001_init.sql'), ('b1_add.py'), ('plain.sql')) v(file))")
+_MIGRATIONS = ("path string", [("db/migrations/001_init.sql",), ("alembic/versions/b1_add.py",), ("db/migrate/plain.sql",), ("src/a_b.py",)], ("supplier", "s_suppkey", {"path": "replace(path, '.', k || '.')"}, "true"))
+
+
+@query(f"select p[1] as id, file as name from (select string_split(file, '_') as p, file from (select string_split(path, '/')[-1] as file from {fx.woven_sql(_MIGRATIONS)} where not starts_with(path, 'src')))")
 def migrations(spark, d):
-    paths = ["db/migrations/001_init.sql", "alembic/versions/b1_add.py", "db/migrate/plain.sql", "src/a_b.py"]
-    return discovery.migrations(spark.createDataFrame([(x,) for x in paths], "path string"))
+    return discovery.migrations(fx.woven(spark, d, _MIGRATIONS))
 
 
 # ------------------------------------------------------------ files and rules
@@ -275,7 +279,7 @@ def findings_of_severity(spark, d):
 
 @query(f"with {q._DEBT} select cast(round(sum(effort_hours) * 10) as bigint) as effort_tenths from debt")
 def debt_effort(spark, d):
-    return findings.debt_score(q._debt(spark)).select(F.round(F.col("effort_hours") * 10).cast("long").alias("effort_tenths"))
+    return findings.debt_score(q._debt(spark, d)).select(F.round(F.col("effort_hours") * 10).cast("long").alias("effort_tenths"))
 
 
 @query("""select 'circular_dep' as type, 'medium' as severity, owner as name, arg_min('n' || n || '.py', n) as file_path, cast(min(n) as integer) as line_no from (select n_name as owner, n_nationkey as n from nation where n_nationkey % 2 = 0) group by owner""")
@@ -288,14 +292,14 @@ def circular_imports(spark, d):
     return findings.circular_imports(symbols, imports)
 
 
-@query(f"select module, file_path from {fx.sql(fx.IMPORTS)} where is_relative or starts_with(module, '.') or starts_with(module, 'app.') or starts_with(module, 'src.')")
+@query(f"select module, file_path from {fx.woven_sql(fx.IMPORTS)} where is_relative or starts_with(module, '.') or starts_with(module, 'app.') or starts_with(module, 'src.')")
 def relative_imports(spark, d):
-    return fx.frame(spark, fx.IMPORTS).filter(scalars.is_relative(F.col("module"), F.col("is_relative"))).select("module", "file_path")
+    return fx.woven(spark, d, fx.IMPORTS).filter(scalars.is_relative(F.col("module"), F.col("is_relative"))).select("module", "file_path")
 
 
-@query("select handler, array_to_string(list_filter([decorator, 'app.before_request'], lambda x: regexp_matches(lower(x), 'middleware|before_request|guard|interceptor|pipe')), ';') as middleware from " + fx.sql(fx.DECORATORS) + f" where {q._METHODS} is not null")
+@query("select handler, array_to_string(list_filter([decorator, 'app.before_request'], lambda x: regexp_matches(lower(x), 'middleware|before_request|guard|interceptor|pipe')), ';') as middleware from " + fx.woven_sql(fx.DECORATORS) + f" where {q._METHODS} is not null")
 def endpoint_middleware(spark, d):
-    rows = fx.frame(spark, fx.DECORATORS).select(F.col("handler").alias("name"), F.array(F.col("decorator"), F.lit("app.before_request")).alias("decorators"), F.lit("method").alias("type"), F.lit("a.py").alias("file_path"), F.lit(1).alias("line_start"), F.lit(None).cast("string").alias("docstring"))
+    rows = fx.woven(spark, d, fx.DECORATORS).select(F.col("handler").alias("name"), F.array(F.col("decorator"), F.lit("app.before_request")).alias("decorators"), F.lit("method").alias("type"), F.lit("a.py").alias("file_path"), F.lit(1).alias("line_start"), F.lit(None).cast("string").alias("docstring"))
     return discovery.endpoints(rows).select("handler", F.array_join("middleware", ";").alias("middleware"))
 
 
@@ -389,9 +393,9 @@ def attribute_search(spark, d):
     return retrieval.search_index(rows, "id", ["path", "content"], ["example", "en"], 10)
 
 
-@query(f"select substr(sha256('repo:' || file_path || ':' || name || ':' || line_start), 1, 32) as id, name, type, file_path from {fx.sql(fx.SYMBOLS)}")
+@query(f"select substr(sha256('repo:' || file_path || ':' || name || ':' || line_start), 1, 32) as id, name, type, file_path from {fx.woven_sql(fx.SYMBOLS)}")
 def symbol_documents(spark, d):
-    return retrieval.symbol_documents(fx.frame(spark, fx.SYMBOLS).withColumn("signature", F.lit("")), "repo").select("id", "name", "type", "file_path")
+    return retrieval.symbol_documents(fx.woven(spark, d, fx.SYMBOLS).withColumn("signature", F.lit("")), "repo").select("id", "name", "type", "file_path")
 
 
 @query("select substr(sha256('repo:' || url), 1, 32) as id, url as file_path, regexp_replace(string_split(url, '/')[-1], '[.][^.]*$', '') as title, length(html) > 10000 as cut from pages")
@@ -403,18 +407,20 @@ def document_documents(spark, d):
 
 # ----------------------------------------------------- manifests and sources
 
-_MANIFESTS = {
-    "package.json": '{"dependencies": {"react": "^18.0.0", "next": "14"}, "devDependencies": {"jest": "29"}, "peerDependencies": {"vue": "3"}}',
-    "b/package.json": "not json",
-    "requirements.txt": "flask==2.0\n# no\n-r x\ncelery[redis]>=5,<6\nplain\n",
-    "pyproject.toml": '[project]\nname = "x"\ndependencies = [\n"fastapi>=0.1",\n"uvicorn"\n]\n[tool.dev]\npytest = "8"\n[other]\nz = 1\n',
-    "pom.xml": "<project><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency>\n<dependency> <groupId>h</groupId> <artifactId>b</artifactId> </dependency></project>",
-}
-_PACKAGES = [
+#: Manifests, woven with suppliers as repositories, and what they name (name, version, type, source).
+_OF_REPOSITORY = ("supplier", "s_suppkey", {"path": "'r' || k || '/' || path", "content": "replace(content, '2.0', '2.' || k)", "version": "replace(version, '2.0', '2.' || k)"}, "true")
+_MANIFESTS = ("path string, content string", [
+    ("package.json", '{"dependencies": {"react": "^18.0.0", "next": "14"}, "devDependencies": {"jest": "29"}, "peerDependencies": {"vue": "3"}}'),
+    ("b/package.json", "not json"),
+    ("requirements.txt", "flask==2.0\n# no\n-r x\ncelery[redis]>=5,<6\nplain\n"),
+    ("pyproject.toml", '[project]\nname = "x"\ndependencies = [\n"fastapi>=0.1",\n"uvicorn"\n]\n[tool.dev]\npytest = "8"\n[other]\nz = 1\n'),
+    ("pom.xml", "<project><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency>\n<dependency> <groupId>h</groupId> <artifactId>b</artifactId> </dependency></project>"),
+], _OF_REPOSITORY)
+_PACKAGES = ("name string, version string, type string, source string", [
     ("react", "^18.0.0", "runtime", "package.json"), ("next", "14", "runtime", "package.json"), ("jest", "29", "dev", "package.json"), ("vue", "3", "peer", "package.json"),
     ("flask", "2.0", "runtime", "requirements.txt"), ("celery[redis]", "5", "runtime", "requirements.txt"), ("plain", None, "runtime", "requirements.txt"),
     ("fastapi", "0.1", "runtime", "pyproject.toml"), ("uvicorn", None, "runtime", "pyproject.toml"), ("pytest = \"8", None, "dev", "pyproject.toml"), ("g:a", "1", "runtime", "pom.xml"), ("h:b", None, "runtime", "pom.xml"),
-]
+], _OF_REPOSITORY)
 
 
 def _values(rows: list[tuple], *names: str) -> str:
@@ -422,70 +428,84 @@ def _values(rows: list[tuple], *names: str) -> str:
     return f"select * from (values {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) v({', '.join(names)})"
 
 
-def _manifests(spark) -> DataFrame:
-    return spark.createDataFrame(list(_MANIFESTS.items()), "path string, content string")
+def _manifests(spark, d) -> DataFrame:
+    return fx.woven(spark, d, _MANIFESTS)
 
 
-@query(_values(_PACKAGES, "name", "version", "type", "source"))
+@query(f"from {fx.woven_sql(_PACKAGES)}")
 def manifest_union(spark, d):
-    return manifests.packages(_manifests(spark)).select("name", "version", "type", "source")
+    return manifests.packages(_manifests(spark, d)).select("name", "version", "type", "source")
 
 
-@query("select 'FastAPI;Flask;Maven;Next.js;React;Vue' as frameworks, 'maven;npm;pip;poetry/pip' as managers, false as is_monorepo")
+@query("select 'FastAPI;Flask;Maven;Next.js;React;Vue' as frameworks, 'maven;npm;pip;poetry/pip' as managers, false as is_monorepo from supplier limit 1")
 def repository_facts(spark, d):
-    """Frameworks and package managers of a repository's manifests, in order."""
-    files = _manifests(spark).filter("path <> 'b/package.json'").select("path")
-    found = discovery.repository_facts(files, manifests.packages(_manifests(spark)))
+    """Frameworks and package managers of all repositories' manifests, in order."""
+    found = discovery.repository_facts(_manifests(spark, d).select("path"), manifests.packages(_manifests(spark, d)))
     return found.select(F.array_join("frameworks", ";").alias("frameworks"), F.array_join("package_managers", ";").alias("managers"), "is_monorepo")
 
 
-#: Sources in each language, and what their parsers find (name, type, parent).
-_SOURCES = {
-    "a.py": "import os\nfrom a.b import c as d\n\nclass Sub(Base):\n    def meth(self, x: int = 5) -> str:\n        return str(x)\n",
-    "b.ts": "import { Foo } from 'mod';\nexport interface I { x: number }\nenum E { A }\ntype T = string;\nclass C extends B {\n  private foo(a: string): number { return bar(a); }\n}\n",
-    "c.js": "import a from 'm';\nclass A extends B {\n  m() { foo(); }\n}\nfunction f(p) { f2(); }\n",
-    "D.java": "import java.util.List;\npublic class Hello extends Base {\n  private int count;\n  public void greet(String name) { System.out.println(name); }\n}\n",
-    "e.go": 'package main\nimport "fmt"\ntype Config struct { Port int }\ntype Runner interface { Run() }\nfunc (c *Config) Address() string { return fmt.Sprint(c.Port) }\nfunc Start() { run() }\n',
-    "f.rs": "use std::collections::HashMap;\npub struct Engine { n: u32 }\npub trait Worker { fn work(&self); }\nimpl Engine {\n    pub fn new() -> Self { Engine { n: 0 } }\n}\npub fn execute() { println!(\"x\"); }\n",
-    "g.txt": "class No:\n    pass\n",
-}
-_FOUND = [
-    ("a.py", "Sub", "class", None), ("a.py", "meth", "method", "Sub"), ("b.ts", "I", "interface", None), ("b.ts", "E", "enum", None), ("b.ts", "T", "type_alias", None), ("b.ts", "C", "class", None), ("b.ts", "foo", "method", "C"),
-    ("c.js", "A", "class", None), ("c.js", "m", "method", "A"), ("c.js", "f", "function", None), ("D.java", "Hello", "class", None), ("D.java", "greet", "method", "Hello"),
-    ("e.go", "Config", "class", None), ("e.go", "Runner", "interface", None), ("e.go", "Address", "method", "Config"), ("e.go", "Start", "function", None),
-    ("f.rs", "Engine", "class", None), ("f.rs", "Worker", "interface", None), ("f.rs", "new", "method", "Engine"), ("f.rs", "execute", "function", None),
-]
-
-
-def _parsed(spark) -> DataFrame:
-    return parsers.parse(spark.createDataFrame(list(_SOURCES.items()), "path string, content string"))
-
-
-@query(_values(_FOUND, "file_path", "name", "type", "parent"))
+def _named(column: str) -> str:
+    """A text in which some names have the supplier's key."""
+    for name in ("Sub", "meth", "foo", "greet", "Hello", "Config", "Engine", "Worker", "f2"):
+        column = f"replace({column}, '{name}', '{name}' || k)"
+    return column
+
+
+#: Sources in each language, woven with suppliers, and all that their parsers find.
+_OF_SOURCE = ("supplier", "s_suppkey", {c: "replace(" + c + ", '.', k || '.')" for c in ("path", "file_path")} | {c: _named(c) for c in ("content", "name", "parent", "caller", "callee", "signature")}, "true")
+_SOURCES = ("path string, content string", [
+    ("a.py", "import os\nfrom a.b import c as d\n\nclass Sub(Base):\n    def meth(self, x: int = 5) -> str:\n        return str(x)\n"),
+    ("b.ts", "import { Foo } from 'mod';\nexport interface I { x: number }\nenum E { A }\ntype T = string;\nclass C extends B {\n  private foo(a: string): number { return bar(a); }\n}\n"),
+    ("c.js", "import a from 'm';\nclass A extends B {\n  m() { foo(); }\n}\nfunction f(p) { f2(); }\n"),
+    ("D.java", "import java.util.List;\npublic class Hello extends Base {\n  private int count;\n  public void greet(String name) { System.out.println(name); }\n}\n"),
+    ("e.go", 'package main\nimport "fmt"\ntype Config struct { Port int }\ntype Runner interface { Run() }\nfunc (c *Config) Address() string { return fmt.Sprint(c.Port) }\nfunc Start() { run() }\n'),
+    ("f.rs", "use std::collections::HashMap;\npub struct Engine { n: u32 }\npub trait Worker { fn work(&self); }\nimpl Engine {\n    pub fn new() -> Self { Engine { n: 0 } }\n}\npub fn execute() { println!(\"x\"); }\n"),
+    ("g.txt", "class No:\n    pass\n"),
+], _OF_SOURCE)
+_FOUND = ("file_path string, name string, type string, parent string, signature string", [
+    ("a.py", "Sub", "class", None, "class Sub"), ("a.py", "meth", "method", "Sub", "meth(self, x: int = 5) -> str"),
+    ("b.ts", "I", "interface", None, "export interface I"), ("b.ts", "E", "enum", None, "enum E"), ("b.ts", "T", "type_alias", None, "type T"), ("b.ts", "C", "class", None, "class C extends B"), ("b.ts", "foo", "method", "C", "foo(a: string): number"),
+    ("c.js", "A", "class", None, "class A extends B"), ("c.js", "m", "method", "A", "m()"), ("c.js", "f", "function", None, "f(p)"),
+    ("D.java", "Hello", "class", None, "public class Hello extends Base"), ("D.java", "count", "variable", "Hello", "private int count"), ("D.java", "greet", "method", "Hello", "void greet(String name)"),
+    ("e.go", "Config", "class", None, "type Config struct"), ("e.go", "Runner", "interface", None, "type Runner interface"), ("e.go", "Address", "method", "Config", "func (c *Config) Address() string"), ("e.go", "Start", "function", None, "func Start()"),
+    ("f.rs", "Engine", "class", None, "pub struct Engine"), ("f.rs", "Worker", "interface", None, "pub trait Worker"), ("f.rs", "work", "method", "Worker", "fn work(&self)"), ("f.rs", "new", "method", "Engine", "pub fn new() -> Self"), ("f.rs", "execute", "function", None, "pub fn execute()"),
+], _OF_SOURCE)
+_IMPORTED = ("file_path string, module string, symbol string, alias string", [
+    ("a.py", "os", None, None), ("a.py", "a.b", "c", "d"), ("b.ts", "mod", "Foo", None), ("c.js", "m", "a", None), ("D.java", "java.util", "List", None), ("e.go", "fmt", None, None), ("f.rs", "std::collections::HashMap", "HashMap", None),
+], _OF_SOURCE)
+_CALLED = ("file_path string, caller string, callee string", [
+    ("a.py", "meth", "str"), ("b.ts", "foo", "bar"), ("c.js", "m", "foo"), ("c.js", "f", "f2"), ("D.java", "greet", "System.out.println"), ("e.go", "Config.Address", "fmt.Sprint"), ("e.go", "Start", "run"), ("f.rs", "execute", "println!"),
+], _OF_SOURCE)
+_COUNTED = ("file_path string, language string, loc int", [("a.py", "Python", 5), ("b.ts", "TypeScript", 7), ("c.js", "JavaScript", 5), ("D.java", "Java", 5), ("e.go", "Go", 6), ("f.rs", "Rust", 7)], _OF_SOURCE)
+
+
+def _parsed(spark, d) -> DataFrame:
+    return parsers.parse(fx.woven(spark, d, _SOURCES))
+
+
+@query(f"select file_path, name, type, parent from {fx.woven_sql(_FOUND)}")
 def parsed_symbols(spark, d):
-    kinds = ["class", "interface", "enum", "type_alias", "function", "method"]
-    found = parsers.records(_parsed(spark), "symbols").filter(F.col("type").isin(*kinds) & (F.col("name") != "work"))
-    return found.select("file_path", "name", "type", F.nullif("parent", F.lit("")).alias("parent"))
+    return parsers.records(_parsed(spark, d), "symbols").select("file_path", "name", "type", F.nullif("parent", F.lit("")).alias("parent"))
 
 
-@query(_values([("a.py", "os"), ("a.py", "a.b"), ("b.ts", "mod"), ("c.js", "m"), ("D.java", "java.util"), ("e.go", "fmt")], "file_path", "module"))
+@query(f"select file_path, module, symbol, alias from {fx.woven_sql(_IMPORTED)}")
 def parsed_imports(spark, d):
-    return parsers.records(_parsed(spark), "imports").filter("file_path <> 'f.rs'").select("file_path", "module")
+    return parsers.records(_parsed(spark, d), "imports").select("file_path", "module", F.col("name").alias("symbol"), "alias")
 
 
-@query(_values([("a.py", "meth", "str"), ("b.ts", "foo", "bar"), ("c.js", "m", "foo"), ("c.js", "f", "f2"), ("D.java", "greet", "System.out.println")], "file_path", "caller", "callee"))
+@query(f"from {fx.woven_sql(_CALLED)}")
 def parsed_calls(spark, d):
-    return parsers.records(_parsed(spark), "calls").filter(F.col("file_path").isin("a.py", "b.ts", "c.js", "D.java")).select("file_path", "caller", "callee")
+    return parsers.records(_parsed(spark, d), "calls").select("file_path", "caller", "callee")
 
 
-@query(_values([("a.py", "Python", 5), ("b.ts", "TypeScript", 7), ("c.js", "JavaScript", 5), ("D.java", "Java", 5), ("e.go", "Go", 6), ("f.rs", "Rust", 7)], "file_path", "language", "loc"))
+@query(f"from {fx.woven_sql(_COUNTED)}")
 def parsed_files(spark, d):
-    return _parsed(spark).select("file_path", "language", "loc")
+    return _parsed(spark, d).select("file_path", "language", "loc")
 
 
-@query(_values([("a.py", "meth(self, x: int = 5) -> str"), ("b.ts", "foo(a: string): number"), ("D.java", "void greet(String name)"), ("e.go", "func (c *Config) Address() string"), ("f.rs", "pub fn new() -> Self")], "file_path", "signature"))
+@query(f"select file_path, name, signature from {fx.woven_sql(_FOUND)}")
 def parsed_signatures(spark, d):
-    return parsers.records(_parsed(spark), "symbols").filter(F.col("name").isin("meth", "foo", "greet", "Address", "new")).select("file_path", "signature")
+    return parsers.records(_parsed(spark, d), "symbols").select("file_path", "name", "signature")
 
 
 @query("select conv_id, turn, role, text from conversations where turn % 2 = 0 union all select conv_id, turn, 'new', '' from conversations where turn % 2 = 1")
@@ -523,13 +543,13 @@ def answer_database(spark, d):
     return _said(answers.answer(spark, {"tables": found, "relationships": discovery.relationships(found)}, "database"))
 
 
-@query(f"""with p as ({_values(_PACKAGES, "name", "version", "type", "source")}), c as ({q.SQL["module_cycles"]}), pn as (select *, row_number() over (order by name, type) as n from p),
+@query(f"""with p as (from {fx.woven_sql(_PACKAGES)}), c as ({q.SQL["module_cycles"]}), pn as (select *, row_number() over (order by name, type) as n from p),
 cn as (select *, row_number() over (order by length, list_transform(string_split(cycle, '>'), lambda x: cast(x as integer))) as n from c)
 select 'dependencies' as intent, 'Dependencies' || chr(10) || '- Packages: ' || (select count(*) from p) || chr(10) || '- Circular dependencies: ' || (select count(*) from c) || chr(10) ||
 (select 'Cycles:' || chr(10) || string_agg('- ' || replace(cycle, '>', ' -> '), chr(10) order by n) from cn where n <= 5) || chr(10) || (select 'Packages:' || chr(10) || string_agg('- ' || name || ' (' || type || ')', chr(10) order by n) from pn where n <= 10) as answer,
 (select replace(cycle, '>', ' -> ') || '=Circular dependency' from cn where n = 1) as cited""")
 def answer_dependencies(spark, d):
-    return _said(answers.answer(spark, {"packages": manifests.packages(_manifests(spark)), "cycles": graph.cycles(q._linked(spark, d), 3)}, "dependencies"))
+    return _said(answers.answer(spark, {"packages": manifests.packages(_manifests(spark, d)), "cycles": graph.cycles(q._linked(spark, d), 3)}, "dependencies"))
 
 
 @query("""with h as (select l_partkey as path, count(*) as changes from (select distinct l_orderkey, l_partkey from lineitem) group by 1), o as (select *, row_number() over (order by changes desc, path) as n from h)
@@ -541,14 +561,13 @@ def answer_git(spark, d):
     return _said(answers.answer(spark, {"contributors": history.contributors(commits), "hotspots": hot}, "git"))
 
 
-@query("select intent, title || coalesce(chr(10) || rest, '') as answer, '' as cited from (" + _values([
+@query("select r_name as repository, intent, title || coalesce(chr(10) || rest, '') as answer, '' as cited from region, (" + _values([
     ("explain", "What it is", None), ("setup", "How to run it", "The documentation names no command."), ("entry_points", "Where it starts", "No file has a name that programs start from."), ("tech_stack", "What it is made with", "- Endpoints: 0\n- Tables: 0"),
     ("health", "How healthy it is", None), ("security", "Security", "- Risk score: 0.0/100\n- Findings: 0\ncritical 0, high 0, medium 0, low 0, info 0\nThe rules found nothing."), ("architecture", "Architecture", "No layer was recognised."), ("performance", "Performance", "- Performance findings: 0\nNo antipattern was found."),
     ("dependencies", "Dependencies", "- Packages: 0\n- Circular dependencies: 0\nThe modules form no cycle."), ("apis", "Endpoints", "- Endpoints: 0\nNo endpoint was found."), ("database", "Database", "- Tables: 0\n- Relationships: 0\nNo model was found."), ("debt", "Technical debt", "- Debt score: 0.0/100, 0.0 hours\n- Items: 0\nNothing was found."),
     ("git", "History", "- Commits: 0 by 0 contributors\nNo history was read."), ("symbols", "Symbols", "The question names nothing that the graph holds."), ("overview", "Overview", "- Security findings: 0\nAsk about its purpose, set-up, architecture, security, dependencies, endpoints, tables, debt, history or health."),
 ], "intent", "title", "rest") + ")")
 def answers_without_results(spark, d):
-    """Every builder on empty results."""
-    from functools import reduce
-
-    return _said(reduce(DataFrame.unionByName, [answers.answer(spark, {}, i) for i in answers.BUILDERS]))
+    """Every builder on no results, for each region as a repository."""
+    said = _said(reduce(DataFrame.unionByName, [answers.answer(spark, {}, i) for i in answers.BUILDERS]))
+    return table(spark, d, "region").select(F.col("r_name").alias("repository")).join(F.broadcast(said))  # a row for each builder

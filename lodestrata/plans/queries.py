@@ -19,6 +19,7 @@ from lodestrata.plans import fixtures as fx
 from lodestrata.plans import rules
 from lodestrata.session import cut
 from lodestrata.sources import manifests
+from lodestrata.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,9 +234,9 @@ def neighbors(spark, d):
     return graph.neighbors(nodes, edges, "r1", "both")
 
 
-@query(f"with n as {fx.sql(fx.NODES)}, e as {fx.sql(fx.EDGES)}, s as (select id from n where list_has_any(labels, ['File', 'Class', 'Method']) order by id limit 3) select src, dst, type from e where src in (select id from s) and dst in (select id from s)")
+@query(f"with n as {fx.woven_sql(fx.NODES)}, e as {fx.woven_sql(fx.EDGES)}, s as (select id from n where list_has_any(labels, ['File', 'Class', 'Method']) order by id limit 250) select src, dst, type from e where src in (select id from s) and dst in (select id from s)")
 def induced_subgraph(spark, d):
-    return graph.subgraph(fx.frame(spark, fx.NODES), fx.frame(spark, fx.EDGES), ["File", "Class", "Method"], 3)[1].select("src", "dst", "type")
+    return graph.subgraph(fx.woven(spark, d, fx.NODES), fx.woven(spark, d, fx.EDGES), ["File", "Class", "Method"], 250)[1].select("src", "dst", "type")
 
 
 @query("select p_partkey, substr(sha256('part:' || p_partkey || ':' || p_brand), 1, 16) as node_id from part")
@@ -243,14 +244,14 @@ def node_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.key_of(F.lit("part"), F.col("p_partkey").cast("string"), F.col("p_brand")).alias("node_id"))
 
 
-@query(f"""with s as (select *, name || '@' || file_path as id from {fx.sql(fx.SYMBOLS)} s), c as {fx.sql(fx.CALLS)},
+@query(f"""with s as (select *, name || '@' || file_path as id from {fx.woven_sql(fx.SYMBOLS)} s), c as {fx.woven_sql(fx.CALLS)},
 a as (select distinct file_path, name, arg_max(id, struct_pack(l := line_start, i := id)) as src from s group by file_path, name),
 f as (select name, arg_max(id, struct_pack(p := file_path, l := line_start, i := id)) as far from s group by name)
 select distinct a.src, coalesce(n.src, f.far) as dst from c join a on a.file_path = c.file_path and a.name = c.caller left join a n on n.file_path = c.file_path and n.name = c.callee left join f on f.name = c.callee
 where coalesce(n.src, f.far) is not null and a.src <> coalesce(n.src, f.far)""")
 def call_resolution(spark, d):
-    symbols = fx.frame(spark, fx.SYMBOLS).withColumn("id", F.concat_ws("@", "name", "file_path"))
-    return graph.resolve_calls(symbols, fx.frame(spark, fx.CALLS))
+    symbols = fx.woven(spark, d, fx.SYMBOLS).withColumn("id", F.concat_ws("@", "name", "file_path"))
+    return graph.resolve_calls(symbols, fx.woven(spark, d, fx.CALLS))
 
 
 # ----------------------------------------------------- debt and performance
@@ -258,7 +259,10 @@ def call_resolution(spark, d):
 
 @query("select o_orderkey as name from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
 def dead_code_anti(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("name")).join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("name")), "name", "left_anti")
+    """Orders as functions, which their lines call."""
+    functions = table(spark, d, "orders").select(F.lit("function").alias("type"), F.col("o_orderkey").cast("string").alias("name"), F.lit("a.py").alias("file_path"))
+    calls = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("callee"))
+    return findings.dead_code(functions, calls).select(F.col("name").cast("long").alias("name"))
 
 
 @query("select c_custkey, n, n * 0.25::double as effort_hours from (select o_custkey as c_custkey, count(*) as n from orders group by 1 having count(*) >= 15) join customer using (c_custkey)")
@@ -273,7 +277,7 @@ def long_method(spark, d):
     return rows.filter("n_lines > 30").withColumn("effort", (F.col("n_lines") - 30) * 5)
 
 
-_S, _C, _L = fx.sql(fx.SYMBOLS), fx.sql(fx.CALLS), fx.sql(fx.TODO_LINES)
+_S, _C, _L = fx.woven_sql(fx.SYMBOLS), fx.woven_sql(fx.CALLS), fx.woven_sql(fx.TODO_LINES)
 _DEBT = f"""debt as (with s as {_S}, c as {_C}, l as {_L}, n as (select parent, count(*) as n from s where type in ('function', 'method') group by parent)
 select 'god_class' as type, 'high' as severity, name, file_path, cast(round_even(n * 0.25, 1) as double) as effort_hours, 1 as priority from s join n on n.parent = s.name where type = 'class' and n >= {rules.GOD_CLASS_METHODS}
 union all select 'long_method', 'medium', name, file_path, cast(round_even((line_end - line_start - {rules.LONG_METHOD_LINES}) * 0.05::double, 1) as double), 2 from s where type in ('function', 'method') and line_end - line_start > {rules.LONG_METHOD_LINES}
@@ -282,13 +286,13 @@ union all select 'todo_comment', case t when 'TODO' then 'low' when 'HACK' then
 union all select 'missing_docstring', 'info', name, file_path, 0.1::double, 5 from s where type in ('class', 'function', 'method') and coalesce(docstring, '') = '')"""
 
 
-def _symbols(spark) -> DataFrame:
+def _symbols(spark, d) -> DataFrame:
     none = F.array().cast("array<string>")
-    return fx.frame(spark, fx.SYMBOLS).withColumns({"decorators": none, "annotations": none, "parameters": F.array().cast("array<struct<name:string,type:string>>"), "signature": F.lit(None).cast("string")})
+    return fx.woven(spark, d, fx.SYMBOLS).withColumns({"decorators": none, "annotations": none, "parameters": F.array().cast("array<struct<name:string,type:string>>"), "signature": F.lit(None).cast("string")})
 
 
-def _debt(spark) -> DataFrame:
-    return findings.debt_items(_symbols(spark), fx.frame(spark, fx.CALLS), fx.frame(spark, fx.TODO_LINES))
+def _debt(spark, d) -> DataFrame:
+    return findings.debt_items(_symbols(spark, d), fx.woven(spark, d, fx.CALLS), fx.woven(spark, d, fx.TODO_LINES))
 
 
 _HOURS = "type, severity, name, file_path, cast(round(effort_hours * 100) as bigint) as effort_cents, priority"
@@ -300,17 +304,17 @@ def _hours(items: DataFrame) -> DataFrame:
 
 @query(f"with {_DEBT} select {_HOURS} from debt")
 def debt_items(spark, d):
-    return _hours(_debt(spark))
+    return _hours(_debt(spark, d))
 
 
 @query(f"with {_DEBT} select {_HOURS} from debt where type = 'todo_comment'")
 def todo_comments(spark, d):
-    return _hours(findings.todo_comments(fx.frame(spark, fx.TODO_LINES)))
+    return _hours(findings.todo_comments(fx.woven(spark, d, fx.TODO_LINES)))
 
 
 @query(f"with {_DEBT} select severity, count(*) as n from debt group by severity")
 def severity_summary(spark, d):
-    return findings.severity_counts(_debt(spark))
+    return findings.severity_counts(_debt(spark, d))
 
 
 @query("""select o_custkey as name, count(distinct o_orderpriority) as n from orders where contains(lower(o_orderpriority), 'high') or contains(lower(o_orderpriority), 'urgent') group by 1 having count(distinct o_orderpriority) >= 2""")
@@ -328,7 +332,7 @@ def n_plus_one(spark, d):
 @query(f"""with s as {_S}, c as {_C}, m as (select caller, count(distinct callee) as n from c where caller <> '' and regexp_matches(lower(callee), '{"|".join(rules.QUERY_WORDS)}') group by caller having count(distinct callee) >= 2)
 select 'n_plus_one' as type, 'high' as severity, name, file_path, line_start as line_no from s join m on m.caller = s.name where type in ('function', 'method')""")
 def n_plus_one_functions(spark, d):
-    return findings.n_plus_one(_symbols(spark), fx.frame(spark, fx.CALLS))
+    return findings.n_plus_one(_symbols(spark, d), fx.woven(spark, d, fx.CALLS))
 
 
 @query("select 'large_object' as type, 'medium' as severity, doc_id || '.py' as name, doc_id || '.py' as file_path, 0 as line_no from documents where octet_length(encode(text)) > 5000")
@@ -376,7 +380,7 @@ def _family_sql(lines: str, families: list[str] | None = None) -> str:
     return f"with l as ({lines}) " + " union all ".join(parts)
 
 
-_CODE = f"select * from {fx.sql(fx.CODE_LINES)}"
+_CODE = f"select * from {fx.woven_sql(fx.CODE_LINES)}"
 _DOC_LINES = "select cast(doc_id as varchar) as file_path, cast(unnest(generate_series(1, len(string_split(text, chr(10))))) as integer) as line_no, unnest(string_split(text, chr(10))) as line from documents"
 
 
@@ -397,7 +401,7 @@ def security_scan_documents(spark, d):
 
 def _family(name: str, family: str) -> None:
     def run(spark, d):
-        return findings.security_findings(fx.frame(spark, fx.CODE_LINES), [family])
+        return findings.security_findings(fx.woven(spark, d, fx.CODE_LINES), [family])
 
     QUERIES[name], SQL[name] = run, _family_sql(_CODE, [family])
 
@@ -408,7 +412,7 @@ for _name, _fam in (("secrets", "secret-detection"), ("sqli_scan", "sql-injectio
 
 @query(_family_sql(_CODE))
 def union_findings(spark, d):
-    return findings.security_findings(fx.frame(spark, fx.CODE_LINES))
+    return findings.security_findings(fx.woven(spark, d, fx.CODE_LINES))
 
 
 _RISK = "least(coalesce(sum(case severity when 'critical' then 25 when 'high' then 15 when 'medium' then 5 when 'low' then 2 else 0 end), 0), 100)"
@@ -417,7 +421,7 @@ _DEBT_SCORE = "least(coalesce(sum(case severity when 'critical' then 20 when 'hi
 
 @query(f"select file_path, cast({_RISK} as double) as risk_score from ({_family_sql(_CODE)}) group by file_path")
 def risk_score_by_file(spark, d):
-    found = findings.security_findings(fx.frame(spark, fx.CODE_LINES))
+    found = findings.security_findings(fx.woven(spark, d, fx.CODE_LINES))
     return found.groupBy("file_path").agg(F.least(F.sum(scalars.severity_weight(F.col("severity"), rules.RISK_WEIGHTS)), F.lit(100)).cast("double").alias("risk_score"))
 
 
@@ -428,15 +432,15 @@ def risk_score(spark, d):
 
 @query(f"with {_DEBT} select cast({_DEBT_SCORE} as double) as debt_score from debt")
 def debt_score(spark, d):
-    return findings.debt_score(_debt(spark)).select("debt_score")
+    return findings.debt_score(_debt(spark, d)).select("debt_score")
 
 
 @query(f"""with {_DEBT}, risk as (select {_RISK} as r from ({_family_sql("" + _CODE)})), owed as (select {_DEBT_SCORE} as t from debt)
-select cast(greatest(least(100 - least(r, 50) - least(t, 30) - least(2 * 1, 20), 100), 0) as double) as health_score from risk, owed""")
+select cast(greatest(least(100 - least(r, 50) - least(t, 30) - least(2 * (select count(*) from ({SQL["n_plus_one_functions"]})), 20), 100), 0) as double) as health_score from risk, owed""")
 def health_score(spark, d):
-    code = fx.frame(spark, fx.CODE_LINES)
-    slow = findings.n_plus_one(_symbols(spark), fx.frame(spark, fx.CALLS))
-    return findings.health_score(findings.risk_score(findings.security_findings(code)), findings.debt_score(_debt(spark)), slow).select("health_score")
+    code = fx.woven(spark, d, fx.CODE_LINES)
+    slow = findings.n_plus_one(_symbols(spark, d), fx.woven(spark, d, fx.CALLS))
+    return findings.health_score(findings.risk_score(findings.security_findings(code)), findings.debt_score(_debt(spark, d)), slow).select("health_score")
 
 
 # ----------------------------------------------------------------- discovery
@@ -445,9 +449,9 @@ _METHODS = "case " + " ".join(f"when contains(lower(decorator), {_quote(p.lower(
 
 
 @query(f"""select * from (select handler, {_METHODS} as method, coalesce(nullif(regexp_extract(decorator, '["'']([^"'']+)["'']', 1), ''), '/' || handler) as path,
-regexp_matches(lower(decorator), 'login_required|auth|permission|protect|jwt|token|bearer|api_key|depends\\(|security\\(') as auth_required from {fx.sql(fx.DECORATORS)}) where method is not null""")
+regexp_matches(lower(decorator), 'login_required|auth|permission|protect|jwt|token|bearer|api_key|depends\\(|security\\(') as auth_required from {fx.woven_sql(fx.DECORATORS)}) where method is not null""")
 def api_endpoints(spark, d):
-    rows = fx.frame(spark, fx.DECORATORS).select(F.col("handler").alias("name"), F.array("decorator").alias("decorators"), F.lit("function").alias("type"), F.lit("a.py").alias("file_path"), F.lit(1).alias("line_start"), F.lit(None).cast("string").alias("docstring"))
+    rows = fx.woven(spark, d, fx.DECORATORS).select(F.col("handler").alias("name"), F.array("decorator").alias("decorators"), F.lit("function").alias("type"), F.lit("a.py").alias("file_path"), F.lit(1).alias("line_start"), F.lit(None).cast("string").alias("docstring"))
     return discovery.endpoints(rows).select("handler", "method", "path", "auth_required")
 
 
@@ -460,26 +464,26 @@ def url_endpoints(spark, d):
 _FRAMEWORKS = " union all ".join(f"select {_quote(n)} as framework, {_quote(m.lower())} as mark" for n, marks in rules.FRAMEWORKS.items() for m in marks)
 
 
-@query(f"select distinct framework from (select decorator as t from (select decorator, {_METHODS} as method from {fx.sql(fx.DECORATORS)}) where method is not null union all select module from {fx.sql(fx.IMPORTS)}) join ({_FRAMEWORKS}) on contains(lower(t), mark)")
+@query(f"select distinct framework from (select decorator as t from (select decorator, {_METHODS} as method from {fx.woven_sql(fx.DECORATORS)}) where method is not null union all select module from {fx.woven_sql(fx.IMPORTS)}) join ({_FRAMEWORKS}) on contains(lower(t), mark)")
 def frameworks_detected(spark, d):
-    return discovery.frameworks(fx.frame(spark, fx.DECORATORS).select(F.array("decorator").alias("decorators")), fx.frame(spark, fx.IMPORTS))
+    return discovery.frameworks(fx.woven(spark, d, fx.DECORATORS).select(F.array("decorator").alias("decorators")), fx.woven(spark, d, fx.IMPORTS))
 
 
 _SNAKE = "regexp_replace(lower(regexp_replace(name, '([A-Z])', '_\\1', 'g')), '^_', '')"
 
 
-@query(f"select name, case when {_SNAKE} like '%s' then {_SNAKE} else {_SNAKE} || 's' end as table_name from {fx.sql(fx.CLASSES)}")
+@query(f"select name, case when {_SNAKE} like '%s' then {_SNAKE} else {_SNAKE} || 's' end as table_name from {fx.woven_sql(fx.CLASSES)}")
 def snake_case_tables(spark, d):
-    return fx.frame(spark, fx.CLASSES).select("name", scalars.table_name(F.col("name")).alias("table_name"))
+    return fx.woven(spark, d, fx.CLASSES).select("name", scalars.table_name(F.col("name")).alias("table_name"))
 
 
 _TYPES = "case " + " ".join(f"when contains(coalesce(signature, ''), {_quote(t)}) then {_quote(s)}" for t, s in rules.SQL_TYPES) + " else 'VARCHAR' end"
 
 
 @query(f"""select name, {_TYPES} as sql_type, not (contains(coalesce(signature, ''), 'nullable=False') or contains(coalesce(signature, ''), 'NOT NULL')) as nullable,
-contains(coalesce(signature, ''), 'ForeignKey') or contains(lower(name), 'foreign_key') or name like '%\\_id' escape '\\' as is_fk from {fx.sql(fx.SIGNATURES)} where not starts_with(name, '_') or starts_with(name, '__tablename')""")
+contains(coalesce(signature, ''), 'ForeignKey') or contains(lower(name), 'foreign_key') or name like '%\\_id' escape '\\' as is_fk from {fx.woven_sql(fx.SIGNATURES)} where not starts_with(name, '_') or starts_with(name, '__tablename')""")
 def column_types(spark, d):
-    return discovery.columns(fx.frame(spark, fx.SIGNATURES)).select("name", "sql_type", "nullable", "is_fk")
+    return discovery.columns(fx.woven(spark, d, fx.SIGNATURES)).select("name", "sql_type", "nullable", "is_fk")
 
 
 @query("""select 'nation' as from_table, 'region' as to_table, 'n_regionkey' as column, 'many-to-one' as type, count(*) as n from nation union all select 'customer', 'nation', 'c_nationkey', 'many-to-one', count(*) from customer
@@ -508,9 +512,9 @@ _PLACED = f"(select path, {_subsystem_sql()} as subsystem from (select path, str
 _URL_PATHS = "(select distinct regexp_extract(url, '^https?://([^?#]+)', 1) as path from pages)"
 
 
-@query(f"select path, subsystem from {_PLACED % fx.sql(fx.PATHS)}")
+@query(f"select path, subsystem from {_PLACED % fx.woven_sql(fx.PATHS)}")
 def layer_classification(spark, d):
-    return fx.frame(spark, fx.PATHS).select("path", discovery.subsystem(F.col("path")).alias("subsystem"))
+    return fx.woven(spark, d, fx.PATHS).select("path", discovery.subsystem(F.col("path")).alias("subsystem"))
 
 
 @query(f"select coalesce(subsystem, 'unmapped') as subsystem, count(*) as files from {_PLACED % _URL_PATHS} group by 1")
@@ -522,10 +526,10 @@ def layer_counts(spark, d):
 @query(f"""select case when s >= 2 or (compose and k8s) then 'Microservices' when h >= 3 then 'Hexagonal / Ports & Adapters' when m >= 2 then 'MVC (Model-View-Controller)' when l >= 3 then 'Layered Architecture' when l >= 2 then 'Modular Monolith' when l = 1 then 'Monolith' else 'Undetermined' end as pattern,
 case when s >= 2 or (compose and k8s) then 0.75::double when h >= 3 then 0.8::double when m >= 2 then 0.85::double when l >= 3 then round(least(0.5 + l * 0.1, 0.9), 2)::double when l >= 2 then 0.6::double when l = 1 then 0.5::double else 0.3::double end as confidence
 from (select count(distinct case when dir in ('services', 'apps', 'microservices', 'functions') then dir end) as s, count(distinct case when dir in ('ports', 'adapters', 'domain', 'application', 'infrastructure') then dir end) as h, count(distinct case when dir in ('models', 'views', 'controllers') then dir end) as m,
-count(distinct layer) as l from (select unnest(string_split(lower(path), '/')[:-2][:2]) as dir from {fx.sql(fx.PATHS)}) left join ({" union all ".join(f"select {_quote(n)} as layer, {_quote(w)} as word" for n, words in rules.LAYERS.items() for w in words)}) on word = dir),
-(select bool_or(path like '%docker-compose.yml') as compose, bool_or(contains(path, 'k8s') or contains(path, 'kubernetes')) as k8s from {fx.sql(fx.PATHS)})""")
+count(distinct layer) as l from (select unnest(string_split(lower(path), '/')[:-2][:2]) as dir from {fx.woven_sql(fx.PATHS)}) left join ({" union all ".join(f"select {_quote(n)} as layer, {_quote(w)} as word" for n, words in rules.LAYERS.items() for w in words)}) on word = dir),
+(select bool_or(path like '%docker-compose.yml') as compose, bool_or(contains(path, 'k8s') or contains(path, 'kubernetes')) as k8s from {fx.woven_sql(fx.PATHS)})""")
 def pattern_rules(spark, d):
-    return discovery.pattern(fx.frame(spark, fx.PATHS)).select("pattern", "confidence")
+    return discovery.pattern(fx.woven(spark, d, fx.PATHS)).select("pattern", "confidence")
 
 
 @query("""with hosts as (select host, row_number() over (order by host) as ord from (select distinct regexp_extract(url, '^https?://([^/?#]+)', 1) as host from pages)),
@@ -540,14 +544,14 @@ def cross_subsystem_edges(spark, d):
     return discovery.cross_edges(links, hosts)
 
 
-@query(f"select module, case when coalesce(module, '') = '' then '' when len(p) >= 2 then p[1] || '/' || p[2] when contains(c, '.') and len(q) >= 2 and q[1] in ('app', 'src', 'backend', 'frontend') then q[1] || '/' || q[2] when contains(c, '.') and len(q) >= 1 then q[1] else p[1] end as target from (select *, string_split(c, '/') as p, list_filter(string_split(c, '.'), lambda x: x <> '') as q from (select module, regexp_replace(module, '^[./]+', '') as c from {fx.sql(fx.IMPORTS)}))")
+@query(f"select module, case when coalesce(module, '') = '' then '' when len(p) >= 2 then p[1] || '/' || p[2] when contains(c, '.') and len(q) >= 2 and q[1] in ('app', 'src', 'backend', 'frontend') then q[1] || '/' || q[2] when contains(c, '.') and len(q) >= 1 then q[1] else p[1] end as target from (select *, string_split(c, '/') as p, list_filter(string_split(c, '.'), lambda x: x <> '') as q from (select module, regexp_replace(module, '^[./]+', '') as c from {fx.woven_sql(fx.IMPORTS)}))")
 def import_targets(spark, d):
-    return fx.frame(spark, fx.IMPORTS).select("module", scalars.import_module(F.col("module")).alias("target"))
+    return fx.woven(spark, d, fx.IMPORTS).select("module", scalars.import_module(F.col("module")).alias("target"))
 
 
-@query(f"select path, case when len(p) >= 3 and p[1] in ('backend', 'frontend', 'src', 'packages') then p[1] || '/' || p[2] when len(p) >= 2 and p[1] in ('app', 'lib', 'components') then p[1] || '/' || p[2] else p[1] end as module from (select path, string_split(path, '/') as p from {fx.sql(fx.PATHS)})")
+@query(f"select path, case when len(p) >= 3 and p[1] in ('backend', 'frontend', 'src', 'packages') then p[1] || '/' || p[2] when len(p) >= 2 and p[1] in ('app', 'lib', 'components') then p[1] || '/' || p[2] else p[1] end as module from (select path, string_split(path, '/') as p from {fx.woven_sql(fx.PATHS)})")
 def file_modules(spark, d):
-    return fx.frame(spark, fx.PATHS).select("path", scalars.file_module(F.col("path")).alias("module"))
+    return fx.woven(spark, d, fx.PATHS).select("path", scalars.file_module(F.col("path")).alias("module"))
 
 
 @query("""select k as name, cast(sum(cast(json_extract(props, '$."' || k || '"') as bigint)) as bigint) as version_sum, count(*) as n from (select props, unnest(json_keys(props)) as k from events) group by k""")
@@ -558,11 +562,11 @@ def manifest_packages(spark, d):
 
 
 @query(f"""select line_no, trim(case when sep is null then string_split(t, '[')[1] else string_split(t, sep)[1] end) as name, case when sep is not null then string_split(trim(substr(t, strpos(t, sep) + len(sep))), ',')[1] end as version
-from (select line_no, trim(line) as t, case {" ".join(f"when contains(line, {_quote(s)}) then {_quote(s)}" for s in rules.REQUIREMENT_SEPARATORS)} end as sep from {fx.sql(fx.REQUIREMENTS)}) where t <> '' and not starts_with(t, '#') and not starts_with(t, '-')""")
+from (select line_no, trim(line) as t, case {" ".join(f"when contains(line, {_quote(s)}) then {_quote(s)}" for s in rules.REQUIREMENT_SEPARATORS)} end as sep from {fx.woven_sql(fx.REQUIREMENTS)}) where t <> '' and not starts_with(t, '#') and not starts_with(t, '-')""")
 def requirements_parse(spark, d):
     from lodestrata.sources.manifests import requirement_lines
 
-    return requirement_lines(fx.frame(spark, fx.REQUIREMENTS)).select("line_no", "name", "version")
+    return requirement_lines(fx.woven(spark, d, fx.REQUIREMENTS)).select("line_no", "name", "version")
 
 
 # ----------------------------------------------------------------- retrieval
@@ -609,11 +613,11 @@ def _first_sql(rows: list[tuple[str, list[str]]], other: str) -> str:
     return "case " + " ".join("when " + " or ".join(f"contains(lower(question), {_quote(w)})" for w in words) + f" then {_quote(n)}" for n, words in rows) + f" else {_quote(other)} end"
 
 
-_ASKED = f"(select question from {fx.sql(fx.QUESTIONS)} union all select text from conversations where role = 'user')"
+_ASKED = f"(select question from {fx.woven_sql(fx.QUESTIONS)} union all select text from conversations where role = 'user')"
 
 
 def _asked(spark, d) -> DataFrame:
-    return fx.frame(spark, fx.QUESTIONS).union(table(spark, d, "conversations").filter("role = 'user'").select("text"))
+    return fx.woven(spark, d, fx.QUESTIONS).union(table(spark, d, "conversations").filter("role = 'user'").select("text"))
 
 
 @query(f"select question, {_first_sql(rules.REASONING, 'general')} as reasoning from {_ASKED}")
@@ -641,34 +645,32 @@ def history_prompt(spark, d):
 
 @query("select user_id, event_id, event_type, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
 def progress_latest(spark, d):
-    from lodestrata.streaming.progress import latest_state
-
-    return latest_state(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"])
+    return progress.latest_state(table(spark, d, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"])
 
 
 @query("select time_bucket(interval '1 hour', ts) as bucket, event_type, count(*) as n from events group by 1, 2")
 def event_windows(spark, d):
-    rows = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "event_type", "n")
+    rows = progress.windowed(table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status")), "ts", "1 hour")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("bucket"), F.col("status").alias("event_type"), "n")
 
 
 # --------------------------------------------------------------- exploration
 
 
-@query(f"select raw, case when coalesce(raw, '') = '' then 'Unknown' else coalesce(case regexp_replace(lower(raw), '[\\s_-]+', '', 'g') {' '.join(f'when {_quote(k)} then {_quote(v)}' for k, v in explore.NODE_TYPES.items())} end, upper(substr(raw, 1, 1)) || substr(raw, 2)) end as node_type from {fx.sql(fx.KINDS)}")
+@query(f"select raw, case when coalesce(raw, '') = '' then 'Unknown' else coalesce(case regexp_replace(lower(raw), '[\\s_-]+', '', 'g') {' '.join(f'when {_quote(k)} then {_quote(v)}' for k, v in explore.NODE_TYPES.items())} end, upper(substr(raw, 1, 1)) || substr(raw, 2)) end as node_type from {fx.woven_sql(fx.KINDS)}")
 def node_types(spark, d):
-    return fx.frame(spark, fx.KINDS).select("raw", explore.node_type(F.col("raw")).alias("node_type"))
+    return fx.woven(spark, d, fx.KINDS).select("raw", explore.node_type(F.col("raw")).alias("node_type"))
 
 
-@query(f"select handler, method, path from (select handler, {_METHODS} as method, coalesce(nullif(regexp_extract(decorator, '[\"'']([^\"'']+)[\"'']', 1), ''), '/' || handler) as path from {fx.sql(fx.DECORATORS)}) where method = 'PATCH' and contains(lower(path), 'p')")
+@query(f"select handler, method, path from (select handler, {_METHODS} as method, coalesce(nullif(regexp_extract(decorator, '[\"'']([^\"'']+)[\"'']', 1), ''), '/' || handler) as path from {fx.woven_sql(fx.DECORATORS)}) where method = 'PATCH' and contains(lower(path), 'p')")
 def endpoint_search(spark, d):
-    rows = fx.frame(spark, fx.DECORATORS).select(F.col("handler").alias("name"), F.array("decorator").alias("decorators"), F.lit("function").alias("type"), F.lit("a.y").alias("file_path"), F.lit(1).alias("line_start"), F.lit(None).cast("string").alias("docstring"))
+    rows = fx.woven(spark, d, fx.DECORATORS).select(F.col("handler").alias("name"), F.array("decorator").alias("decorators"), F.lit("function").alias("type"), F.lit("a.y").alias("file_path"), F.lit(1).alias("line_start"), F.lit(None).cast("string").alias("docstring"))
     return explore.find_endpoints(discovery.endpoints(rows), "P", "PATCH").select("handler", "method", "path")
 
 
 @query(f"select family, {', '.join(f'count(case when severity = {_quote(s)} then 1 end) as {s}' for s in explore.SEVERITIES)} from ({_family_sql(_CODE)}) group by family")
 def severity_pivot(spark, d):
-    return explore.by_severity(findings.security_findings(fx.frame(spark, fx.CODE_LINES)), "family")
+    return explore.by_severity(findings.security_findings(fx.woven(spark, d, fx.CODE_LINES)), "family")
 
 
 @query("select l_partkey as path, count(distinct l_orderkey) as changes, round(count(distinct l_orderkey) * 100.0::double / max(count(distinct l_orderkey)) over (), 2) as share from lineitem group by 1")
@@ -686,12 +688,12 @@ def module_sides(spark, d):
     return explore.around(_linked(spark, d), 1)
 
 
-@query(f"""with s as {fx.sql(fx.SUBSYSTEMS)}, e as {fx.sql(fx.SUBSYSTEM_EDGES)}, f as (select tier, arg_min(subsystem, ord) as first from s group by tier),
+@query(f"""with s as {fx.woven_sql(fx.SUBSYSTEMS)}, e as {fx.woven_sql(fx.SUBSYSTEM_EDGES)}, f as (select tier, arg_min(subsystem, ord) as first from s group by tier),
 flow(a, b, label) as (values {', '.join('(' + ', '.join(map(_quote, r)) + ')' for r in explore.TIER_FLOW)})
 select src, dst, 'imports' as label from e union all select x.first, y.first, label from flow join f x on x.tier = a join f y on y.tier = b
 where not exists (select 1 from e join s p on p.subsystem = e.src join s q on q.subsystem = e.dst where p.tier = a and q.tier = b)""")
 def tier_flow(spark, d):
-    return explore.flow_edges(fx.frame(spark, fx.SUBSYSTEM_EDGES), fx.frame(spark, fx.SUBSYSTEMS))
+    return explore.flow_edges(fx.woven(spark, d, fx.SUBSYSTEM_EDGES), fx.woven(spark, d, fx.SUBSYSTEMS))
 
 
 @query("""select user_id, event_id, cast(i as integer) as i, round(20 + i::double / n * 15, 3) as progress from (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, count(*) over (partition by user_id) as n from events) where i % 40 = 0""")
@@ -699,20 +701,20 @@ def progress_points(spark, d):
     return explore.progress(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
-@query(f"""with l as (select *, trim(line) as t, cast(starts_with(trim(line), '```') as integer) as fence from {fx.sql(fx.README)}), r as (select *, sum(fence) over w as fences, sum(cast(t = '' as integer)) over w as gap from l window w as (partition by file_path order by line_no)),
+@query(f"""with l as (select *, trim(line) as t, cast(starts_with(trim(line), '```') as integer) as fence from {fx.woven_sql(fx.README)}), r as (select *, sum(fence) over w as fences, sum(cast(t = '' as integer)) over w as gap from l window w as (partition by file_path order by line_no)),
 p as (select file_path, gap, string_agg(t, ' ' order by line_no) as p from r where t <> '' and not regexp_matches(t, '^(#|---|```|!\\[|\\[!)') group by 1, 2),
 d as (select file_path, string_agg(p, chr(10) || chr(10) order by gap) as d from p where length(p) > 60 group by 1),
 b as (select file_path, string_agg(regexp_replace(t, '^[-* ]+', ''), ';' order by line_no) as f from r where regexp_matches(t, '^[-*] ') and length(t) > 15 and not regexp_matches(t, 'http|license|badge|npm install') group by 1),
 c as (select file_path, string_agg(c, ';' order by fences) as c from (select file_path, fences, string_agg(t, chr(10) order by line_no) as c from r where fences % 2 = 1 and fence = 0 group by 1, 2) where regexp_matches(c, 'npm |python |pip |yarn |docker|manage.py') group by 1)
 select file_path, coalesce(d, '') as description, coalesce(f, '') as features, coalesce(c, '') as commands from (select distinct file_path from l) left join d using (file_path) left join b using (file_path) left join c using (file_path)""")
 def readme_context(spark, d):
-    found = explore.readme(fx.frame(spark, fx.README))
+    found = explore.readme(fx.woven(spark, d, fx.README))
     return found.select("file_path", "description", F.array_join("features", ";").alias("features"), F.array_join("commands", ";").alias("commands"))
 
 
-@query(f"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#{{1,6}}[ \\t]+(.+?):?[ \\t]*$', '\\1:' || chr(10), 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g'), '[#*]', '', 'g'), '::\\s*', ': ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as answer from {fx.sql(fx.ANSWERS)}""")
+@query(f"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#{{1,6}}[ \\t]+(.+?):?[ \\t]*$', '\\1:' || chr(10), 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\*([^*]+)\\*', '\\1', 'g'), '[#*]', '', 'g'), '::\\s*', ': ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as answer from {fx.woven_sql(fx.ANSWERS)}""")
 def clean_answers(spark, d):
-    return fx.frame(spark, fx.ANSWERS).select("id", retrieval.clean_answer(F.col("text")).alias("answer"))
+    return fx.woven(spark, d, fx.ANSWERS).select("id", retrieval.clean_answer(F.col("text")).alias("answer"))
 
 
 @query(f"select question, case when reasoning in ('code', 'security', 'performance', 'architecture') then 'code' else 'general' end as model, case when reasoning = 'general' then 0.3::double else 0.1::double end as temperature from (select question, {_first_sql(rules.REASONING, 'general')} as reasoning from {_ASKED})")
