@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators import graph, substrings, textindex, vectorindex
+from lodestrata.operators import graph, motifs, substrings, textindex, vectorindex
 from lodestrata.plans import more_queries as m
 from lodestrata.plans import store
 from lodestrata.plans.queries import query, table
@@ -246,3 +248,41 @@ def paths_purchases(spark, d):
     edges = _purchases_and_returns(spark, d)
     target = m._purchases(spark, d)[1].filter("src = 'c1'").agg(F.min("dst")).first()[0]
     return graph.paths(edges, "c2", target, 4).select(F.array_join("path", ">").alias("path"), F.col("depth").cast("long").alias("depth"))
+
+
+# -------------------------------------------------------------------- motifs
+
+_MARKET = """market as (select 'c' || o_custkey as src, 'o' || o_orderkey as dst, 'PLACED' as type from orders union select 'o' || l_orderkey, 's' || l_suppkey, 'FROM' from lineitem
+union select 'c' || c_custkey, 'n' || c_nationkey, 'LIVES' from customer union select 's' || s_suppkey, 'n' || s_nationkey, 'LIVES' from supplier)"""
+
+
+def _market(spark, d) -> DataFrame:
+    """Who placed which orders, which suppliers they came from, and where all live."""
+
+    def edge(name: str, a: str, src: str, b: str, dst: str, kind: str) -> DataFrame:
+        return table(spark, d, name).select(F.concat(F.lit(a), src).alias("src"), F.concat(F.lit(b), dst).alias("dst"), F.lit(kind).alias("type"))
+
+    parts = [edge("orders", "c", "o_custkey", "o", "o_orderkey", "PLACED"), edge("lineitem", "o", "l_orderkey", "s", "l_suppkey", "FROM"), edge("customer", "c", "c_custkey", "n", "c_nationkey", "LIVES"), edge("supplier", "s", "s_suppkey", "n", "s_nationkey", "LIVES")]
+    return reduce(DataFrame.union, parts).distinct()
+
+
+@query(f"with {_MARKET} select a.src as c, a.dst as o, b.dst as s, h.dst as n from market a join market b on b.src = a.dst join market h on h.src = a.src join market g on g.src = b.dst and g.dst = h.dst where a.type = 'PLACED' and b.type = 'FROM' and h.type = 'LIVES' and g.type = 'LIVES'")
+def motif_home_orders(spark, d):
+    """Orders from a supplier in the customer's own nation: a cycle of four hops."""
+    return motifs.match(_market(spark, d), [motifs.Hop("c", "PLACED", "o"), motifs.Hop("o", "FROM", "s"), motifs.Hop("c", "LIVES", "n"), motifs.Hop("s", "LIVES", "n")])
+
+
+@query(f"""with {_MARKET} select o, x, y, n from (select a.src as o, a.dst as x, b.dst as y, h.dst as n from market a join market b on b.src = a.src and b.dst <> a.dst join market h on h.src = a.dst join market g on g.src = b.dst and g.dst = h.dst
+where a.type = 'FROM' and b.type = 'FROM' and h.type = 'LIVES' and g.type = 'LIVES') where n in ('n3', 'n4')""")
+def motif_two_suppliers(spark, d):
+    """Two suppliers of one order in one of two nations; an edge doesn't serve twice."""
+    some = table(spark, d, "nation").filter("n_nationkey in (3, 4)").select(F.concat(F.lit("n"), "n_nationkey").alias("id"))
+    return motifs.match(_market(spark, d), [motifs.Hop("o", "FROM", "x"), motifs.Hop("o", "FROM", "y"), motifs.Hop("x", "LIVES", "n"), motifs.Hop("y", "LIVES", "n")], {"n": some})
+
+
+@query(f"""with {_MARKET}, one as (select src, dst from market), two as (select distinct a.src, b.dst from one a join one b on b.src = a.dst), far as (select * from one union select * from two union select distinct a.src, b.dst from two a join one b on b.src = a.dst)
+select f.src as c, f.dst as n from far f join market h on h.src = f.src and h.dst = f.dst and h.type = 'LIVES' join two t on t.src = f.src and t.dst like 's%' group by f.src, f.dst""")
+def motif_bounded_hops(spark, d):
+    """Customers and the nation that they live in and reach over one to three edges of any kind."""
+    found = motifs.match(_market(spark, d), [motifs.Hop("c", None, "n", 1, 3), motifs.Hop("c", "LIVES", "n"), motifs.Hop("c", None, "s", 2, 2)], {"s": table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))})
+    return found.select("c", "n").distinct()
