@@ -44,7 +44,7 @@ def line_count(text: Column) -> Column:
 
 def lines_of_code(text: Column) -> Column:
     """Lines that aren't blank."""
-    return F.size(F.filter(lines_of(text), lambda x: x.rlike(r"\S")))
+    return F.size(F.filter(lines_of(text), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != ""))
 
 
 def table_name(class_name: Column) -> Column:

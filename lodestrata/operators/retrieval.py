@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,15 +44,19 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
 
 
-def _is(word: str):
-    return lambda text: text == word
+def occurrences(text: Column, word: str) -> Column:
+    """How many of a text's ``tokens`` are the word; only texts that hold it are searched."""
+    if not re.fullmatch("[a-z0-9]+", word):
+        return F.lit(0)
+    low = F.lower(text)
+    return F.when(low.contains(word), F.regexp_count(low, F.lit(f"(?<![a-z0-9]){word}(?![a-z0-9])"))).otherwise(0)
 
 
 def search(docs: DataFrame, key: str, text: str, words: list[str], k: int = 10) -> DataFrame:
     """The k best documents for some words by TF-IDF.  Only the words asked for leave the
     scan, counted in the row, so what is shuffled doesn't depend on the texts' length."""
     asked = sorted({w.lower() for w in words})
-    counted = docs.select(F.col(key), tokens(F.col(text)).alias("__t")).select(key, *[F.size(F.filter("__t", _is(w))).alias(f"__{i}") for i, w in enumerate(asked)])
+    counted = docs.select(F.col(key), *[occurrences(F.col(text), w).alias(f"__{i}") for i, w in enumerate(asked)])
     rows = counted.select(key, F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"__{i}").alias("tf")) for i, w in enumerate(asked)])).alias("h"))
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     hits = rows.filter("h.tf > 0").select(key, "h.word", "h.tf")

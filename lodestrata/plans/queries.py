@@ -17,7 +17,7 @@ from lodestrata.functions import scalars
 from lodestrata.operators import discovery, explore, findings, graph, history, retrieval
 from lodestrata.plans import fixtures as fx
 from lodestrata.plans import rules
-from lodestrata.session import cut
+from lodestrata.session import cut, spread
 from lodestrata.sources import manifests
 from lodestrata.streaming import progress
 
@@ -40,6 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of the documents, on all cores however few files they are in."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 # ---------------------------------------------------------- counts and lines
 
 
@@ -56,7 +61,7 @@ def totals(spark, d):
 @query("""select doc_id, cast(len(string_split(text, chr(10))) - case when text = '' or right(text, 1) = chr(10) then 1 else 0 end as integer) as n_lines,
 cast(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) as integer) as loc from documents""")
 def line_counts_loc(spark, d):
-    return table(spark, d, "documents").select("doc_id", scalars.line_count(F.col("text")).alias("n_lines"), scalars.lines_of_code(F.col("text")).alias("loc"))
+    return texts(spark, d, "doc_id", "text").select("doc_id", scalars.line_count(F.col("text")).alias("n_lines"), scalars.lines_of_code(F.col("text")).alias("loc"))
 
 
 # ------------------------------------------------------------------- history
@@ -386,7 +391,7 @@ _DOC_LINES = "select cast(doc_id as varchar) as file_path, cast(unnest(generate_
 
 def _doc_lines(spark, d) -> DataFrame:
     lines = F.posexplode(scalars.lines_of(F.col("text"))).alias("at", "line")
-    return table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), lines).select("file_path", (F.col("at") + 1).alias("line_no"), "line")
+    return texts(spark, d, "doc_id", "text").select(F.col("doc_id").cast("string").alias("file_path"), lines).select("file_path", (F.col("at") + 1).alias("line_no"), "line")
 
 
 @query(_family_sql(_DOC_LINES, ["secret-detection"]))
@@ -595,7 +600,7 @@ def knn_cosine(spark, d):
 @query("""with t as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents), h as (select doc_id, word, len(list_filter(w, lambda x: x = word)) as tf from t, (values ('licensed'), ('apache'), ('mit')) v(word)),
 df as (select word, count(*) as df from h where tf > 0 group by word) select doc_id, round(sum(tf * ln(1 + (select count(*) from documents) / df)), 4) as score, count(*) as matched from h join df using (word) where tf > 0 group by doc_id order by score desc, doc_id limit 10""")
 def fulltext_search(spark, d):
-    return retrieval.search(table(spark, d, "documents"), "doc_id", "text", ["licensed", "apache", "MIT"], 10)
+    return retrieval.search(texts(spark, d, "doc_id", "text"), "doc_id", "text", ["licensed", "apache", "MIT"], 10)
 
 
 @query("""with a as (select text, 1.0::double as score, row_number() over (order by doc_id) as rank from documents where contains(text, 'MIT')), b as (select text, 0.5::double as score, row_number() over (order by n_chars desc, doc_id) as rank from documents),
@@ -749,7 +754,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lifecycle in miniature: lines, security rules, risk and its grade by document."""
     found = findings.security_findings(_doc_lines(spark, sf_dir))
     risk = found.groupBy("file_path").agg(F.count(F.lit(1)).alias("findings"), F.least(F.sum(scalars.severity_weight(F.col("severity"), rules.RISK_WEIGHTS)), F.lit(100)).cast("double").alias("risk_score"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "lang", scalars.lines_of_code(F.col("text")).alias("loc"))
+    docs = texts(spark, sf_dir, "doc_id", "lang", "text").select(F.col("doc_id").cast("string").alias("file_path"), "lang", scalars.lines_of_code(F.col("text")).alias("loc"))
     rows = docs.join(risk, "file_path", "left").fillna({"findings": 0, "risk_score": 0.0})
     return rows.withColumn("health_score", 100 - F.least("risk_score", F.lit(50.0)))
 

@@ -53,6 +53,13 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of few splits dealt out to all cores, for work that takes long for each row; a scan
+    of at least as many splits as there are cores stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for a context: they may start
     where it can't be imported from."""
