@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import any_of, extension_of, first_of, table_name
+from lodestrata.operators.ranking import numbered
 from lodestrata.operators.substrings import held
 from lodestrata.plans import rules
 from lodestrata.session import cut
@@ -103,8 +104,9 @@ def relationships(found: DataFrame) -> DataFrame:
 
 def diagram(found: DataFrame, columns: int = 3) -> DataFrame:
     """Grid places of tables by name."""
-    i = F.row_number().over(Window.orderBy("name")) - 1
-    return found.select("name", (i % columns * 380 + 40).alias("x"), (F.floor(i / columns) * 340 + 40).cast("int").alias("y"))
+    i = F.col("__n") - 1
+    rows = numbered(found.select("name"), "name", name="__n")
+    return rows.select("name", (i % columns * 380 + 40).cast("int").alias("x"), (F.floor(i / columns) * 340 + 40).cast("int").alias("y"))
 
 
 def diagram_edges(found: DataFrame) -> DataFrame:

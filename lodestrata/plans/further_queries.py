@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.scalars import line_count
 from lodestrata.operators import graph, motifs, substrings, textindex, vectorindex
 from lodestrata.plans import more_queries as m
 from lodestrata.plans import store
 from lodestrata.plans.queries import query, table
 from lodestrata.session import shared_path
-from lodestrata.streaming import state
+from lodestrata.sources import files
+from lodestrata.streaming import progress, state
 
 # --------------------------------------------------------- strong components
 
@@ -286,3 +289,55 @@ def motif_bounded_hops(spark, d):
     """Customers and the nation that they live in and reach over one to three edges of any kind."""
     found = motifs.match(_market(spark, d), [motifs.Hop("c", None, "n", 1, 3), motifs.Hop("c", "LIVES", "n"), motifs.Hop("c", None, "s", 2, 2)], {"s": table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))})
     return found.select("c", "n").distinct()
+
+
+# ------------------------------------------------- files, formats, progress
+
+
+@query("""select doc_id, octet_length(encode(text)) + 1 as size_bytes, 'Python' as language,
+len(string_split_regex(replace(text || chr(10), chr(13) || chr(10), chr(10)), '[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) - 1 as lines from documents""")
+def scanned_tree(spark, d):
+    """Every document as a file of a tree, found by a scan."""
+    where = shared_path(spark, "tree")
+    table(spark, d, "documents").select("doc_id", "text").withColumn("name", F.concat("doc_id", F.lit(".py"))).drop("doc_id").write.partitionBy("name").text(where)
+    found = files.scan(spark, where.removeprefix("file:"), "r", local=False)
+    doc = F.regexp_extract("path", r"name=(\d+)", 1).cast("long")
+    kept = found.filter(F.col("path").contains("/part-")).select(doc.alias("doc_id"), F.col("size_bytes").alias("size_bytes"), F.col("content"))
+    return kept.select("doc_id", "size_bytes", F.lit("Python").alias("language"), line_count(F.col("content")).cast("long").alias("lines"))
+
+
+@query(" union all ".join(f"select '{kind}' as kind, event_type, count(*) as n, cast(sum(user_id) as bigint) as users from events group by event_type" for kind in ("parquet", "orc", "json", "csv", "keyed")))
+def stored_formats(spark, d):
+    """Events stored and read in each format, and by key with one key replaced."""
+    events, parts = table(spark, d, "events").select("event_id", "user_id", "event_type"), []
+    for kind in ("parquet", "orc", "json", "csv"):
+        where = shared_path(spark, kind)
+        events.write.format(kind).save(where)
+        parts.append(spark.read.schema(events.schema).format(kind).load(where).withColumn("kind", F.lit(kind)))
+    where = shared_path(spark, "keyed")
+    files.write_table(events.withColumn("user_id", F.when(F.col("event_type") == "click", F.lit(0)).otherwise(F.col("user_id"))), where, "event_type")
+    files.write_table(events.filter("event_type = 'click'"), where, "event_type")
+    parts.append(files.read_table(spark, where).select("event_id", "user_id", "event_type").withColumn("kind", F.lit("keyed")))
+    return reduce(DataFrame.unionByName, parts).groupBy("kind", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("select repo_id, status, progress from (select cast(user_id as varchar) as repo_id, event_type as status, cast(value as double) as progress, row_number() over (partition by user_id order by ts desc, value desc, event_type desc) rn from events) where rn = 1")
+def published_progress(spark, d):
+    """Events as progress messages, streamed to a subscriber that keeps the last of each user."""
+    where, kept = shared_path(spark, "messages"), shared_path(spark, "kept")
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("repo_id"), F.lit("j").alias("scan_job_id"), F.col("event_type").alias("status"), F.lit("").alias("phase"), F.col("value").cast("double").alias("progress"), F.lit("").alias("message"), F.col("ts").cast("timestamp").alias("timestamp"))
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(where)
+    stream = progress.events(spark, where, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    progress.publish(stream, f"progress-{uuid.uuid4().hex}", shared_path(spark, "checkpoint"), lambda batch: batch.write.mode("append").parquet(kept)).awaitTermination()
+    return progress.latest_state(spark.read.parquet(kept), "repo_id", ["timestamp", "progress", "status"]).select("repo_id", "status", "progress")
+
+
+@query("select repo_id, scan_job_id, status, n from (values ('completed', 1), ('failed', 2)) v(status, i), (select lang as repo_id, lang || '-job' as scan_job_id, count(*) as n from documents group by lang)")
+def stored_jobs(spark, d):
+    """Two jobs of each language as a repository; the second save takes the first's results' place, but not its job."""
+    docs, kept = table(spark, d, "documents").select("lang", "doc_id"), store.ResultStore(spark, shared_path(spark, "results"))
+    for r in docs.groupBy("lang").count().orderBy("lang").collect():
+        for status in ("completed", "failed"):
+            kept.save(r["lang"], {"files": docs.filter(F.col("lang") == r["lang"])}, (f"{r['lang']}-job", status, 100.0, "{}", "{}"))
+    n = kept.read("files").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    return kept.read("jobs").join(n, "repo_id").select("repo_id", "scan_job_id", "status", "n")

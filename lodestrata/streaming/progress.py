@@ -13,9 +13,9 @@ SCHEMA = "repo_id string, scan_job_id string, status string, phase string, progr
 PHASES = {"queued": 0.0, "cloning": 5.0, "cloned": 10.0, "parsing": 15.0, "parsed": 20.0, "building_graph": 40.0, "graph_built": 55.0, "analyzing": 60.0, "saving": 85.0, "completed": 100.0}
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of JSON event files."""
-    return spark.readStream.schema(SCHEMA).json(folder)
+def events(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """A stream of JSON event files, read with some options."""
+    return spark.readStream.schema(SCHEMA).options(**options).json(folder)
 
 
 def latest_state(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
