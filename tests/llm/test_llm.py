@@ -455,6 +455,31 @@ def test_wrapped_notices_and_their_sql(spark, tmp_path):
     assert sorted(map(tuple, rows.values())) == sorted(want)
 
 
+def test_every_sentence_over_lines_and_marks(spark, tmp_path):
+    """Each known sentence, wrapped in a comment, with a long holder's name in its gap; and SQL."""
+    import duckdb
+
+    from lodestrata.llm import entries
+
+    said = licences._rows(licences.SENTENCES)
+    texts = []
+    for name, text in said:
+        words = text.replace("*", "Some Body, Some Other Body and " * 40 + "Company").title().split()
+        wrapped = " ".join(words) if name.endswith("title") else "\n".join("// * " + " ".join(words[k : k + 3]) + "," for k in range(0, len(words), 3))
+        texts.append(f"x = 1;\n{wrapped}\ny = 2;")
+    texts += ["SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0 */", "# spdx-license-identifier: ISC\n# SPDX-License-Identifier: gpl-2.0+ or foo-1.0\nlicensed under the unlicense",
+              "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n", "is licensed under the Apache License, Version 2.0 or the MIT license.", "MIT License\n\nApache License, Version 2.0", "see the MIT License\n", "the name of the rose " * 9 + BSD]
+    got = frame(spark, texts)
+    got.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in entries.op7_licences(spark, str(tmp_path)).collect()}
+    for k, (name, _) in enumerate(said):
+        assert rows[k]["sentence_ids"] == name, said[k]
+    assert [rows[len(said) + k]["licences"] for k in range(7)] == ["Apache-2.0,GPL-2.0-or-later,MIT", "GPL-2.0-or-later,ISC,Unlicense", "GPL-3.0-only", "Apache-2.0,MIT", "Apache-2.0,MIT", "", "BSD-3-Clause"]
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, rows.values())) == sorted(con.sql(entries.ORACLE_SQL["op7_licences"]).fetchall())
+
+
 # --------------------------------------------------------------- token files
 
 
