@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Node types by their spelling in lower case without separators (fixed values).
@@ -116,6 +118,36 @@ def readme(lines: DataFrame) -> DataFrame:
     return out.select("file_path", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("features", none).alias("features"), F.coalesce("commands", none).alias("commands"))
 
 
+def package_context(files: DataFrame) -> DataFrame:
+    """(file_path, title, description, features, commands) of package.json files (path, content):
+    what stands in for documentation; the commands are the first six scripts."""
+    some = files.filter((F.element_at(F.split("path", "/"), -1) == "package.json") & F.get_json_object("content", "$").isNotNull())
+    read = some.select(F.col("path").alias("file_path"), F.from_json("content", "name string, description string, scripts map<string,string>").alias("j"))
+    run = F.transform(F.slice(F.map_entries("j.scripts"), 1, 6), lambda e: F.concat(F.lit("npm run "), e["key"], F.lit(": "), e["value"]))
+    none = F.array().cast("array<string>")
+    return read.select("file_path", F.coalesce("j.name", F.lit("")).alias("title"), F.coalesce("j.description", F.lit("")).alias("description"), none.alias("features"), F.coalesce(run, none).alias("commands"))
+
+
+def context(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_path, description, features, commands): what documentation says, or where there is
+    none, what the package files say."""
+    said = readme(lines)
+    known = said.agg((F.count(F.lit(1)) > 0).alias("__said"))  # one row
+    return said.unionByName(package_context(files).drop("title").join(F.broadcast(known)).filter("not __said").drop("__said"))
+
+
+def reached(**sources: Callable[[], DataFrame]) -> DataFrame:
+    """One row with the number of rows of each source; null for one that fails."""
+    out = {}
+    for name, rows in sources.items():
+        try:
+            out[name] = rows().count()
+        except Exception:  # noqa: BLE001  a source that fails doesn't stop the others
+            out[name] = None
+    spark = SparkSession.active()
+    return spark.createDataFrame([tuple(out.values())], ", ".join(f"{n} long" for n in out))
+
+
 def summary(**tables: DataFrame) -> DataFrame:
     """One row with the number of rows of each table."""
     out = None

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import line_count
-from lodestrata.operators import graph, motifs, substrings, textindex, vectorindex
+from lodestrata.operators import explore, graph, motifs, substrings, textindex, vectorindex
+from lodestrata.plans import fixtures as fx
 from lodestrata.plans import more_queries as m
 from lodestrata.plans import store
 from lodestrata.plans.queries import query, table
@@ -341,3 +342,23 @@ def stored_jobs(spark, d):
             kept.save(r["lang"], {"files": docs.filter(F.col("lang") == r["lang"])}, (f"{r['lang']}-job", status, 100.0, "{}", "{}"))
     n = kept.read("files").groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
     return kept.read("jobs").join(n, "repo_id").select("repo_id", "scan_job_id", "status", "n")
+
+
+_PACKAGED = ("path string, content string", [
+    ("package.json", '{"name": "web", "description": "A site.", "scripts": {"dev": "vite", "build": "vite build", "a": "1", "b": "2", "c": "3", "d": "4", "e": "5"}}'), ("x/package.json", '{"name": "none"}'), ("y/package.json", "not json"), ("setup.py", "{}"),
+], ("supplier", "s_suppkey", {"path": "'r' || k || '/' || path", "content": "replace(content, 'vite', 'vite' || k)"}, "true"))
+
+
+@query(f"""select path as file_path, coalesce(content ->> '$.name', '') as title, coalesce(content ->> '$.description', '') as description,
+coalesce(array_to_string(list_transform(json_keys(content, '$.scripts')[:6], lambda k: 'npm run ' || k || ': ' || json_extract_string(content, '$.scripts.' || k)), ';'), '') as commands
+from {fx.woven_sql(_PACKAGED)} where path like '%/package.json' and json_valid(content)""")
+def package_context(spark, d):
+    """What package files say where there is no documentation."""
+    found = explore.package_context(fx.woven(spark, d, _PACKAGED))
+    return found.select("file_path", "title", "description", F.array_join("commands", ";").alias("commands"))
+
+
+@query("select (select count(*) from documents) as documents, null :: bigint as missing, (select count(*) from events) as events")
+def partial_summary(spark, d):
+    """A source that fails is null, and the others count."""
+    return explore.reached(documents=lambda: table(spark, d, "documents"), missing=lambda: table(spark, d, "no_such_table"), events=lambda: table(spark, d, "events"))

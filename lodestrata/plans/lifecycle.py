@@ -74,7 +74,7 @@ def analyze(spark: SparkSession, root: str, repo_id: str = "repo", git: bool = F
     report.add("relationships", lambda: discovery.relationships(t["tables"]))
     report.add("diagram", lambda: discovery.diagram(t["tables"]))
     report.add("migrations", lambda: discovery.migrations(files))
-    report.add("readme", lambda: explore.readme(lines.filter(F.lower(F.element_at(F.split("file_path", "/"), -1)).startswith("readme"))))
+    report.add("readme", lambda: explore.context(lines.filter(F.lower(F.element_at(F.split("file_path", "/"), -1)).startswith("readme")), files))
     report.add("packages", lambda: manifests.packages(files))
     report.add("facts", lambda: discovery.repository_facts(files, t["packages"]))
     report.add("pattern", lambda: discovery.pattern(files))

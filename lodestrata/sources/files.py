@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import language_of, line_count, lines_of
 from lodestrata.plans import rules
+from lodestrata.session import cut
 
 #: Folders that are never scanned (fixed values), and size limits.
 FORBIDDEN = ["/", "/bin", "/boot", "/dev", "/etc", "/lib", "/proc", "/root/.ssh", "/sbin", "/sys", "/usr", "/var"]
@@ -97,8 +98,14 @@ def read_table(spark: SparkSession, where: str, kind: str = "parquet") -> DataFr
     return spark.read.format(kind).load(where)
 
 
-def write_table(rows: DataFrame, where: str, key: str | None = None, mode: str = "overwrite") -> None:
-    """Store a table; with a key, its values are partitions and only those present are replaced."""
+def write_table(rows: DataFrame, where: str, key: str | None = None, mode: str = "overwrite", unique: list[str] | None = None) -> None:
+    """Store a table; with a key, its values are partitions and only those present are replaced.
+    ``unique`` names columns that no two rows may share; rows that do are refused before any is
+    stored (ValueError)."""
+    if unique:
+        rows = cut(rows, "unique")
+        if twice := rows.groupBy(*unique).count().filter("count > 1").limit(3).collect():
+            raise ValueError(f"{', '.join(unique)} not unique: {[tuple(r)[:-1] for r in twice]}")
     writer = rows.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(key) if key else writer).parquet(where)
 

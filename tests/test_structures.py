@@ -11,9 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import discovery, graph, substrings, textindex, vectorindex
+from lodestrata.operators import discovery, explore, graph, ranking, substrings, textindex, vectorindex
 from lodestrata.plans import lifecycle, store
-from lodestrata.sources import parsers
+from lodestrata.sources import files, parsers
 from lodestrata.sources.published import Conflict, Published
 from lodestrata.streaming import state
 
@@ -315,6 +315,28 @@ def test_repositories_in_one_store(spark, tmp_path):
     assert kept.vacuum() > 0 and files() == [(two, 3, "c"), (two, 5, "e")]
 
 
+def test_unique_columns_are_enforced(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "id int, name string")
+    with pytest.raises(ValueError, match="not unique"):
+        files.write_table(rows, str(tmp_path / "t"), unique=["id"])
+    assert not (tmp_path / "t").exists()
+    files.write_table(rows, str(tmp_path / "t"), unique=["id", "name"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_documentation_or_package_files(spark):
+    lines = spark.createDataFrame([("README.md", 1, "A paragraph that is long enough to be taken for the description of it all.")], "file_path string, line_no int, line string")
+    packages = spark.createDataFrame([("package.json", '{"description": "D", "scripts": {"x": "y"}}')], "path string, content string")
+    assert [r["file_path"] for r in explore.context(lines, packages).collect()] == ["README.md"]
+    assert [(r["description"], r["commands"]) for r in explore.context(lines.limit(0), packages).collect()] == [("D", ["npm run x: y"])]
+
+
+def test_numbers_over_ranges(spark):
+    rows = spark.range(5_000).select((F.col("id") * 7919 % 5_003).alias("v"))
+    assert [r["n"] for r in ranking.numbered(rows, "v").orderBy("v").collect()] == [*range(1, 5_001)]
+    assert ranking.numbered(rows.limit(0), "v").count() == 0
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "tree"
