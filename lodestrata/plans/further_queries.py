@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import line_count
-from lodestrata.operators import explore, graph, motifs, substrings, textindex, vectorindex
+from lodestrata.operators import explore, findings, graph, motifs, substrings, textindex, vectorindex
+from lodestrata.plans import answers
 from lodestrata.plans import fixtures as fx
 from lodestrata.plans import more_queries as m
+from lodestrata.plans import queries as q
 from lodestrata.plans import store
 from lodestrata.plans.queries import query, table
 from lodestrata.session import shared_path
-from lodestrata.sources import files
+from lodestrata.sources import files, manifests
 from lodestrata.streaming import progress, state
 
 # --------------------------------------------------------- strong components
@@ -362,3 +364,96 @@ def package_context(spark, d):
 def partial_summary(spark, d):
     """A source that fails is null, and the others count."""
     return explore.reached(documents=lambda: table(spark, d, "documents"), missing=lambda: table(spark, d, "no_such_table"), events=lambda: table(spark, d, "events"))
+
+
+# ------------------------------------------------------------------- answers
+
+
+def _listed(title: str, rows: str, line: str, top: int, none: str | None = None) -> str:
+    """SQL of a title and the first rows of a table (with its order as n), or of what is said without any."""
+    return f"(select case when count(*) > 0 then '{title}' || chr(10) || string_agg(case when n <= {top} then {line} end, chr(10) order by n) {f'else {q._quote(none)}' if none else ''} end from {rows})"
+
+
+def _answered(intent: str, tables: str, parts: list[str], cited: str = "''") -> str:
+    return f"with {tables} select '{intent}' as intent, concat_ws(chr(10), {q._quote(answers.BUILDERS[intent][0])}, {', '.join(parts)}) as answer, {cited} as cited"
+
+
+def _cited(rows: str, top: int, reference: str, snippet: str) -> str:
+    return f"(select string_agg(case when n <= {top} then {reference} || '=' || {snippet} end, ';' order by n) from {rows})"
+
+
+@query(_answered("performance", f"o as (select *, row_number() over (order by file_path, line_no, name) as n from ({q.SQL['n_plus_one_functions']}))",
+                 ["'- Performance findings: ' || (select count(*) from o)", _listed("Found:", "o", "'- [' || upper(type) || '] ' || name || ' at ' || file_path || ':' || line_no", 8)], _cited("o", 6, "file_path || ':' || line_no", "type || ' ' || name")))
+def answer_performance(spark, d):
+    return m._said(answers.answer(spark, {"performance": q.QUERIES["n_plus_one_functions"](spark, d)}, "performance"))
+
+
+@query(_answered("apis", f"o as (select *, row_number() over (order by handler, path, method) as n from ({q.SQL['api_endpoints']})), f as ({q.SQL['frameworks_detected']})",
+                 ["'- Endpoints: ' || (select count(*) from o)", "(select '- Frameworks: ' || string_agg(framework, ', ' order by framework) from f)", _listed("Found:", "o", "'- ' || upper(method) || ' ' || path || ' -> ' || handler || '() in ' || handler || '.py'", 15)],
+                 _cited("o", 5, "handler || '.py'", "method || ' ' || path")))
+def answer_apis(spark, d):
+    """Each handler in a file of its own."""
+    found = q.QUERIES["api_endpoints"](spark, d).withColumns({"file_path": F.concat("handler", F.lit(".py")), "line_no": F.lit(0)})
+    return m._said(answers.answer(spark, {"endpoints": found, "frameworks": q.QUERIES["frameworks_detected"](spark, d)}, "apis"))
+
+
+@query(_answered("debt", f"{q._DEBT}, o as (select *, row_number() over (order by priority, file_path, name, type) as n from debt), s as (select cast({q._DEBT_SCORE} as double) as score, round_even(sum(effort_hours), 1) as hours from debt)",
+                 ["(select '- Debt score: ' || score || '/100, ' || hours || ' hours' from s)", "'- Items: ' || (select count(*) from o)", _listed("First to mend:", "o", "'- ' || type || ' ' || name || ' in ' || file_path", 8)], _cited("o", 4, "file_path", "type || ' ' || name")))
+def answer_debt(spark, d):
+    return m._said(answers.answer(spark, {"debt": q._debt(spark, d)}, "debt"))
+
+
+_STARTS = ("path string", [("src/main.py",), ("app/index.ts",), ("lib/util.py",), ("manage.py",), ("domain.py",)], ("supplier", "s_suppkey", {"path": "'r' || k || '/' || path"}, "(k + length(path)) % 3 <> 0"))
+
+
+@query(_answered("entry_points", f"o as (select *, row_number() over (order by path) as n from {fx.woven_sql(_STARTS)} where {' or '.join(f'lower(path) like {q._quote(chr(37) + x)}' for x in answers.ENTRY_FILES)})",
+                 [_listed("Files:", "o", "'- ' || path", 8)], _cited("o", 8, "path", "'Entry point'")))
+def answer_entry_points(spark, d):
+    return m._said(answers.answer(spark, {"files": fx.woven(spark, d, _STARTS)}, "entry_points"))
+
+
+@query(_answered("setup", f"r as (select * from ({q.SQL['readme_context']}) order by file_path limit 1), c as (select line, n from (select unnest(string_split(commands, ';')) as line, unnest(range(1, len(string_split(commands, ';')) + 1)) as n from r where commands <> '')), p as (select *, row_number() over (order by source) as n from (select source, count(*) as k from {fx.woven_sql(m._PACKAGES)} group by source))",
+                 [_listed("Commands:", "c", "line", 3, "The documentation names no command."), _listed("Manifests:", "p", "'- ' || source || ': ' || k || ' packages'", 8)], "(select file_path || '=Documentation' from r)"))
+def answer_setup(spark, d):
+    return m._said(answers.answer(spark, {"readme": explore.readme(fx.woven(spark, d, fx.README)), "packages": manifests.packages(m._manifests(spark, d))}, "setup"))
+
+
+@query(_answered("health", f"{q._DEBT}, r as (select cast({q._RISK} as double) as risk from ({q.SQL['union_findings']})), t as (select cast({q._DEBT_SCORE} as double) as owed from debt), s as (select count(*) as slow from ({q.SQL['n_plus_one_functions']}))",
+                 ["(select '- Health score: ' || greatest(least(100 - least(risk, 50) - least(owed, 30) - least(2 * slow, 20), 100), 0) || '/100, from 100.0' from r, t, s)", "(select '- less ' || least(risk, 50.0 :: double) || ' for security risk' from r)",
+                  "(select '- less ' || least(owed, 30.0 :: double) || ' for technical debt' from t)", "(select '- less ' || least(2 * slow, 20) || ' for ' || slow || ' performance findings' from s)"]))
+def answer_health(spark, d):
+    risk, slow = findings.risk_score(q.QUERIES["union_findings"](spark, d)), q.QUERIES["n_plus_one_functions"](spark, d)
+    return m._said(answers.answer(spark, {"health": findings.health_score(risk, findings.debt_score(q._debt(spark, d)), slow)}, "health"))
+
+
+@query(_answered("architecture", f"p as ({q.SQL['pattern_rules']}), o as (select *, row_number() over (order by tier) as n from ({q.SQL['tier_layers']})), c as (select tier, component, row_number() over (order by tier, component) as n from (select tier, unnest(string_split(components, ';')[:2]) as component from o))",
+                 ["(select '- Pattern: ' || pattern || ', confidence ' || cast(round(confidence * 100) as integer) || '%' from p)", _listed("Layers:", "o", "'- ' || tier || ': ' || files || ' files; ' || replace(components, ';', ', ')", 20)], _cited("c", 8, "component", "tier || ' layer'")))
+def answer_architecture(spark, d):
+    tiers = q.QUERIES["tier_layers"](spark, d).withColumn("components", F.split("components", ";"))
+    return m._said(answers.answer(spark, {"pattern": q.QUERIES["pattern_rules"](spark, d), "layers": tiers}, "architecture"))
+
+
+@query(_answered("tech_stack", f"l as ({q.SQL['files_by_language']}), f as ({q.SQL['repository_facts']})",
+                 ["(select '- Languages: ' || string_agg(language, ', ' order by files desc, language) || '; ' || sum(files) || ' files, ' || sum(files) || ' lines' from l)", "(select '- Frameworks: ' || replace(frameworks, ';', ', ') from f)", "(select '- Package managers: ' || replace(managers, ';', ', ') from f)",
+                  f"'- Endpoints: ' || (select count(*) from ({q.SQL['api_endpoints']}))", f"'- Tables: ' || (select count(*) from ({q.SQL['discovered_tables']}))"]))
+def answer_tech_stack(spark, d):
+    """Each file counts as one line."""
+    facts = q.QUERIES["repository_facts"](spark, d).select(F.split("frameworks", ";").alias("frameworks"), F.split("managers", ";").alias("package_managers"))
+    languages = q.QUERIES["files_by_language"](spark, d).select("language", "files", F.col("files").alias("lines"))
+    return m._said(answers.answer(spark, {"languages": languages, "facts": facts, "endpoints": q.QUERIES["api_endpoints"](spark, d), "tables": q.QUERIES["discovered_tables"](spark, d)}, "tech_stack"))
+
+
+@query(_answered("explain", f"r as (select * from ({q.SQL['readme_context']}) order by file_path limit 1), f as (select unnest(string_split(features, ';')) as feature, unnest(range(1, len(string_split(features, ';')) + 1)) as n from r where features <> ''), p as ({q.SQL['pattern_rules']}), h as ({q.SQL['health_score']})",
+                 ["(select nullif(description, '') from r)", _listed("Features:", "f", "'- ' || feature", 6), "(select '- Pattern: ' || pattern from p)", "(select '- Health score: ' || cast(round(health_score) as integer) || '/100' from h)"], "(select file_path || '=Documentation' from r)"))
+def answer_explain(spark, d):
+    said = {"readme": explore.readme(fx.woven(spark, d, fx.README)), "pattern": q.QUERIES["pattern_rules"](spark, d), "health": q.QUERIES["health_score"](spark, d)}
+    return m._said(answers.answer(spark, said, "explain"))
+
+
+@query(_answered("symbols", "o as (select 'Nation ' || n_name || ' in ' || n_name || '.py' as line, n_name as name, row_number() over (order by n_name) as n from nation where regexp_matches('did nation_3 or nation_12 trade with nation_7 and nation_99', '\\b' || lower(n_name) || '\\b') and not contains(n_name, ' '))",
+                 [_listed("Named:", "o", "'- ' || line", 6, "The question names nothing that the graph holds.")], "(select coalesce(string_agg(case when n <= 6 then name || '.py=Nation ' || name end, ';' order by n), '') from o)"))
+def answer_symbols(spark, d):
+    """Nations as symbols that a question names."""
+    n = table(spark, d, "nation")
+    nodes = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.array(F.lit("Nation")).alias("labels"), F.col("n_name").alias("name"), F.concat("n_name", F.lit(".py")).alias("file_path"), F.lit(None).cast("string").alias("docstring"))
+    return m._said(answers.answer(spark, {"nodes": nodes}, "symbols", "did nation_3 or nation_12 trade with nation_7 and nation_99"))
