@@ -2,12 +2,12 @@
 
 A text's features are its distinct words (lower-cased) and their first four
 and five letters, so that unseen inflections of a word still count.  Words
-that the labels show to go with toxicity are kept as features, and a logistic
-model is fitted to them with one more penalty: each labelled text that holds
-an identity term is paired with a copy in which the terms are swapped, and
-the squared difference of the two scores (in logits) is added to the loss.  A
-group's mere mention therefore can't move a score much, whichever group the
-labelled sentences happened to insult.
+that the labels show to go with toxicity are kept as features, identity terms
+(in four languages) always are, and a logistic model is fitted to them with one
+more penalty: each labelled text that holds an identity term is paired with a
+copy in which the terms are swapped, and the squared difference of the two scores
+(in logits) is added to the loss.  A group's mere mention therefore can't move a
+score much, whichever group the labelled sentences happened to insult.
 
 Defined results: null and empty texts get the score of a text without
 features; repeated rows get equal scores, and are learned from once; without
@@ -73,6 +73,60 @@ disabled abled
 deaf blind
 old young
 elderly teenage
+mann frau
+männer frauen
+junge mädchen
+vater mutter
+sohn tochter
+bruder schwester
+ehemann ehefrau
+schwule lesben
+schwarze weiße
+afrikaner europäer
+muslime christen
+juden katholiken
+türken griechen
+ausländer inländer
+einwanderer einheimische
+behinderte gesunde
+homme femme
+hommes femmes
+garçon fille
+garçons filles
+père mère
+frère sœur
+mari épouse
+noir blanc
+noirs blancs
+africains européens
+musulman chrétien
+musulmans chrétiens
+juif catholique
+juifs catholiques
+immigré natif
+immigrés natifs
+handicapé valide
+homosexuel hétérosexuel
+hombre mujer
+hombres mujeres
+chico chica
+niño niña
+padre madre
+hijo hija
+hermano hermana
+esposo esposa
+negro blanco
+negros blancos
+africanos europeos
+musulmán cristiano
+musulmanes cristianos
+judío católico
+judíos católicos
+inmigrante nativo
+inmigrantes nativos
+discapacitado sano
+sordo ciego
+viejo joven
 """
 SWAP = {a: b for x, y in map(str.split, IDENTITY_SWAPS.split("\n")[1:-1]) for a, b in ((x, y), (y, x))}
 
@@ -140,8 +194,9 @@ def _evidence(pos: Column, neg: Column, n_pos: int, n_neg: int) -> Column:
     return 2 * (cells + bits(a + b) - bits(a) - bits(b) - bits(p + n) - bits(a + b - p - n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_rows: int = MAX_ROWS) -> ToxicityModel:
-    """Learn from at most about ``max_rows`` labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_rows: int = MAX_ROWS, counterfactual: float = COUNTERFACTUAL) -> ToxicityModel:
+    """Learn from at most about ``max_rows`` labelled rows outside the held-out fold, with a
+    weight of the counterfactual penalty (0: none)."""
     sample = _labelled(docs, labels, folds, held_out, max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
         return ToxicityModel({}, -np.inf if not n_pos else np.log(n_pos))
     rare = counts.filter((F.col("feature") != "") & (F.col("pos") >= 3) & (F.col("pos") * F.lit(n_neg) > F.lit(2.0 * n_pos) * F.col("neg")))
     judged = rare.withColumn("evidence", _evidence(F.col("pos"), F.col("neg"), n_pos, n_neg)).filter(F.col("evidence") >= MIN_EVIDENCE)
-    few = judged.select("feature").toPandas().sort_values("feature")
-    index = {f: i for i, f in enumerate(few["feature"])}
+    few = judged.select("feature").toPandas()["feature"]
+    index = {f: i for i, f in enumerate(sorted({*few, *SWAP}))}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints = pa.list_(pa.int32())
@@ -177,10 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
             yield pa.RecordBatch.from_pydict({"label": batch.column(1), "own": pa.array(own, ints), "other": pa.array(other, ints)})
 
     data = sample.mapInArrow(vectors, "label int, own array<int>, other array<int>").toPandas()
-    return ToxicityModel(*_logistic(data, list(index)))
+    return ToxicityModel(*_logistic(data, list(index), counterfactual))
 
 
-def _logistic(data: pd.DataFrame, names: list[str], steps: int = 400) -> tuple[dict[str, float], float]:
+def _logistic(data: pd.DataFrame, names: list[str], counterfactual: float = COUNTERFACTUAL, steps: int = 400) -> tuple[dict[str, float], float]:
     """Full-batch Adam on the log loss, a ridge and the counterfactual penalty."""
     n, k = len(data), len(names)
     y = data["label"].to_numpy(float)
@@ -195,7 +250,7 @@ def _logistic(data: pd.DataFrame, names: list[str], steps: int = 400) -> tuple[d
     for step in range(1, steps + 1):
         z, z2 = (np.bincount(r, w[c], n) for r, c in ((row, col), (row2, col2)))
         p = 1 / (1 + np.exp(-np.clip(z + b, -60, 60)))
-        err, gap = (p - y) / n, 2 * COUNTERFACTUAL * (z - z2) / n
+        err, gap = (p - y) / n, 2 * counterfactual * (z - z2) / n
         grad = np.bincount(col, (err + gap)[row], k) - np.bincount(col2, gap[row2], k) + PENALTY / 10 * w
         grad = np.append(grad, err.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
