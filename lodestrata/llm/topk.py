@@ -18,7 +18,9 @@ non-finite component, takes no part; vectors are compared with those of equal
 length only; a null vec_id takes no part; rows of the query's own vec_id are
 never its results (so repeated rows aren't); ties go to the smaller vec_id,
 and a repeated candidate row is a result of its own; an empty table gives an
-empty result.  Only vec_id and embedding are read, whatever other columns are
+empty result.  Scores beyond 64 bits aren't defined: components times ``scale``
+must stay below 2^63 over the square root of a vector's length, as products and
+their sums are 64-bit integers.  Only vec_id and embedding are read, whatever other columns are
 named.
 """
 
