@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.scalars import any_of, is_code, severity_weight
+from lodestrata.functions.scalars import any_of, is_code, lines_of, severity_weight
 from lodestrata.plans import rules
 
 FINDING = ["file_path", "line_no", "family", "title", "severity"]
@@ -45,23 +46,31 @@ TRIGGERS = {
 }
 
 
-def _rules(line: Column, low: Column) -> dict[str, list[tuple[Column, str, str]]]:
-    """By family: (does the line break the rule, title, severity).  A pattern is tried only on
-    lines with one of its triggers, which a plain search of the lower-cased line finds much
-    faster."""
+def _known() -> list[tuple[str, str, str, list[str], Callable[[Column, Column], Column]]]:
+    """Each rule: family, title, severity, texts of which a line that breaks it holds one (in
+    lower case), and whether a line, given also in lower case, breaks it.  A pattern is tried only
+    on lines with one of those texts, which a plain search finds much faster."""
 
-    def matches(pattern: str, title: str) -> Column:
-        return any_of(low, TRIGGERS[title]) & line.rlike(pattern)
+    def matches(pattern: str, title: str) -> Callable[[Column, Column], Column]:
+        return lambda line, low: any_of(low, TRIGGERS[title]) & line.rlike(pattern)
 
-    placeholder = any_of(low, rules.PLACEHOLDERS)
-    return {
-        "secret-detection": [(matches(p, t) & ~placeholder, t, s) for p, t, s in rules.SECRETS],
-        "sql-injection": [(matches(p, t), t, "high") for p, t in rules.SQL_INJECTION],
-        "dangerous-function": [(line.contains(p) & ~_comment(line), t, s) for p, t, s in rules.DANGEROUS],
+    def secret(pattern: str, title: str) -> Callable[[Column, Column], Column]:
+        return lambda line, low: matches(pattern, title)(line, low) & ~any_of(low, rules.PLACEHOLDERS)
+
+    def holds(text: str) -> Callable[[Column, Column], Column]:
+        return lambda line, low: line.contains(text) & ~_comment(line)
+
+    def weak(pattern: str, title: str) -> Callable[[Column, Column], Column]:
         # word bounds as for any letters, whatever the Java version's default
-        "weak-crypto": [(matches("(?U)" + p, t) & ~_comment(line), t, "medium") for p, t in rules.WEAK_CRYPTO],
-        "misconfiguration": [(matches(p, t), t, s) for p, t, s in rules.MISCONFIGURED],
-    }
+        return lambda line, low: matches("(?U)" + pattern, title)(line, low) & ~_comment(line)
+
+    return [
+        *[("secret-detection", t, s, TRIGGERS[t], secret(p, t)) for p, t, s in rules.SECRETS],
+        *[("sql-injection", t, "high", TRIGGERS[t], matches(p, t)) for p, t in rules.SQL_INJECTION],
+        *[("dangerous-function", t, s, [p.lower()], holds(p)) for p, t, s in rules.DANGEROUS],
+        *[("weak-crypto", t, "medium", TRIGGERS[t], weak(p, t)) for p, t in rules.WEAK_CRYPTO],
+        *[("misconfiguration", t, s, TRIGGERS[t], matches(p, t)) for p, t, s in rules.MISCONFIGURED],
+    ]
 
 
 def scannable(files: DataFrame) -> DataFrame:
@@ -74,13 +83,31 @@ def security_findings(lines: DataFrame, families: list[str] | None = None) -> Da
 
     All rules are tried in one pass over the lines; only hits leave the scan, and the first
     line of each is a minimum, which combines before the shuffle."""
-    found = _rules(F.col("line"), F.col("__low"))
-    hits = [F.when(broken, F.struct(F.lit(family).alias("family"), F.lit(title).alias("title"), F.lit(severity).alias("severity"))) for family, some in found.items() if families is None or family in families for broken, title, severity in some]
+    line, low = F.col("line"), F.col("__low")
+    hits = [F.when(broken(line, low), F.struct(F.lit(family).alias("family"), F.lit(title).alias("title"), F.lit(severity).alias("severity"))) for family, title, severity, _, broken in _known() if families is None or family in families]
     lines = lines.select("file_path", "line_no", "line", F.lower("line").alias("__low"))
     rows = lines.select("file_path", "line_no", F.explode(F.array_compact(F.array(*hits))).alias("r"))
     return rows.groupBy("file_path", "r.family", "r.title", "r.severity").agg(F.min("line_no").alias("line_no")).select(*FINDING)
 
 
+def risk_within(text: Column) -> Column:
+    """(findings, risk_score) of one text, in place: how many rules its lines break, and the
+    severities' weights, up to 100.  A rule is tried on the lines of texts with its texts only."""
+
+    def on_line(rule: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+        return lambda x: rule(x, F.lower(x))
+
+    def judged(said: Column) -> Column:
+        lines, low = said["lines"], said["low"]
+        broken = [(F.when(any_of(low, triggers), F.exists(lines, on_line(rule))).otherwise(False), severity) for _, _, severity, triggers, rule in _known()]
+        count = reduce(lambda a, b: a + b, [F.when(b, 1).otherwise(0) for b, _ in broken])
+        weight = reduce(lambda a, b: a + b, [F.when(b, rules.RISK_WEIGHTS[s]).otherwise(0) for b, s in broken])
+        return F.struct(count.cast("long").alias("findings"), F.least(weight, F.lit(100)).cast("double").alias("risk_score"))
+
+    # one struct, so that the text is cut and lower-cased once
+    return F.transform(F.array(F.struct(lines_of(text).alias("lines"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))), judged)[0]
+
+
 def with_recommendation(findings: DataFrame) -> DataFrame:
     said = F.concat(F.lit("Review and remediate this "), F.col("severity"), F.lit("-severity finding."))
     return findings.withColumn("recommendation", said).withColumn("finding_id", F.substring(F.sha2(F.concat_ws(":", "file_path", "family", "title", "line_no"), 256), 1, 32))

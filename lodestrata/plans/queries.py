@@ -751,12 +751,11 @@ def result_summary(spark, d):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lifecycle in miniature: lines, security rules, risk and its grade by document."""
-    found = findings.security_findings(_doc_lines(spark, sf_dir))
-    risk = found.groupBy("file_path").agg(F.count(F.lit(1)).alias("findings"), F.least(F.sum(scalars.severity_weight(F.col("severity"), rules.RISK_WEIGHTS)), F.lit(100)).cast("double").alias("risk_score"))
-    docs = texts(spark, sf_dir, "doc_id", "lang", "text").select(F.col("doc_id").cast("string").alias("file_path"), "lang", scalars.lines_of_code(F.col("text")).alias("loc"))
-    rows = docs.join(risk, "file_path", "left").fillna({"findings": 0, "risk_score": 0.0})
-    return rows.withColumn("health_score", 100 - F.least("risk_score", F.lit(50.0)))
+    """The lifecycle in miniature: lines, security rules, risk and its grade by document, each
+    within its row."""
+    docs = texts(spark, sf_dir, "doc_id", "lang", "text")
+    rows = docs.select(F.col("doc_id").cast("string").alias("file_path"), "lang", scalars.lines_of_code(F.col("text")).alias("loc"), findings.risk_within(F.col("text")).alias("r"))
+    return rows.select("file_path", "lang", "loc", "r.findings", "r.risk_score").withColumn("health_score", 100 - F.least("risk_score", F.lit(50.0)))
 
 
 QUERIES["flagship"] = flagship
