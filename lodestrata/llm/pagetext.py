@@ -8,11 +8,15 @@ per block, are smoothed over the paths in page order and fused by
 multiplication.  A path within a marked article leans half on the ratio of
 all the article's blocks, so that short headings and items stay with the text
 around them.  The values are weighed by what the elements on the path say (an
-article or main element, or a class word of advertising and the like).  Paths
-of at least a share of the best path's value are content; their blocks, in
-page order, are the text.  Only elements that hold no text of a page
-(navigation, footers, forms, controls, scripts, what is hidden) are out
-whatever their ratios.
+article or main element, or a class word of advertising, comments and the like),
+and, where marked articles hold most of the page's text, what stands outside
+them weighs less.  Paths of at least a share of the best path's value are
+content; their blocks, in page order, are the text.  Only elements that hold no
+text of a page (navigation, footers, forms, controls, scripts, what is hidden)
+are out whatever their ratios.
+
+A path is a node that knows the one above it, so memory grows with a page's
+length, however deep it nests.
 
 Defined results: a null or empty page, and one without content, gives an empty
 text; an empty table an empty result.  Markup that ends early (truncated
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from math import log
 
 import numpy as np
@@ -47,7 +52,9 @@ SECTIONING = frozenset("article main".split())
 #: A start tag of the key ends an open element of the value (fixed values of the HTML syntax).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id and role that mark what isn't the article (fixed values).
-ASIDE = frozenset("ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted promotion recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe tags teaser toolbar widget".split())
+ASIDE = frozenset("ad ads adv advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promoted promotion recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe tags teaser toolbar widget disclaimer disclaimers copyright imprint".split())
+#: Words that say nothing beside one of those (fixed values).
+LAYOUT = frozenset("area bar block box column container group inner item items links list outer panel row section wrap wrapper".split())
 BODY = frozenset("article articlebody content entry main maincontent post postbody story".split())
 
 #: Quotes count only after an equals sign.
@@ -60,7 +67,9 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 #: Weights by role: "hint" has a telling class word, "inner" has one within an article.  Only
 #: elements that hold no text of the page, and what is hidden, weigh nothing.
-PRIOR = {"article": 3.0, "plain": 1.0, "inner": 0.3, "hint": 0.1, "aside": 0.0}
+PRIOR = {"article": 3.0, "plain": 1.0, "inner": 0.3, "hint": 0.01, "aside": 0.0}
+#: The share of the text that marked articles must hold for the rest to count as ``OUTSIDE``, and its weight.
+MOST, OUTSIDE = 0.5, 0.15
 #: A path is content at this share of the best path's value; the part of the value of a path
 #: in an article that is the article's.
 SHARE, LEAN = 0.15, 0.5
@@ -73,7 +82,7 @@ def _hints(tag: str) -> set[str]:
     for m in _HINT.finditer(tag):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = [x for x in _PIECES.split(name) if x]
-            if name in ASIDE or parts and all(x in ASIDE for x in parts):
+            if name in ASIDE or any(x in ASIDE for x in parts) and all(x in ASIDE or x in LAYOUT for x in parts):
                 out.add("!" + name)
             elif name in BODY or parts and BODY.issuperset(parts):
                 out.add(name)
@@ -99,15 +108,49 @@ def _role(name: str, tag: str, inside: bool) -> tuple[str, str]:
     return name, "plain"
 
 
-Block = tuple[str, str, str, int]
+class Path:
+    """An element on a path, below the one above it; equal paths are one object."""
+
+    __slots__ = ("above", "element", "below")
+
+    def __init__(self, above: Path | None, element: str):
+        self.above, self.element, self.below = above, element, {}
+
+    def child(self, element: str) -> Path:
+        found = self.below.get(element)
+        if found is None:
+            found = self.below[element] = Path(self, element)
+        return found
+
+    def __str__(self) -> str:
+        parts, at = [], self
+        while at is not None and at.above is not None:
+            parts.append(at.element)
+            at = at.above
+        return "".join(f"/{x}" for x in reversed(parts))
+
+
+class ByPath(dict):
+    """Values by path, which may also be asked for by a path's text."""
+
+    def __missing__(self, text: str) -> float:
+        for path, value in self.items():
+            if str(path) == text:
+                return value
+        raise KeyError(text)
+
+
+Block = tuple[Path, str, str, int]
 
 
 def blocks_of(page: str) -> list[Block]:
     """(path, role, text, characters outside links) of each block of text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str, str]] = []  # name, path, role
+    root = Path(None, "")
+    stack: list[tuple[str, Path, str]] = []  # name, path, role
+    opened: Counter = Counter()  # names on the stack
     text: list[str] = []
-    at, path, role, link, linked = 0, "", "plain", -1, 0  # link: the depth that it began at
+    at, path, role, link, linked = 0, root, "plain", -1, 0  # link: the depth that it began at
 
     def flush() -> None:
         nonlocal linked
@@ -126,10 +169,12 @@ def blocks_of(page: str) -> list[Block]:
 
     def pop(n: int) -> None:
         nonlocal link, path, role
+        for gone, _, _ in stack[n:]:
+            opened[gone] -= 1
         del stack[n:]
         if link > n:
             link = -1
-        path, role = (stack[-1][1], stack[-1][2]) if stack else ("", "plain")
+        path, role = (stack[-1][1], stack[-1][2]) if stack else (root, "plain")
 
     while m := _TOKEN.search(page, at):
         start, end = m.span()
@@ -170,8 +215,9 @@ def blocks_of(page: str) -> list[Block]:
                     n -= 1
                 pop(n)
             added, own = _role(name, tag, role == "article")
-            path, role = f"{path}/{added}", role if role in ("aside", "hint", "inner") and own != "aside" or own == "plain" else own
+            path, role = path.child(added), role if role in ("aside", "hint", "inner") and own != "aside" or own == "plain" else own
             stack.append((name, path, role))
+            opened[name] += 1
             continue
         if name in INLINE or name in VOID:
             if name == "a":
@@ -180,10 +226,11 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             continue
         flush()
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                pop(i)
-                break
+        if opened[name]:
+            i = len(stack) - 1
+            while stack[i][0] != name:
+                i -= 1
+            pop(i)
     rest = page[at:]
     unfinished = re.search(r"<[/!a-zA-Z][^>]*\Z|<\Z", rest)
     add(rest[: unfinished.start()] if unfinished else rest)
@@ -195,10 +242,10 @@ def _ratio(length: float, marks: float, n: int) -> tuple[float, float]:
     return log(1 + length / n), 1 + log(1 + marks / n)
 
 
-def path_values(blocks: list[Block]) -> dict[str, float]:
+def path_values(blocks: list[Block]) -> ByPath:
     """Each path's fused and weighed value."""
-    paths: dict[str, list] = {}
-    article = [0, 0, 0]
+    paths: dict[Path, list] = {}
+    article, plain = [0, 0, 0], 0
     for path, role, text, own in blocks:
         sums = paths.setdefault(path, [role, 0, 0, 0])
         marks = len(_PUNCTUATION.findall(text)) if own else 0
@@ -206,6 +253,7 @@ def path_values(blocks: list[Block]) -> dict[str, float]:
             sums[i + 1] += x
             if role == "article":
                 article[i] += x
+        plain += own if role == "plain" else 0
     kinds = list(paths.values())
     size, marks = np.array([_ratio(*k[1:]) for k in kinds]).T
 
@@ -216,7 +264,8 @@ def path_values(blocks: list[Block]) -> dict[str, float]:
     if article[2]:
         whole = np.multiply(*_ratio(*article))
         value = np.where([k[0] in ("article", "inner") for k in kinds], (1 - LEAN) * value + LEAN * whole, value)
-    return dict(zip(paths, (value * np.array([PRIOR[k[0]] for k in kinds])).tolist(), strict=True))
+    weights = PRIOR | ({"plain": OUTSIDE} if article[0] > MOST * (article[0] + plain) else {})
+    return ByPath(zip(paths, (value * np.array([weights[k[0]] for k in kinds])).tolist(), strict=True))
 
 
 def main_text(page: str | None) -> str:

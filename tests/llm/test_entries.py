@@ -112,6 +112,63 @@ def test_toxicity(spark, corpus):
     assert all(r["predicted"] == int(i % 4 == 0) for (i, _), r in got.items() if i is not None and i < 300)
 
 
+def plain_toxicity(texts, y, counterfactual):
+    """The same objective, written out over dense vectors and solved by Newton's method."""
+    import math
+    import re
+
+    def named(text, swap=False):
+        words = set(re.findall(r"\w+", (text or "").lower()))
+        words = {toxicity.SWAP.get(w, w) for w in words} if swap else words
+        return {w for w in words} | {f"4:{w[:4]}" for w in words if len(w) > 3} | {f"5:{w[:5]}" for w in words if len(w) > 4}
+
+    own = [named(t) for t in texts]
+    n, n_pos = len(y), sum(y)
+    log = lambda x: x * math.log(x) if x else 0.0
+
+    def kept(f):
+        pos, neg = sum(f in o for o, t in zip(own, y) if t), sum(f in o for o, t in zip(own, y) if not t)
+        g = 2 * (sum(map(log, (pos, neg, n_pos - pos, n - n_pos - neg, n))) - log(n_pos) - log(n - n_pos) - log(pos + neg) - log(n - pos - neg))
+        return pos >= 3 and pos * (n - n_pos) > 2 * n_pos * neg and g >= toxicity.MIN_EVIDENCE
+
+    names = sorted({f for f in set().union(*own) if kept(f)} | set(toxicity.SWAP))
+    dense = lambda rows: np.array([[f in r for f in names] + [True] for r in rows], float)
+    x, gap, y = dense(own), dense(own) - dense([named(t, True) for t in texts]), np.array(y, float)
+    ridge = np.diag([toxicity.PENALTY / 10] * len(names) + [1e-9])
+    w = np.zeros(len(names) + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        grad = x.T @ (p - y) / n + 2 * counterfactual * gap.T @ (gap @ w) / n + ridge @ w
+        w = w - 0.5 * np.linalg.solve((x.T * (p * (1 - p))) @ x / n + 2 * counterfactual * gap.T @ gap / n + ridge, grad)
+    return lambda text: float(1 / (1 + np.exp(-(dense([named(text)]) @ w)[0])))
+
+
+def test_counterfactual_penalty_against_a_plain_fit(spark):
+    """Insults that the labels tie to women move women's mere mention without the penalty only."""
+    rng = random.Random(9)
+    said = ["house", "tree", "river", "cloud", "stone", "grass", "road"]
+    texts, y = [], []
+    for i in range(240):
+        words = rng.choices(said, k=6)
+        toxic = i % 3 == 0
+        words += ([rng.choice(["idiot", "moron"])] if rng.random() < 0.8 else []) + ["women"] if toxic else rng.choices(["men", "women", "men", "tree"], [3, 1, 3, 5])
+        texts.append(" ".join(words) + f" {i}")
+        y.append(int(toxic))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([*enumerate(y)], "doc_id long, toxic int")
+    learned = [k for k in range(240) if not held_out(k, 4, 2)]
+    probes = ["the women by the river", "the men by the river", "an idiot by the river", "a tree", "moron men", ""]
+    got = {}
+    for c in (0.0, toxicity.COUNTERFACTUAL):
+        model, plain = toxicity.fit(docs, labels, counterfactual=c), plain_toxicity([texts[k] for k in learned], [y[k] for k in learned], c)
+        got[c] = [model.score(p) for p in probes]
+        assert got[c] == pytest.approx([plain(p) for p in probes], abs=0.06)
+    logit = lambda p: np.log(p / (1 - p))
+    spread = {c: abs(logit(s[0]) - logit(s[1])) for c, s in got.items()}
+    assert spread[0.0] > 1 and spread[toxicity.COUNTERFACTUAL] < 0.3 * spread[0.0]
+    assert got[toxicity.COUNTERFACTUAL][2] > 0.3 > got[toxicity.COUNTERFACTUAL][3]
+
+
 def test_quality(spark, corpus):
     """Ridge on random features, solved whole, then isotonic steps: equal to the partition sums."""
     where, rows = corpus
@@ -188,6 +245,31 @@ def test_ratios_select_where_names_say_nothing():
     assert value["/html/body/div/ul/li"] < pagetext.SHARE * value["/html/body/div/p"]
 
 
+def test_comments_and_notices_of_unmarked_and_short_pages():
+    note = "<div><h1>Short note</h1><p>One short paragraph, here.</p></div>"
+    comments = "".join(f"<div><p>I disagree, strongly, with everything said above; it is wrong, and here is a long explanation of why, number {i}.</p></div>" for i in range(12))
+    for name in ("section id='discussion'", "div class='comment-list'", "div class='user comments'"):
+        assert pagetext.main_text(f"<html><body>{note}<{name}>{comments}</{name.split()[0]}></body></html>") == "Short note\nOne short paragraph, here."
+    story = "<article><h1>Title of it</h1><p>" + "A story with words, and more. " * 9 + "</p></article>"
+    for name in ("disclaimer-box", "x9"):
+        notice = f"<div class='{name}'><p>" + "This is for information, without warranty, and so on. " * (20 if name != "x9" else 3) + "</p></div>"
+        assert "warranty" not in pagetext.main_text(f"<html><body>{story}{notice}</body></html>")
+    main = "<div><h2>Main</h2>" + "<p>The main text goes on, and on, in a plain division, for long.</p>" * 9 + "</div>"
+    cards = "".join(f"<article class='card'><h3>Story {i}</h3><p>Read it.</p></article>" for i in range(4))
+    assert pagetext.main_text(f"<html><body>{main}{cards}</body></html>").count("goes on") == 9
+
+
+def test_deep_pages_take_linear_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert pagetext.main_text("<div>" * 100_000 + "Text, here." + "</div>" * 100_000) == "Text, here."
+    assert pagetext.main_text("<div>x, y" * 20_000 + "</p></b></li>" * 20_000).count("x, y") == 20_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
 def test_pipeline_against_plain_stages(spark, corpus, tmp_path):
     """Every stage's decisions, from plain versions of them, on all that the stage before kept."""
     import re
@@ -236,3 +318,31 @@ def test_pipeline_against_plain_stages(spark, corpus, tmp_path):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(public_tokenizers.path(bytebpe.VOCABULARY)), special_tokens={})
     for r in got:
         assert r["round_trip"] and list(r["ids"]) == library.encode_ordinary(kept[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
+
+
+def test_pipeline_on_empty_tables_and_with_clashing_columns(spark, tmp_path):
+    """Empty tables give no rows; further columns, named like the stages' own, change nothing."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["house", "tree", "river", "cloud", "idiot"], [9, 9, 9, 9, 1], k=12)), "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int("idiot" in t)) for i, t, *_ in rows], "doc_id long, toxic int")
+    items = spark.createDataFrame([(1, rows[3][1]), (2, None)], "item_id long, text string")
+    clashing = {k: f"{n} `{k}`" for n, k in enumerate(["score", "language", "ids", "row", "w", "node", "band", "key", "toxicity", "__id", "__row", "n_tokens"])}
+    kept = {}
+    for name, frame in (("plain", docs), ("clashing", docs.selectExpr("*", *clashing.values())), ("none", docs.limit(0))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (labels if name != "none" else labels.limit(0)).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        (items if name != "none" else items.limit(0)).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        kept[name] = sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"]), r["round_trip"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
+    assert kept["none"] == [] and len(kept["plain"]) > 10 and kept["clashing"] == kept["plain"]
+
+
+def test_further_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some item of ten words or more, which is one window")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("op1_decontamination", "op4_top_k", "op5_page_text"):
+        assert entries.QUERIES[name](spark, str(tmp_path)).count() == 0
