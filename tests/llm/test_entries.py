@@ -151,7 +151,7 @@ def test_counterfactual_penalty_against_a_plain_fit(spark):
     for i in range(240):
         words = rng.choices(said, k=6)
         toxic = i % 3 == 0
-        words += ([rng.choice(["idiot", "moron"])] if rng.random() < 0.8 else []) + ["women"] if toxic else rng.choices(["men", "women", "men", "tree"], [3, 1, 3, 5])
+        words += ([rng.choice(["idiot", "moron"])] if rng.random() < 0.8 else []) + (["women"] if rng.random() < 0.7 else []) if toxic else rng.choices(["men", "women", "idiot", "tree"], [6, 3, 1, 5])
         texts.append(" ".join(words) + f" {i}")
         y.append(int(toxic))
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
@@ -166,7 +166,7 @@ def test_counterfactual_penalty_against_a_plain_fit(spark):
     logit = lambda p: np.log(p / (1 - p))
     spread = {c: abs(logit(s[0]) - logit(s[1])) for c, s in got.items()}
     assert spread[0.0] > 1 and spread[toxicity.COUNTERFACTUAL] < 0.3 * spread[0.0]
-    assert got[toxicity.COUNTERFACTUAL][2] > 0.3 > got[toxicity.COUNTERFACTUAL][3]
+    assert got[toxicity.COUNTERFACTUAL][4] > 0.3 > got[toxicity.COUNTERFACTUAL][3]
 
 
 def test_quality(spark, corpus):
