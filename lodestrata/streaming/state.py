@@ -8,6 +8,7 @@ the checkpoint (RocksDB), survives a restart, and can be read from there: that i
 what a late subscriber gets first, and what a new query may start from.
 
 Of a batch's rows of one key, as of its state, only ``keep`` are held at a time.
+These functions set the session's state store to RocksDB, which such state needs.
 """
 
 from __future__ import annotations
