@@ -50,7 +50,9 @@ def keys(text: Column) -> Column:
 
 def marks(docs: DataFrame, length: int = LEAST_LENGTH) -> DataFrame:
     """(doc_id, row, at, hash) of every line with a long enough key, at counted from 0."""
-    lines = docs.select("doc_id", _row(F.col("text")).alias("row"), F.posexplode(keys(F.col("text"))).alias("at", "key")).filter(F.char_length("key") >= length)
+    # hashed before the lines are exploded: beside the generator, it would be for each line
+    whole = docs.select("doc_id", _row(F.col("text")).alias("row"), "text")
+    lines = whole.select("doc_id", "row", F.posexplode(keys(F.col("text"))).alias("at", "key")).filter(F.char_length("key") >= length)
     return lines.select("doc_id", "row", "at", F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("hash"))
 
 
