@@ -40,6 +40,18 @@ def test_fusion_with_many_copies(spark, tmp_path):
     assert got[columns].sort_values(columns).to_numpy().tolist() == want[columns].sort_values(columns).to_numpy().tolist()
 
 
+def test_documents_that_share_a_path(spark, tmp_path):
+    rows = [(1, "http://a/b.c", "x" * 10_001), (2, "http://a/b.c", "short"), (3, "http://a/b.c", "short"), (4, None, "no path"), (5, "http://a/d", None), (6, "", "y" * 10_000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+    columns = ["id", "file_path", "title", "cut"]
+    got, want = queries.QUERIES["document_documents"](spark, str(tmp_path)).toPandas(), con.sql(queries.SQL["document_documents"]).df()
+    assert len(want) == 6
+    plain = [sorted(str(["" if x is None or x != x else x for x in row]) for row in t[columns].astype(object).where(t[columns].notna(), None).to_numpy().tolist()) for t in (got, want)]
+    assert plain[0] == plain[1]
+
+
 def test_every_query_has_sql():
     assert set(queries.QUERIES) == set(queries.SQL)
 
