@@ -74,7 +74,8 @@ def scan(spark: SparkSession, root: str, repo_id: str = "repo", local: bool = Tr
     root = checked_root(root) if local else root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     where = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    path = F.substr(where, F.instr(where, root) + F.lit(len(root) + 1))
+    base = re.sub(r"^([a-z]+:)?/+", "/", root)
+    path = F.substr(where, F.instr(where, base) + F.lit(len(base) + 1))
     rows = raw.select(F.lit(repo_id).alias("repo_id"), path.alias("path"), F.col("length").alias("size_bytes"), "content")
     rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, rules.SKIPPED_DIRS))))
     if local and (links := escaping_links(root)):

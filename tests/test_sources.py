@@ -252,3 +252,12 @@ def test_progress_stream(spark, tmp_path):
     assert {r["repo_id"]: r["status"] for r in progress.latest_state(table, "repo_id", ["timestamp"]).collect()} == got
     assert progress.windowed(table).agg(F.sum("n")).first()[0] == 4
     assert progress.sessions(table).count() == 2
+
+
+def test_roots_with_any_number_of_slashes(spark, tmp_path):
+    names = {f"d{i % 7}/f{i}.py" for i in range(40)}
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x\n")
+    for root in (f"file:{tmp_path}", f"file://{tmp_path}", f"//{tmp_path}", str(tmp_path)):
+        assert {r["path"] for r in files.scan(spark, root, local=False).select("path").collect()} == names
