@@ -47,9 +47,9 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 BROADCAST_BYTES = 64 << 20
 #: Bits of the table that stands for a level of more bytes than that.
 BITS = 1 << 27
-#: Distinct phrases that a task counts before it hands them on, bytes of text cut at a time, and
-#: numbers that a row of runs has and that are paired at a time.
-HELD, SEGMENT, RUN, PAIRED = 200_000, 1 << 20, 1 << 19, 1 << 22
+#: Distinct phrases that a task counts before it hands them on, bytes of text cut at a time,
+#: numbers that a row of runs has and that are paired at a time, and texts of a batch made canonical at a time.
+HELD, SEGMENT, RUN, PAIRED, TEXTS = 100_000, 1 << 20, 1 << 17, 1 << 20, 128
 #: Marks that end a piece become line ends, tabs spaces, A-Z a-z (fixed values).
 CANONICAL = bytes.maketrans(b".,;:!?\x0b\x0c\r\t" + bytes(range(65, 91)), b"\n" * 9 + b" " + bytes(range(97, 123)))
 COUNTED = "lang string, phrase binary, n long"
@@ -79,8 +79,8 @@ def _tallied(count: Callable[[Counter, bytes, int, str], None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
-            for lang, body, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for part in segments(body):
+            for lang, body, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                for part in segments(body.as_py()):
                     count(tally.of(lang), part, n, lang)
                     if tally.full():
                         yield from tally.batches()
@@ -244,19 +244,26 @@ def _keys(a: np.ndarray) -> np.ndarray:
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of numbers to counts (key, n) of their pairs."""
-    held: list[np.ndarray] = []
+    held, full = np.empty(PAIRED, np.int64), 0
 
     def counted() -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+        keys = held[:full]
+        keys.sort()
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(np.diff(start, append=full))], ["key", "n"])
 
     for a in _arrays(batches):
-        key = _keys(a)
-        held.append(key[key != 0])
-        if sum(map(len, held)) >= PAIRED:
-            yield counted()
-            held = []
-    if held:
+        for at in range(0, len(a) - 1, RUN):
+            key = _keys(a[at : at + RUN + 1])
+            key = key[key != 0]
+            while len(key):
+                part, key = key[: PAIRED - full], key[PAIRED - full :]
+                held[full : full + len(part)] = part
+                full += len(part)
+                if full == PAIRED:
+                    yield counted()
+                    full = 0
+    if full:
         yield counted()
 
 
@@ -360,8 +367,10 @@ def _canonical(run):
     def canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def plain() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bodies = pa.array([b.translate(CANONICAL) for b in batch.column(1).to_pylist()], pa.large_binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), bodies, batch.column(2)], ["lang", "phrase", "n"])
+                for at in range(0, len(batch), TEXTS):
+                    part = batch.slice(at, TEXTS)
+                    bodies = pa.array([b.as_py().translate(CANONICAL) for b in part.column(1)], pa.large_binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), bodies, part.column(2)], ["lang", "phrase", "n"])
 
         return run(plain())
 

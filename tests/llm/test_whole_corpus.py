@@ -5,10 +5,13 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +242,28 @@ def test_scores_beyond_64_bits(spark):
     assert score == 1000 * 9000000000000 * 90000000000000 // (9000000000001 * 9000000000007)
 
 
+def test_pairs_are_counted_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 300, 1 << 19).astype("<i4") for _ in range(9)]
+    plain = Counter()
+    for a in rows:
+        both = (a[:-1] != 0) & (a[1:] != 0)
+        keys, n = np.unique((a[:-1].astype(np.int64) << 32 | a[1:])[both], return_counts=True)
+        plain.update(dict(zip(keys.tolist(), n.tolist())))
+    batches = [pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary())], ["runs"]) for a in rows]
+    found = Counter()
+    tracemalloc.start()
+    try:
+        for out in collocations._count_pairs(iter(batches)):
+            for key, n in zip(out["key"].to_pylist(), out["n"].to_pylist()):
+                found[key] += n
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == plain
+    assert peak < 60 << 20  # 4 million pairs at a time took over 100 MB
+
+
 @pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_line_dedup", "op13_collocations"])
 def test_empty_table(spark, tmp_path, name):
     written(spark, tmp_path, [])
