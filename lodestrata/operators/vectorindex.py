@@ -6,8 +6,10 @@ own, with its payload.  A list's radius is the largest angle from its centroid.
 
 A search takes many queries at once.  Each looks through its ``probes`` nearest
 lists (as many, unless given, as gave ``RECALL`` of the sample's neighbours; queries that
-are unlike the rows may find fewer), whose rows are scored with their whole vectors in blocks of some ``BLOCK``
-rows, so that neither a large list nor a popular one meets in one task at once.
+are unlike the rows may find fewer), whose rows are scored with their whole vectors in cells of some ``BLOCK``
+rows: neighbouring small lists share a cell, to which a query goes once, and large lists are cut
+into several.  A cell's queries come some ``ASKING`` at a time, so that neither a large list nor
+a popular one meets in one task at once, however many rows and queries there are.
 With ``exact``, every further list follows that may hold a better row: by the
 triangle inequality no row of a list is nearer to the query than the centroid's
 angle less the radius, and a list whose bound is below the query's k-th score
@@ -25,16 +27,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestrata.session import cut
 from lodestrata.sources.published import Segmented
 
-SAMPLE, ROUNDS, MOST_LISTS, BLOCK = 16_384, 10, 1_024, 4_096
+SAMPLE, ROUNDS, MOST_LISTS, BLOCK, ASKING = 16_384, 10, 1_024, 8_192, 16_384
+#: Numbers of a task's matrices of angles or scores.
+HELD = 1 << 20
+#: Rows of a batch that is handed on.
+ROWS = 8_192
 #: Share of true neighbours that the default probes find of a new index's sample, and how many are sought of how many rows.
 RECALL, SOUGHT, TRIED = 0.95, 10, 256
 #: What rounding may hide: scores have six digits.
@@ -89,8 +96,9 @@ def _angles(vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ centers.T, -1, 1))
 
 
-def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return unit(np.asarray(batch[name].flatten().to_numpy(zero_copy_only=False), float).reshape(len(batch), -1))
+def _vectors(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    column = batch[name].combine_chunks() if isinstance(batch, pa.Table) else batch[name]
+    return unit(np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(batch), -1))
 
 
 def _assigned(known):
@@ -98,52 +106,90 @@ def _assigned(known):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                angles = _angles(_vectors(batch, "vector"), known.value)
+            for part in _parts(batch, len(known.value)):
+                angles = _angles(_vectors(part, "vector"), known.value)
                 own = angles.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own])], [*batch.schema.names, "list", "angle"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own])], [*part.schema.names, "list", "angle"])
 
     return run
 
 
+def _parts(rows: pa.RecordBatch | pa.Table, width: int) -> Iterator[pa.RecordBatch | pa.Table]:
+    """Rows in parts whose matrices of ``width`` columns have ``HELD`` numbers at most."""
+    step = max(1, HELD // max(1, width))
+    for at in range(0, len(rows), step):
+        yield rows.slice(at, step)
+
+
+def cells_of(sizes: dict[int, int], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, first cell, cells) of lists with numbers of rows: a cell holds some ``block`` rows,
+    of one large list, or of small ones that follow each other."""
+    lists, first, cells, cell, held = sorted(sizes), [], [], 0, 0
+    for i in lists:
+        n = 1 + sizes[i] // block
+        if held and (n > 1 or held + sizes[i] > block):
+            cell, held = cell + 1, 0
+        first.append(cell)
+        cells.append(n)
+        cell, held = (cell + n, 0) if n > 1 else (cell, held + sizes[i] + 1)
+    return np.array(lists, int), np.array(first, int), np.array(cells, int)
+
+
 def _probed(known, probes: int, rest: bool):
-    """Batches (query, vector, kth) to (query, vector, list): the nearest lists, or with ``rest``
-    all others that may hold a row as good as the query's k-th."""
+    """Batches (query, vector, kth) to (query, vector, cell, lists): the nearest lists, or with
+    ``rest`` all others that may hold a row as good as the query's k-th, by their cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers, radius = known.value
+        centers, radius, (lists, first, cells) = known.value
+        listed = np.repeat(lists, cells)  # the lists of all cells, one cell after the other
+        placed = np.repeat(first, cells) + np.concatenate([np.arange(n) for n in cells]) if len(cells) else first
         for batch in batches:
-            if not len(batch):
-                continue
-            angles = np.where(np.isnan(radius), np.inf, _angles(_vectors(batch, "vector"), centers))
-            place = angles.argsort(axis=1, kind="stable").argsort(axis=1)
-            take = (place < probes) & ~np.isnan(radius)
-            if rest:
-                best = np.cos(np.clip(angles - np.nan_to_num(radius), 0, np.pi))
-                take = ~take & ~np.isnan(radius) & (best >= batch["kth"].to_numpy(zero_copy_only=False)[:, None] - SLACK)
-            at, lists = take.nonzero()
-            part = batch.select(["query", "vector"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists.astype(np.int32))], ["query", "vector", "list"])
+            for part in _parts(batch, max(len(centers), len(listed))):
+                angles = np.where(np.isnan(radius), np.inf, _angles(_vectors(part, "vector"), centers))
+                place = angles.argsort(axis=1, kind="stable").argsort(axis=1)
+                take = (place < probes) & ~np.isnan(radius)
+                if rest:
+                    best = np.cos(np.clip(angles - np.nan_to_num(radius), 0, np.pi))
+                    take = ~take & ~np.isnan(radius) & (best >= part["kth"].to_numpy(zero_copy_only=False)[:, None] - SLACK)
+                at, entry = take[:, listed].nonzero()
+                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (placed[entry[1:]] != placed[entry[:-1]])])) if len(at) else at
+                found = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array(listed[entry].astype(np.int32)))
+                for some in range(0, len(new), ROWS):
+                    of = slice(some, some + ROWS)
+                    columns = part.select(["query", "vector"]).take(pa.array(at[new[of]])).columns
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(placed[entry[new[of]]].astype(np.int32)), found[of]], ["query", "vector", "cell", "lists"])
 
     return run
 
 
-def _scored(k: int):
-    """A block of a list's rows, and the queries that look through it: the best k of each."""
+def _scored(k: int, schema: pa.Schema):
+    """A cell's rows, and the queries that look through some of its lists: the best k of each."""
 
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if len(rows) and len(queries):
-            keys, vectors = rows["key"].to_numpy(), unit(np.stack(rows["vector"].to_numpy()))
-            for at in range(0, len(queries), 1024):
-                part = queries.iloc[at : at + 1024]
-                scores = np.round(unit(np.stack(part["vector"].to_numpy())) @ vectors.T, 6)
+            keys, vectors = rows["key"].combine_chunks(), _vectors(rows, "vector").T
+            order = np.empty(len(rows), int)  # the keys' places in their order
+            order[pc.sort_indices(keys).to_numpy()] = np.arange(len(rows))
+            lists, own = np.unique(rows["list"].to_numpy(), return_inverse=True)
+            for part in _parts(queries, len(rows)):
+                scores = np.round(_vectors(part, "vector") @ vectors, 6)
+                asked = part["lists"].combine_chunks()
+                wanted, of = asked.flatten().to_numpy(), np.repeat(np.arange(len(part)), pc.list_value_length(asked).to_numpy())
+                at = np.minimum(np.searchsorted(lists, wanted), len(lists) - 1)
+                there = lists[at] == wanted  # a list may have no row that meets the condition
+                taken = np.zeros((len(part), len(lists)), bool)
+                taken[of[there], at[there]] = True
+                scores[~taken[:, own]] = -np.inf
                 least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(part), -2.0)
-                for q, row, low in zip(part["query"].to_numpy(), scores, least):
-                    near = np.flatnonzero(row >= low)
-                    near = near[np.lexsort((keys[near], -row[near]))][:k]
-                    out.append(pd.DataFrame({"query": q, "key": keys[near], "score": row[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "score": []})
+                q, row = np.nonzero(scores >= np.maximum(least, -2.0)[:, None])
+                value = scores[q, row]
+                by = np.lexsort((order[row], -value, q))
+                q, row, value = q[by], row[by], value[by]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                q, row, value = q[nth < k], row[nth < k], value[nth < k]
+                out.append(pa.table([part["query"].take(pa.array(q)), keys.take(pa.array(row)), pa.array(value)], ["query", "key", "score"]).cast(schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
@@ -214,19 +260,22 @@ class VectorIndex(Segmented):
         probes = probes or self.state()["probes"]
         centers = self._centers(self.state()["centroids"])
         radius = np.array([radii[i][0] if i in radii else np.nan for i in range(len(centers))])
-        known = self.spark.sparkContext.broadcast((centers, radius + 1e-9))
+        cells = cells_of({i: n for i, (_, n) in radii.items()}, BLOCK)
+        known = self.spark.sparkContext.broadcast((centers, radius + 1e-9, cells))
         rows = self.rows("rows", lambda r: r if where is None else r.filter(where), schema).select("list", "key", "vector")
-        sizes = self.spark.createDataFrame([(i, 1 + n // BLOCK) for i, (_, n) in radii.items()], "list int, blocks int")
-        rows = rows.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))  # a row for each list
+        sizes = self.spark.createDataFrame([tuple(map(int, c)) for c in zip(*cells)], "list int, first int, cells int")
+        rows = rows.join(F.broadcast(sizes), "list").withColumn("cell", (F.col("first") + F.pmod(F.xxhash64("key"), F.col("cells"))).cast("int"))  # a row for each list
         asked = queries.filter(directed("vector")).select("query", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
         asked = cut(asked.withColumn("kth", F.lit(None).cast("double")), "queries")
-        kind = f"query {asked.schema['query'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, score double"
-        pair = f"query {asked.schema['query'].dataType.simpleString()}, vector array<double>, list int"
+        parts = 1 + asked.count() // ASKING
+        rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        kind = T.StructType([asked.schema["query"], rows.schema["key"], T.StructField("score", T.DoubleType())])
+        pair = T.StructType([*asked.schema.fields[:2], *T.StructType.fromDDL("cell int, lists array<int>").fields])
 
         def looked(asking: DataFrame, rest: bool) -> DataFrame:
-            pairs = asking.mapInArrow(_probed(known, probes, rest), pair).join(F.broadcast(sizes), "list")  # a row for each list
-            pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "query", "vector")
-            return rows.select("list", "block", "key", "vector").groupBy("list", "block").cogroup(pairs.groupBy("list", "block")).applyInPandas(_scored(k), kind)
+            pairs = asking.mapInArrow(_probed(known, probes, rest), pair).withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+            cell = rows.select("cell", "part", "list", "key", "vector").groupBy("cell", "part")
+            return cell.cogroup(pairs.groupBy("cell", "part")).applyInArrow(_scored(k, to_arrow_schema(kind)), kind)
 
         best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
         top = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -5,9 +5,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +254,40 @@ def test_vector_updates(spark, tmp_path):
     assert index.total() == len(rows) and len(index.segments()) == 1
 
 
+def test_vector_search_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectorindex, "BLOCK", 60)
+    monkeypatch.setattr(vectorindex, "ASKING", 40)
+    monkeypatch.setattr(vectorindex, "HELD", 1000)
+    data = [(f"k{i}", v.tolist(), i % 3) for i, v in enumerate(vectors(400))]
+    index = vectorindex.built(spark, str(tmp_path), spark.createDataFrame(data, "id string, v array<double>, kind int"), "id", "v", lists=25)
+    asked = [(f"q{i}", v) for i, (_, v, _) in enumerate(data[::3])]
+    found = index.search(spark.createDataFrame(asked, "query string, vector array<double>"), 4, probes=2, exact=True, where=F.col("kind") == 1)
+    assert rounded(found) == plain_nearest([(i, v) for i, v, kind in data if kind == 1], asked, 4)
+
+
+def test_vector_tasks_hold_bounded_matrices():
+    rng = np.random.default_rng(4)
+    centers = vectorindex.unit(rng.normal(size=(1024, 8)))
+    flat = pa.array(rng.normal(size=8 * 10_000))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 8, dtype=np.int32)), flat)], ["key", "vector"])
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(vectorindex._assigned(SimpleNamespace(value=centers))(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want = np.argmax(vectorindex.unit(np.asarray(flat).reshape(-1, 8)) @ centers.T, axis=1)
+    assert out["key"].to_pylist() == list(range(10_000)) and (out["list"].to_numpy() == want).all()
+    assert peak < 64 << 20  # all 10,000 rows by 1,024 lists at once: over 200 MB
+
+
+def test_cells_of_lists():
+    lists, first, cells = vectorindex.cells_of({3: 10, 0: 5, 7: 250, 8: 90, 9: 4, 12: 4}, 100)
+    assert lists.tolist() == [0, 3, 7, 8, 9, 12] and cells.tolist() == [1, 1, 3, 1, 1, 1]
+    assert first.tolist() == [0, 0, 1, 4, 4, 4]
+    assert [len(x) for x in vectorindex.cells_of({}, 100)] == [0, 0, 0]
+
+
 # ------------------------------------------------------------- substring join
 
 
