@@ -24,9 +24,11 @@ of its links, never all pairs, so groups of copies cost no more than their
 size.  Components are joined from the forests by alternating star operations
 on (node, smaller neighbour) rows; nothing is collected by the driver.
 
-The pipeline's stage (``distinct_documents``) doesn't use the fingerprints: pairs
-of a shingle similarity of 0.8 differ in 10 bits and up to some 20, a radius at
-which no tree prunes.  See ``similar_documents``.
+The pipeline's stage (``distinct_documents``) uses wider SimHash fingerprints, of some
+thousand bits.  At a shingle similarity of 0.8 a bit differs with a probability of
+0.15, so that 64 bits don't tell such pairs from random ones, and no tree prunes.
+Candidates agree on one of many bands of bits and differ in at most ``WIDE_RADIUS``
+of ``WIDE`` words apart from those; an exact check follows.  See ``similar_documents``.
 
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a row with a null doc_id gets a fingerprint, but takes part in no link
@@ -47,14 +49,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import materialize
+from lodestrata.llm.common import bounded, materialize
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: The pipeline's stage: words of a shingle, and the similarity of sets that links documents.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of least hashes, and hashes in each.  A pair at the similarity shares no band with a
-#: probability of (1 - 0.8 ** 6) ** 50, under 3 in 10 million.
-BANDS, BAND_ROWS = 50, 6
+#: The stage's fingerprints: words that are compared whole, and differing bits of candidates (29 and 5
+#: around it of a pair at the similarity, 96 and 7 around it of a random one); the probability that a
+#: pair at the similarity agrees on no band of further bits, and the bits of a band at least and at most.
+WIDE, WIDE_RADIUS, MISSED, BAND_BITS = 3, 62, 5e-8, (10, 20)
+#: Rows of a shard whose pairs are compared together with those of other shards.
+FEW = 512
 #: Rows of a shard that one task searches; larger shards are split exactly.
 SHARD_ROWS = 4_096
 #: Shingles of a group of candidates whose texts meet in one task; larger groups are cut exactly.
@@ -207,14 +212,14 @@ def _edges(shard: np.ndarray, fp: np.ndarray, node: np.ndarray, side: np.ndarray
     return node[linked], low[linked]
 
 
-def _shards(radius: int):
-    """A mapInArrow function over rows (shard, side, fp, node), sorted by shard within the
-    partition; it holds one shard and the batch that ends it."""
+def _shards(find):
+    """A mapInArrow function over rows (shard, side, fingerprint words, node), sorted by shard within
+    the partition; it holds one shard and the batch that ends it.  ``find`` gives a shard's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(4)]
+            new = [c.to_numpy() for c in batch.columns]
             held = [np.concatenate([h, n]) for h, n in zip(held, new, strict=True)] if held else new
             if not len(held[0]):
                 continue
@@ -226,13 +231,45 @@ def _shards(radius: int):
             yield from emit(held)
 
     def emit(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shard, side, fp, node = rows
-        a, b = _edges(shard, fp.view(np.uint64), node, side, radius)
+        shard, side, *fp, node = rows
+        a, b = find(shard, [x.view(np.uint64) for x in fp], node, side)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def _wide_near(fp: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether wide fingerprints of rows a and b are near; the shapes broadcast."""
+    return sum(np.bitwise_count(x[a] ^ x[b]) for x in fp) <= WIDE_RADIUS  # at most 192: it fits 8 bits
+
+
+def _wide_edges(shard: np.ndarray, fp: list[np.ndarray], node: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_edges``, of wide fingerprints, whose pairs are all compared."""
+    cut = np.flatnonzero(np.diff(shard)) + 1
+    start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(shard)]])
+    forest = Forest(len(shard))
+    few = (side[start] == 0) & (end - start <= FEW)
+    if few.any():
+        last = np.repeat(np.where(few, end, 0), end - start)
+        rows = np.flatnonzero(last)
+        for k in range(1, int((end - start)[few].max())):
+            rows = rows[rows + k < last[rows]]
+            hit = rows[_wide_near(fp, rows, rows + k)]
+            forest.link(hit, hit + k)
+    for s, e in zip(start[~few].tolist(), end[~few].tolist(), strict=True):
+        whole = np.arange(s, e)
+        x, y = (whole, whole) if side[s] == 0 else (whole[side[s:e] == 1], whole[side[s:e] == 2])
+        step = max(1, 1_000_000 // max(1, len(y)))
+        for at in range(0, len(x), step):
+            p, q = np.nonzero(_wide_near(fp, x[at : at + step, None], y[None, :]))
+            forest.link(x[at + p], y[q])
+    first = node.copy()
+    np.minimum.at(first, forest.root, node)
+    low = first[forest.root]
+    linked = low != node
+    return node[linked], low[linked]
+
+
 # ------------------------------------------------------------- all shards
 
 
@@ -263,7 +300,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
 
 def _searched(rows: DataFrame, radius: int) -> DataFrame:
     placed = rows.repartition("shard").sortWithinPartitions("shard")
-    return placed.select("shard", "side", "fp", "node").mapInArrow(_shards(radius), "a long, b long")
+    find = lambda shard, fp, node, side: _edges(shard, fp[0], node, side, radius)
+    return placed.select("shard", "side", "fp", "node").mapInArrow(_shards(find), "a long, b long")
 
 
 def _cells(ringed: DataFrame, weight: Column, bound: int, reach: int) -> DataFrame:
@@ -337,16 +375,50 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts)))
 
 
-_FACTORS, _MASKS, _MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * BAND_ROWS), np.uint64)
-_FACTORS, _MIX = _FACTORS | np.uint64(1), _MIX | np.uint64(1)
-
-
-def bands(own: np.ndarray) -> np.ndarray:
-    """A value for each band of the least hashes of a shingle set."""
-    low = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-    for at in range(0, len(own), 256):
-        low = np.minimum(low, ((own[at : at + 256, None] ^ _MASKS) * _FACTORS).min(axis=0))
-    return ((low ^ low >> np.uint64(29)) * _MIX).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+def band_plan(n: int) -> tuple[int, int]:
+    """The bits of a band, and how many bands, for n documents: random ones share a band with some
+    hundreds of others, and a pair at the similarity misses all with a probability of ``MISSED``."""
+    bits = min(max(BAND_BITS[0], int(n).bit_length() - 8), BAND_BITS[1])
+    apart = np.arccos(2 * SIMILARITY / (1 + SIMILARITY)) / np.pi
+    return bits, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - apart) ** bits))))
+
+
+def wide_bits(own: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of a shingle set, as bits: each is 1 if set in over half of the shingles' hashes,
+    of which a shingle has one of 64 bits for each word."""
+    step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(own), 255):
+        x = own[at : at + 255, None] + step
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return 2 * ones > len(own)
+
+
+def wide_fingerprint(own: np.ndarray, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``WIDE`` words that are compared, and the bands of further bits."""
+    found = wide_bits(own, WIDE + -(-bits * bands // 64))
+    head, rest = found[: 64 * WIDE], found[64 * WIDE : 64 * WIDE + bits * bands]
+    return np.packbits(head, bitorder="little").view(np.int64), rest.reshape(bands, bits) @ (1 << np.arange(bits, dtype=np.int32))
+
+
+def wide_links(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(a, b), b < a: enough links to connect the candidates of distinct (node, w0, w1, ..., bands) rows:
+    pairs that agree on a band and differ in at most ``WIDE_RADIUS`` of the words' bits."""
+    words = [f"w{i}" for i in range(WIDE)]
+    rows = nodes.select("node", *words, F.posexplode("bands").alias("band", "value"))
+    rows = rows.select((F.col("band").cast("long") * F.lit(1 << BAND_BITS[1]) + F.col("value")).alias("bucket"), *words, "node")
+    large = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard_rows).select("bucket"), "large-bands")
+    find = lambda dealt, side: dealt.select("shard", side, *words, "node").mapInArrow(_shards(_wide_edges), "a long, b long")
+    deal = lambda shards: shards.repartition("shard").sortWithinPartitions("shard")
+    if large.isEmpty():
+        return find(deal(rows.withColumnRenamed("bucket", "shard")), F.lit(0).alias("side"))
+    known = bounded(large, F.lit(8))
+    found = find(deal(rows.join(known, "bucket", "left_anti").withColumnRenamed("bucket", "shard")), F.lit(0).alias("side"))
+    ringed = materialize(rows.join(known, "bucket", "left_semi").select("bucket", F.lit(0).alias("ring"), *words, "node"), "wide-rings")
+    return found.unionByName(find(deal(_cells(ringed, F.lit(1), shard_rows, 0)), F.col("side")))
 
 
 def linked_sets(sets: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
@@ -414,25 +486,30 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, key, component_id) of every row of ``docs``: documents are linked where the
     Jaccard similarity of their shingle sets is ``SIMILARITY`` or more.
 
-    Equal sets are one node.  Nodes that share a band are candidates, and connected candidates
-    are one group, whose texts meet in one place, where all links are exact.  A group of more
+    Equal sets are one node.  Nodes whose SimHash fingerprints agree on a band and are near are
+    candidates (``wide_links``), and connected candidates are one group, whose texts meet in one place, where all links are exact.  A group of more
     shingles than ``GROUP_SHINGLES`` is cut into cells: rings of sizes within a factor of the
     similarity, which link only to the rings beside them, and pieces of rings."""
 
-    @F.arrow_udf("struct<key:long,size:int,bands:array<long>>")
+    bits, bands = band_plan(docs.count())
+    words = [f"w{i}" for i in range(WIDE)]
+
+    @F.arrow_udf(f"struct<key:long,size:int,{','.join(f'{w}:long' for w in words)},bands:array<int>>")
     def sketch(texts: pa.Array) -> pa.Array:
-        sets = [shingles(t.as_py()) for t in texts]
-        keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-        values = np.stack([bands(x) for x in sets]).view(np.int64).reshape(-1) if sets else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)), pa.array(values))
-        return pa.StructArray.from_arrays([pa.array(keys), pa.array([len(x) for x in sets], pa.int32()), lists], ["key", "size", "bands"])
+        keys, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32)
+        heads, values = np.zeros((WIDE, len(texts)), np.int64), np.zeros((len(texts), bands), np.int32)
+        for i, text in enumerate(texts):
+            own = shingles(text.as_py())
+            keys[i], sizes[i] = xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own)
+            heads[:, i], values[i] = wide_fingerprint(own, bits, bands)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands, dtype=np.int32)), pa.array(values.reshape(-1)))
+        return pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(sizes), *map(pa.array, heads), lists], ["key", "size", *words, "bands"])
 
     prints = materialize(docs.select("doc_id", sketch(_text()).alias("s")).select("doc_id", "s.*"), "sketches")
     known = prints.filter(F.col("doc_id").isNotNull())
-    nodes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "set-nodes")
-    placed = nodes.select("node", F.explode("bands").alias("band"))
-    lowest = F.first("node").over(Window.partitionBy("band").orderBy("node"))
-    near = materialize(placed.select(F.col("node").alias("a"), lowest.alias("b")).filter("a <> b").distinct(), "candidates")
+    same = [F.first(c).alias(c) for c in ("size", *words, "bands")]
+    nodes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("node"), *same), "set-nodes")
+    near = materialize(wide_links(nodes).distinct(), "candidates")
     grouped = components(near)
     members = grouped.unionByName(grouped.select(F.col("root").alias("node"), "root")).distinct()
     members = materialize(members.join(nodes.groupBy("node").agg(F.max("size").alias("size")), "node").select(F.col("root").alias("bucket"), "node", "size"), "candidate-groups")

@@ -709,6 +709,58 @@ def test_edited_copies_are_one_document(spark, monkeypatch, shingles):
     assert kept == set(want) and not kept & set(range(6, 12))
 
 
+def test_wide_fingerprint_is_a_simhash():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 4, 5, 300):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        bits = [neardup.wide_bits(own[i : i + 1], 3) for i in range(len(own))]  # of one shingle: its hash
+        want = 2 * np.sum(bits, axis=0, initial=0) > len(own) if len(own) else np.zeros(192, bool)
+        assert (neardup.wide_bits(own, 3) == want).all()
+        words, bands = neardup.wide_fingerprint(own, 5, 7)
+        whole = neardup.wide_bits(own, neardup.WIDE + 1)
+        assert [int(w) >> b & 1 for w in words.view(np.uint64).tolist() for b in range(64)] == whole[:192].tolist()
+        assert bands.tolist() == [sum(1 << b for b in range(5) if whole[192 + 5 * k + b]) for k in range(7)]
+
+
+@pytest.mark.parametrize("n", [10_000, 300_000, 10_000_000])
+def test_pairs_at_the_similarity_are_candidates(n):
+    rng = np.random.default_rng(9)
+    plan = neardup.band_plan(n)
+    for both, apart in [(8, 1), (40, 5), (356, 44)] * 20:
+        some = rng.integers(0, 1 << 63, both + 2 * apart).astype(np.uint64)
+        assert both / len(some) >= 0.8
+        (a, v), (b, w) = neardup.wide_fingerprint(some[: both + apart], *plan), neardup.wide_fingerprint(np.concatenate([some[:both], some[both + apart :]]), *plan)
+        assert (v == w).any() and np.bitwise_count((a ^ b).view(np.uint64)).sum() <= neardup.WIDE_RADIUS
+
+
+@pytest.mark.parametrize("shard_rows,few", [(4096, 512), (4096, 4), (20, 8)])
+def test_wide_links_against_brute_force(spark, monkeypatch, shard_rows, few):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(neardup, "FEW", few)  # in the driver; workers keep theirs
+    centres = rng.integers(0, 2, (30, 192 + 80)).astype(bool)
+    bits = np.concatenate([centres[rng.integers(0, 30, 150)] ^ (rng.random((150, 272)) < 0.12), rng.integers(0, 2, (50, 272)).astype(bool)])
+    heads = np.packbits(bits[:, :192], axis=1, bitorder="little").view(np.int64)
+    bands = bits[:, 192:].reshape(200, 16, 5) @ (1 << np.arange(5))
+    nodes = spark.createDataFrame([(i, *heads[i].tolist(), bands[i].tolist()) for i in range(200)], "node long, w0 long, w1 long, w2 long, bands array<int>")
+    near = (bits[:, None, :192] ^ bits[None, :, :192]).sum(axis=2) <= neardup.WIDE_RADIUS
+    linked = near & (bands[:, None] == bands[None]).any(axis=2)
+    want = list(range(200))
+    for a in range(200):
+        for b in range(a):
+            if linked[a, b]:
+                x, y = want[a], want[b]
+                want = [min(x, y) if c in (x, y) else c for c in want]
+    found = {r["node"]: r["root"] for r in neardup.components(neardup.wide_links(nodes, shard_rows).distinct()).collect()}
+    assert [found.get(i, i) for i in range(200)] == want
+    shard, node, side = np.repeat(np.arange(5), 40), np.arange(200), np.zeros(200, int)
+    a, b = neardup._wide_edges(shard, [x.view(np.uint64) for x in heads.T], node, side)
+    forest = neardup.Forest(200)
+    forest.link(a, b)
+    plain = neardup.Forest(200)
+    plain.link(*np.nonzero(near & (shard[:, None] == shard[None])))
+    assert (forest.root == plain.root).all()
+
+
 def test_linked_sets_against_brute_force():
     rng = np.random.default_rng(3)
     sets = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
