@@ -795,3 +795,23 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert not kept & toxic
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "language_id", "simhash_near_dedup", "decontamination", "byte_bpe"]
+
+
+def test_pipeline_stages_hand_workers_batches_of_bounded_bytes(spark):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    from lodestrata.llm.common import ARROW_BYTES
+
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('some words of a long text ', 400) as text")
+    for name, stage in corpus_pipeline.STAGES[1::3]:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(3).withColumn("lang", F.lit("en")), "")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+        got = docs.mapInArrow(sizes, "bytes long, rows long").collect()
+        assert sum(r["rows"] for r in got) == 2000, name
+        assert max(r["bytes"] for r in got) < 2 * ARROW_BYTES, name
