@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import subprocess
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,9 @@ from lodestrata.session import cut
 FORBIDDEN = ["/", "/bin", "/boot", "/dev", "/etc", "/lib", "/proc", "/root/.ssh", "/sbin", "/sys", "/usr", "/var"]
 MAX_COUNTED_BYTES, MAX_PARSED_BYTES = 2_000_000, 1_000_000
 
+#: Bytes that a Python worker is given or gives back at once, about, and a file at least.
+BATCH_BYTES = 1 << 20
+
 
 def checked_url(url: str) -> str:
     """A clone address without the forms that git takes for options; raises ValueError."""
@@ -66,17 +73,117 @@ def escaping_links(root: str) -> list[str]:
     return out
 
 
-def scan(spark: SparkSession, root: str, repo_id: str = "repo", local: bool = True) -> DataFrame:
-    """(repo_id, path, language, size_bytes, lines, content) of a tree's files.
+def disk_folder(spark: SparkSession, root: str) -> str | None:
+    """The path of a folder in the machines' own file system, a shared disk; null for a folder of
+    another store, and for what is no folder."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if store.getUri().getScheme() != "file" or not store.exists(path) or not store.getFileStatus(path).isDirectory():
+        return None
+    return store.makeQualified(path).toUri().getPath()
 
-    The scan is distributed; bytes that aren't UTF-8 become replacement characters, and
-    content is null above the parse limit.  Links out of a local root are left out."""
-    root = checked_root(root) if local else root.rstrip("/")
+
+def _listed(folder: bytes) -> Iterator[os.DirEntry]:
+    """What Spark's readers see of a folder, without what is never scanned."""
+    with os.scandir(folder) as entries:
+        for entry in entries:
+            name = os.fsdecode(entry.name)
+            hidden = name.startswith(".") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))) or name.endswith("._COPYING_")
+            if not hidden and name not in rules.SKIPPED_DIRS:
+                yield entry
+
+
+def _lister(root: bytes, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (path, size), where a folder has no size, to what is in it; files are handed on."""
+    start = len(root.rstrip(b"/")) + 1
+
+    def found(folder: bytes) -> Iterator[tuple[bytes, int | None]]:
+        for entry in _listed(folder):
+            try:
+                if not entry.is_dir():
+                    if entry.is_file() and (size := entry.stat().st_size):
+                        yield entry.path[start:], size
+                elif deep:
+                    yield from found(entry.path)
+                else:
+                    yield entry.path[start:], None
+            except FileNotFoundError:  # removed since the folder was listed
+                continue
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[bytes, int | None]] = []
+        for batch in batches:
+            for path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in [(path, size)] if size is not None else found(os.path.join(root, path)):
+                    rows.append(row)
+                    if len(rows) >= 10_000:
+                        yield _batch(rows)
+                        rows = []
+        if rows:
+            yield _batch(rows)
+
+    return run
+
+
+def _batch(rows: list[tuple[bytes, int | None]]) -> pa.RecordBatch:
+    paths, sizes = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(sizes, pa.int64())], ["path", "size_bytes"])
+
+
+def _reader(root: bytes, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (path, size) to (path, size_bytes, content); a file that can't be read is left out."""
+
+    def batch(rows: list[tuple[str, int, bytes | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))], ["path", "size_bytes", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for given in batches:
+            for path, size in zip(*(c.to_pylist() for c in given.columns)):
+                try:
+                    with open(os.path.join(root, path), "rb") as file:
+                        content = file.read() if size <= most else None
+                except OSError:
+                    continue
+                rows.append((path.decode("utf-8", "replace"), size if content is None else len(content), content))
+                held += len(content or b"") + len(path)
+                if held >= BATCH_BYTES:
+                    yield batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    return run
+
+
+def _from_disk(spark: SparkSession, folder: str, most: int) -> DataFrame:
+    """(path, size_bytes, content) of a folder's files, listed and read by the executors: the
+    driver holds no list of them, and a task reads any number of small files."""
+    root, tasks, row = os.fsencode(folder), 4 * spark.sparkContext.defaultParallelism, "path binary, size_bytes long"
+    top = spark.range(0, 1, 1, 1).select(F.lit(b"").alias("path"), F.lit(None).cast("long").alias("size_bytes"))
+    names = top.mapInArrow(_lister(root, False), row).repartition(tasks).mapInArrow(_lister(root, True), row)
+    return names.repartition(tasks).mapInArrow(_reader(root, most), "path string, size_bytes long, content binary")
+
+
+def _from_store(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size_bytes, content) of the files under a root of any store, by Spark's reader."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     where = F.regexp_replace("path", "^[a-z]+:/+", "/")
     base = re.sub(r"^([a-z]+:)?/+", "/", root)
     path = F.substr(where, F.instr(where, base) + F.lit(len(base) + 1))
-    rows = raw.select(F.lit(repo_id).alias("repo_id"), path.alias("path"), F.col("length").alias("size_bytes"), "content")
+    return raw.select(path.alias("path"), F.col("length").alias("size_bytes"), "content")
+
+
+def scan(spark: SparkSession, root: str, repo_id: str = "repo", local: bool = True, most: int = MAX_PARSED_BYTES) -> DataFrame:
+    """(repo_id, path, language, size_bytes, lines, content) of a tree's files.
+
+    The scan is distributed; bytes that aren't UTF-8 become replacement characters, and
+    content is null above ``most`` bytes.  Links out of a local root are left out."""
+    root = checked_root(root) if local else root.rstrip("/")
+    folder = disk_folder(spark, root)
+    raw = _from_disk(spark, folder, max(most, MAX_COUNTED_BYTES)) if folder else _from_store(spark, root)
+    rows = raw.select(F.lit(repo_id).alias("repo_id"), "path", "size_bytes", "content")
     rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, rules.SKIPPED_DIRS))))
     if local and (links := escaping_links(root)):
         outside = F.lit(False)
@@ -85,7 +192,51 @@ def scan(spark: SparkSession, root: str, repo_id: str = "repo", local: bool = Tr
         rows = rows.filter(~outside)
     text = F.make_valid_utf8(F.col("content").cast("string"))
     counted = F.when(language_of(F.col("path")).isNotNull() & (F.col("size_bytes") < MAX_COUNTED_BYTES), line_count(text)).otherwise(0)
-    return rows.select("repo_id", "path", language_of(F.col("path")).alias("language"), "size_bytes", counted.alias("lines"), F.when(F.col("size_bytes") <= MAX_PARSED_BYTES, text).alias("content"))
+    return rows.select("repo_id", "path", language_of(F.col("path")).alias("language"), "size_bytes", counted.alias("lines"), F.when(F.col("size_bytes") <= most, text).alias("content"))
+
+
+def _putter(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        mine, place = f"{folder}/.{task.partitionId()}-{task.taskAttemptId()}", f"{folder}/{task.partitionId()}"
+        os.makedirs(mine)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(f"{mine}/{name}", "xb") as file:
+                    file.write(content)
+            n += batch.num_rows
+        try:
+            os.rename(mine, place)
+        except OSError:
+            if not os.path.isdir(place):
+                raise
+            shutil.rmtree(mine)  # another attempt of this task has put its folder in place
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return run
+
+
+def write_tree(rows: DataFrame, where: str) -> None:
+    """Every row of (name, text) as a file of a new folder, with a line end after its text; no two
+    names are the same.
+
+    On a disk, tasks make their files themselves: Hadoop's local file system starts a process for
+    the mode of each file and folder.  In another store they are written by Spark's writer, each
+    in a folder of its name.  A task's files come into place together, in its folder."""
+    spark = rows.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+    if not (folder := disk_folder(spark, where)):
+        rows.withColumn("task", F.spark_partition_id()).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "1").partitionBy("task", "name").text(where)
+        return
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, str(BATCH_BYTES))
+    try:
+        content = F.concat(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.lit(b"\n")).alias("content")
+        rows.select("name", content).mapInArrow(_putter(folder), "n long").agg(F.sum("n")).collect()
+    finally:
+        spark.conf.set(bound, before)
 
 
 def lines(files: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ import json
 import os
 import subprocess
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.plans import lifecycle
+from lodestrata.plans import further_queries, lifecycle, queries
 from lodestrata.sources import files, gitlog, manifests, parsers
 from lodestrata.streaming import progress
 
@@ -261,3 +262,39 @@ def test_roots_with_any_number_of_slashes(spark, tmp_path):
         (tmp_path / name).write_text("x\n")
     for root in (f"file:{tmp_path}", f"file://{tmp_path}", f"//{tmp_path}", str(tmp_path)):
         assert {r["path"] for r in files.scan(spark, root, local=False).select("path").collect()} == names
+
+
+@pytest.mark.parametrize("disk", [True, False])
+def test_documents_as_files_with_odd_ids_and_texts(spark, tmp_path, monkeypatch, disk):
+    if not disk:
+        monkeypatch.setattr(files, "disk_folder", lambda *_: None)
+    texts = ["a", "a", "", None, None, "b\r", "c\r\nd\x0b e", "z\n" * 600_000, "é\n\n"]
+    ids = [1, 1, 2, 3, None, -4, None, 5, 2**62]
+    spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "size_bytes", "language", "lines"]
+    got = further_queries.scanned_tree(spark, str(tmp_path)).select(columns).collect()
+    want = con.sql(f"select {', '.join(columns)} from ({queries.SQL['scanned_tree']})").fetchall()
+    assert len(want) == 9 and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_a_tree_of_small_files_takes_few_tasks(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 3).select(F.concat("id", F.lit(".py")).alias("name"), F.repeat(F.lit("x\n"), F.col("id").cast("int") % 9).alias("text"))
+    files.write_tree(rows, f"file:{tmp_path}/tree")
+    found = files.scan(spark, f"file:{tmp_path}/tree", local=False).select("path", "size_bytes", "lines", "content").collect()
+    assert {(r["path"].split("/")[-1], r["content"], r["size_bytes"]) for r in found} == {(r["name"], r["text"] + "\n", len(r["text"]) + 1) for r in rows.collect()}
+    assert len(found) == 3000
+    assert files.scan(spark, f"file:{tmp_path}/tree", local=False).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_disk_and_store_find_the_same_files(spark, tmp_path):
+    for name in ("a.py", "d/b.py", "d/e/__init__.py", "d/k=1/_c=2/c.go", ".git/x", "_h/y.py", "d/.z", "f[1]/g h.js", "node_modules/i.js", "j._COPYING_"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x\xff\n" * len(name))
+    (tmp_path / "empty.py").touch()
+    os.symlink(tmp_path / "gone", tmp_path / "broken.py")
+    store, disk = (sorted(map(tuple, rows.select("path", "size_bytes", "content").collect())) for rows in (files._from_store(spark, str(tmp_path)), files._from_disk(spark, str(tmp_path), 1 << 30)))
+    assert [r for r in store if not r[0].startswith("node_modules/")] == disk and len(disk) == 4
+    assert [r[2] for r in files._from_disk(spark, str(tmp_path), 14).select("path", "size_bytes", "content").orderBy("path").collect()] == [b"x\xff\n" * 4, None, None, None]
+    assert files.disk_folder(spark, f"file:{tmp_path}/none") is None and files.disk_folder(spark, f"{tmp_path}/a.py") is None
