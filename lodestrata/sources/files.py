@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.scalars import language_of, line_count, lines_of
 from lodestrata.plans import rules
-from lodestrata.session import cut
+from lodestrata.session import cut, ship
 
 #: Folders that are never scanned (fixed values), and size limits.
 FORBIDDEN = ["/", "/bin", "/boot", "/dev", "/etc", "/lib", "/proc", "/root/.ssh", "/sbin", "/sys", "/usr", "/var"]
@@ -101,15 +101,13 @@ def _lister(root: bytes, deep: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def found(folder: bytes) -> Iterator[tuple[bytes, int | None]]:
         for entry in _listed(folder):
             try:
-                if not entry.is_dir():
-                    if entry.is_file() and (size := entry.stat().st_size):
-                        yield entry.path[start:], size
-                elif deep:
-                    yield from found(entry.path)
-                else:
-                    yield entry.path[start:], None
-            except FileNotFoundError:  # removed since the folder was listed
+                inside, size = entry.is_dir(), entry.stat().st_size if entry.is_file() else 0
+            except OSError:  # removed since the folder was listed, or a link that comes back to itself
                 continue
+            if inside and deep:
+                yield from found(entry.path)
+            elif inside or size:
+                yield entry.path[start:], None if inside else size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[bytes, int | None]] = []
@@ -144,6 +142,8 @@ def _reader(root: bytes, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 try:
                     with open(os.path.join(root, path), "rb") as file:
                         content = file.read() if size <= most else None
+                except FileNotFoundError:  # removed, or a disk that isn't shared
+                    raise
                 except OSError:
                     continue
                 rows.append((path.decode("utf-8", "replace"), size if content is None else len(content), content))
@@ -160,6 +160,7 @@ def _reader(root: bytes, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def _from_disk(spark: SparkSession, folder: str, most: int) -> DataFrame:
     """(path, size_bytes, content) of a folder's files, listed and read by the executors: the
     driver holds no list of them, and a task reads any number of small files."""
+    ship(spark)
     root, tasks, row = os.fsencode(folder), 4 * spark.sparkContext.defaultParallelism, "path binary, size_bytes long"
     top = spark.range(0, 1, 1, 1).select(F.lit(b"").alias("path"), F.lit(None).cast("long").alias("size_bytes"))
     names = top.mapInArrow(_lister(root, False), row).repartition(tasks).mapInArrow(_lister(root, True), row)
@@ -229,6 +230,7 @@ def write_tree(rows: DataFrame, where: str) -> None:
     if not (folder := disk_folder(spark, where)):
         rows.withColumn("task", F.spark_partition_id()).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "1").partitionBy("task", "name").text(where)
         return
+    ship(spark)
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(bound)
     spark.conf.set(bound, str(BATCH_BYTES))

@@ -298,3 +298,11 @@ def test_disk_and_store_find_the_same_files(spark, tmp_path):
     assert [r for r in store if not r[0].startswith("node_modules/")] == disk and len(disk) == 4
     assert [r[2] for r in files._from_disk(spark, str(tmp_path), 14).select("path", "size_bytes", "content").orderBy("path").collect()] == [b"x\xff\n" * 4, None, None, None]
     assert files.disk_folder(spark, f"file:{tmp_path}/none") is None and files.disk_folder(spark, f"{tmp_path}/a.py") is None
+
+
+def test_scan_with_a_link_that_comes_back(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.py").write_text("x\n")
+    os.symlink(tmp_path, tmp_path / "d/back")
+    os.symlink("self", tmp_path / "self")
+    assert [r["path"] for r in files.scan(spark, str(tmp_path)).select("path").collect()] == ["d/a.py"]
